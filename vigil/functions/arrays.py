@@ -17,6 +17,13 @@ def bind(expr: Column, body) -> Column:
     return F.element_at(F.transform(F.array(expr), body), 1)
 
 
+def materialize(df, name: str, expr: Column):
+    """Add ``expr`` as column ``name`` behind a generator, so later filters
+    on it cannot be pushed below (and re-evaluate) the expression. Used for
+    expensive parses that several predicates and outputs read."""
+    return df.select("*", F.explode(F.array(expr)).alias(name))
+
+
 def sorted_median(sorted_arr: Column) -> Column:
     """Median of an ascending array: the middle element for odd sizes, the mean
     of the two middle elements for even sizes, 0.0 for an empty array."""

@@ -188,3 +188,272 @@ def q_stale_series_count(spark, sf):
 def q_mad_lineitem(spark, sf):
     """Detector over 1,000 supplier series built from ``lineitem``."""
     return _anom_select(detect_anomalies(metric_points_from_lineitem(spark, sf), SERVICE))
+
+
+# ------------------------------------------------------------------ ingest --
+from vigil.operators.envelope import decode_envelope  # noqa: E402
+from vigil.operators.ingest import decode_metric_json, ingest_metrics, ml_payload_filter  # noqa: E402
+from vigil.operators.projection import (first_wins, fold_series_state,  # noqa: E402
+                                        to_anomaly_events, with_dedup_key)
+from vigil.operators.read_api import get_series_state, list_anomalies, list_series  # noqa: E402
+from vigil.sources import fixtures as FX  # noqa: E402
+
+_POINT_OUT = ("seq", "source", "metric_name", "env", "region", "instance_id", "timestamp")
+
+
+@register("ingest_accepted", f"SELECT seq, source, metric_name, env, region, instance_id, timestamp, "
+          f"round(value, 6) AS value FROM ({S.METRIC_REQUESTS}) WHERE {S.REQ_VALID}")
+def q_ingest_accepted(spark, sf):
+    """Metric requests that pass validation (non-empty source and metric
+    name, finite value)."""
+    acc, _ = ingest_metrics(FX.metric_requests(spark, sf))
+    return acc.select(*_POINT_OUT, r6("value"))
+
+
+@register("ingest_rejected", "SELECT seq, CASE WHEN COALESCE(source, '') = '' OR "
+          "COALESCE(metric_name, '') = '' THEN 'invalid metric' ELSE 'non-finite value' END AS reason "
+          f"FROM ({S.METRIC_REQUESTS}) WHERE NOT ({S.REQ_VALID})")
+def q_ingest_rejected(spark, sf):
+    """Rejected metric requests with the reason."""
+    _, rej = ingest_metrics(FX.metric_requests(spark, sf))
+    return rej.select("seq", "reason")
+
+
+_DECODE_OK = "seq % 97 <> 0 AND seq % 89 <> 0"
+
+
+@register("decode_metrics", f"""SELECT seq, source, metric_name,
+  CASE WHEN seq % 83 = 0 THEN '' ELSE env END AS env,
+  CASE WHEN seq % 83 = 0 THEN '' ELSE region END AS region,
+  CASE WHEN seq % 83 = 0 THEN '' ELSE instance_id END AS instance_id,
+  CASE WHEN seq % 83 = 0 THEN 0 ELSE timestamp END AS timestamp,
+  CASE WHEN seq % 83 = 0 THEN 0.0 ELSE round(value, 6) END AS value
+FROM ({S.EVENTS_POINTS}) WHERE {_DECODE_OK}""")
+def q_decode_metrics(spark, sf):
+    """Metric stream payloads decoded; missing fields take zero values."""
+    pts, _ = decode_metric_json(FX.metric_payloads(spark, sf))
+    return pts.select(*_POINT_OUT, r6("value"))
+
+
+@register("decode_quarantine", "SELECT seq, 'malformed payload' AS reason "
+          f"FROM ({S.EVENTS_POINTS}) WHERE NOT ({_DECODE_OK})")
+def q_decode_quarantine(spark, sf):
+    """Payloads that are not valid JSON or carry a wrongly typed field."""
+    _, bad = decode_metric_json(FX.metric_payloads(spark, sf))
+    return bad.select("seq", "reason")
+
+
+@register("ml_payload_filter", "SELECT seq, metric_name, round(value, 6) AS value, timestamp "
+          f"FROM ({S.EVENTS_POINTS}) WHERE {_DECODE_OK} AND seq % 83 <> 0")
+def q_ml_payload_filter(spark, sf):
+    """Model-scoring intake: payloads with a present, numeric value."""
+    keep, _ = ml_payload_filter(FX.metric_payloads(spark, sf))
+    return keep.select("seq", "metric_name", r6("value"), "timestamp")
+
+
+# -------------------------------------------------------- anomaly pipeline --
+_EV_OUT_SQL = ("seq, source, metric_name, env, region, instance_id, timestamp, round(value, 6) AS value, "
+               "round(baseline, 6) AS baseline, round(mad, 6) AS mad, round(threshold, 6) AS threshold, "
+               "window_size, round(threshold_k, 6) AS threshold_k, detector, event_id, event_type, "
+               "event_version, producer, trace_id")
+
+
+@register("anomaly_events", S.stamped_sql(SERVICE) + f"\nSELECT {_EV_OUT_SQL} FROM stamped")
+def q_anomaly_events(spark, sf):
+    """Detector anomalies stamped as events (deterministic SHA-256 ids,
+    stored threshold = the crossed bound)."""
+    ev = FX.anomaly_events_stamped(spark, sf, SERVICE)
+    return ev.select("seq", "source", "metric_name", "env", "region", "instance_id", "timestamp",
+                     r6("value"), r6("baseline"), r6("mad"), r6("threshold"), "window_size",
+                     r6("threshold_k"), "detector", "event_id", "event_type", "event_version",
+                     "producer", "trace_id")
+
+
+def _decoded(spark, sf, late=False):
+    stream = FX.anomaly_stream(spark, sf, SERVICE)
+    if late:
+        stream = stream.unionByName(FX.late_resends(spark, sf, SERVICE))
+    return decode_envelope(stream)
+
+
+_DTO_OUT = ("stream_seq", "subject", "source", "metric_name", "env", "region", "instance_id",
+            "timestamp", "window_size", "detector", "event_id", "event_type", "producer",
+            "occurred_at", "produced_at", "trace_id", "event_version")
+_DTO_SQL = (", ".join(_DTO_OUT) + ", round(value, 6) AS value, round(baseline, 6) AS baseline, "
+            "round(mad, 6) AS mad, round(threshold, 6) AS threshold, round(threshold_k, 6) AS threshold_k")
+
+
+def _dto_select(df):
+    return df.select(*_DTO_OUT, r6("value"), r6("baseline"), r6("mad"), r6("threshold"),
+                     r6("threshold_k"))
+
+
+@register("envelope_roundtrip", S.decoded_sql(SERVICE) + f"\nSELECT {_DTO_SQL} FROM decoded")
+def q_envelope_roundtrip(spark, sf):
+    """Anomaly events encoded as V2(+flat) / V1 envelopes, delivered (some
+    twice) and decoded back to flat rows."""
+    dec, _ = _decoded(spark, sf)
+    return _dto_select(dec)
+
+
+@register("envelope_v1_fallback", S.decoded_sql(SERVICE) +
+          "\nSELECT stream_seq, dedup_key, source, metric_name, round(value, 6) AS value, event_id, "
+          "event_type, event_version FROM decoded WHERE event_type = ''")
+def q_envelope_v1(spark, sf):
+    """Flat (V1) envelopes: event metadata defaults to ''/0 and the dedup key
+    falls back to subject:stream_seq."""
+    dec, _ = _decoded(spark, sf)
+    return (with_dedup_key(dec).filter(F.col("event_type") == "")
+            .select("stream_seq", "dedup_key", "source", "metric_name", r6("value"), "event_id",
+                    "event_type", "event_version"))
+
+
+@register("envelope_invalid", S.decoded_sql(SERVICE) + "\nSELECT stream_seq, reason FROM quarantined")
+def q_envelope_invalid(spark, sf):
+    """Envelopes rejected as malformed JSON or invalid (empty source)."""
+    _, bad = _decoded(spark, sf)
+    return bad.select("stream_seq", "reason")
+
+
+@register("dedup_first", S.decoded_sql(SERVICE) +
+          "\nSELECT dedup_key, MIN(stream_seq) AS stream_seq, COUNT(*) AS deliveries "
+          "FROM decoded GROUP BY dedup_key")
+def q_dedup_first(spark, sf):
+    """First-wins de-duplication: one row per dedup key with the earliest
+    delivery's stream sequence."""
+    dec, _ = _decoded(spark, sf)
+    dec = with_dedup_key(dec)
+    firsts = first_wins(dec)
+    counts = dec.groupBy("dedup_key").agg(F.count(F.lit(1)).alias("deliveries"))
+    return firsts.select("dedup_key", "stream_seq").join(counts, "dedup_key")
+
+
+def _events(spark, sf, late=False):
+    dec, _ = _decoded(spark, sf, late)
+    return to_anomaly_events(first_wins(with_dedup_key(dec)), created_at=FX.FIXED_CLOCK)
+
+
+def _state(spark, sf, late=False):
+    return fold_series_state(_events(spark, sf, late), updated_at=FX.FIXED_CLOCK)
+
+
+_STATE_SQL = (f"{S.KEY_SQL}, last_ts, round(last_value, 6) AS last_value, round(baseline, 6) AS baseline, "
+              "round(mad, 6) AS mad, round(threshold, 6) AS threshold, window_size, "
+              "round(threshold_k, 6) AS threshold_k, detector, producer, trace_id, event_id, "
+              "event_version, occurred_at, produced_at, last_seq")
+
+
+def _state_select(st):
+    return st.select("source", "metric_name", "env", "region", "last_ts", r6("last_value"),
+                     r6("baseline"), r6("mad"), r6("threshold"), "window_size", r6("threshold_k"),
+                     "detector", "producer", "trace_id", "event_id", "event_version", "occurred_at",
+                     "produced_at", "last_seq")
+
+
+@register("series_state", S.decoded_sql(SERVICE) + f"\nSELECT {_STATE_SQL} FROM state_t")
+def q_series_state(spark, sf):
+    """Latest state per series folded from the de-duplicated events (last
+    arrival wins)."""
+    return _state_select(_state(spark, sf))
+
+
+@register("series_state_late_arrival", S.decoded_sql(SERVICE, late=True) +
+          f"\nSELECT {_STATE_SQL} FROM state_t")
+def q_series_state_late(spark, sf):
+    """State when older events are re-sent last: arrival order wins over
+    timestamps."""
+    return _state_select(_state(spark, sf, late=True))
+
+
+# ------------------------------------------------------------ read queries --
+_LIST_OUT = ("id", "source", "metric_name", "env", "region", "instance_id", "ts", "window_size",
+             "detector", "producer", "trace_id", "event_id")
+_LIST_SQL = (", ".join(_LIST_OUT) + ", round(value, 6) AS value, round(baseline, 6) AS baseline, "
+             "round(mad, 6) AS mad, round(threshold, 6) AS threshold, round(threshold_k, 6) AS threshold_k")
+
+
+def _list_select(df):
+    return df.select(*_LIST_OUT, r6("value"), r6("baseline"), r6("mad"), r6("threshold"),
+                     r6("threshold_k"))
+
+
+def _list_sql(where: str = "", limit: int = 100, offset: int = 0) -> str:
+    w = f"WHERE {where}" if where else ""
+    return (S.decoded_sql(SERVICE) + f"\nSELECT {_LIST_SQL} FROM events_t {w} "
+            f"ORDER BY ts DESC, id DESC LIMIT {limit} OFFSET {offset}")
+
+
+@register("list_anomalies", _list_sql())
+def q_list_anomalies(spark, sf):
+    """Newest-first anomaly page with default parameters (limit 100)."""
+    return _list_select(list_anomalies(_events(spark, sf)))
+
+
+@register("list_anomalies_filtered", _list_sql("source = 'svc-1' AND metric_name = 'click'"))
+def q_list_anomalies_filtered(spark, sf):
+    """Page filtered on source and metric; empty-string parameters are
+    ignored (env='' means no env filter)."""
+    return _list_select(list_anomalies(_events(spark, sf), source="svc-1", metric_name="click", env=""))
+
+
+_FROM_TS, _TO_TS = 1704844800, 1705708800  # 2024-01-10 .. 2024-01-20 (UTC), inclusive
+
+
+@register("list_anomalies_time_range", _list_sql(f"ts >= {_FROM_TS} AND ts <= {_TO_TS}", limit=1000))
+def q_list_anomalies_time_range(spark, sf):
+    """Inclusive time range with the maximum page size."""
+    return _list_select(list_anomalies(_events(spark, sf), from_ts=_FROM_TS, to_ts=_TO_TS, limit=1000))
+
+
+@register("list_anomalies_page2", _list_sql(limit=50, offset=50))
+def q_list_anomalies_page2(spark, sf):
+    """Second page of 50."""
+    return _list_select(list_anomalies(_events(spark, sf), limit=50, offset=50))
+
+
+@register("list_anomalies_clamped", _list_sql(limit=1000, offset=0))
+def q_list_anomalies_clamped(spark, sf):
+    """limit 5000 is clamped to 1000 and offset -5 to 0."""
+    return _list_select(list_anomalies(_events(spark, sf), limit=5000, offset=-5))
+
+
+_SERIES_OUT_SQL = (f"{S.KEY_SQL}, last_ts, round(last_value, 6) AS last_value, "
+                   "round(baseline, 6) AS baseline, round(mad, 6) AS mad, round(threshold, 6) AS threshold, "
+                   "window_size, round(threshold_k, 6) AS threshold_k, detector, producer, trace_id, "
+                   f"'{FX.FIXED_CLOCK}' AS updated_at")
+
+
+def _series_select(df):
+    return df.select("source", "metric_name", "env", "region", "last_ts", r6("last_value"),
+                     r6("baseline"), r6("mad"), r6("threshold"), "window_size", r6("threshold_k"),
+                     "detector", "producer", "trace_id", "updated_at")
+
+
+@register("list_series", S.decoded_sql(SERVICE) +
+          f"\nSELECT {_SERIES_OUT_SQL} FROM state_t ORDER BY last_seq DESC LIMIT 200")
+def q_list_series(spark, sf):
+    """Series state page, most recently updated first (default limit 200)."""
+    return _series_select(list_series(_state(spark, sf)))
+
+
+@register("list_series_filtered", S.decoded_sql(SERVICE) +
+          f"\nSELECT {_SERIES_OUT_SQL} FROM state_t WHERE env = 'prod' ORDER BY last_seq DESC LIMIT 5")
+def q_list_series_filtered(spark, sf):
+    """Series page filtered on env with limit 5."""
+    return _series_select(list_series(_state(spark, sf), env="prod", limit=5))
+
+
+@register("get_series_state", S.decoded_sql(SERVICE) +
+          f"\nSELECT {_SERIES_OUT_SQL} FROM state_t WHERE source = 'svc-1' AND metric_name = 'click' "
+          "AND env = 'prod' AND region = 'us-east-1'")
+def q_get_series_state(spark, sf):
+    """Point lookup by the composite key ``svc-1|click|prod|us-east-1``."""
+    return _series_select(get_series_state(_state(spark, sf), "svc-1|click|prod|us-east-1"))
+
+
+@register("get_series_state_missing", S.decoded_sql(SERVICE) +
+          f"\nSELECT {_SERIES_OUT_SQL} FROM state_t WHERE source = 'svc-9' AND metric_name = 'click' "
+          "AND env = 'prod' AND region = 'us-east-1'")
+def q_get_series_state_missing(spark, sf):
+    """Lookup of a series that has no state: zero rows."""
+    return _series_select(get_series_state(_state(spark, sf), "svc-9|click|prod|us-east-1"))

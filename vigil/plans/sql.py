@@ -98,3 +98,88 @@ scored AS (
 
 def r6(col: str, alias: str | None = None) -> str:
     return f"round({col}, 6) AS {alias or col}"
+
+
+# ------------------------------------------------------------ ingest/decode --
+METRIC_REQUESTS = f"""
+SELECT CASE WHEN seq % 89 = 0 THEN '' ELSE source END AS source,
+       CASE WHEN seq % 101 = 0 THEN NULL ELSE metric_name END AS metric_name,
+       CASE WHEN seq % 97 = 0 THEN CAST('NaN' AS DOUBLE)
+            WHEN seq % 103 = 0 THEN CAST('Infinity' AS DOUBLE) ELSE value END AS value,
+       env, region, instance_id, timestamp, seq
+FROM ({EVENTS_POINTS})"""
+
+REQ_VALID = ("COALESCE(source, '') <> '' AND COALESCE(metric_name, '') <> '' "
+             "AND isfinite(COALESCE(value, 0.0))")
+
+
+# ------------------------------------------------------- anomaly pipeline --
+FIXED_CLOCK = "2024-02-01T00:00:00Z"
+PRODUCER = "vigil-detector"
+
+
+def stamped_sql(cfg: MadConfig) -> str:
+    """CTE chain ending in ``stamped``: anomaly events with deterministic ids."""
+    return mad_sql(EVENTS_POINTS, cfg) + f""",
+stamped AS (
+  SELECT seq, source, metric_name, env, region, instance_id, timestamp, value, baseline, mad,
+         CASE WHEN value < lower THEN lower ELSE upper END AS threshold,
+         CAST(n AS BIGINT) AS window_size, {lit(cfg.threshold_k)} AS threshold_k,
+         'MAD' AS detector,
+         sha256(concat_ws('|', source, metric_name, env, region, instance_id,
+                          CAST(timestamp AS VARCHAR), CAST(seq AS VARCHAR))) AS event_id,
+         'anomaly.detected' AS event_type, CAST(2 AS BIGINT) AS event_version,
+         '{PRODUCER}' AS producer, '{FIXED_CLOCK}' AS occurred_at, '{FIXED_CLOCK}' AS produced_at,
+         '' AS trace_id
+  FROM scored WHERE is_anomaly)"""
+
+
+def decoded_sql(cfg: MadConfig, late: bool = False) -> str:
+    """CTE chain ending in ``decoded`` (valid envelopes of the stand-in
+    anomaly stream, with dedup keys) and ``quarantined``."""
+    late_rows = ""
+    if late:
+        late_rows = """
+  UNION ALL
+  SELECT s.* REPLACE (sha256(event_id || ':late') AS event_id), seq + 2000000000 AS stream_seq,
+         false AS v1, seq % 89 = 0 AS invalid, false AS malformed
+  FROM stamped s WHERE seq % 7 = 0"""
+    return stamped_sql(cfg) + f""",
+sent AS (
+  SELECT s.*, seq AS stream_seq, seq % 79 = 0 AS v1, seq % 89 = 0 AS invalid, seq % 97 = 0 AS malformed
+  FROM stamped s
+  UNION ALL
+  SELECT s.*, seq + 1000000000 AS stream_seq, seq % 79 = 0 AS v1, seq % 89 = 0 AS invalid,
+         seq % 97 = 0 AS malformed
+  FROM stamped s WHERE seq % 83 = 0{late_rows}),
+quarantined AS (
+  SELECT stream_seq, CASE WHEN malformed THEN 'malformed payload' ELSE 'invalid envelope' END AS reason
+  FROM sent WHERE malformed OR invalid),
+decoded0 AS (
+  SELECT stream_seq, 'anomaly.detected' AS subject, source, metric_name, env, region, instance_id,
+         timestamp, value, baseline, mad, threshold, CAST(window_size AS INTEGER) AS window_size,
+         threshold_k, detector,
+         CASE WHEN v1 THEN '' ELSE event_id END AS event_id,
+         CASE WHEN v1 THEN '' ELSE event_type END AS event_type,
+         CASE WHEN v1 THEN '' ELSE producer END AS producer,
+         CASE WHEN v1 THEN '' ELSE occurred_at END AS occurred_at,
+         CASE WHEN v1 THEN '' ELSE produced_at END AS produced_at,
+         '' AS trace_id,
+         CAST(CASE WHEN v1 THEN 0 ELSE event_version END AS INTEGER) AS event_version
+  FROM sent WHERE NOT malformed AND NOT invalid),
+decoded AS (
+  SELECT *, CASE WHEN event_id = '' THEN subject || ':' || CAST(stream_seq AS VARCHAR)
+                 ELSE event_id END AS dedup_key
+  FROM decoded0),
+firsts AS (
+  SELECT * FROM decoded QUALIFY row_number() OVER (PARTITION BY dedup_key ORDER BY stream_seq) = 1),
+events_t AS (
+  SELECT stream_seq AS id, source, metric_name, env, region, instance_id, timestamp AS ts, value,
+         baseline, mad, threshold, window_size, threshold_k, detector, producer, trace_id, event_id,
+         event_type, event_version, occurred_at, produced_at, stream_seq
+  FROM firsts),
+state_t AS (
+  SELECT source, metric_name, env, region, ts AS last_ts, value AS last_value, baseline, mad,
+         threshold, window_size, threshold_k, detector, producer, trace_id, event_id, event_version,
+         occurred_at, produced_at, stream_seq AS last_seq
+  FROM events_t QUALIFY row_number() OVER (PARTITION BY {KEY_SQL} ORDER BY stream_seq DESC) = 1)"""
