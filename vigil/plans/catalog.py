@@ -457,3 +457,67 @@ def q_get_series_state(spark, sf):
 def q_get_series_state_missing(spark, sf):
     """Lookup of a series that has no state: zero rows."""
     return _series_select(get_series_state(_state(spark, sf), "svc-9|click|prod|us-east-1"))
+
+
+# --------------------------------------------------------------- streaming --
+from vigil.session import fresh_subdir  # noqa: E402
+from vigil.sources.tables import events_to_points, read_table  # noqa: E402
+from vigil.streaming.detector import stream_mad_detect  # noqa: E402
+from vigil.streaming.pipeline import anomaly_stream as read_anomaly_stream  # noqa: E402
+from vigil.streaming.pipeline import project_stream, stream_to_parquet  # noqa: E402
+
+
+def _event_stream(spark, sf):
+    schema = read_table(spark, sf, "events").schema
+    raw = (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
+           .option("maxFilesPerTrigger", 1).parquet(sf))
+    return events_to_points(raw)
+
+
+@register("stream_mad", S.mad_sql(S.EVENTS_POINTS, SERVICE) + "\n" + _STATS_SQL_SELECT)
+def q_stream_mad(spark, sf):
+    """Streaming detector (transformWithState, RocksDB state) over the events
+    file source run to completion; equals the batch ``mad_stats``."""
+    out = stream_to_parquet(stream_mad_detect(_event_stream(spark, sf), SERVICE), "stream-mad")
+    return _stats_select(out)
+
+
+@register("stream_mad_stale_reset", S.mad_sql(S.EVENTS_POINTS, SERVICE, STALE_GAP_TEST) +
+          "\nSELECT seq, reset, n, round(baseline, 6) AS baseline, is_anomaly FROM scored")
+def q_stream_mad_stale(spark, sf):
+    """Streaming detector with the 6 h idle reset; equals ``mad_stale_reset``."""
+    out = stream_to_parquet(stream_mad_detect(_event_stream(spark, sf), SERVICE,
+                                              stale_gap_seconds=STALE_GAP_TEST), "stream-mad-stale")
+    return out.select("seq", "reset", "n", r6("baseline"), "is_anomaly")
+
+
+def _stream_projection(spark, sf):
+    """Write the stand-in anomaly stream as four files in arrival order
+    (originals with even / odd sequence, redeliveries, late re-sends) and run
+    the foreachBatch projector over them, one file per micro-batch."""
+    stream = FX.anomaly_stream(spark, sf, SERVICE).unionByName(FX.late_resends(spark, sf, SERVICE))
+    src = fresh_subdir(spark, "anomaly-stream")
+    s = F.col("stream_seq")
+    parts = [(s < FX.REDELIVERY_OFFSET) & (s % 2 == 0), (s < FX.REDELIVERY_OFFSET) & (s % 2 == 1),
+             (s >= FX.REDELIVERY_OFFSET) & (s < 2 * FX.REDELIVERY_OFFSET), s >= 2 * FX.REDELIVERY_OFFSET]
+    for cond in parts:
+        stream.filter(cond).coalesce(1).write.mode("append").parquet(src)
+    envelopes = read_anomaly_stream(spark, src, options={"maxFilesPerTrigger": 1})
+    return project_stream(envelopes)
+
+
+@register("stream_project", S.decoded_sql(SERVICE, late=True) + f"\nSELECT {_LIST_SQL} FROM events_t")
+def q_stream_project(spark, sf):
+    """Streaming projector: envelopes -> idempotent per-batch append of
+    de-duplicated anomaly events (dedup across micro-batches via the stored
+    events)."""
+    proj = _stream_projection(spark, sf)
+    return _list_select(proj.events(spark))
+
+
+@register("stream_project_state", S.decoded_sql(SERVICE, late=True) + f"\nSELECT {_STATE_SQL} FROM state_t")
+def q_stream_project_state(spark, sf):
+    """Series state after the streaming projector (versioned per batch);
+    equals the batch ``series_state_late_arrival``."""
+    proj = _stream_projection(spark, sf)
+    return _state_select(proj.latest_state(spark))

@@ -33,7 +33,11 @@ def unix_seconds_col(ts_col: str) -> F.Column:
 def metric_points_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metric view M-1 over ``events``: 15 series (3 sources x 5 event types),
     one instance per user, ordered by (timestamp, event_id)."""
-    ev = read_table(spark, sf_dir, "events")
+    return events_to_points(read_table(spark, sf_dir, "events"))
+
+
+def events_to_points(ev: DataFrame) -> DataFrame:
+    """The M-1 column mapping; works on batch and streaming frames."""
     bucket = F.col("user_id") % 3
     return ev.select(
         F.concat(F.lit("svc-"), bucket.cast("string")).alias("source"),
