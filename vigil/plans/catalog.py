@@ -521,3 +521,51 @@ def q_stream_project_state(spark, sf):
     equals the batch ``series_state_late_arrival``."""
     proj = _stream_projection(spark, sf)
     return _state_select(proj.latest_state(spark))
+
+
+# ----------------------------------------------------------------- scoring --
+from vigil.operators import scoring as SC  # noqa: E402
+
+
+@register("reconstruction_mse", f"""WITH pts AS ({S.EVENTS_POINTS}),
+w AS (SELECT seq, list(value) OVER (PARTITION BY {S.KEY_SQL} ORDER BY timestamp, seq
+                                    ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS l FROM pts),
+f AS (SELECT seq, l[1] AS x1, l[2] AS x2, l[3] AS x3, l[4] AS x4 FROM w WHERE len(l) = 4),
+m AS (SELECT *, (0.0 + x1 + x2 + x3 + x4) / 4 AS mu FROM f),
+r AS (SELECT seq, mu, (0.0 + (mu - x1) * (mu - x1) + (mu - x2) * (mu - x2) + (mu - x3) * (mu - x3)
+                        + (mu - x4) * (mu - x4)) / 4 AS loss FROM m)
+SELECT seq, round(mu, 6) AS recon_mean, round(loss, 6) AS loss, loss > 0.05 AS is_degradation FROM r""")
+def q_reconstruction_mse(spark, sf):
+    """Mean squared reconstruction error of the last 4 values of each series
+    under a fixed linear map (every element reconstructed as the vector mean);
+    degradation when the loss exceeds 0.05."""
+    fr = SC.recent_values(metric_points_from_events(spark, sf), 4).filter(F.size("recent") == 4)
+    mean = SC.array_mean(F.col("recent"))
+    rec = fr.withColumn("_mu", mean).withColumn(
+        "loss", SC.reconstruction_mse(F.col("recent"), F.array_repeat(F.col("_mu"), 4)))
+    return rec.select("seq", F.round("_mu", 6).alias("recon_mean"), r6("loss"),
+                      (F.col("loss") > F.lit(SC.RECONSTRUCTION_THRESHOLD)).alias("is_degradation"))
+
+
+@register("isolation_forest_flags", None)
+def q_isolation_forest(spark, sf):
+    """Isolation forest (100 trees, 256-row subsamples) trained on the metric
+    values as a Spark job and scored by a vectorised UDF; every point with
+    its score and flag."""
+    pts = metric_points_from_events(spark, sf)
+    forest = SC.fit_isolation_forest(pts, ["value"], n_trees=100, psi=256, seed=7)
+    return SC.isolation_scores(pts, ["value"], forest).select("seq", "if_score", "if_anomaly")
+
+
+@register("pca_reconstruction_flags", None)
+def q_pca_reconstruction(spark, sf):
+    """Stand-in linear autoencoder: last 8 standardised values projected on
+    the top-2 principal components and back; loss and degradation flag."""
+    pts = metric_points_from_events(spark, sf)
+    return SC.reconstruction_flags(pts, d=8, k=2).select("seq", "custom_loss", "is_degradation")
+
+
+@register("dual_model_predictions", None)
+def q_dual_model(spark, sf):
+    """Prediction events where either model fires."""
+    return SC.dual_model_predictions(metric_points_from_events(spark, sf), seed=7)
