@@ -61,8 +61,12 @@ def plan_chunk_seconds(points: DataFrame, keys=SERIES_KEY,
     splitting is needed), else the width in seconds that puts about
     ``target_rows`` points of the densest series into one chunk. Runs one
     aggregation job (map-side partial aggregation, so a hot series is folded
-    before the shuffle) and brings back a single row.
+    before the shuffle) and brings back a single row. When the whole input
+    has at most ``target_rows`` rows (a metadata-only count on parquet), no
+    series can need splitting and the stats job is skipped.
     """
+    if points.count() <= target_rows:
+        return None
     per_series = points.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("c"),
         (F.max("timestamp") - F.min("timestamp") + 1).alias("span"))
