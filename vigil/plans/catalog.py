@@ -569,3 +569,103 @@ def q_pca_reconstruction(spark, sf):
 def q_dual_model(spark, sf):
     """Prediction events where either model fires."""
     return SC.dual_model_predictions(metric_points_from_events(spark, sf), seed=7)
+
+
+# -------------------------------------------------------------- extensions --
+from vigil.operators import extensions as X  # noqa: E402
+from vigil.operators.envelope import decode_envelope as _decode_env  # noqa: E402
+
+# Bound rules used by ext_bounds_check (config table; signup has no rule).
+_RULES = [("click", 0.0, 60.0), ("view", 0.0, 60.0), ("error", 0.0, 80.0), ("purchase", 0.0, 100.0)]
+_RULES_SQL = ", ".join(f"('{m}', {lo}, {hi})" for m, lo, hi in _RULES)
+
+
+@register("ext_bounds_check", f"""SELECT p.seq, 'value out of bounds' AS bounds_reason
+FROM ({S.EVENTS_POINTS}) p JOIN (VALUES {_RULES_SQL}) r(metric_name, lo, hi) USING (metric_name)
+WHERE p.value < r.lo OR p.value > r.hi""")
+def q_ext_bounds(spark, sf):
+    """D-1 (extension): per-metric value bounds from a rule table."""
+    rules = spark.createDataFrame(_RULES, "metric_name string, lo double, hi double")
+    out = X.bounds_check(metric_points_from_events(spark, sf), rules)
+    return out.filter(F.col("bounds_reason").isNotNull()).select("seq", "bounds_reason")
+
+
+@register("ext_dlq", f"""SELECT seq, 'malformed payload' AS reason, 'metrics' AS origin
+FROM ({S.EVENTS_POINTS}) WHERE NOT ({_DECODE_OK})
+UNION ALL
+SELECT * FROM ({S.decoded_sql(SERVICE)} SELECT stream_seq AS seq, reason, 'anomalies' AS origin FROM quarantined)""")
+def q_ext_dlq(spark, sf):
+    """D-2 (extension): one dead-letter table from the metric-decode and
+    envelope-decode quarantines (duplicates never appear here)."""
+    _, mq = decode_metric_json(FX.metric_payloads(spark, sf))
+    _, eq = _decode_env(FX.anomaly_stream(spark, sf, SERVICE))
+    dlq = X.dead_letters(mq.withColumn("origin", F.lit("metrics")),
+                         eq.withColumnRenamed("stream_seq", "seq").withColumn("origin", F.lit("anomalies")),
+                         keep=("origin",))
+    return dlq.select("seq", "reason", "origin")
+
+
+@register("ext_oversize", """SELECT doc_id, CAST(strlen(text) AS INTEGER) AS payload_bytes,
+  strlen(text) > 1048576 AS oversize FROM documents""")
+def q_ext_oversize(spark, sf):
+    """D-3 (extension): payload size guard over whole document texts."""
+    docs = read_table(spark, sf, "documents").select("doc_id", "text")
+    ok, dlq = X.oversize_guard(docs, "text")
+    return (ok.select("doc_id", F.octet_length("text").alias("payload_bytes"), F.lit(False).alias("oversize"))
+            .unionByName(dlq.select("doc_id", "payload_bytes", F.lit(True).alias("oversize"))))
+
+
+@register("ext_red_rollup", f"""SELECT source, (timestamp // 3600) * 3600 AS bucket, COUNT(*) AS messages,
+  CAST(SUM(CASE WHEN metric_name = 'error' THEN 1 ELSE 0 END) AS BIGINT) AS errors,
+  round(SUM(value), 6) AS value_sum, round(MIN(value), 6) AS value_min, round(MAX(value), 6) AS value_max
+FROM ({S.EVENTS_POINTS}) GROUP BY 1, 2""")
+def q_ext_red(spark, sf):
+    """D-7 (extension): hourly rate / errors / value roll-up per source."""
+    r = X.red_rollup(metric_points_from_events(spark, sf), 3600)
+    return r.select("source", "bucket", "messages", "errors", r6("value_sum"), r6("value_min"),
+                    r6("value_max"))
+
+
+@register("ext_slo", f"""SELECT source, (timestamp // 86400) * 86400 AS bucket,
+  AVG(CASE WHEN value <= 95 THEN 1.0 ELSE 0.0 END) >= 0.99 AS p99_ok,
+  round(SUM(CASE WHEN metric_name = 'error' THEN 1 ELSE 0 END) / COUNT(*), 6) AS error_rate,
+  SUM(CASE WHEN metric_name = 'error' THEN 1 ELSE 0 END) / COUNT(*) < 0.001 AS error_rate_ok
+FROM ({S.EVENTS_POINTS}) GROUP BY 1, 2""")
+def q_ext_slo(spark, sf):
+    """D-8 (extension): daily SLO per source: p99 of value <= 95 and error
+    rate < 0.1 %."""
+    r = X.slo_report(metric_points_from_events(spark, sf), 86400, 95.0)
+    return r.select("source", "bucket", "p99_ok", r6("error_rate"), "error_rate_ok")
+
+
+@register("ext_alert_hold", f"""WITH r AS (
+  SELECT source, timestamp // 3600 AS b,
+         SUM(CASE WHEN metric_name = 'error' THEN 1 ELSE 0 END) / COUNT(*) AS err
+  FROM ({S.EVENTS_POINTS}) GROUP BY 1, 2),
+h AS (SELECT *, b - row_number() OVER (PARTITION BY source ORDER BY b) AS grp FROM r WHERE err > 0.3),
+runs AS (SELECT source, grp, MIN(b) AS b0, MAX(b) AS b1, COUNT(*) AS buckets FROM h GROUP BY 1, 2)
+SELECT source, b0 * 3600 AS start_ts, b1 * 3600 AS end_ts, buckets FROM runs WHERE buckets >= 2""")
+def q_ext_alert_hold(spark, sf):
+    """D-9 (extension): alert when a source's hourly error share stays above
+    30 % for at least 2 consecutive hours."""
+    return X.alerts_with_hold(metric_points_from_events(spark, sf), 3600, 0.3, 2)
+
+
+@register("ext_cardinality", f"""SELECT label, d > 100 AS violation FROM (
+  SELECT 'source' AS label, COUNT(DISTINCT source) AS d FROM ({S.EVENTS_POINTS})
+  UNION ALL SELECT 'metric_name', COUNT(DISTINCT metric_name) FROM ({S.EVENTS_POINTS})
+  UNION ALL SELECT 'env', COUNT(DISTINCT env) FROM ({S.EVENTS_POINTS})
+  UNION ALL SELECT 'region', COUNT(DISTINCT region) FROM ({S.EVENTS_POINTS})
+  UNION ALL SELECT 'instance_id', COUNT(DISTINCT instance_id) FROM ({S.EVENTS_POINTS}))""")
+def q_ext_cardinality(spark, sf):
+    """D-10 (extension): label-cardinality audit (> 100 distinct values is a
+    violation), HyperLogLog++ in one pass."""
+    cols = ["source", "metric_name", "env", "region", "instance_id"]
+    return X.cardinality_audit(metric_points_from_events(spark, sf), cols).select("label", "violation")
+
+
+@register("ext_list_predictions", None)
+def q_ext_list_predictions(spark, sf):
+    """D-14 (extension): newest-first page of prediction events."""
+    preds = SC.dual_model_predictions(metric_points_from_events(spark, sf), seed=7)
+    return X.list_predictions(preds).select("seq", "timestamp", "source", "metric_name", "results")
