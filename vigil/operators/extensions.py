@@ -156,3 +156,36 @@ def list_predictions(predictions: DataFrame, limit: int | None = None, offset: i
 
 def series_key_cols() -> list[str]:
     return list(SERIES_KEY)
+
+
+def trend_ttf(points: DataFrame, window: int, limit: float, chunk_seconds="auto") -> DataFrame:
+    """D-13: least-squares slope of value over time across the last
+    ``window`` points of the series (times centred on the current point for
+    numerical stability) and time-to-failure = (limit - value) / slope when
+    the trend rises toward a limit not yet reached. Adds ``slope`` (value
+    units per second; NULL with fewer than 2 points or a flat time axis) and
+    ``ttf_seconds``. Uses the detector's skew-safe framing."""
+    from vigil.config import MadConfig
+    from vigil.operators.mad import _normalize_keys, _window_frames, plan_chunk_seconds
+    keys = list(SERIES_KEY)
+    pts = _normalize_keys(points, keys)
+    if chunk_seconds == "auto":
+        chunk_seconds = plan_chunk_seconds(pts, keys)
+    cfg = MadConfig(window_size=window, warmup=1).normalized()
+    fr = _window_frames(pts, cfg, keys, True, chunk_seconds)
+
+    def fold(arr):
+        return F.aggregate(arr, F.lit(0.0), lambda a, b: a + b)
+
+    t = F.transform("_frame", lambda e: (e["ts"] - F.col("timestamp")).cast("double"))
+    v = F.transform("_frame", lambda e: e["v"])
+    n = F.size("_frame").cast("double")
+    st, sv = fold(t), fold(v)
+    stv = fold(F.zip_with(t, v, lambda a, b: a * b))
+    stt = fold(F.transform(t, lambda a: a * a))
+    den = n * stt - st * st
+    slope = F.when((n >= 2) & (den != 0), (n * stv - st * sv) / den)
+    out = fr.withColumn("slope", slope).drop("_frame")
+    ttf = F.when((F.col("slope") > 0) & (F.col("value") < F.lit(limit)),
+                 (F.lit(limit) - F.col("value")) / F.col("slope"))
+    return out.withColumn("ttf_seconds", ttf)

@@ -270,9 +270,10 @@ def q_anomaly_events(spark, sf):
 
 
 def _decoded(spark, sf, late=False):
-    stream = FX.anomaly_stream(spark, sf, SERVICE)
+    ev = FX.stored_anomaly_events(spark, sf, SERVICE)
+    stream = FX.anomaly_stream(spark, sf, SERVICE, ev)
     if late:
-        stream = stream.unionByName(FX.late_resends(spark, sf, SERVICE))
+        stream = stream.unionByName(FX.late_resends(spark, sf, SERVICE, ev))
     return decode_envelope(stream)
 
 
@@ -495,7 +496,8 @@ def _stream_projection(spark, sf):
     """Write the stand-in anomaly stream as four files in arrival order
     (originals with even / odd sequence, redeliveries, late re-sends) and run
     the foreachBatch projector over them, one file per micro-batch."""
-    stream = FX.anomaly_stream(spark, sf, SERVICE).unionByName(FX.late_resends(spark, sf, SERVICE))
+    ev = FX.stored_anomaly_events(spark, sf, SERVICE)
+    stream = FX.anomaly_stream(spark, sf, SERVICE, ev).unionByName(FX.late_resends(spark, sf, SERVICE, ev))
     src = fresh_subdir(spark, "anomaly-stream")
     s = F.col("stream_seq")
     parts = [(s < FX.REDELIVERY_OFFSET) & (s % 2 == 0), (s < FX.REDELIVERY_OFFSET) & (s % 2 == 1),
@@ -605,6 +607,26 @@ def q_ext_dlq(spark, sf):
     return dlq.select("seq", "reason", "origin")
 
 
+_NOW_TS = 1706659200  # 2024-01-31T00:00:00Z, "now" for the purge
+
+
+@register("ext_dlq_oldest", f"""SELECT seq, timestamp AS received_ts, 'malformed payload' AS reason
+FROM ({S.EVENTS_POINTS}) WHERE NOT ({_DECODE_OK}) ORDER BY timestamp, seq LIMIT 50""")
+def q_ext_dlq_oldest(spark, sf):
+    """D-4 (extension): the 50 oldest dead letters of the metric stream."""
+    _, mq = decode_metric_json(FX.metric_payloads(spark, sf))
+    return X.dlq_oldest(mq, "received_ts").select("seq", "received_ts", "reason")
+
+
+@register("ext_dlq_purge", f"""SELECT seq, timestamp AS received_ts FROM ({S.EVENTS_POINTS})
+WHERE NOT ({_DECODE_OK}) AND timestamp >= {_NOW_TS} - 7 * 86400""")
+def q_ext_dlq_purge(spark, sf):
+    """D-4 (extension): dead letters kept after purging those older than 7
+    days (as of 2024-01-31)."""
+    _, mq = decode_metric_json(FX.metric_payloads(spark, sf))
+    return X.dlq_purge(mq, "received_ts", _NOW_TS).select("seq", "received_ts")
+
+
 @register("ext_oversize", """SELECT doc_id, CAST(strlen(text) AS INTEGER) AS payload_bytes,
   strlen(text) > 1048576 AS oversize FROM documents""")
 def q_ext_oversize(spark, sf):
@@ -669,3 +691,28 @@ def q_ext_list_predictions(spark, sf):
     """D-14 (extension): newest-first page of prediction events."""
     preds = SC.dual_model_predictions(metric_points_from_events(spark, sf), seed=7)
     return X.list_predictions(preds).select("seq", "timestamp", "source", "metric_name", "results")
+
+
+@register("ext_ttf", f"""WITH pts AS ({S.EVENTS_POINTS}),
+w AS (SELECT seq, timestamp, value,
+        list(struct_pack(ts := timestamp, v := value)) OVER (PARTITION BY {S.KEY_SQL}
+             ORDER BY timestamp, seq ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS l FROM pts),
+a AS (SELECT seq, value, CAST(len(l) AS DOUBLE) AS n,
+        list_transform(l, lambda e: CAST(e.ts - timestamp AS DOUBLE)) AS t,
+        list_transform(l, lambda e: e.v) AS vv FROM w),
+b AS (SELECT seq, value, n,
+        list_reduce(list_prepend(0.0, t), lambda x, y: x + y) AS st,
+        list_reduce(list_prepend(0.0, vv), lambda x, y: x + y) AS sv,
+        list_reduce(list_prepend(0.0, list_transform(list_zip(t, vv), lambda p: p[1] * p[2])), lambda x, y: x + y) AS stv,
+        list_reduce(list_prepend(0.0, list_transform(t, lambda x: x * x)), lambda x, y: x + y) AS stt FROM a),
+c AS (SELECT seq, value, CASE WHEN n >= 2 AND n * stt - st * st <> 0
+        THEN (n * stv - st * sv) / (n * stt - st * st) END AS slope FROM b)
+SELECT seq, round(slope * 1e6, 4) AS slope_per_1e6s,
+       round(CASE WHEN slope > 0 AND value < 100.0 THEN (100.0 - value) / slope END, 1) AS ttf_seconds
+FROM c""")
+def q_ext_ttf(spark, sf):
+    """D-13 (extension): 10-point trend slope and time-to-failure toward a
+    limit of 100 (value units)."""
+    out = X.trend_ttf(metric_points_from_events(spark, sf), 10, 100.0)
+    return out.select("seq", F.round(F.col("slope") * F.lit(1e6), 4).alias("slope_per_1e6s"),
+                      F.round("ttf_seconds", 1).alias("ttf_seconds"))

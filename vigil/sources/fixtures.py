@@ -27,6 +27,7 @@ from vigil.config import EVENT_TYPE, MadConfig
 from vigil.operators.envelope import encode_envelope, encode_flat_envelope, stamp_anomaly_events
 from vigil.operators.ingest import encode_metric_json
 from vigil.operators.mad import detect_anomalies
+from vigil.session import fresh_subdir
 from vigil.sources.tables import metric_points_from_events
 
 FIXED_CLOCK = "2024-02-01T00:00:00Z"
@@ -46,7 +47,8 @@ def metric_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def metric_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(seq, payload) as the metric stream carries it."""
+    """(seq, received_ts, payload) as the metric stream carries it; the
+    broker's receive time is the point's timestamp."""
     p = metric_points_from_events(spark, sf_dir)
     s = F.col("seq")
     good = encode_metric_json(p)
@@ -54,7 +56,7 @@ def metric_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     partial = F.to_json(F.struct("source", "metric_name"))
     payload = (F.when(s % 97 == 0, F.lit("{bad")).when(s % 89 == 0, str_value)
                .when(s % 83 == 0, partial).otherwise(good))
-    return p.select("seq", payload.alias("payload"))
+    return p.select("seq", F.col("timestamp").alias("received_ts"), payload.alias("payload"))
 
 
 def anomaly_events_stamped(spark: SparkSession, sf_dir: str, cfg: MadConfig) -> DataFrame:
@@ -62,9 +64,24 @@ def anomaly_events_stamped(spark: SparkSession, sf_dir: str, cfg: MadConfig) ->
     return stamp_anomaly_events(anomalies, cfg.threshold_k, clock=FIXED_CLOCK)
 
 
-def anomaly_stream(spark: SparkSession, sf_dir: str, cfg: MadConfig) -> DataFrame:
+def store(df: DataFrame, name: str) -> DataFrame:
+    """Write a frame as a parquet table below the checkpoint dir and read it
+    back (what a broker or table would hold); cuts the lineage so branches
+    that read it do not recompute it."""
+    path = fresh_subdir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def stored_anomaly_events(spark: SparkSession, sf_dir: str, cfg: MadConfig) -> DataFrame:
+    """The stamped anomaly events, detected once and stored."""
+    return store(anomaly_events_stamped(spark, sf_dir, cfg), "anomaly-events")
+
+
+def anomaly_stream(spark: SparkSession, sf_dir: str, cfg: MadConfig,
+                   events: DataFrame | None = None) -> DataFrame:
     """(subject, stream_seq, payload) rows of the anomaly stream."""
-    ev = anomaly_events_stamped(spark, sf_dir, cfg)
+    ev = events if events is not None else stored_anomaly_events(spark, sf_dir, cfg)
     s = F.col("seq")
     ev = ev.withColumn("source", F.when(s % 89 == 0, F.lit("")).otherwise(F.col("source")))
     payload = (F.when(s % 97 == 0, F.lit("{bad"))
@@ -76,11 +93,13 @@ def anomaly_stream(spark: SparkSession, sf_dir: str, cfg: MadConfig) -> DataFram
     return first.unionByName(again)
 
 
-def late_resends(spark: SparkSession, sf_dir: str, cfg: MadConfig) -> DataFrame:
+def late_resends(spark: SparkSession, sf_dir: str, cfg: MadConfig,
+                 events: DataFrame | None = None) -> DataFrame:
     """Re-sends of anomalies with seq % 7 = 0 as new events (new event_id)
     arriving after everything else (stream_seq = seq + 2 * 10^9): their
     timestamps are older than later anomalies of the same series."""
-    ev = anomaly_events_stamped(spark, sf_dir, cfg).filter(F.col("seq") % 7 == 0)
+    ev = events if events is not None else stored_anomaly_events(spark, sf_dir, cfg)
+    ev = ev.filter(F.col("seq") % 7 == 0)
     s = F.col("seq")
     ev = (ev.withColumn("source", F.when(s % 89 == 0, F.lit("")).otherwise(F.col("source")))
           .withColumn("event_id", F.sha2(F.concat(F.col("event_id"), F.lit(":late")), 256)))

@@ -8,8 +8,9 @@ Sources
   * ``anomaly_stream``: anomaly envelopes (subject, stream_seq, payload).
 
 Sinks
-  * ``write_metric_stream`` / ``write_anomaly_stream``: the JSON payload as
-    ``value`` text, to files or Kafka.
+  * ``write_metric_stream`` / ``write_anomaly_stream`` /
+    ``write_prediction_stream``: the JSON payload as ``value`` text, to files
+    or Kafka.
 
 Projector
   ``Projector`` is a ``foreachBatch`` function that turns each micro-batch of
@@ -84,6 +85,15 @@ def write_anomaly_stream(events: DataFrame, target: str, checkpoint: str, *, fmt
     return _sink(events, encode_envelope(events), target, checkpoint, fmt, options)
 
 
+def write_prediction_stream(predictions: DataFrame, target: str, checkpoint: str, *,
+                            fmt: str = "text", options: dict | None = None):
+    """DataStreamWriter publishing prediction events as JSON: metric_name,
+    source (the producer label), results {if_anomaly, custom_loss,
+    is_degradation}, timestamp (call ``.start()``)."""
+    value = F.to_json(F.struct("metric_name", F.col("producer").alias("source"), "results", "timestamp"))
+    return _sink(predictions, value, target, checkpoint, fmt, options)
+
+
 class Projector:
     """``foreachBatch`` handler: envelopes -> anomaly_events + series_state."""
 
