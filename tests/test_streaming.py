@@ -60,3 +60,29 @@ def test_sinks_publish_decodable_json(spark):
     first = json.loads(spark.read.text(f"{out}/preds").first().value)
     assert set(first) == {"metric_name", "source", "results", "timestamp"}
     assert first["results"]["custom_loss"] == 0.1
+
+
+def test_vectorized_state_equals_row_form():
+    import numpy as np
+    from vigil.streaming.detector import window_stats, window_stats_batch
+    rng = np.random.default_rng(0)
+    cfg = MadConfig.service_defaults().with_(window_size=12, warmup=4)
+    ts = np.cumsum(rng.choice([1, 5, 60, 5000], size=300))
+    vals = rng.normal(100, 5, size=300)
+    vals[rng.random(300) < 0.05] = 400.0
+    # row-by-row reference
+    exp, win, last = [], [], None
+    for t, v in zip(ts, vals):
+        reset = last is not None and t - last > 3000
+        if reset:
+            win = []
+        win = (win + [float(v)])[-12:]
+        exp.append((*window_stats(win, float(v), cfg), bool(reset)))
+        last = t
+    # vectorised, fed in uneven micro-batches
+    got, hist, last = [], np.zeros(0), None
+    for a, b in ((0, 7), (7, 8), (8, 150), (150, 300)):
+        r = window_stats_batch(hist, np.zeros(0), vals[a:b], ts[a:b], cfg, 3000, last)
+        got += list(zip(*[c.tolist() for c in r[:7]]))
+        hist, last = r[7], r[8]
+    assert [tuple(g) for g in got] == exp

@@ -18,6 +18,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
+
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -112,13 +114,112 @@ class MadStateProcessor(StatefulProcessor):
 
 def stream_mad_detect(points: DataFrame, cfg: MadConfig | None = None, *,
                       stale_gap_seconds: int | None = None,
-                      state_ttl_ms: int | None = None) -> DataFrame:
+                      state_ttl_ms: int | None = None, vectorized: bool = True) -> DataFrame:
     """Streaming twin of ``mad_detect``: every point with its statistics
     (plus ``reset``). ``points`` is a streaming (or batch) frame of metric
-    points with ``seq``."""
+    points with ``seq``. ``vectorized`` uses the numpy form over Arrow
+    batches (``transformWithStateInPandas``); otherwise the row form."""
     cfg = (cfg or MadConfig.library_defaults()).normalized()
     cols = points.columns
     out = T.StructType([points.schema[c] for c in cols] + STATS_SCHEMA)
+    time_mode = "ProcessingTime" if state_ttl_ms else "None"
+    grouped = points.groupBy(*SERIES_KEY)
+    if vectorized:
+        proc = MadStateProcessorPandas(cfg, cols, stale_gap_seconds, state_ttl_ms)
+        return grouped.transformWithStateInPandas(proc, out, "Append", time_mode)
     proc = MadStateProcessor(cfg, cols, stale_gap_seconds, state_ttl_ms)
-    return (points.groupBy(*SERIES_KEY)
-            .transformWithState(proc, out, "Append", "ProcessingTime" if state_ttl_ms else "None"))
+    return grouped.transformWithState(proc, out, "Append", time_mode)
+
+
+# ------------------------------------------------- vectorised (pandas) form --
+def _sorted_median(s: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Row-wise median of ascending rows whose first n[i] entries are valid."""
+    rows = np.arange(len(n))
+    lo = s[rows, (n - 1) // 2]
+    hi = s[rows, n // 2]
+    return np.where(n % 2 == 1, lo, (lo + hi) / 2)
+
+
+def window_stats_batch(history: np.ndarray, hist_ts: np.ndarray, values: np.ndarray,
+                       ts: np.ndarray, cfg: MadConfig, gap: int | None, last_ts):
+    """Statistics for ``values`` (in order) continuing a window whose previous
+    contents are ``history``. Returns (n, base, mad, lower, upper, hit, reset,
+    new_history, new_last_ts). Vectorised over rows with a padded W-column
+    matrix; idle gaps cut the window exactly like the row-by-row form."""
+    w = cfg.window_size
+    allv = np.concatenate([history, values])
+    h, m = len(history), len(values)
+    # segment start (index into allv) for each new row
+    prev_ts = np.concatenate([[last_ts if last_ts is not None else ts[0]], ts[:-1]]).astype(np.int64)
+    reset = np.zeros(m, dtype=bool)
+    if gap is not None and m:
+        reset = (ts - prev_ts) > gap
+        if last_ts is None:
+            reset[0] = False
+    idx = h + np.arange(m)
+    seg_start = np.where(reset, idx, 0)
+    seg_start = np.maximum.accumulate(seg_start) if m else seg_start
+    start = np.maximum(seg_start, idx - w + 1)
+    n = (idx - start + 1).astype(np.int64)
+    cols = np.arange(w)
+    pos = start[:, None] + cols[None, :]
+    valid = cols[None, :] < n[:, None]
+    mat = np.where(valid, allv[np.minimum(pos, len(allv) - 1)], np.inf)
+    s = np.sort(mat, axis=1)
+    base = _sorted_median(s, n)
+    dev = np.where(valid, np.abs(mat - base[:, None]), np.inf)
+    mad = _sorted_median(np.sort(dev, axis=1), n)
+    mad = np.where(mad < cfg.min_mad, cfg.min_mad, mad)
+    delta = cfg.threshold_k * (MAD_CONSISTENCY * mad)
+    upper, lower = base + delta, base - delta
+    mode = cfg.effective_mode
+    if mode == MODE_DOWN:
+        hit = values < lower
+    elif mode == MODE_BOTH:
+        hit = (values > upper) | (values < lower)
+    else:
+        hit = values > upper
+    if cfg.min_delta > 0:
+        hit = hit & ~(np.abs(values - base) < cfg.min_delta)
+    warm = n < cfg.warmup
+    zero = np.zeros(m)
+    out = (n.astype(np.int32), np.where(warm, zero, base), np.where(warm, zero, mad),
+           np.where(warm, zero, lower), np.where(warm, zero, upper), ~warm & hit, reset)
+    keep_from = max(int(start[-1]) if m else 0, len(allv) - w)
+    new_hist = allv[keep_from:] if m else history
+    new_last = int(ts[-1]) if m else last_ts
+    return (*out, new_hist, new_last)
+
+
+class MadStateProcessorPandas(StatefulProcessor):
+    """The same detector over pandas batches (numpy-vectorised per key)."""
+
+    def __init__(self, cfg: MadConfig, columns: list[str], stale_gap_seconds: int | None = None,
+                 state_ttl_ms: int | None = None):
+        self.cfg = cfg.normalized()
+        self.columns = columns
+        self.gap = stale_gap_seconds
+        self.ttl = state_ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.window = handle.getValueState("window", _STATE_SCHEMA, self.ttl)
+
+    def handleInputRows(self, key, rows, timerValues):
+        import pandas as pd
+        pdf = pd.concat(list(rows), ignore_index=True).sort_values(["timestamp", "seq"], kind="stable")
+        if self.window.exists():
+            vals, last_ts = self.window.get()
+            history = np.asarray(list(vals), dtype=float)
+        else:
+            history, last_ts = np.zeros(0), None
+        values = pdf["value"].to_numpy(dtype=float)
+        ts = pdf["timestamp"].to_numpy(dtype=np.int64)
+        res = window_stats_batch(history, np.zeros(0), values, ts, self.cfg, self.gap, last_ts)
+        out = pdf[self.columns].reset_index(drop=True)
+        for name, col in zip(_STATS_NAMES, res[:7]):
+            out[name] = col
+        self.window.update((res[7].tolist(), res[8]))
+        yield out
+
+    def close(self) -> None:
+        pass
