@@ -155,3 +155,15 @@ def test_unchunked_plan_has_one_exchange(spark):
     plan = mad_detect(pts, MadConfig(), chunk_seconds=None)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
     assert F is not None
+
+
+def test_chunked_plan_shuffles_points_once(spark):
+    pts = points_df(spark, _rand_rows())
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = mad_detect(pts, MadConfig(window_size=20), chunk_seconds=3600)._jdf.queryExecution() \
+            .executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    # the halo-candidate branch reuses the main branch's shuffle of the points
+    assert "ReusedExchange [source" in plan

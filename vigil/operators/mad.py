@@ -101,7 +101,10 @@ def _window_frames(points: DataFrame, cfg: MadConfig, keys, stale: bool,
         ws = Window.partitionBy(*keys).orderBy(*order)
         return points.withColumn("_frame", F.collect_list(elem).over(ws.rowsBetween(-(w - 1), 0)))
 
-    pts = points.withColumn("_chunk", F.floor(F.col("timestamp") / F.lit(int(chunk_seconds))))
+    # non-nullable, so joins on it infer no extra filter that would make the
+    # candidate branch's exchange differ from the main one
+    pts = points.withColumn("_chunk", F.coalesce(
+        F.floor(F.col("timestamp") / F.lit(int(chunk_seconds))), F.lit(0).cast("long")))
     pkey = [*keys, "_chunk"]
     ws = Window.partitionBy(*pkey).orderBy(*order)
     local = (pts
@@ -123,17 +126,22 @@ def _window_frames(points: DataFrame, cfg: MadConfig, keys, stale: bool,
     # Halo candidates: the last W-1 rows of each chunk, with their position p
     # in the series. A candidate feeds a later chunk t when p lies within the
     # W-1 positions before t's first row; at most W-1 later chunks qualify.
+    # The candidates carry a struct of *all* input columns into the halo's
+    # collect_list (where column pruning cannot reach). That keeps this
+    # branch's exchange identical to the main branch's, so Spark reuses the
+    # one shuffle of the points (ReusedExchange) instead of shuffling twice.
+    payload = F.struct(*[F.col(c) for c in points.columns]).alias("_all")
     cand = (local.filter(F.col("_rn") > F.col("_cn") - (w - 1))
-            .select(*pkey, "_rn", elem.alias("_e"))
+            .select(*pkey, "_rn", elem.alias("_e"), payload)
             .join(chunks, pkey)
-            .select(*keys, (F.col("_cum_prev") + F.col("_rn")).alias("_p"), "_e",
+            .select(*keys, (F.col("_cum_prev") + F.col("_rn")).alias("_p"), "_e", "_all",
                     F.explode(F.sequence(F.col("_ord") + 1, F.col("_ord") + (w - 1))).alias("_t")))
     targets = chunks.select(*keys, F.col("_ord").alias("_t"), F.col("_chunk").alias("_tchunk"),
                             F.col("_cum_prev").alias("_tcum"))
     halo = (cand.join(targets, [*keys, "_t"])
             .filter(F.col("_p") > F.col("_tcum") - (w - 1))
             .groupBy(*keys, F.col("_tchunk").alias("_chunk"))
-            .agg(F.sort_array(F.collect_list(F.struct("_p", "_e"))).alias("_halo")))
+            .agg(F.sort_array(F.collect_list(F.struct("_p", "_e", "_all"))).alias("_halo")))
 
     joined = local.join(halo, pkey, "left")
     frame = F.when(F.col("_halo").isNull() | (F.col("_rn") >= w), F.col("_own")).otherwise(
