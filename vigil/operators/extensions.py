@@ -189,3 +189,63 @@ def trend_ttf(points: DataFrame, window: int, limit: float, chunk_seconds="auto"
     ttf = F.when((F.col("slope") > 0) & (F.col("value") < F.lit(limit)),
                  (F.lit(limit) - F.col("value")) / F.col("slope"))
     return out.withColumn("ttf_seconds", ttf)
+
+
+# --- fixed values (daily sequence format) ----------------------------------
+DAILY_SEQ_MIN, DAILY_SEQ_SPAN = 1000, 10000   # start drawn from 1000..10999
+# ---------------------------------------------------------------------------
+
+
+def daily_sequence(df: DataFrame, tenant: str, *, chunk_seconds: int = 3600) -> DataFrame:
+    """D-6: number each tenant's messages per UTC day in (timestamp, seq)
+    order as ``YYYYMMDD:N``; N restarts every day at a per-(tenant, day)
+    start in [1000, 10999] (derived from SHA-256 of ``tenant|YYYYMMDD``, so
+    it is stable across reruns).
+
+    Skew: the rank inside a day is a prefix sum over sub-day chunks, so no
+    task has to hold a whole tenant-day. The row number runs per
+    (tenant, day, chunk), and the offset of each chunk comes from a small
+    count table (partial aggregation, then a window over at most
+    86400 / chunk_seconds rows per tenant-day)."""
+    day = F.date_format(F.timestamp_seconds(F.col("timestamp")), "yyyyMMdd")
+    day_start = F.floor(F.col("timestamp") / F.lit(86400)) * F.lit(86400)
+    chunk = F.coalesce(F.floor((F.col("timestamp") - day_start) / F.lit(chunk_seconds)),
+                       F.lit(0).cast("long"))
+    base = (df.withColumn("_day", F.coalesce(day, F.lit("")))
+            .withColumn("_dchunk", chunk))
+    key = [tenant, "_day", "_dchunk"]
+    w = Window.partitionBy(*key).orderBy("timestamp", "seq")
+    ranked = base.withColumn("_lrn", F.row_number().over(w))
+    wc = Window.partitionBy(tenant, "_day").orderBy("_dchunk")
+    counts = (base.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
+              .withColumn("_before", F.coalesce(
+                  F.sum("_n").over(wc.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+              .drop("_n"))
+    start = F.lit(DAILY_SEQ_MIN) + F.pmod(
+        F.conv(F.substring(F.sha2(F.concat_ws("|", F.col(tenant), F.col("_day")), 256), 1, 8), 16, 10)
+        .cast("long"), F.lit(DAILY_SEQ_SPAN))
+    out = ranked.join(counts, key).withColumn(
+        "daily_id", F.concat(F.col("_day"), F.lit(":"),
+                             (start + F.col("_before") + F.col("_lrn") - 1).cast("string")))
+    return out.drop("_day", "_dchunk", "_lrn", "_before")
+
+
+def trace_lookup(events: DataFrame, trace_id: str) -> DataFrame:
+    """D-11: events of one trace (equality filter, pushed to the scan)."""
+    return events.filter(F.col("trace_id") == F.lit(trace_id))
+
+
+def recent_errors(points: DataFrame, tenant: str, now_ts: int, window_s: int = 3600,
+                  error_metric: str = "error", tenant_col: str = "source") -> DataFrame:
+    """D-11: a tenant's error records in the last ``window_s`` seconds before
+    ``now_ts`` (inclusive range, pushed-down filters)."""
+    return points.filter((F.col(tenant_col) == F.lit(tenant))
+                         & (F.col("metric_name") == F.lit(error_metric))
+                         & F.col("timestamp").between(now_ts - window_s, now_ts))
+
+
+def outbox_batch(outbox: DataFrame, after_id: int, batch: int = 100) -> DataFrame:
+    """D-12: the next relay batch: unpublished rows (id above the published
+    cursor) in id order, at most ``batch`` (a top-k, no full sort). Publishing
+    is idempotent when the sink is keyed by ``id``."""
+    return outbox.filter(F.col("id") > F.lit(after_id)).orderBy("id").limit(batch)

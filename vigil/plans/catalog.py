@@ -716,3 +716,34 @@ def q_ext_ttf(spark, sf):
     out = X.trend_ttf(metric_points_from_events(spark, sf), 10, 100.0)
     return out.select("seq", F.round(F.col("slope") * F.lit(1e6), 4).alias("slope_per_1e6s"),
                       F.round("ttf_seconds", 1).alias("ttf_seconds"))
+
+
+@register("ext_daily_sequence", f"""WITH d AS (
+  SELECT seq, source, timestamp, strftime(make_timestamp(timestamp * 1000000), '%Y%m%d') AS day
+  FROM ({S.EVENTS_POINTS}))
+SELECT seq, day || ':' || CAST(1000 + (('0x' || substr(sha256(source || '|' || day), 1, 8))::BIGINT % 10000)
+        + row_number() OVER (PARTITION BY source, day ORDER BY timestamp, seq) - 1 AS VARCHAR) AS daily_id
+FROM d""")
+def q_ext_daily_sequence(spark, sf):
+    """D-6 (extension): per-source daily message ids ``YYYYMMDD:N``."""
+    return X.daily_sequence(metric_points_from_events(spark, sf), "source").select("seq", "daily_id")
+
+
+_ERR_NOW = 1705320000  # 2024-01-15T12:00:00Z
+
+
+@register("ext_recent_errors", f"""SELECT seq, timestamp, instance_id FROM ({S.EVENTS_POINTS})
+WHERE source = 'svc-1' AND metric_name = 'error' AND timestamp BETWEEN {_ERR_NOW - 6 * 3600} AND {_ERR_NOW}""")
+def q_ext_recent_errors(spark, sf):
+    """D-11 (extension): one source's error records in the 6 hours before
+    2024-01-15 12:00 UTC."""
+    return X.recent_errors(metric_points_from_events(spark, sf), "svc-1", _ERR_NOW, 6 * 3600) \
+        .select("seq", "timestamp", "instance_id")
+
+
+@register("ext_outbox_relay", S.decoded_sql(SERVICE) +
+          f"\nSELECT {_LIST_SQL} FROM events_t WHERE id > 5000 ORDER BY id LIMIT 100")
+def q_ext_outbox_relay(spark, sf):
+    """D-12 (extension): next relay batch of stored anomaly events after the
+    published cursor id 5000, in id order."""
+    return _list_select(X.outbox_batch(_events(spark, sf), 5000, 100))
