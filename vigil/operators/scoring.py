@@ -232,3 +232,25 @@ def dual_model_predictions(points: DataFrame, *, n_trees: int = 100, psi: int =
     return (scored.filter(F.col("if_anomaly") | F.col("is_degradation"))
             .select(*SERIES_KEY, "instance_id", "timestamp", "seq", F.lit(producer).alias("producer"),
                     F.struct("if_anomaly", "custom_loss", "is_degradation").alias("results")))
+
+
+def scalar_reconstruction_flags(points: DataFrame, mean: float, std: float,
+                                threshold: float = RECONSTRUCTION_THRESHOLD) -> DataFrame:
+    """The d = 1 case of the linear-autoencoder stand-in, for stateless
+    per-point scoring (as the reference's service scores one scalar per
+    call): the standardised value is reconstructed as the mean (0), so the
+    loss is its square. Adds ``custom_loss`` and ``is_degradation``."""
+    z = (F.col("value") - F.lit(mean)) / F.lit(std or 1.0)
+    return (points.withColumn("custom_loss", z * z)
+            .withColumn("is_degradation", F.col("custom_loss") > F.lit(threshold)))
+
+
+def score_stream(points: DataFrame, forest: pd.DataFrame, mean: float, std: float,
+                 producer: str = DEFAULT_PRODUCER) -> DataFrame:
+    """Stateless scoring of a (streaming or batch) point frame with a fitted
+    forest and the scalar reconstruction rule; prediction events where either
+    model fires."""
+    scored = scalar_reconstruction_flags(isolation_scores(points, ["value"], forest), mean, std)
+    return (scored.filter(F.col("if_anomaly") | F.col("is_degradation"))
+            .select(*SERIES_KEY, "instance_id", "timestamp", "seq", F.lit(producer).alias("producer"),
+                    F.struct("if_anomaly", "custom_loss", "is_degradation").alias("results")))

@@ -747,3 +747,21 @@ def q_ext_outbox_relay(spark, sf):
     """D-12 (extension): next relay batch of stored anomaly events after the
     published cursor id 5000, in id order."""
     return _list_select(X.outbox_batch(_events(spark, sf), 5000, 100))
+
+
+@register("stream_predictions", None)
+def q_stream_predictions(spark, sf):
+    """Model-scoring intake as its own streaming query (own checkpoint): a
+    forest fitted on the events history scores the metric stream; prediction
+    events (either model fires) are published as JSON through the prediction
+    sink and read back."""
+    from vigil.streaming.pipeline import run_available_now, write_prediction_stream
+    history = metric_points_from_events(spark, sf)
+    forest = SC.fit_isolation_forest(history, ["value"], n_trees=100, psi=256, seed=7)
+    st = history.agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("s")).first()
+    preds = SC.score_stream(_event_stream(spark, sf), forest, float(st["m"]), float(st["s"]))
+    base = fresh_subdir(spark, "predictions")
+    run_available_now(write_prediction_stream(preds, f"{base}/out", f"{base}/ckpt"))
+    schema = ("metric_name string, source string, timestamp long, "
+              "results struct<if_anomaly:boolean, custom_loss:double, is_degradation:boolean>")
+    return spark.read.text(f"{base}/out").select(F.from_json("value", schema).alias("p")).select("p.*")
