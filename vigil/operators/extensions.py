@@ -249,3 +249,24 @@ def outbox_batch(outbox: DataFrame, after_id: int, batch: int = 100) -> DataFram
     cursor) in id order, at most ``batch`` (a top-k, no full sort). Publishing
     is idempotent when the sink is keyed by ``id``."""
     return outbox.filter(F.col("id") > F.lit(after_id)).orderBy("id").limit(batch)
+
+
+# --- fixed values (TTL dedup) -----------------------------------------------
+TTL_DEDUP_SECONDS = 300            # duplicates are remembered for 5 minutes
+# ---------------------------------------------------------------------------
+
+
+def canonical_dedup_key(*cols: str) -> Column:
+    """D-5: SHA-256 of the canonical identity fields joined by ``|``."""
+    return F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols]), 256)
+
+
+def ttl_dedup_stream(df: DataFrame, key_col: str, event_time_col: str,
+                     ttl_seconds: int = TTL_DEDUP_SECONDS) -> DataFrame:
+    """D-5 (streaming): drop messages whose key was seen within the TTL.
+    Spark's ``dropDuplicatesWithinWatermark`` keeps the first occurrence and
+    remembers the key until the watermark passes its event time plus the TTL
+    (state is O(1) per key, so a storm of copies of one key costs no
+    memory). ``event_time_col`` must be a timestamp column."""
+    return (df.withWatermark(event_time_col, f"{int(ttl_seconds)} seconds")
+            .dropDuplicatesWithinWatermark([key_col]))

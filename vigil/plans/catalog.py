@@ -789,3 +789,29 @@ def q_mad_chunked_numpy(spark, sf):
 def q_mad_lineitem_numpy(spark, sf):
     """``mad_lineitem`` through the numpy engine."""
     return _anom_select(detect_anomalies(metric_points_from_lineitem(spark, sf), SERVICE, engine="numpy"))
+
+
+@register("ext_ttl_dedup_stream", S.decoded_sql(SERVICE) + """
+SELECT sha256(concat_ws('|', source, metric_name, env, region, instance_id, CAST(timestamp AS VARCHAR))) AS dedup_hash,
+       MIN(stream_seq) AS stream_seq
+FROM decoded GROUP BY 1""")
+def q_ext_ttl_dedup(spark, sf):
+    """D-5 (extension): streaming TTL de-duplication (5 min) of decoded
+    anomaly envelopes on the SHA-256 of their canonical identity; the
+    redelivered copies (same identity and event time) are dropped and the
+    first delivery kept."""
+    from vigil.operators.envelope import decode_envelope as dec_env
+    from vigil.streaming.pipeline import stream_to_parquet
+    ev = FX.stored_anomaly_events(spark, sf, SERVICE)
+    stream = FX.anomaly_stream(spark, sf, SERVICE, ev)
+    src = fresh_subdir(spark, "ttl-src")
+    s = F.col("stream_seq")
+    for cond in (s < FX.REDELIVERY_OFFSET, s >= FX.REDELIVERY_OFFSET):
+        stream.filter(cond).coalesce(1).write.mode("append").parquet(src)
+    envelopes = read_anomaly_stream(spark, src, options={"maxFilesPerTrigger": 1})
+    decoded, _ = dec_env(envelopes)
+    keyed = (decoded.withColumn("dedup_hash", X.canonical_dedup_key(
+        "source", "metric_name", "env", "region", "instance_id", "timestamp"))
+        .withColumn("event_time", F.timestamp_seconds(F.col("timestamp"))))
+    out = stream_to_parquet(X.ttl_dedup_stream(keyed, "dedup_hash", "event_time"), "ttl-dedup")
+    return out.select("dedup_hash", "stream_seq")
