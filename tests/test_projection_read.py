@@ -88,3 +88,10 @@ def test_list_anomalies_is_top_k_with_pushed_filters(spark, tmp_path):
     assert "PushedFilters" in plan and "EqualTo(source,s)" in plan
     assert "PartitionFilters" in plan and "event_date" in plan
     assert F is not None
+
+
+def test_series_key_column_parse(spark):
+    from vigil.operators.read_api import split_series_key_col
+    df = spark.createDataFrame([("a|b|c|d",), ("a|b||",), ("a|b|c",)], "series_key string")
+    got = [tuple(r) for r in df.select(*split_series_key_col()).collect()]
+    assert got == [("a", "b", "c", "d", True), ("a", "b", "", "", True), (None, None, None, None, False)]

@@ -86,3 +86,22 @@ def test_vectorized_state_equals_row_form():
         got += list(zip(*[c.tolist() for c in r[:7]]))
         hist, last = r[7], r[8]
     assert [tuple(g) for g in got] == exp
+
+
+def test_stream_state_ttl_mode_runs(spark):
+    # processing-time TTL on the window state (idle series expire); within one
+    # availableNow run nothing expires, so results equal the batch form
+    pts = points_df(spark, _rand_rows(13))
+    cfg = MadConfig.service_defaults().with_(window_size=20, warmup=5)
+    cols = ["seq", "n", "baseline", "mad", "is_anomaly"]
+    batch = mad_detect(pts, cfg, chunk_seconds=None).select(*cols)
+    stream = stream_to_parquet(stream_mad_detect(_as_stream(spark, pts, "ttl"), cfg,
+                                                 state_ttl_ms=3_600_000), "t-ttl").select(*cols)
+    assert batch.exceptAll(stream).count() == 0 and stream.count() == batch.count()
+
+
+def test_batch_detector_rejects_streams(spark):
+    import pytest
+    pts = points_df(spark, _rand_rows(14))
+    with pytest.raises(ValueError):
+        mad_detect(_as_stream(spark, pts, "rej"), MadConfig())

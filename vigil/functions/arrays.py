@@ -35,16 +35,6 @@ def sorted_median(sorted_arr: Column) -> Column:
             .otherwise((lo + hi) / 2))
 
 
-def median(arr: Column) -> Column:
-    """Median of an unsorted array (sorts once with the native ordering)."""
-    return sorted_median(F.sort_array(arr))
-
-
-def median_abs_deviation(arr: Column, center: Column) -> Column:
-    """median(|x - center|) over the array."""
-    return median(F.transform(arr, lambda x: F.abs(x - center)))
-
-
 def tail(arr: Column, k: int) -> Column:
     """The last ``k`` elements of an array (all of it when shorter)."""
     n = F.size(arr)

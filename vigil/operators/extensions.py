@@ -154,10 +154,6 @@ def list_predictions(predictions: DataFrame, limit: int | None = None, offset: i
     return page.limit(lim)
 
 
-def series_key_cols() -> list[str]:
-    return list(SERIES_KEY)
-
-
 def trend_ttf(points: DataFrame, window: int, limit: float, chunk_seconds="auto") -> DataFrame:
     """D-13: least-squares slope of value over time across the last
     ``window`` points of the series (times centred on the current point for

@@ -96,10 +96,6 @@ scored AS (
   FROM s7)"""
 
 
-def r6(col: str, alias: str | None = None) -> str:
-    return f"round({col}, 6) AS {alias or col}"
-
-
 # ------------------------------------------------------------ ingest/decode --
 METRIC_REQUESTS = f"""
 SELECT CASE WHEN seq % 89 = 0 THEN '' ELSE source END AS source,

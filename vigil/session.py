@@ -53,7 +53,8 @@ def apply_conf(spark: SparkSession) -> None:
     for k in ("spark.sql.session.timeZone", "spark.sql.adaptive.enabled",
               "spark.sql.adaptive.skewJoin.enabled",
               "spark.sql.adaptive.coalescePartitions.minPartitionSize",
-              "spark.sql.execution.arrow.pyspark.enabled"):
+              "spark.sql.execution.arrow.pyspark.enabled",
+              "spark.sql.streaming.stateStore.providerClass"):
         spark.conf.set(k, _BASE_CONF[k])
 
 
