@@ -89,14 +89,19 @@ def test_vectorized_state_equals_row_form():
 
 
 def test_stream_state_ttl_mode_runs(spark):
-    # processing-time TTL on the window state (idle series expire); within one
-    # availableNow run nothing expires, so results equal the batch form
+    # processing-time TTL on the window state (idle series expire); run as a
+    # service would (processing-time trigger, drained, stopped). Nothing
+    # expires within the run, so results equal the batch form.
+    from vigil.streaming.pipeline import run_until_drained
     pts = points_df(spark, _rand_rows(13))
     cfg = MadConfig.service_defaults().with_(window_size=20, warmup=5)
     cols = ["seq", "n", "baseline", "mad", "is_anomaly"]
     batch = mad_detect(pts, cfg, chunk_seconds=None).select(*cols)
-    stream = stream_to_parquet(stream_mad_detect(_as_stream(spark, pts, "ttl"), cfg,
-                                                 state_ttl_ms=3_600_000), "t-ttl").select(*cols)
+    out = tempfile.mkdtemp(prefix="vigil-test-ttl-")
+    scored = stream_mad_detect(_as_stream(spark, pts, "ttl"), cfg, state_ttl_ms=3_600_000)
+    run_until_drained(scored.writeStream.format("parquet").option("path", f"{out}/o")
+                      .option("checkpointLocation", f"{out}/c"))
+    stream = spark.read.parquet(f"{out}/o").select(*cols)
     assert batch.exceptAll(stream).count() == 0 and stream.count() == batch.count()
 
 

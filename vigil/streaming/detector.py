@@ -86,7 +86,10 @@ def stream_mad_detect(points: DataFrame, cfg: MadConfig | None = None, *,
     """Streaming twin of ``mad_detect``: every point with its statistics
     (plus ``reset``). ``points`` is a streaming (or batch) frame of metric
     points with ``seq``. ``vectorized`` uses the numpy form over Arrow
-    batches (``transformWithStateInPandas``); otherwise the row form."""
+    batches (``transformWithStateInPandas``); otherwise the row form.
+    ``state_ttl_ms`` switches the query to processing-time mode (state
+    expiry); run such queries on a processing-time trigger (they do not end
+    under ``availableNow``)."""
     cfg = (cfg or MadConfig.library_defaults()).normalized()
     cols = points.columns
     out = T.StructType([points.schema[c] for c in cols] + STATS_SCHEMA)

@@ -146,6 +146,33 @@ def run_available_now(writer, timeout_s: int = 600) -> None:
             q.stop()
 
 
+def run_until_drained(writer, interval: str = "1 second", timeout_s: int = 600) -> None:
+    """Run a DataStreamWriter on a processing-time trigger until everything
+    available is processed, then stop it. Queries with processing-time state
+    TTL keep firing no-data batches, so neither ``availableNow`` nor
+    ``processAllAvailable`` ends them. Instead the query's progress is
+    polled: it is drained once input was seen, the latest batch read nothing
+    and no data is pending."""
+    import time
+    q = writer.trigger(processingTime=interval).start()
+    try:
+        t0, seen = time.time(), False
+        while True:
+            if q.exception() is not None:
+                raise q.exception()
+            prog = q.recentProgress
+            seen = seen or any(p["numInputRows"] > 0 for p in prog)
+            st = q.status
+            idle = prog and prog[-1]["numInputRows"] == 0 and not st["isDataAvailable"]
+            if idle and (seen or len(prog) >= 3):
+                return
+            if time.time() - t0 > timeout_s:
+                raise TimeoutError(f"streaming query not drained in {timeout_s}s")
+            time.sleep(0.5)
+    finally:
+        q.stop()
+
+
 def stream_to_parquet(df: DataFrame, name: str, timeout_s: int = 600) -> DataFrame:
     """Run a streaming frame to completion into a parquet folder below the
     checkpoint dir and return the stored result as a batch frame."""
