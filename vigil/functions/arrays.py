@@ -10,13 +10,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def bind(expr: Column, body) -> Column:
-    """Evaluate ``expr`` once and pass it to ``body`` as a lambda variable
-    (``transform(array(expr), x -> body(x))[1]``). Lets an expression chain
-    reuse an expensive intermediate without re-evaluating it."""
-    return F.element_at(F.transform(F.array(expr), body), 1)
-
-
 def materialize(df, name: str, expr: Column):
     """Add ``expr`` as column ``name`` behind a generator, so later filters
     on it cannot be pushed below (and re-evaluate) the expression. Used for

@@ -13,7 +13,8 @@ last ``W`` values including the current one. With ``n`` values in the window:
 Spark plan
 ----------
 The window is a ``collect_list`` over a bounded row frame, and the medians
-are ``sort_array`` + ``element_at``; everything stays on the JVM.
+are ``sort_array`` + ``element_at`` in generated code; everything stays on
+the JVM.
 The only exchange of the unchunked plan is the hash partitioning on the
 series key.
 
@@ -46,7 +47,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vigil.config import MAD_CONSISTENCY, MODE_BOTH, MODE_DOWN, MadConfig
-from vigil.functions.arrays import bind, since_last_gap, sorted_median, tail
+from vigil.functions.arrays import materialize, since_last_gap, sorted_median, tail
 from vigil.schemas import SERIES_KEY
 
 ORDER_COLS = ("timestamp", "seq")
@@ -282,54 +283,50 @@ def mad_detect(points: DataFrame, cfg: MadConfig | None = None, *, keys=SERIES_K
     return _score(framed.drop("_frame"), cfg)
 
 
-def _stats_struct(vals, cfg: MadConfig):
-    """All detector outputs for one frame as a single struct expression.
+def _score(df: DataFrame, cfg: MadConfig) -> DataFrame:
+    """Detector outputs from the frame column ``_vals``.
+
+    The sorted frame, baseline, sorted deviations and raw MAD are separate
+    projections, so ``sort_array`` runs in generated code (a primitive sort
+    of the double array) and the optimizer keeps each expensive column
+    computed once (it will not inline a non-cheap column referenced several
+    times). The three statistics then pass a generator
+    (``explode(array(struct))``): a later ``is_anomaly`` filter cannot be
+    pushed below it, so the sort chain is never substituted into the filter
+    condition. Everything after the barrier is cheap arithmetic."""
+    keep = [c for c in df.columns if c != "_vals"]
+    stats = (df.withColumn("_n", F.size("_vals"))
+             .withColumn("_sorted", F.sort_array("_vals"))
+             .withColumn("_base", sorted_median(F.col("_sorted")))
+             .withColumn("_devs", F.sort_array(F.transform("_vals", lambda x: F.abs(x - F.col("_base")))))
+             .withColumn("_mad0", sorted_median(F.col("_devs")))
+             .select(*keep, F.struct("_n", "_base", "_mad0").alias("_s")))
+    stats = materialize(stats, "_bm", F.col("_s")).drop("_s")
 
-    Intermediate results (sorted frame, baseline, MAD) are bound once as
-    lambda variables, so the chain is evaluated once per row even when the
-    optimizer substitutes it into a pushed-down filter."""
     v = F.col("value")
+    n, base, mad0 = F.col("_bm._n"), F.col("_bm._base"), F.col("_bm._mad0")
     zero = F.lit(0.0)
-
-    def finish(n, base, mad0):
-        warm = n < F.lit(cfg.warmup)
-        mad_f = F.when(mad0 < F.lit(cfg.min_mad), F.lit(cfg.min_mad)).otherwise(mad0)
-
-        def with_delta(delta):
-            upper, lower = base + delta, base - delta
-            mode = cfg.effective_mode
-            if mode == MODE_DOWN:
-                hit = v < lower
-            elif mode == MODE_BOTH:
-                hit = (v > upper) | (v < lower)
-            else:
-                hit = v > upper
-            if cfg.min_delta > 0:
-                hit = hit & ~(F.abs(v - base) < F.lit(cfg.min_delta))
-            return F.struct(
-                n.cast(T.IntegerType()).alias("n"),
-                F.when(warm, zero).otherwise(base).alias("baseline"),
-                F.when(warm, zero).otherwise(mad_f).alias("mad"),
-                F.when(warm, zero).otherwise(lower).alias("lower"),
-                F.when(warm, zero).otherwise(upper).alias("upper"),
-                (~warm & hit).alias("is_anomaly"))
-
-        return bind(F.lit(cfg.threshold_k) * (F.lit(MAD_CONSISTENCY) * mad_f), with_delta)
-
-    def with_sorted(s):
-        n = F.size(s)
-        return bind(sorted_median(s), lambda base: bind(
-            sorted_median(F.sort_array(F.transform(vals, lambda x: F.abs(x - base)))),
-            lambda mad0: finish(n, base, mad0)))
-
-    return bind(F.sort_array(vals), with_sorted)
-
-
-def _score(df: DataFrame, cfg: MadConfig) -> DataFrame:
-    out = df.withColumn("_st", _stats_struct(F.col("_vals"), cfg))
-    return out.select(*[c for c in df.columns if c != "_vals"],
-                      *[F.col("_st")[f].alias(f) for f in
-                        ("n", "baseline", "mad", "lower", "upper", "is_anomaly")])
+    warm = n < F.lit(cfg.warmup)
+    mad_f = F.when(mad0 < F.lit(cfg.min_mad), F.lit(cfg.min_mad)).otherwise(mad0)
+    delta = F.lit(cfg.threshold_k) * (F.lit(MAD_CONSISTENCY) * mad_f)
+    upper, lower = base + delta, base - delta
+    mode = cfg.effective_mode
+    if mode == MODE_DOWN:
+        hit = v < lower
+    elif mode == MODE_BOTH:
+        hit = (v > upper) | (v < lower)
+    else:
+        hit = v > upper
+    if cfg.min_delta > 0:
+        hit = hit & ~(F.abs(v - base) < F.lit(cfg.min_delta))
+    return stats.select(
+        *keep,
+        n.cast(T.IntegerType()).alias("n"),
+        F.when(warm, zero).otherwise(base).alias("baseline"),
+        F.when(warm, zero).otherwise(mad_f).alias("mad"),
+        F.when(warm, zero).otherwise(lower).alias("lower"),
+        F.when(warm, zero).otherwise(upper).alias("upper"),
+        (~warm & hit).alias("is_anomaly"))
 
 
 def detect_anomalies(points: DataFrame, cfg: MadConfig | None = None, **kw) -> DataFrame:
