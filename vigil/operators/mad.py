@@ -251,8 +251,8 @@ def mad_detect(points: DataFrame, cfg: MadConfig | None = None, *, keys=SERIES_K
 
     ``engine="sql"`` (default) keeps everything in built-in expressions;
     ``engine="numpy"`` runs the same arithmetic with the numpy kernel over
-    Arrow batches per (series, chunk) group — identical results, about 2x
-    less CPU at sf0.1 in local tests.
+    Arrow batches per (series, chunk) group — identical results, similar
+    speed at sf0.1 in local tests.
     """
     if points.isStreaming:
         raise ValueError("mad_detect is the batch form; use "
