@@ -29,7 +29,8 @@ the last W-1 rows of earlier chunks. They are found through the per-chunk
 row counts (a small table) and are routed with an equi-join on
 (series, chunk ordinal), so no step groups a whole series. The first W-1
 rows of a chunk prepend the halo to their own frame. The result is
-identical to the unchunked plan.
+identical to the unchunked plan, and the points are still shuffled once
+(the halo-candidate branch reuses the window's exchange).
 
 Idle-series reset
 -----------------
