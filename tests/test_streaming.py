@@ -10,7 +10,7 @@ from vigil.operators.envelope import decode_envelope, stamp_anomaly_events
 from vigil.operators.ingest import decode_metric_json
 from vigil.operators.mad import detect_anomalies, mad_detect
 from vigil.streaming.detector import stream_mad_detect
-from vigil.streaming.pipeline import (run_available_now, stream_to_parquet, write_anomaly_stream,
+from vigil.streaming.jobs import (run_available_now, stream_to_parquet, write_anomaly_stream,
                                       write_metric_stream, write_prediction_stream)
 
 
@@ -92,7 +92,7 @@ def test_stream_state_ttl_mode_runs(spark):
     # processing-time TTL on the window state (idle series expire); run as a
     # service would (processing-time trigger, drained, stopped). Nothing
     # expires within the run, so results equal the batch form.
-    from vigil.streaming.pipeline import run_until_drained
+    from vigil.streaming.jobs import run_until_drained
     pts = points_df(spark, _rand_rows(13))
     cfg = MadConfig.service_defaults().with_(window_size=20, warmup=5)
     cols = ["seq", "n", "baseline", "mad", "is_anomaly"]

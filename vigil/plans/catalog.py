@@ -464,8 +464,8 @@ def q_get_series_state_missing(spark, sf):
 from vigil.session import fresh_subdir  # noqa: E402
 from vigil.sources.tables import events_to_points, read_table  # noqa: E402
 from vigil.streaming.detector import stream_mad_detect  # noqa: E402
-from vigil.streaming.pipeline import anomaly_stream as read_anomaly_stream  # noqa: E402
-from vigil.streaming.pipeline import project_stream, stream_to_parquet  # noqa: E402
+from vigil.streaming.jobs import anomaly_stream as read_anomaly_stream  # noqa: E402
+from vigil.streaming.jobs import project_stream, stream_to_parquet  # noqa: E402
 
 
 def _event_stream(spark, sf):
@@ -755,7 +755,7 @@ def q_stream_predictions(spark, sf):
     forest fitted on the events history scores the metric stream; prediction
     events (either model fires) are published as JSON through the prediction
     sink and read back."""
-    from vigil.streaming.pipeline import run_available_now, write_prediction_stream
+    from vigil.streaming.jobs import run_available_now, write_prediction_stream
     history = metric_points_from_events(spark, sf)
     forest = SC.fit_isolation_forest(history, ["value"], n_trees=100, psi=256, seed=7)
     st = history.agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("s")).first()
@@ -801,7 +801,7 @@ def q_ext_ttl_dedup(spark, sf):
     redelivered copies (same identity and event time) are dropped and the
     first delivery kept."""
     from vigil.operators.envelope import decode_envelope as dec_env
-    from vigil.streaming.pipeline import stream_to_parquet
+    from vigil.streaming.jobs import stream_to_parquet
     ev = FX.stored_anomaly_events(spark, sf, SERVICE)
     stream = FX.anomaly_stream(spark, sf, SERVICE, ev)
     src = fresh_subdir(spark, "ttl-src")
