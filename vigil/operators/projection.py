@@ -32,14 +32,19 @@ def with_dedup_key(decoded: DataFrame) -> DataFrame:
     return decoded.withColumn("dedup_key", key)
 
 
-def first_wins(decoded: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
+def first_wins(decoded: DataFrame, ledger: DataFrame | None = None, *,
+               with_deliveries: bool = False) -> DataFrame:
     """One row per dedup key: the earliest arrival. Keys present in
-    ``ledger`` (a frame with a ``dedup_key`` column) are dropped."""
+    ``ledger`` (a frame with a ``dedup_key`` column) are dropped.
+    ``with_deliveries`` adds how many copies of the key arrived (same
+    aggregation pass)."""
     df = decoded if "dedup_key" in decoded.columns else with_dedup_key(decoded)
     cols = [c for c in df.columns if c != "dedup_key"]
-    firsts = (df.groupBy("dedup_key")
-              .agg(F.min_by(F.struct(*cols), F.col("stream_seq")).alias("_r"))
-              .select("dedup_key", "_r.*"))
+    aggs = [F.min_by(F.struct(*cols), F.col("stream_seq")).alias("_r")]
+    if with_deliveries:
+        aggs.append(F.count(F.lit(1)).alias("deliveries"))
+    firsts = (df.groupBy("dedup_key").agg(*aggs)
+              .select("dedup_key", "_r.*", *(["deliveries"] if with_deliveries else [])))
     if ledger is not None:
         firsts = firsts.join(ledger.select("dedup_key"), "dedup_key", "left_anti")
     return firsts

@@ -323,10 +323,8 @@ def q_dedup_first(spark, sf):
     """First-wins de-duplication: one row per dedup key with the earliest
     delivery's stream sequence."""
     dec, _ = _decoded(spark, sf)
-    dec = with_dedup_key(dec)
-    firsts = first_wins(dec)
-    counts = dec.groupBy("dedup_key").agg(F.count(F.lit(1)).alias("deliveries"))
-    return firsts.select("dedup_key", "stream_seq").join(counts, "dedup_key")
+    return first_wins(with_dedup_key(dec), with_deliveries=True).select(
+        "dedup_key", "stream_seq", "deliveries")
 
 
 def _events(spark, sf, late=False):
