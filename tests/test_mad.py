@@ -179,3 +179,15 @@ def test_numpy_engine_equals_sql(spark, chunk, gap):
     b = mad_detect(pts, cfg, chunk_seconds=chunk, stale_gap_seconds=gap, engine="numpy").select(*cols)
     assert b.count() == 965
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_auto_chunking_cuts_only_hot_series(spark):
+    from vigil.operators.mad import _normalize_keys, _with_chunk, plan_chunks
+    pts = _normalize_keys(points_df(spark, _rand_rows()), ["source", "metric_name", "env", "region"])
+    plan = plan_chunks(pts, target_rows=100)
+    assert plan is not None and plan.count() == 1           # only "hot" exceeds 100 points
+    chunks = {(r.source, r.k) for r in _with_chunk(pts, plan).groupBy("source")
+              .agg(F.countDistinct("_chunk").alias("k")).collect()}
+    hot = dict(chunks)
+    assert hot["a"] == 1 and hot["b"] == 1 and hot["hot"] > 1
+    assert plan_chunks(pts, target_rows=10_000) is None

@@ -162,11 +162,11 @@ def trend_ttf(points: DataFrame, window: int, limit: float, chunk_seconds="auto"
     units per second; NULL with fewer than 2 points or a flat time axis) and
     ``ttf_seconds``. Uses the detector's skew-safe framing."""
     from vigil.config import MadConfig
-    from vigil.operators.mad import _normalize_keys, _window_frames, plan_chunk_seconds
+    from vigil.operators.mad import _normalize_keys, _window_frames, plan_chunks
     keys = list(SERIES_KEY)
     pts = _normalize_keys(points, keys)
-    if chunk_seconds == "auto":
-        chunk_seconds = plan_chunk_seconds(pts, keys)
+    if isinstance(chunk_seconds, str) and chunk_seconds == "auto":
+        chunk_seconds = plan_chunks(pts, keys)
     cfg = MadConfig(window_size=window, warmup=1).normalized()
     fr = _window_frames(pts, cfg, keys, True, chunk_seconds)
 

@@ -55,18 +55,46 @@ ORDER_COLS = ("timestamp", "seq")
 DEFAULT_TARGET_CHUNK_ROWS = 2_000_000
 
 
-def plan_chunk_seconds(points: DataFrame, keys=SERIES_KEY,
-                       target_rows: int = DEFAULT_TARGET_CHUNK_ROWS) -> int | None:
-    """Choose a chunk width from per-series counts and time spans.
+HOT_SERIES_BROADCAST_MAX = 200_000
+
+
+def plan_chunks(points: DataFrame, keys=SERIES_KEY,
+                target_rows: int = DEFAULT_TARGET_CHUNK_ROWS):
+    """Decide how to cut series into chunks.
 
     Returns ``None`` when no series has more than ``target_rows`` points (no
-    splitting is needed), else the width in seconds that puts about
-    ``target_rows`` points of the densest series into one chunk. Runs one
-    aggregation job (map-side partial aggregation, so a hot series is folded
-    before the shuffle) and brings back a single row. When the whole input
-    has at most ``target_rows`` rows (a metadata-only count on parquet), no
-    series can need splitting and the stats job is skipped.
-    """
+    splitting is needed). Otherwise only the *hot* series are chunked, each
+    with its own width (about ``target_rows`` points per chunk); all other
+    series stay whole (chunk 0), so sparse series are never cut into tiny
+    chunks whose halos would copy each row W-1 times. The hot-series table
+    (keys, width) has at most total_rows / target_rows rows; it is returned
+    as a DataFrame to broadcast when its row count is at most
+    ``HOT_SERIES_BROADCAST_MAX``, else one global width (that of the densest
+    series) is returned as an int.
+
+    Cost: a metadata-only count on parquet input, and when that exceeds
+    ``target_rows`` one aggregation job (combined map-side, so a hot series
+    is folded before the shuffle) plus a count of the hot series."""
+    if points.count() <= target_rows:
+        return None
+    per_series = points.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_c"),
+        (F.max("timestamp") - F.min("timestamp") + 1).alias("_span"))
+    hot = (per_series.filter(F.col("_c") > F.lit(target_rows))
+           .select(*keys, F.greatest(F.lit(1).cast("long"), F.floor(
+               F.lit(float(target_rows)) * F.col("_span") / F.col("_c")).cast("long")).alias("_width")))
+    n_hot = hot.count()
+    if n_hot == 0:
+        return None
+    if n_hot <= HOT_SERIES_BROADCAST_MAX:
+        return hot
+    return int(hot.agg(F.min("_width")).first()[0])
+
+
+def plan_chunk_seconds(points: DataFrame, keys=SERIES_KEY,
+                       target_rows: int = DEFAULT_TARGET_CHUNK_ROWS) -> int | None:
+    """One global chunk width (that of the densest series), or ``None`` when
+    no series has more than ``target_rows`` points."""
     if points.count() <= target_rows:
         return None
     per_series = points.groupBy(*keys).agg(
@@ -98,14 +126,25 @@ def _chunk_table(pts: DataFrame, keys) -> DataFrame:
             .withColumn("_ord", F.row_number().over(wk))
             .withColumn("_cum_prev", F.coalesce(
                 F.sum("_cnt").over(wk.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+            .withColumn("_nchunks", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
             .drop("_cnt"))
 
 
-def _with_chunk(points: DataFrame, chunk_seconds: int) -> DataFrame:
-    # non-nullable, so joins on it infer no extra filter that would make the
-    # candidate branch's exchange differ from the main one
+def _with_chunk(points: DataFrame, chunks) -> DataFrame:
+    """Add ``_chunk``: ``floor(timestamp / width)`` with one global width
+    (int), or per hot series from a (keys, _width) table (broadcast; its size
+    was checked by ``plan_chunks``) with chunk 0 for every other series.
+    The column is non-nullable, so joins on it infer no extra filter that
+    would make the candidate branch's exchange differ from the main one."""
+    if isinstance(chunks, DataFrame):
+        keys = [c for c in chunks.columns if c != "_width"]
+        j = points.join(F.broadcast(chunks), keys, "left")
+        chunk = F.when(F.col("_width").isNull(), F.lit(0).cast("long")).otherwise(
+            F.floor(F.col("timestamp") / F.col("_width")))
+        return (j.withColumn("_chunk", F.coalesce(chunk, F.lit(0).cast("long")))
+                .drop("_width").select(*points.columns, "_chunk"))
     return points.withColumn("_chunk", F.coalesce(
-        F.floor(F.col("timestamp") / F.lit(int(chunk_seconds))), F.lit(0).cast("long")))
+        F.floor(F.col("timestamp") / F.lit(int(chunks))), F.lit(0).cast("long")))
 
 
 def _halo_rows(local: DataFrame, pts: DataFrame, keys, w: int, elem) -> DataFrame:
@@ -125,8 +164,10 @@ def _halo_rows(local: DataFrame, pts: DataFrame, keys, w: int, elem) -> DataFram
     cand = (local.filter(F.col("_rn") > F.col("_cn") - (w - 1))
             .select(*pkey, "_rn", elem.alias("_e"), payload)
             .join(chunks, pkey)
+            .filter(F.col("_ord") < F.col("_nchunks"))     # the last chunk feeds nobody
             .select(*keys, (F.col("_cum_prev") + F.col("_rn")).alias("_p"), "_e", "_all",
-                    F.explode(F.sequence(F.col("_ord") + 1, F.col("_ord") + (w - 1))).alias("_t")))
+                    F.explode(F.sequence(F.col("_ord") + 1, F.least(
+                        F.col("_ord") + (w - 1), F.col("_nchunks")))).alias("_t")))
     targets = chunks.select(*keys, F.col("_ord").alias("_t"), F.col("_chunk").alias("_tchunk"),
                             F.col("_cum_prev").alias("_tcum"))
     return (cand.join(targets, [*keys, "_t"])
@@ -247,8 +288,9 @@ def mad_detect(points: DataFrame, cfg: MadConfig | None = None, *, keys=SERIES_K
 
     ``points`` needs the series key columns, ``timestamp`` (unix seconds),
     ``seq`` (unique tie-breaker) and ``value``. ``chunk_seconds``: ``"auto"``
-    picks a width from the data (no chunking when every series is small),
-    ``None`` disables chunking, an int forces that width.
+    cuts only the series with more than ``target_chunk_rows`` points, each
+    with its own width (no chunking when every series is small); ``None``
+    disables chunking; an int cuts every series with that width.
 
     ``engine="sql"`` (default) keeps everything in built-in expressions;
     ``engine="numpy"`` runs the same arithmetic with the numpy kernel over
@@ -262,8 +304,8 @@ def mad_detect(points: DataFrame, cfg: MadConfig | None = None, *, keys=SERIES_K
     keys = list(keys)
     stale = stale_gap_seconds is not None
     pts = _normalize_keys(points, keys)
-    if chunk_seconds == "auto":
-        chunk_seconds = plan_chunk_seconds(pts, keys, target_chunk_rows)
+    if isinstance(chunk_seconds, str) and chunk_seconds == "auto":
+        chunk_seconds = plan_chunks(pts, keys, target_chunk_rows)
     if engine == "numpy":
         out = _numpy_detect(pts, cfg, keys, stale_gap_seconds, chunk_seconds)
         return out if stale else out.drop("reset")

@@ -54,11 +54,11 @@ def array_mean(x: Column) -> Column:
 def recent_values(points: DataFrame, d: int, chunk_seconds="auto") -> DataFrame:
     """Adds ``recent``: the last ``d`` values of the series ending at each point
     (fewer at the start), with the detector's skew-safe framing."""
-    from vigil.operators.mad import _normalize_keys, _window_frames, plan_chunk_seconds
+    from vigil.operators.mad import _normalize_keys, _window_frames, plan_chunks
     keys = list(SERIES_KEY)
     pts = _normalize_keys(points, keys)
-    if chunk_seconds == "auto":
-        chunk_seconds = plan_chunk_seconds(pts, keys)
+    if isinstance(chunk_seconds, str) and chunk_seconds == "auto":
+        chunk_seconds = plan_chunks(pts, keys)
     cfg = MadConfig(window_size=d, warmup=1).normalized()
     return _window_frames(pts, cfg, keys, False, chunk_seconds).withColumnRenamed("_frame", "recent")
 
