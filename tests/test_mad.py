@@ -191,3 +191,17 @@ def test_auto_chunking_cuts_only_hot_series(spark):
     hot = dict(chunks)
     assert hot["a"] == 1 and hot["b"] == 1 and hot["hot"] > 1
     assert plan_chunks(pts, target_rows=10_000) is None
+
+
+def test_auto_chunking_global_width_fallback(spark, monkeypatch):
+    import vigil.operators.mad as M
+    rows = [((f"s{k}", "m", "e", "r"), k * 1000 + i, i * 7, float((i * 37) % 23)) for k in range(4)
+            for i in range(150)]
+    pts = points_df(spark, rows)
+    monkeypatch.setattr(M, "HOT_SERIES_BROADCAST_MAX", 2)     # 4 hot series > 2: global width
+    plan = M.plan_chunks(M._normalize_keys(pts, list(M.SERIES_KEY)), target_rows=40)
+    assert isinstance(plan, int) and plan >= 1
+    cfg = MadConfig(window_size=15, warmup=3)
+    a = mad_detect(pts, cfg, chunk_seconds=None)
+    b = mad_detect(pts, cfg, chunk_seconds="auto", target_chunk_rows=40)
+    assert a.exceptAll(b).count() == 0 and b.count() == 600
