@@ -36,9 +36,10 @@ Idle-series reset
 -----------------
 ``stale_gap_seconds`` drops the window when a series was silent for longer
 than the gap (the service forgets series idle for an hour). Because a reset
-only shortens the window, it is applied to the collected frame itself: the
-frame keeps the points after its last gap. No series-wide running count is
-needed, so this works the same with and without chunking.
+only shortens the window, the frame is cut to the trailing elements of the
+row's epoch. That count comes from plain window columns (a ``lag`` gap flag
+and a running max of the last reset's row number). In chunked mode,
+per-chunk halo summaries carry it across chunk boundaries.
 """
 
 from __future__ import annotations
@@ -175,37 +176,82 @@ def _halo_rows(local: DataFrame, pts: DataFrame, keys, w: int, elem) -> DataFram
             .select(*keys, F.col("_tchunk").alias("_chunk"), "_p", "_e", "_all"))
 
 
-def _window_frames(points: DataFrame, cfg: MadConfig, keys, stale: bool,
-                   chunk_seconds: int | None) -> DataFrame:
+def _window_frames(points: DataFrame, cfg: MadConfig, keys, with_ts: bool,
+                   chunk_seconds, *, gap: int | None = None) -> DataFrame:
     """Adds ``_frame``: the (up to) W most recent elements ending at each row,
-    in order. Elements are ``value`` or, with a stale gap, struct(ts, v)."""
+    in order. Elements are ``value``, or struct(ts, v) with ``with_ts``.
+
+    With an idle ``gap`` it also adds ``reset`` (the row follows a silence
+    longer than the gap) and ``_keep`` (how many trailing frame elements
+    belong to the row's epoch, i.e. come after the last reset). Both come
+    from plain window columns: a ``lag`` gap flag, and a running ``max`` of
+    the row number of the last reset. In chunked mode the first row of a
+    chunk is compared with the halo's last timestamp, and the epoch may
+    reach back into the halo. No higher-order function runs per row."""
     w = cfg.window_size
-    elem = (F.struct(F.col("timestamp").alias("ts"), F.col("value").alias("v"))
-            if stale else F.col("value"))
+    ts, val = F.col("timestamp"), F.col("value")
+    elem = F.struct(ts.alias("ts"), val.alias("v")) if with_ts else val
     order = [F.col(c) for c in ORDER_COLS]
+    running = (Window.unboundedPreceding, 0)
+
+    def gap_flag(spec):
+        return F.coalesce((ts - F.lag(ts).over(spec)) > F.lit(int(gap)), F.lit(False))
 
     if chunk_seconds is None:
         ws = Window.partitionBy(*keys).orderBy(*order)
-        return points.withColumn("_frame", F.collect_list(elem).over(ws.rowsBetween(-(w - 1), 0)))
+        out = points.withColumn("_frame", F.collect_list(elem).over(ws.rowsBetween(-(w - 1), 0)))
+        if gap is None:
+            return out
+        out = (out.withColumn("reset", gap_flag(ws)).withColumn("_rn", F.row_number().over(ws)))
+        out = out.withColumn("_lr", F.max(F.when(F.col("reset"), F.col("_rn")))
+                             .over(ws.rowsBetween(*running)))
+        return (out.withColumn("_keep", F.col("_rn") - F.coalesce(F.col("_lr"), F.lit(1)) + 1)
+                .drop("_rn", "_lr"))
 
     pts = _with_chunk(points, chunk_seconds)
     pkey = [*keys, "_chunk"]
     ws = Window.partitionBy(*pkey).orderBy(*order)
+    wp = Window.partitionBy(*pkey)
     local = (pts
              .withColumn("_own", F.collect_list(elem).over(ws.rowsBetween(-(w - 1), 0)))
              .withColumn("_rn", F.row_number().over(ws))
-             .withColumn("_cn", F.count(F.lit(1)).over(Window.partitionBy(*pkey))))
-    if w == 1:
+             .withColumn("_cn", F.count(F.lit(1)).over(wp)))
+    if gap is not None:
+        local = (local.withColumn("_lg", gap_flag(ws))
+                 .withColumn("_lr", F.max(F.when(F.col("_lg"), F.col("_rn"))).over(ws.rowsBetween(*running)))
+                 .withColumn("_cmin", F.min(ts).over(wp)))
+    # the halo must hold at least the previous row when gaps are tracked
+    hw = max(w, 2) if gap is not None else w
+    if hw == 1:
         return local.withColumnRenamed("_own", "_frame").drop("_chunk", "_rn", "_cn")
 
-    halo = (_halo_rows(local, pts, keys, w, elem)
+    helem = F.struct(ts.alias("ts"), val.alias("v")) if gap is not None else elem
+    halo = (_halo_rows(local, pts, keys, hw, helem)
             .groupBy(*pkey)
             .agg(F.sort_array(F.collect_list(F.struct("_p", "_e", "_all"))).alias("_halo")))
+    # per-chunk halo summaries (one row per chunk; the only higher-order
+    # functions of the plan run here, on the small side)
+    he = F.transform("_halo", lambda h: h["_e"])
+    if gap is not None:
+        halo = halo.select(*pkey, F.transform(he, lambda e: e["v"]).alias("_hvals"),
+                           F.element_at(he, -1)["ts"].alias("_hlast"),
+                           F.size(since_last_gap(he, int(gap))).alias("_hkeep"))
+    else:
+        halo = halo.select(*pkey, he.alias("_hvals"))
 
     joined = local.join(halo, pkey, "left")
-    frame = F.when(F.col("_halo").isNull() | (F.col("_rn") >= w), F.col("_own")).otherwise(
-        tail(F.concat(F.transform("_halo", lambda h: h["_e"]), F.col("_own")), w))
-    return joined.withColumn("_frame", frame).drop("_chunk", "_rn", "_cn", "_own", "_halo")
+    frame = F.when(F.col("_hvals").isNull() | (F.col("_rn") >= w), F.col("_own")).otherwise(
+        tail(F.concat(F.col("_hvals"), F.col("_own")), w))
+    out = joined.withColumn("_frame", frame)
+    if gap is not None:
+        cgap = F.coalesce(F.col("_hvals").isNotNull()
+                          & ((F.col("_cmin") - F.col("_hlast")) > F.lit(int(gap))), F.lit(False))
+        out = (out.withColumn("reset", F.when(F.col("_rn") == 1, cgap).otherwise(F.col("_lg")))
+               .withColumn("_keep", F.when(F.col("_lr").isNotNull(), F.col("_rn") - F.col("_lr") + 1)
+                           .when(cgap, F.col("_rn"))
+                           .otherwise(F.col("_rn") + F.coalesce(F.col("_hkeep"), F.lit(0))))
+               .drop("_lg", "_lr", "_cmin", "_hlast", "_hkeep"))
+    return out.drop("_chunk", "_rn", "_cn", "_own", "_hvals")
 
 
 def _numpy_detect(pts: DataFrame, cfg: MadConfig, keys, gap: int | None,
@@ -312,15 +358,12 @@ def mad_detect(points: DataFrame, cfg: MadConfig | None = None, *, keys=SERIES_K
     if engine != "sql":
         raise ValueError(f"unknown engine {engine!r}")
 
-    framed = _window_frames(pts, cfg, keys, stale, chunk_seconds)
+    framed = _window_frames(pts, cfg, keys, False, chunk_seconds, gap=stale_gap_seconds)
     if stale:
+        # the row's window: the trailing elements of its epoch
         fr = F.col("_frame")
-        size = F.size(fr)
-        reset = (size >= 2) & ((F.element_at(fr, -1)["ts"] - F.element_at(fr, -2)["ts"])
-                               > F.lit(int(stale_gap_seconds)))
-        framed = (framed.withColumn("reset", reset)
-                  .withColumn("_vals", F.transform(since_last_gap(fr, int(stale_gap_seconds)),
-                                                   lambda x: x["v"])))
+        n = F.least(F.col("_keep"), F.size(fr))
+        framed = framed.withColumn("_vals", F.slice(fr, F.size(fr) - n + 1, n)).drop("_keep")
     else:
         framed = framed.withColumnRenamed("_frame", "_vals")
     return _score(framed.drop("_frame"), cfg)
