@@ -51,6 +51,7 @@ from pyspark.sql import types as T
 from vigil.config import MAD_CONSISTENCY, MODE_BOTH, MODE_DOWN, MadConfig
 from vigil.functions.arrays import materialize, since_last_gap, sorted_median, tail
 from vigil.schemas import SERIES_KEY
+from vigil.session import store_table
 
 ORDER_COLS = ("timestamp", "seq")
 DEFAULT_TARGET_CHUNK_ROWS = 2_000_000
@@ -84,6 +85,9 @@ def plan_chunks(points: DataFrame, keys=SERIES_KEY,
     hot = (per_series.filter(F.col("_c") > F.lit(target_rows))
            .select(*keys, F.greatest(F.lit(1).cast("long"), F.floor(
                F.lit(float(target_rows)) * F.col("_span") / F.col("_c")).cast("long")).alias("_width")))
+    # stored once (small), so the plan that broadcasts it does not re-run
+    # the aggregation over all points
+    hot = store_table(hot, "hot-series")
     n_hot = hot.count()
     if n_hot == 0:
         return None

@@ -76,3 +76,12 @@ def fresh_subdir(spark: SparkSession, name: str) -> str:
     materialised intermediate tables)."""
     import uuid
     return checkpoint_dir(spark, f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def store_table(df, name: str):
+    """Write a frame as a parquet table below the checkpoint dir and read it
+    back: the job runs once and later readers do not recompute its lineage."""
+    spark = df.sparkSession
+    path = fresh_subdir(spark, name)
+    df.write.parquet(path)
+    return spark.read.parquet(path)

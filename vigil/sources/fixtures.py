@@ -27,7 +27,7 @@ from vigil.config import EVENT_TYPE, MadConfig
 from vigil.operators.envelope import encode_envelope, encode_flat_envelope, stamp_anomaly_events
 from vigil.operators.ingest import encode_metric_json
 from vigil.operators.mad import detect_anomalies
-from vigil.session import fresh_subdir
+from vigil.session import store_table
 from vigil.sources.tables import metric_points_from_events
 
 FIXED_CLOCK = "2024-02-01T00:00:00Z"
@@ -68,9 +68,7 @@ def store(df: DataFrame, name: str) -> DataFrame:
     """Write a frame as a parquet table below the checkpoint dir and read it
     back (what a broker or table would hold); cuts the lineage so branches
     that read it do not recompute it."""
-    path = fresh_subdir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return store_table(df, name)
 
 
 def stored_anomaly_events(spark: SparkSession, sf_dir: str, cfg: MadConfig) -> DataFrame:
