@@ -161,7 +161,7 @@ class PrefixCounter:
                 if not len(todo):
                     break
                 j = i - n
-                key = mix((prefix[i, todo] - prefix[j, todo]) * _INVERSE[j:j + 1] + np.uint64(n) * _LENGTH)
+                key = mix((prefix[i, todo] - prefix[j, todo]) * _INVERSE[j:j + 1] + np.uint64(n * int(_LENGTH) % (1 << 64)))
                 some = np.flatnonzero(self.maybe[key >> np.uint64(44)])
                 where = np.searchsorted(self.keys, key[some])
                 where[where == len(self.keys)] = 0
