@@ -275,19 +275,20 @@ def _split_large(members: DataFrame, sizes: DataFrame, n: int, percent: int, max
     slot = F.pmod(F.xxhash64("class"), F.lit(16))
     pivots = (large.groupBy("group", slot.alias("slot"))
               .agg(F.min(F.struct("class", "text")).alias("p"), F.first("members").alias("members")))
-    sent = pivots.select("group", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), "p.class", "p.text")
+    sent = pivots.select(F.col("group").alias("home"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("share"),
+                         F.col("p.class").alias("pivot"), F.col("p.text").alias("pivot_text"))
     rows = large.withColumn("part", F.pmod(F.xxhash64("class", F.lit(1)), parts).cast("int"))
 
     def assign(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        texts = pd.concat([right["text"], left["text"]])
+        texts = pd.concat([right["pivot_text"], left["text"]])
         group = Group(shingle_sets(pa.array(texts, pa.large_string()), n), percent)
         dist = np.array([group.distance(k)[len(right):] for k in range(len(right))])
         near, row = np.nonzero(dist <= dist.min(0) + 2 * group.tau + 1e-9)
-        name = right["class"].to_numpy()[near]
+        name = right["pivot"].to_numpy()[near]
         out = left.iloc[row][["group", "class", "text"]].reset_index(drop=True)
         return out.assign(group=[f"{g}:{p}" for g, p in zip(out["group"], name, strict=True)])
 
-    return (rows.groupBy("group", "part").cogroup(sent.groupBy("group", "part"))
+    return (rows.groupBy("group", "part").cogroup(sent.groupBy("home", "share"))
             .applyInPandas(assign, "group string, class long, text string"))
 
 
