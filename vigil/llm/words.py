@@ -19,6 +19,9 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+# punctuation reads as space where texts are compared loosely
+_LOOSE = _LOWER.copy()
+_LOOSE[[c for c in range(33, 127) if not chr(c).isalnum()]] = 0x20
 _tables: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -85,8 +88,9 @@ class Words:
         return mix(h)
 
 
-def words_of(texts: pa.Array, lower: bool = False) -> Words:
-    """The words of a string array; nulls count as empty texts."""
+def words_of(texts: pa.Array, lower: bool = False, loose: bool = False) -> Words:
+    """The words of a string array; nulls count as empty texts. ``lower``
+    lower-cases A-Z; ``loose`` also reads ASCII punctuation as space."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     if texts.null_count:
@@ -102,8 +106,8 @@ def words_of(texts: pa.Array, lower: bool = False) -> Words:
     off = off.astype(np.int64)
     data = np.frombuffer(data_buf, np.uint8)[off[0]:off[-1]]
     off = off - off[0]
-    if lower:
-        data = _LOWER[data]
+    if lower or loose:
+        data = (_LOOSE if loose else _LOWER)[data]
     size = len(data)
     if size == 0:
         none = np.zeros(0, np.int64)
