@@ -11,8 +11,9 @@ inequality bound where a document's partners (distance at most ``tau``) can be.
    first n - ceil((1 - tau) n) + 1 pivots: two sets within ``tau`` share one of
    these. Any order gives exact results; "rarer" is judged by a fixed-size
    count sketch over all documents, so that common passages attract nobody.
-3. Each region contributes a star of candidate edges around its smallest
-   class; two linked documents always share a star. Components of the stars
+3. Each region, cut where its sizes leave a gap that no link can cross,
+   contributes a star of candidate edges around its smallest class; two linked
+   documents always share a star. Components of the stars
    (large-star / small-star joins) are the groups.
 4. Within a group pivots are documents: members go to their nearest pivot's
    Voronoi region and, by the triangle inequality, to each region whose pivot
@@ -40,7 +41,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vigil.llm.common import arrow_map, only, read, shuffle_width, stored, text_slices
@@ -50,7 +51,7 @@ from vigil.llm.words import mix, words_of
 
 SHINGLE = 4
 PERCENT = 85
-SKETCH_BITS = 20
+SKETCH_BITS = 22
 MAX_GROUP = 4096
 _BLOCK_BITS = 14
 
@@ -71,9 +72,20 @@ def shingle_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
     return out
 
 
+def _narrow(counts: np.ndarray) -> bytes:
+    """Counters in as few bytes each as their largest needs (up to 4)."""
+    top = min(int(counts.max()), 0xFFFFFFFF)
+    kind = np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32
+    return np.minimum(counts, top).astype(kind).tobytes()
+
+
+def _counters(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, {1: np.uint8, 2: np.uint16, 4: np.uint32}[len(data) >> _BLOCK_BITS])
+
+
 def rarity_sketch(docs: DataFrame, n: int) -> np.ndarray:
     """Counts of shingles by the top bits of their hash, over all documents:
-    2^20 counters whatever the input's size."""
+    2^22 counters whatever the input's size."""
     blocks = 1 << (SKETCH_BITS - _BLOCK_BITS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,29 +96,27 @@ def rarity_sketch(docs: DataFrame, n: int) -> np.ndarray:
                 grams = w.grams(n)[w.after(n)[:max(0, len(w.start) - n + 1)]]
                 np.add.at(total, (grams >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
         if total.any():
-            parts = np.minimum(total, np.iinfo(np.int32).max).astype(np.int32).reshape(blocks, -1)
+            parts = [_narrow(p) for p in total.reshape(blocks, -1)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(blocks, dtype=np.int32)), pa.array([p.tobytes() for p in parts], pa.binary())],
-                ["block", "counts"])
+                [pa.array(np.arange(blocks, dtype=np.int32)), pa.array(parts, pa.binary())], ["block", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for b in batches:
             for k, c in zip(b.column("block").to_pylist(), b.column("counts").to_pylist(), strict=True):
                 sums.setdefault(k, np.zeros(1 << _BLOCK_BITS, np.int64))
-                c = np.frombuffer(c, np.int64 if len(c) == 8 << _BLOCK_BITS else np.int32)
-                sums[k] += c
+                sums[k] += _counters(c)
         if sums:
             yield pa.RecordBatch.from_arrays(
-                [pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())],
+                [pa.array(list(sums), pa.int32()), pa.array([_narrow(s) for s in sums.values()], pa.binary())],
                 ["block", "counts"])
 
     schema = "block int, counts binary"
     each = docs.select("text").mapInArrow(count, schema)
     summed = each.repartition(min(blocks, shuffle_width(docs.sparkSession)), "block").mapInArrow(add, schema)
     total = np.zeros((blocks, 1 << _BLOCK_BITS), np.int64)
-    for r in summed.collect():  # 2^20 counters, whatever the input
-        total[r.block] += np.frombuffer(r.counts, np.int64)
+    for r in summed.collect():  # 2^22 counters, whatever the input
+        total[r.block] += _counters(r.counts)
     return total.ravel()
 
 
@@ -298,9 +308,16 @@ def jaccard_components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT
     >= percent * union links two documents."""
     src = only(docs, id=key, text="text")
     table = stored(classes(src, n, percent), "classes")
-    named = table.select("class", F.explode("window").alias("pivot"))
-    stars = named.groupBy("pivot").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low <> high")
-    edges = (named.join(stars, "pivot").filter("class <> low")
+    named = table.select("class", "n_shingles", F.explode("window").alias("pivot"))
+    shared = (named.groupBy("pivot").agg(F.min("class").alias("low"), F.max("class").alias("high"))
+              .filter("low <> high").select("pivot"))
+    # no link crosses a gap in a region's sizes: each run of sizes is a star of its own
+    by_size = Window.partitionBy("pivot").orderBy("n_shingles", "class")
+    gap = F.col("n_shingles") * percent > 100 * F.coalesce(F.lag("n_shingles").over(by_size), "n_shingles")
+    region = stored(named.join(shared, "pivot").distinct()
+                    .withColumn("run", F.sum(gap.cast("int")).over(by_size)), "regions")
+    stars = region.groupBy("pivot", "run").agg(F.min("class").alias("low"))
+    edges = (region.join(stars, ["pivot", "run"]).filter("class <> low")
              .select(F.col("class").alias("a"), F.col("low").alias("b")).distinct())
     groups = components(stored(edges, "stars"))
     least = table.filter("class is not null").groupBy("class").agg(F.min("id").alias("id"))
