@@ -8,25 +8,38 @@ import numpy as np
 
 
 def suffix_array(s: np.ndarray, depth: int) -> np.ndarray:
-    """Order of the suffixes by their first ``depth`` symbols (prefix doubling)."""
+    """Order of the suffixes by their first ``depth`` symbols: prefix doubling
+    from ranks of as many symbols as one 64-bit key holds, re-sorting only
+    suffixes that are still equal to another."""
     n = len(s)
-    rank = s.astype(np.int64)
-    order = np.argsort(rank, kind="stable")
-    have = 1
-    while have < depth:
-        second = np.zeros(n, np.int64)
-        second[:n - have] = rank[have:] + 1
-        key = rank * (int(second.max()) + 1) + second
-        order = np.argsort(key, kind="stable")
-        step = np.empty(n, bool)
-        step[0] = False
-        step[1:] = key[order[1:]] != key[order[:-1]]
-        dense = np.cumsum(step)
-        rank = np.empty(n, np.int64)
-        rank[order] = dense
+    bits = max(1, int(s.max()).bit_length() + 1)
+    have = max(1, 62 // bits)
+    key = np.zeros(n + have, np.int64)
+    for k in range(min(have, n)):
+        key[:n - k] |= (s[k:].astype(np.int64) + 1) << (bits * (have - 1 - k))
+    key = key[:n]
+    order = np.argsort(key)
+    ranked = key[order]
+    new = np.ones(n, bool)
+    new[1:] = ranked[1:] != ranked[:-1]
+    first = np.maximum.accumulate(np.where(new, np.arange(n), 0))  # rank: the group's first place
+    rank = np.empty(n, np.int64)
+    rank[order] = first
+    tied = np.flatnonzero(~new | np.append(~new[1:], False))       # places in groups of two or more
+    while have < depth and len(tied):
+        at = order[tied]
+        later = at + have
+        second = np.where(later < n, rank[np.minimum(later, n - 1)] + 1, 0)
+        key = rank[at] * (n + 1) + second
+        by = np.argsort(key)
+        order[tied] = at[by]
+        key = key[by]
+        new = np.ones(len(tied), bool)
+        new[1:] = key[1:] != key[:-1]
+        first = np.maximum.accumulate(np.where(new, np.arange(len(tied)), 0))
+        rank[order[tied]] = tied[first]
+        tied = tied[~new | np.append(~new[1:], False)]
         have *= 2
-        if dense[-1] == n - 1:
-            break
     return order
 
 

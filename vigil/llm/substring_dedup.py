@@ -93,17 +93,21 @@ def _signed(a: np.ndarray) -> pa.Array:
 
 
 def keys_of(docs: DataFrame, width: int) -> DataFrame:
-    """(id, key, first, windows, times) of every passage."""
+    """(id, key, first, windows, times, digest) of every passage; the digest is
+    of its bytes as they stand."""
     def run(part):
         w = words_of(part.column("text"))
         doc, key, first, last, times = _runs(w, width)
+        data = w.data.tobytes()
+        digest = [_digest(data[a:b]) for a, b in zip(w.start[first].tolist(), w.end[last + width - 1].tolist(),
+                                                     strict=True)]
         return pa.RecordBatch.from_arrays(
             [part.column("id").take(pa.array(doc)), _signed(key), pa.array(first - w.bounds[doc], pa.int32()),
-             pa.array((last - first + 1).astype(np.int32)), pa.array(times.astype(np.int32))],
-            ["id", "key", "first", "windows", "times"])
+             pa.array((last - first + 1).astype(np.int32)), pa.array(times.astype(np.int32)),
+             pa.array(digest, pa.binary())], ["id", "key", "first", "windows", "times", "digest"])
 
     return docs.select("id", "text").mapInArrow(
-        arrow_map(run), f"id {_kind(docs)}, key long, first int, windows int, times int")
+        arrow_map(run), f"id {_kind(docs)}, key long, first int, windows int, times int, digest binary")
 
 
 def _kind(docs: DataFrame) -> str:
@@ -121,37 +125,27 @@ def with_identity(docs: DataFrame, key: str) -> DataFrame:
     return src.select("doc_id", (whole if clash else F.col("doc_id")).alias("id"), "text")
 
 
-def _passages(docs: DataFrame, wanted: DataFrame, width: int, with_text: bool) -> DataFrame:
-    """Passages at the wanted (id, first, windows) of the documents. A
-    passage's text is its bytes as they stand."""
-    spots = wanted.groupBy("id").agg(F.collect_list(F.struct("first", "windows", "key")).alias("spots"))
-    joined = docs.select("id", "text").join(spots, "id")
-    kind = _kind(docs)
+def _passages(docs: DataFrame, reps: DataFrame, width: int) -> DataFrame:
+    """(key, digest, count, text) of the distinct passages, cut from the
+    document that each is taken from."""
+    spots = reps.groupBy("id").agg(F.collect_list(F.struct("key", "digest", "count", "first", "windows"))
+                                   .alias("spots"))
 
     def run(part):
         w = words_of(part.column("text"))
-        rows: list[tuple] = []
         data = w.data.tobytes()
         spots = part.column("spots")
-        flat = spots.values
-        bound = spots.offsets.to_numpy()
-        first, windows = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("first", "windows"))
-        size = np.diff(bound)
+        flat, bound = spots.values, spots.offsets.to_numpy()
         kept = slice(int(bound[0]), int(bound[-1]))
-        a = np.repeat(w.bounds[:-1], size) + first[kept]
-        lo, hi = w.start[a].tolist(), w.end[a + windows[kept] + width - 2].tolist()
-        text = [data[i:j] for i, j in zip(lo, hi, strict=True)]
-        cols = [flat.field("key")[kept], pa.array([_digest(t) for t in text], pa.binary()),
-                flat.field("windows")[kept]]
-        if with_text:
-            return pa.RecordBatch.from_arrays([*cols, pa.array(text, pa.binary())],
-                                              ["key", "digest", "windows", "text"])
-        ids = part.column("id").take(pa.array(np.repeat(np.arange(part.num_rows), size)))
-        return pa.RecordBatch.from_arrays([*cols, ids, flat.field("first")[kept]],
-                                          ["key", "digest", "windows", "id", "first"])
-
-    schema = "key long, digest binary, windows int, " + ("text binary" if with_text else f"id {kind}, first int")
-    return joined.mapInArrow(arrow_map(run), schema)
+        first, windows = (flat.field(k).to_numpy(zero_copy_only=False)[kept] for k in ("first", "windows"))
+        a = np.repeat(w.bounds[:-1], np.diff(bound)) + first
+        text = [data[i:j] for i, j in zip(w.start[a].tolist(), w.end[a + windows + width - 2].tolist(), strict=True)]
+        return pa.RecordBatch.from_arrays(
+            [flat.field("key")[kept], flat.field("digest")[kept], flat.field("count")[kept],
+             pa.array(text, pa.binary())], ["key", "digest", "count", "text"])
+
+    return (docs.select("id", "text").join(spots, "id").select("text", "spots")
+            .mapInArrow(arrow_map(run), "key long, digest binary, count long, text binary"))
 
 
 def _index_shards(width: int):
@@ -173,16 +167,15 @@ def _index_shards(width: int):
 
     def search(rows: list[tuple]) -> list[tuple]:
         key, digest, count, text = zip(*rows, strict=True)
-        words = [t.split() for t in text]
-        size = np.array([len(x) for x in words])
-        flat = np.array([x for p in words for x in p], object)
-        code = {x: i for i, x in enumerate(dict.fromkeys(flat))}
+        w = words_of(pa.array(text, pa.large_binary()))
+        size = np.diff(w.bounds)
+        code = np.unique(w.hash, return_inverse=True)[1]
         ends = np.cumsum(size) + np.arange(len(size))           # a separator after every passage
         s = np.zeros(int(size.sum()) + len(size), np.int64)
         body = np.ones(len(s), bool)
         body[ends] = False
-        s[body] = np.fromiter((code[x] for x in flat), np.int64, len(flat)) + len(size)
-        s[ends] = np.arange(len(size))                          # each its own symbol
+        s[body] = code + 1
+        s[ends] = 0
         index = FMIndex(s, width)
         begin = ends - size
         windows = size - width + 1
@@ -243,16 +236,17 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, hot: int = HOT) -> DataF
     id and of the passages are written once and read by each use."""
     keys = keys_of(docs, width)
     often = keys.groupBy("key").agg(F.sum("times").alias("n")).filter("n > 1").select("key")
-    wanted = keys.join(often, "key").select("id", "key", "first", "windows")
-    distinct = stored(_passages(docs, wanted, width, True).groupBy("key", "digest")
-                      .agg(F.count("*").alias("count"), F.min("text").alias("text")), "passages")
-    hot_keys = distinct.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > hot).select("key")
+    wanted = stored(keys.join(often, "key").drop("times"), "dedup-passages")
+    reps = (wanted.groupBy("key", "digest")
+            .agg(F.count("*").alias("count"), F.min(F.struct("id", "first", "windows")).alias("at"))
+            .select("key", "digest", "count", "at.*"))
+    hot_keys = (reps.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > hot).select("key"))
     shards = shuffle_width(docs.sparkSession)
-    found = (distinct.join(hot_keys, "key", "left_anti").repartition(shards, "key").sortWithinPartitions("key")
+    warm = _passages(docs, reps.join(hot_keys, "key", "left_anti"), width)
+    found = (warm.repartition(shards, "key").sortWithinPartitions("key")
              .mapInArrow(_index_shards(width), "key long, digest binary, lo int, hi int"))
-    found = found.unionByName(_hot_windows(distinct.join(hot_keys, "key", "left_semi"), width))
-    spots = _passages(docs, wanted, width, False)
-    return (spots.join(found, ["key", "digest"])
+    found = found.unionByName(_hot_windows(_passages(docs, reps.join(hot_keys, "key", "left_semi"), width), width))
+    return (wanted.join(found, ["key", "digest"])
             .select("id", (F.col("first") + F.col("lo")).alias("lo"), (F.col("first") + F.col("hi")).alias("hi")))
 
 

@@ -94,7 +94,7 @@ def words_of(texts: pa.Array, lower: bool = False, loose: bool = False) -> Words
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     if texts.null_count:
-        texts = texts.fill_null("")
+        texts = texts.fill_null(b"" if pa.types.is_binary(texts.type) or pa.types.is_large_binary(texts.type) else "")
     wide = pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type)
     n = len(texts)
     _, off_buf, data_buf = texts.buffers()
