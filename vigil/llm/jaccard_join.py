@@ -11,17 +11,18 @@ inequality bound where a document's partners (distance at most ``tau``) can be.
    first n - ceil((1 - tau) n) + 1 pivots: two sets within ``tau`` share one of
    these. Any order gives exact results; "rarer" is judged by a fixed-size
    count sketch over all documents, so that common passages attract nobody.
-3. Each region, cut where its sizes leave a gap that no link can cross,
-   contributes a star of candidate edges around its smallest class; two linked
-   documents always share a star. Components of the stars
-   (large-star / small-star joins) are the groups.
+3. Within a region, cut where its sizes leave a gap that no link can cross,
+   members whose parity sketches (a lower bound of the distance) don't rule a
+   link out are joined by candidate edges, as many as members. Components of
+   the edges (large-star / small-star joins) are the groups.
 4. Within a group pivots are documents: members go to their nearest pivot's
    Voronoi region and, by the triangle inequality, to each region whose pivot
-   is within the nearest distance + 2 tau. Regions split recursively until
-   small or no longer shrinking; a leaf grows exact components by comparing
-   each reached member with the members not yet reached, through an inverted
-   index. Groups beyond ``max_group`` classes are split by pivots in Spark
-   first, in salted parts, before any task takes a region.
+   is within the nearest distance + 2 tau; those that share nothing with any
+   pivot form a region of the far. Regions split recursively until small or no
+   longer shrinking; a leaf grows exact components by comparing each reached
+   member with the members not yet reached, through an inverted index. Groups
+   beyond ``max_group`` shingles are split by pivots in Spark first, in salted
+   parts, before any task takes a region.
 
 No pairs are listed, and copies never leave their class. The result is one row
 per document with its component.
@@ -52,13 +53,22 @@ from vigil.llm.words import mix, words_of
 SHINGLE = 4
 PERCENT = 85
 SKETCH_BITS = 22
-MAX_GROUP = 4096
+#: Shingles of a group up to which one task takes it whole.
+MAX_GROUP = 1 << 21
+#: Rows of a region up to which its members are compared by parity sketches.
+MAX_REGION = 20_000
 _BLOCK_BITS = 14
 
 
 def shingle_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text."""
-    w = words_of(texts, lower=True)
+    out: list[np.ndarray] = []
+    for part in text_slices(pa.RecordBatch.from_arrays([texts], ["text"])):
+        out += _sets(words_of(part.column("text"), lower=True), n)
+    return out
+
+
+def _sets(w, n: int) -> list[np.ndarray]:
     grams = w.grams(n)
     out = []
     for a, b in zip(w.bounds[:-1].tolist(), w.bounds[1:].tolist(), strict=True):
@@ -120,31 +130,104 @@ def rarity_sketch(docs: DataFrame, n: int) -> np.ndarray:
     return total.ravel()
 
 
+def parity(s: np.ndarray) -> bytes:
+    """Parity of the number of shingles in each of 2^k >= n hash buckets. Two
+    sets differ in at least as many shingles as their parities differ in."""
+    bits = max(64, 1 << (len(s) - 1).bit_length())
+    odd = np.bincount((mix(s) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
 def classes(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """(id, n_shingles, class, window): the hash of the set and its first pivots."""
+    """(id, n_shingles, class, window, parity): the set's hash, first pivots and parities."""
     sent = docs.sparkSession.sparkContext.broadcast(
         np.minimum(rarity_sketch(docs, n), np.iinfo(np.uint32).max).astype(np.uint32))
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(part):
         sketch = sent.value
-        size, name, window = [], [], []
+        size, name, window, odd = [], [], [], []
         for s in shingle_sets(part.column("text"), n):
             size.append(len(s))
             if not len(s):
                 name.append(None)
                 window.append(None)
+                odd.append(None)
                 continue
             name.append(xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63))
             keep = len(s) - (percent * len(s) + 99) // 100 + 1
             rare = sketch[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
             window.append(s[np.lexsort((mix(s), rare))[:keep]].view(np.int64))
+            odd.append(parity(s))
         return pa.RecordBatch.from_arrays(
             [part.column("id"), pa.array(size, pa.int64()), pa.array(name, pa.int64()),
-             pa.array(window, pa.list_(pa.int64()))], ["id", "n_shingles", "class", "window"])
+             pa.array(window, pa.list_(pa.int64())), pa.array(odd, pa.binary())],
+            ["id", "n_shingles", "class", "window", "parity"])
 
     return docs.select("id", "text").mapInArrow(
-        arrow_map(run), f"id {kind}, n_shingles long, class long, window array<long>")
+        arrow_map(run), f"id {kind}, n_shingles long, class long, window array<long>, parity binary")
+
+
+def _near(percent: int, max_region: int):
+    """Edges (class, root) among each region's members whose parities don't
+    rule a link out; rows sorted by region."""
+    def close(members: list[tuple[int, int, int, int]]) -> Iterator[tuple[int, int]]:
+        free = list(range(1, len(members)))
+        todo, root = [0], members[0][2]
+        while True:
+            while todo and free:
+                n, width, _, bits = members[todo.pop()]
+                stay = []
+                for k in free:
+                    m, other_width, name, other = members[k]
+                    a, b = _fold(bits, width, other_width), _fold(other, other_width, width)
+                    if (100 + percent) * (a ^ b).bit_count() <= (100 - percent) * (n + m):
+                        todo.append(k)
+                        yield name, root
+                    else:
+                        stay.append(k)
+                free = stay
+            if not free:
+                return
+            first = free.pop(0)
+            todo, root = [first], members[first][2]
+
+    def run(batches):
+        last, members, edges, large = None, [], [], False
+
+        def out():
+            a, b = zip(*edges, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            for p, r, c, n, bits in zip(*(batch.column(k).to_pylist() for k in
+                                          ("pivot", "run", "class", "n_shingles", "parity")), strict=True):
+                if (p, r) != last:
+                    edges.extend(close(members) if len(members) > 1 else ())
+                    last, members, large = (p, r), [], False
+                    if len(edges) > 10_000:
+                        yield out()
+                        edges.clear()
+                if large:
+                    edges.append((c, members[0][2]))
+                    continue
+                members.append((n, len(bits) * 8, c, int.from_bytes(bits, "little")))
+                if len(members) > max_region:  # compared later: all go with the first
+                    edges.extend((m[2], members[0][2]) for m in members[1:])
+                    members, large = members[:1], True
+        edges.extend(close(members) if len(members) > 1 else ())
+        if edges:
+            yield out()
+
+    return run
+
+
+def _fold(bits: int, width: int, to: int) -> int:
+    """Parities over half as many buckets, until ``to``."""
+    while width > to:
+        width //= 2
+        bits = (bits ^ (bits >> width)) & ((1 << width) - 1)
+    return bits
 
 
 class Group:
@@ -216,12 +299,14 @@ class Group:
             far = np.minimum(far, d)
             p = int(members[int(far.argmax())])
         dist = np.array(dist)
-        inside = dist <= dist.min(0) + 2 * self.tau + 1e-9
+        least = dist.min(0)
+        inside = (dist <= least + 2 * self.tau + 1e-9) & (dist < 1)
+        inside = np.vstack([inside, least >= 1 - self.tau - 1e-9])  # and the far
         if inside.sum(1).max() > .7 * len(members):
             return self.grow(members, label)
-        for k in range(pivots):
-            if inside[k].any():
-                self.join(members[inside[k]], label, leaf, pivots)
+        for region in inside:
+            if region.any():
+                self.join(members[region], label, leaf, pivots)
         return None
 
 
@@ -276,12 +361,12 @@ def _resolve(n: int, percent: int):
     return run
 
 
-def _split_large(members: DataFrame, sizes: DataFrame, n: int, percent: int, max_group: int) -> DataFrame:
+def _split_large(large: DataFrame, n: int, percent: int, max_group: int) -> DataFrame:
     """Members of large groups, spread over their pivots' regions: the group
     becomes ``group:pivot``. Distances are computed in salted parts that each
-    get the group's (at most 16) pivots."""
-    large = members.join(sizes.filter(F.col("members") > max_group), "group")
-    parts = F.ceil(F.col("members") / 1024).cast("int")
+    get the group's (at most 16) pivots. A member that shares nothing with any
+    pivot, or hardly anything, goes to the region of the far."""
+    parts = F.ceil(F.col("members") * 4 / max_group).cast("int")
     slot = F.pmod(F.xxhash64("class"), F.lit(16))
     pivots = (large.groupBy("group", slot.alias("slot"))
               .agg(F.min(F.struct("class", "text")).alias("p"), F.first("members").alias("members")))
@@ -290,46 +375,53 @@ def _split_large(members: DataFrame, sizes: DataFrame, n: int, percent: int, max
     rows = large.withColumn("part", F.pmod(F.xxhash64("class", F.lit(1)), parts).cast("int"))
 
     def assign(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        texts = pd.concat([right["pivot_text"], left["text"]])
+        texts = [*right["pivot_text"], *left["text"]]
         group = Group(shingle_sets(pa.array(texts, pa.large_string()), n), percent)
         dist = np.array([group.distance(k)[len(right):] for k in range(len(right))])
-        near, row = np.nonzero(dist <= dist.min(0) + 2 * group.tau + 1e-9)
-        name = right["pivot"].to_numpy()[near]
-        out = left.iloc[row][["group", "class", "text"]].reset_index(drop=True)
-        return out.assign(group=[f"{g}:{p}" for g, p in zip(out["group"], name, strict=True)])
+        least = dist.min(0)
+        near, row = np.nonzero((dist <= least + 2 * group.tau + 1e-9) & (dist < 1))
+        far = np.flatnonzero(least >= 1 - group.tau - 1e-9)
+        row = np.concatenate([row, far])
+        name = [*right["pivot"].to_numpy()[near], *["far"] * len(far)]
+        home, text = left["group"].tolist(), left["text"].tolist()
+        return pd.DataFrame({"group": pd.Series([f"{home[i]}:{p}" for i, p in zip(row, name, strict=True)], dtype=object),
+                             "class": left["class"].to_numpy()[row],
+                             "text": pd.Series([text[i] for i in row], dtype=object)})
 
     return (rows.groupBy("group", "part").cogroup(sent.groupBy("home", "share"))
             .applyInPandas(assign, "group string, class long, text string"))
 
 
 def jaccard_components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, key: str = "doc_id",
-                       max_group: int = MAX_GROUP) -> DataFrame:
+                       max_group: int = MAX_GROUP, max_region: int = MAX_REGION) -> DataFrame:
     """(key, n_shingles, component_id) of every document: 100 * intersection
     >= percent * union links two documents."""
     src = only(docs, id=key, text="text")
     table = stored(classes(src, n, percent), "classes")
-    named = table.select("class", "n_shingles", F.explode("window").alias("pivot"))
+    named = table.select("class", F.explode("window").alias("pivot"))
     shared = (named.groupBy("pivot").agg(F.min("class").alias("low"), F.max("class").alias("high"))
               .filter("low <> high").select("pivot"))
-    # no link crosses a gap in a region's sizes: each run of sizes is a star of its own
+    sketch = table.filter("class is not null").groupBy("class").agg(F.first("n_shingles").alias("n_shingles"),
+                                                                   F.first("parity").alias("parity"))
+    region = named.join(shared, "pivot").distinct().join(sketch, "class")
+    # no link crosses a gap in a region's sizes
     by_size = Window.partitionBy("pivot").orderBy("n_shingles", "class")
     gap = F.col("n_shingles") * percent > 100 * F.coalesce(F.lag("n_shingles").over(by_size), "n_shingles")
-    region = stored(named.join(shared, "pivot").distinct()
-                    .withColumn("run", F.sum(gap.cast("int")).over(by_size)), "regions")
-    stars = region.groupBy("pivot", "run").agg(F.min("class").alias("low"))
-    edges = (region.join(stars, ["pivot", "run"]).filter("class <> low")
-             .select(F.col("class").alias("a"), F.col("low").alias("b")).distinct())
+    edges = (region.withColumn("run", F.sum(gap.cast("int")).over(by_size))
+             .mapInArrow(_near(percent, max_region), "a long, b long").distinct())
     groups = components(stored(edges, "stars"))
-    least = table.filter("class is not null").groupBy("class").agg(F.min("id").alias("id"))
+    least = table.filter("class is not null").groupBy("class").agg(F.min("id").alias("id"),
+                                                                  F.first("n_shingles").alias("n_shingles"))
     chosen = groups.select(F.col("node").alias("class"), F.col("component").alias("group"))
-    members = stored(src.join(chosen.join(least, "class"), "id")
-                     .select("group", "class", "text").dropDuplicates(["class"]), "members")
-    sizes = members.groupBy("group").agg(F.count("*").alias("members"))
-    small = (members.join(sizes.filter(F.col("members") <= max_group), "group")
+    taken = stored(chosen.join(least, "class"), "chosen")
+    sizes = taken.groupBy("group").agg(F.sum("n_shingles").alias("members"))
+    members = src.join(taken.join(sizes, "group"), "id").select("group", "class", "text", "members")
+    members = stored(members.dropDuplicates(["class"]), "members")
+    small = (members.filter(F.col("members") <= max_group)
              .select(F.col("group").cast("string").alias("group"), "class", "text"))
     tasks = small
     if sizes.filter(F.col("members") > max_group).limit(1).count():
-        tasks = small.unionByName(_split_large(members, sizes, n, percent, max_group))
+        tasks = small.unionByName(_split_large(members.filter(F.col("members") > max_group), n, percent, max_group))
     links = (tasks.repartition(shuffle_width(docs.sparkSession), "group").sortWithinPartitions("group")
              .mapInArrow(_resolve(n, percent), "a long, b long"))
     linked = components(stored(links, "links"))
