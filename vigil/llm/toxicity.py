@@ -25,7 +25,7 @@ any); repeated rows score alike; other input columns stay out.
 from __future__ import annotations
 
 import math
-from collections import defaultdict
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,13 +34,13 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm.common import arrow_map, crc_mod4, only, read
+from vigil.llm.common import arrow_map, crc_mod4, only, read, text_slices
 from vigil.llm.registry import register
 from vigil.llm.words import words_of
 
 HELD_OUT = 2
 THRESHOLD = 0.3
-MAX_ROWS = 20_000
+MAX_ROWS = 8_000
 _WORD = regex.compile(r"[^\W\d_]+")
 _STEMS = range(4, 9)
 
@@ -66,30 +66,33 @@ def _patterns(text: str, hits: int) -> tuple[float, ...]:
 def copy_weights(texts: list[str]) -> np.ndarray:
     """One over the number of texts that share a text's smallest 3-word hash,
     so that copies and near copies speak once."""
-    w = words_of(pa.array(texts, pa.large_string()), lower=True)
-    grams, ok = w.grams(3), w.after(3)
     key = np.arange(len(texts)).astype(np.uint64)  # fewer than 3 words: on its own
-    doc = w.doc[:len(grams)][ok[:len(grams)]]
-    if len(doc):
-        first = np.flatnonzero(np.diff(doc, prepend=-1))
-        key[doc[first]] = np.minimum.reduceat(grams[ok[:len(grams)]], first)
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string())], ["text"])
+    at = 0
+    for part in text_slices(batch):
+        w = words_of(part.column("text"), lower=True)
+        grams, ok = w.grams(3), w.after(3)
+        ok = ok[:len(grams)]
+        doc = w.doc[:len(grams)][ok]
+        if len(doc):
+            first = np.flatnonzero(np.diff(doc, prepend=-1))
+            key[at + doc[first]] = np.minimum.reduceat(grams[ok], first)
+        at += part.num_rows
     _, which, n = np.unique(key, return_inverse=True, return_counts=True)
     return 1 / n[which]
 
 
-def induce(found: list[set[str]], label: np.ndarray, weight: np.ndarray, keep: int = 4000,
-           least: float = 3) -> tuple[list[str], list[float]]:
+def induce(found: list[np.ndarray], names: list[str], label: np.ndarray, weight: np.ndarray,
+           keep: int = 4000, least: float = 3) -> tuple[list[str], list[float]]:
     """Entries that speak for the toxic class, strongest first, with their log-odds."""
-    toxic, clean = defaultdict(float), defaultdict(float)
-    for f, y, n in zip(found, label, weight.tolist(), strict=True):
-        into = toxic if y else clean
-        for w in f:
-            into[w] += n
+    flat = np.concatenate(found) if found else np.zeros(0, np.int64)
+    of = np.repeat(np.arange(len(found)), [len(f) for f in found])
+    sums = [np.bincount(flat, (weight * side)[of], len(names)) for side in (label, 1 - label)]
+    often = np.flatnonzero(sums[0] >= least)
+    toxic, clean = ({names[i]: float(t[i]) for i in often} for t in sums)
     n1, n0 = max(1., (weight * label).sum()), max(1., (weight * (1 - label)).sum())
     scored = []
     for w, k in toxic.items():
-        if k < least:
-            continue
         p1, p0 = (k + .1) / (n1 + .2), (clean.get(w, 0) + .5) / (n0 + 1)
         odds = math.log(p1 / p0)
         z = (k / n1 - clean.get(w, 0) / n0) / math.sqrt((k + clean.get(w, 0)) / (n1 + n0) * (1 / n1 + 1 / n0))
@@ -108,22 +111,20 @@ def induce(found: list[set[str]], label: np.ndarray, weight: np.ndarray, keep: i
     return list(kept), list(kept.values())
 
 
-def votes(found: list[set[str]], texts: list[str], lexicon: list[str], odds: list[float],
-          leading: int = 24) -> np.ndarray:
-    """Votes of every voter: 1 toxic, 0 clean, -1 abstains."""
-    weight = dict(zip(lexicon, odds, strict=True))
-    lead = lexicon[:leading]
-    out = np.full((len(found), leading + 5), -1, np.int8)
-    for i, (f, t) in enumerate(zip(found, texts, strict=True)):
-        hits = [weight[w] for w in f if w in weight]
+def votes(hits: list[list[int]], odds: list[float], texts: list[str], leading: int = 24) -> np.ndarray:
+    """Votes of every voter: 1 toxic, 0 clean, -1 abstains. ``hits``: the
+    lexicon entries of each text."""
+    out = np.full((len(hits), leading + 5), -1, np.int8)
+    for i, (hit, t) in enumerate(zip(hits, texts, strict=True)):
         words = max(1, t.count(" ") + 1)
-        for j, w in enumerate(lead):
-            if w in f:
+        total = sum(odds[j] for j in hit)
+        for j in hit:
+            if j < leading:
                 out[i, j] = 1
-        out[i, leading] = 1 if len(hits) >= 2 else 0 if not hits else -1
-        out[i, leading + 1] = 1 if sum(hits) > 6 else 0 if sum(hits) < 1 else -1
-        out[i, leading + 2] = 1 if max(hits, default=0) > 3.5 else 0 if not hits else -1
-        out[i, leading + 3] = 1 if len(hits) / words > .02 else 0 if len(hits) / words < .001 else -1
+        out[i, leading] = 1 if len(hit) >= 2 else 0 if not hit else -1
+        out[i, leading + 1] = 1 if total > 6 else 0 if total < 1 else -1
+        out[i, leading + 2] = 1 if any(odds[j] > 3.5 for j in hit) else 0 if not hit else -1
+        out[i, leading + 3] = 1 if len(hit) / words > .02 else 0 if len(hit) / words < .001 else -1
         out[i, leading + 4] = 1 if t.count("!") / words > .2 else -1
     return out
 
@@ -185,16 +186,21 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     if not len(y) or y.min() == y.max():
         share = float(y.mean()) if len(y) else 0.0
         return Model({}, (0., 0., 0.), math.log((share + 1e-9) / (1 - share + 1e-9)))
-    found = [features(t) for t in texts]
-    lexicon, odds = induce(found, y, copy_weights(texts))
+    often: Counter[str] = Counter()  # only what some toxic texts share can enter the lexicon
+    for t, toxic in zip(texts, y, strict=True):
+        if toxic:
+            often.update(features(t))
+    names = {w: i for i, w in enumerate(w for w, k in often.items() if k >= 3)}
+    del often
+    found = [np.array([names[w] for w in features(t) if w in names], np.int64) for t in texts]
+    lexicon, odds = induce(found, list(names), y, copy_weights(texts))
     if not lexicon:
         return Model({}, (0., 0., 0.), math.log((y.mean() + 1e-9) / (1 - y.mean() + 1e-9)))
-    post = label_model(votes(found, texts, lexicon, odds), y)
-    at = {w: i for i, w in enumerate(lexicon)}
-    data = []
-    for f, t in zip(found, texts, strict=True):
-        hit = [at[w] for w in f if w in at]
-        data.append((hit, _patterns(t, len(hit))))
+    at = np.full(len(names), -1)
+    at[[names[w] for w in lexicon]] = np.arange(len(lexicon))
+    hits = [at[f][at[f] >= 0].tolist() for f in found]
+    post = label_model(votes(hits, odds, texts), y)
+    data = [(hit, _patterns(t, len(hit))) for hit, t in zip(hits, texts, strict=True)]
     w, e, b = fit_linear(data, len(lexicon), post)
     return Model(dict(zip(lexicon, w.tolist(), strict=True)), tuple(e.tolist()), b)
 
