@@ -1,4 +1,4 @@
 """Imports every operator module so that its query is registered."""
 
-from vigil.llm import decontaminate, jaccard_join, substring_dedup, token_counts, toxicity, url_filter  # noqa: F401
+from vigil.llm import decontaminate, jaccard_join, pii, substring_dedup, token_counts, toxicity, url_filter  # noqa: F401
 from vigil.llm.registry import REGISTRY  # noqa: F401
