@@ -1,0 +1,12 @@
+import pytest
+from corpus_fixtures import SCHEMA, rows_of, sample_texts
+
+
+@pytest.fixture(scope="session")
+def make(spark):
+    return lambda texts: spark.createDataFrame(rows_of(texts), SCHEMA)
+
+
+@pytest.fixture(scope="session")
+def corpus():
+    return sample_texts()

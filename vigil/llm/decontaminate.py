@@ -243,6 +243,16 @@ def find_copies(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, blo
     return out
 
 
+def without_copies(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
+    """The rows, all columns as they are, in which no item is found. A row is
+    known by its id and the hash of its text, so that clashing ids stay apart."""
+    known = docs.select(F.struct(F.col("doc_id").alias("i"), F.xxhash64("text").alias("h")).alias("doc_id"), "text")
+    hits = find_copies(known, benchmark, share).select(
+        F.col("doc_id.i").alias("_id"), F.col("doc_id.h").alias("_hash")).distinct()
+    return docs.join(hits, docs["doc_id"].eqNullSafe(hits["_id"]) & (F.xxhash64(docs["text"]) == hits["_hash"]),
+                     "left_anti")
+
+
 @register("op5_decontaminate")
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items found in any document, with their alignment scores."""

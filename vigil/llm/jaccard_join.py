@@ -434,6 +434,21 @@ def jaccard_components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT
                     F.coalesce("component_id", "id").alias("component_id")))
 
 
+def one_of_each(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """The rows, all columns as they are, of which each group of linked
+    documents keeps the one of smallest id, and exact repeats of a row keep
+    one. Documents without shingles and those without an id stay."""
+    found = jaccard_components(docs, n, percent)
+    gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
+    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    text = F.xxhash64("text")
+    again = kept.filter("doc_id is not null").groupBy("doc_id", text.alias("h")).count().filter("count > 1")
+    if not again.limit(1).count():
+        return kept
+    one = kept.filter("doc_id is not null").withColumn("_hash", text).dropDuplicates(["doc_id", "_hash"])
+    return one.drop("_hash").unionByName(kept.filter("doc_id is null"))
+
+
 @register("op4_jaccard_join")
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents linked at a 4-shingle Jaccard of 0.85."""

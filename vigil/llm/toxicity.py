@@ -205,6 +205,13 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     return Model(dict(zip(lexicon, w.tolist(), strict=True)), tuple(e.tolist()), b)
 
 
+def _score(text: str | None, m: Model) -> float:
+    text = text or ""
+    hit = [m.weights[w] for w in features(text) if w in m.weights]
+    z = m.bias + sum(hit) + sum(a * b for a, b in zip(m.extra, _patterns(text, len(hit)), strict=True))
+    return 1 / (1 + math.exp(-max(-500., min(500., z))))
+
+
 def score(docs: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:
     """(key, score) of every whole text."""
     src = only(docs, key=key, text="text")
@@ -212,18 +219,24 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
-        m = sent.value
-        out = []
-        for t in part.column("text").to_pylist():
-            t = t or ""
-            hit = [m.weights[w] for w in features(t) if w in m.weights]
-            z = m.bias + sum(hit) + sum(a * b for a, b in zip(m.extra, _patterns(t, len(hit)), strict=True))
-            out.append(1 / (1 + math.exp(-max(-500., min(500., z)))))
+        out = [_score(t, sent.value) for t in part.column("text").to_pylist()]
         return pa.RecordBatch.from_arrays([part.column("key"), pa.array(out, pa.float64())], ["key", "score"])
 
     return src.mapInArrow(arrow_map(run), f"key {kind}, score double").withColumnRenamed("key", key)
 
 
+def clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows, all columns as they are, whose text scores below the threshold."""
+    at = docs.columns.index("text")
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(part: pa.RecordBatch) -> pa.RecordBatch:
+        keep = [_score(t, sent.value) < threshold for t in part.column(at).to_pylist()]
+        return part.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(arrow_map(run), docs.schema)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every document."""
     scored = score(docs, fit(docs, labels, max_rows))
