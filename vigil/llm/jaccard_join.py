@@ -415,7 +415,8 @@ def jaccard_components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT
     chosen = groups.select(F.col("node").alias("class"), F.col("component").alias("group"))
     taken = stored(chosen.join(least, "class"), "chosen")
     sizes = taken.groupBy("group").agg(F.sum("n_shingles").alias("members"))
-    members = src.join(taken.join(sizes, "group"), "id").select("group", "class", "text", "members")
+    # texts move by id at every size, whether or not the few ids would fit a broadcast
+    members = src.hint("merge").join(taken.join(sizes, "group"), "id").select("group", "class", "text", "members")
     members = stored(members.dropDuplicates(["class"]), "members")
     small = (members.filter(F.col("members") <= max_group)
              .select(F.col("group").cast("string").alias("group"), "class", "text"))
