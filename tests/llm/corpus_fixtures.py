@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, key int, word double"
 
 
@@ -32,3 +34,13 @@ def sample_texts():
     odd = ["", None, "One", "one", "two words", "  \t\n ", "A b c d", "a B c d", "x " * 90, prose(rng, 3000),
            "ünï ÇØdé " * 12, base[0].upper()]
     return base + near + mixed + odd + base[:3]
+
+
+@pytest.fixture(scope="session")
+def make(spark):
+    return lambda texts: spark.createDataFrame(rows_of(texts), SCHEMA)
+
+
+@pytest.fixture(scope="session")
+def corpus():
+    return sample_texts()

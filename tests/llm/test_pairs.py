@@ -5,12 +5,12 @@ import random
 
 import numpy as np
 import pytest
+from corpus_fixtures import corpus, make, prose  # noqa: F401  (fixtures)
 
 from vigil.llm import decontaminate, jaccard_join, substring_dedup
 from vigil.llm.fm_index import FMIndex, suffix_array
 from vigil.llm.graph import components
 
-from corpus_fixtures import prose
 
 
 def words(text):

@@ -4,6 +4,7 @@ import re
 
 import corpus_pipeline
 import pytest
+from corpus_fixtures import make  # noqa: F401  (fixtures)
 
 import __spark_entry__ as entry
 

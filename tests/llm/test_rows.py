@@ -9,7 +9,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
-from corpus_fixtures import prose
+from corpus_fixtures import make, prose  # noqa: F401  (fixtures)
 from tokenizers import Tokenizer
 
 from vigil.llm import fingerprints, licenses, mixing, pii, token_counts, toxicity, url_filter
