@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from conftest import points_df
 from vigil.config import MODE_BOTH, MODE_DOWN, MODE_UP, MadConfig
 from vigil.operators.mad import detect_anomalies, mad_detect
+from vigil.schemas import SERIES_KEY
 from vigil.streaming.detector import window_stats
 
 
@@ -185,7 +186,7 @@ def test_auto_chunking_cuts_only_hot_series(spark):
     from vigil.operators.mad import _normalize_keys, _with_chunk, plan_chunks
     pts = _normalize_keys(points_df(spark, _rand_rows()), ["source", "metric_name", "env", "region"])
     plan = plan_chunks(pts, target_rows=100)
-    assert plan is not None and plan.count() == 1           # only "hot" exceeds 100 points
+    assert plan is not None and {r.source for r in plan.levels[0].collect()} == {"hot"}
     chunks = {(r.source, r.k) for r in _with_chunk(pts, plan).groupBy("source")
               .agg(F.countDistinct("_chunk").alias("k")).collect()}
     hot = dict(chunks)
@@ -193,15 +194,22 @@ def test_auto_chunking_cuts_only_hot_series(spark):
     assert plan_chunks(pts, target_rows=10_000) is None
 
 
-def test_auto_chunking_global_width_fallback(spark, monkeypatch):
-    import vigil.operators.mad as M
-    rows = [((f"s{k}", "m", "e", "r"), k * 1000 + i, i * 7, float((i * 37) % 23)) for k in range(4)
-            for i in range(150)]
-    pts = points_df(spark, rows)
-    monkeypatch.setattr(M, "HOT_SERIES_BROADCAST_MAX", 2)     # 4 hot series > 2: global width
-    plan = M.plan_chunks(M._normalize_keys(pts, list(M.SERIES_KEY)), target_rows=40)
-    assert isinstance(plan, int) and plan >= 1
-    cfg = MadConfig(window_size=15, warmup=3)
-    a = mad_detect(pts, cfg, chunk_seconds=None)
-    b = mad_detect(pts, cfg, chunk_seconds="auto", target_chunk_rows=40)
-    assert a.exceptAll(b).count() == 0 and b.count() == 600
+@pytest.mark.parametrize("shape", ["stray", "second", "burst"])
+def test_planned_chunks_are_bounded(spark, shape):
+    """No chunk holds more than twice the target, however time is spread, and
+    chunk order is (timestamp, seq) order."""
+    from vigil.operators.mad import _normalize_keys, _with_chunk, plan_chunks
+    ts = {"stray": lambda i: 0 if i == 7 else 1_700_000_000 + i, "second": lambda i: 1_700_000_000 + i // 900,
+          "burst": lambda i: 1_700_000_000 + (i * 997 if i % 3 == 0 else i % 50)}[shape]
+    rows = [(i * 5, ts(i), float(i % 11)) for i in range(2000)]
+    pts = _normalize_keys(points_df(spark, rows), list(SERIES_KEY))
+    got = _with_chunk(pts, plan_chunks(pts, target_rows=100)).select("timestamp", "seq", "_chunk").collect()
+    sizes = {}
+    for r in got:
+        sizes[r["_chunk"]] = sizes.get(r["_chunk"], 0) + 1
+    assert len(got) == 2000 and max(sizes.values()) <= 200 and len(sizes) >= 10
+    order = [r["_chunk"] for r in sorted(got, key=lambda r: (r.timestamp, r.seq))]
+    assert order == sorted(order)
+    a = mad_detect(pts, MadConfig(window_size=10), chunk_seconds=None)
+    b = mad_detect(pts, MadConfig(window_size=10), target_chunk_rows=100)
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))

@@ -44,6 +44,8 @@ per-chunk halo summaries carry it across chunk boundaries.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -57,59 +59,76 @@ ORDER_COLS = ("timestamp", "seq")
 DEFAULT_TARGET_CHUNK_ROWS = 2_000_000
 
 
-HOT_SERIES_BROADCAST_MAX = 200_000
+#: Seconds of a first-level bucket of a hot series.
+BUCKET_SECONDS = 3600
 
 
-def plan_chunks(points: DataFrame, keys=SERIES_KEY,
-                target_rows: int = DEFAULT_TARGET_CHUNK_ROWS):
-    """Decide how to cut series into chunks.
-
-    Returns ``None`` when no series has more than ``target_rows`` points (no
-    splitting is needed). Otherwise only the *hot* series are chunked, each
-    with its own width (about ``target_rows`` points per chunk); all other
-    series stay whole (chunk 0), so sparse series are never cut into tiny
-    chunks whose halos would copy each row W-1 times. The hot-series table
-    (keys, width) has at most total_rows / target_rows rows; it is returned
-    as a DataFrame to broadcast when its row count is at most
-    ``HOT_SERIES_BROADCAST_MAX``, else one global width (that of the densest
-    series) is returned as an int.
+@dataclass(frozen=True)
+class ChunkPlan:
+    """Where the hot series are cut. ``levels`` holds one to three tables of
+    (keys, level columns, _cut): the chunk of each bucket of a hot series, null
+    where the next level divides the bucket further."""
+    levels: tuple[DataFrame, ...]
+    seq_width: int
 
-    Cost: a metadata-only count on parquet input, and when that exceeds
-    ``target_rows`` one aggregation job (combined map-side, so a hot series
-    is folded before the shuffle) plus a count of the hot series."""
-    if points.count() <= target_rows:
-        return None
-    per_series = points.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_c"),
-        (F.max("timestamp") - F.min("timestamp") + 1).alias("_span"))
-    hot = (per_series.filter(F.col("_c") > F.lit(target_rows))
-           .select(*keys, F.greatest(F.lit(1).cast("long"), F.floor(
-               F.lit(float(target_rows)) * F.col("_span") / F.col("_c")).cast("long")).alias("_width")))
-    # stored once (small), so the plan that broadcasts it does not re-run
-    # the aggregation over all points
-    hot = store_table(hot, "hot-series")
-    n_hot = hot.count()
-    if n_hot == 0:
-        return None
-    if n_hot <= HOT_SERIES_BROADCAST_MAX:
-        return hot
-    return int(hot.agg(F.min("_width")).first()[0])
 
+def _level_column(level: int, seq_width: int):
+    """What a level's buckets are: hours, seconds of dense hours, and ranges of
+    ``seq`` within dense seconds."""
+    return (F.floor(F.col("timestamp") / F.lit(BUCKET_SECONDS)), F.col("timestamp"),
+            F.floor(F.col("seq") / F.lit(seq_width)))[level]
 
-def plan_chunk_seconds(points: DataFrame, keys=SERIES_KEY,
-                       target_rows: int = DEFAULT_TARGET_CHUNK_ROWS) -> int | None:
-    """One global chunk width (that of the densest series), or ``None`` when
-    no series has more than ``target_rows`` points."""
+
+def plan_chunks(points: DataFrame, keys=SERIES_KEY,
+                target_rows: int = DEFAULT_TARGET_CHUNK_ROWS) -> ChunkPlan | None:
+    """Decide how to cut series into chunks of at most twice ``target_rows``
+    rows, whatever their distribution in time.
+
+    Returns ``None`` when no series has more than ``target_rows`` points.
+    Otherwise the *hot* series are counted by hour; hours above the target are
+    counted again by second, and seconds above it by ranges of ``seq``, which is
+    unique, so a range of ``target_rows / 2`` numbers cannot hold more rows. The
+    buckets' running count in (timestamp, seq) order, divided by the target,
+    numbers the chunks. Bursts, one stray old timestamp, or millions of
+    points in one second are cut alike. All other series stay whole (chunk 0).
+
+    Cost: a metadata-only count on parquet input, and when that exceeds
+    ``target_rows`` one map-side combined aggregation, plus one for each level
+    that is needed. The tables have one row per bucket of a hot series."""
+    keys = list(keys)
     if points.count() <= target_rows:
         return None
-    per_series = points.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("c"),
-        (F.max("timestamp") - F.min("timestamp") + 1).alias("span"))
-    row = per_series.agg(F.max("c").alias("max_c"),
-                         F.max(F.col("c") / F.col("span")).alias("max_density")).first()
-    if row is None or row["max_c"] is None or row["max_c"] <= target_rows:
+    seq_width = max(1, target_rows // 2)
+    cols = ["_hour", "_second", "_range"]
+    level = lambda df, n: df.withColumn(cols[n], F.coalesce(
+        _level_column(n, seq_width), F.lit(0)).cast("long"))
+    hours = store_table(level(points, 0).groupBy(*keys, "_hour").agg(F.count(F.lit(1)).alias("_c")), "hours")
+    hot = hours.groupBy(*keys).agg(F.sum("_c").alias("_s")).filter(F.col("_s") > target_rows).select(*keys)
+    counts = [store_table(hours.join(hot, keys, "left_semi"), "hot-hours")]
+    if not counts[0].limit(1).count():
         return None
-    return max(1, int(target_rows / row["max_density"]))
+    rows = level(points, 0)
+    while len(counts) < 3:
+        n = len(counts)
+        dense = counts[-1].filter(F.col("_c") > target_rows).select(*keys, *cols[:n])
+        if not dense.limit(1).count():
+            break
+        rows = level(rows.join(dense, [*keys, *cols[:n]], "left_semi"), n)
+        counts.append(store_table(rows.groupBy(*keys, *cols[:n + 1]).agg(F.count(F.lit(1)).alias("_c")), "dense"))
+    leaves = None
+    for n, table in enumerate(counts):
+        leaf = table if n == len(counts) - 1 else table.filter(F.col("_c") <= target_rows)
+        leaf = leaf.select(*keys, *cols[:n + 1], *(F.lit(None).cast("long").alias(c) for c in cols[n + 1:]), "_c",
+                           F.lit(n).alias("_level"))
+        leaves = leaf if leaves is None else leaves.unionByName(leaf)
+    before = Window.partitionBy(*keys).orderBy(*cols).rowsBetween(Window.unboundedPreceding, -1)
+    leaves = store_table(leaves.withColumn("_cut", F.floor(
+        F.coalesce(F.sum("_c").over(before), F.lit(0)) / F.lit(target_rows)).cast("long")), "cuts")
+    tables = []
+    for n in range(len(counts)):
+        table = leaves.filter(F.col("_level") == n).select(*keys, *cols[:n + 1], "_cut")
+        tables.append(table)
+    return ChunkPlan(tuple(tables), seq_width)
 
 
 def _normalize_keys(points: DataFrame, keys) -> DataFrame:
@@ -135,19 +154,23 @@ def _chunk_table(pts: DataFrame, keys) -> DataFrame:
             .drop("_cnt"))
 
 
-def _with_chunk(points: DataFrame, chunks) -> DataFrame:
+def _with_chunk(points: DataFrame, chunks: int | ChunkPlan) -> DataFrame:
     """Add ``_chunk``: ``floor(timestamp / width)`` with one global width
-    (int), or per hot series from a (keys, _width) table (broadcast; its size
-    was checked by ``plan_chunks``) with chunk 0 for every other series.
-    The column is non-nullable, so joins on it infer no extra filter that
-    would make the candidate branch's exchange differ from the main one."""
-    if isinstance(chunks, DataFrame):
-        keys = [c for c in chunks.columns if c != "_width"]
-        j = points.join(F.broadcast(chunks), keys, "left")
-        chunk = F.when(F.col("_width").isNull(), F.lit(0).cast("long")).otherwise(
-            F.floor(F.col("timestamp") / F.col("_width")))
-        return (j.withColumn("_chunk", F.coalesce(chunk, F.lit(0).cast("long")))
-                .drop("_width").select(*points.columns, "_chunk"))
+    (int), or the planned chunk of the hot series and 0 for every other one.
+    The plan's tables are joined on series and bucket; Spark chooses the join
+    by their size and splits skewed sides. The column is non-nullable, so joins
+    on it infer no extra filter that would make the candidate branch's exchange
+    differ from the main one."""
+    if isinstance(chunks, ChunkPlan):
+        cols = ["_hour", "_second", "_range"][:len(chunks.levels)]
+        keys = [c for c in chunks.levels[0].columns if not c.startswith("_")]
+        j, cuts = points, []
+        for n, table in enumerate(chunks.levels):
+            j = j.withColumn(cols[n], F.coalesce(_level_column(n, chunks.seq_width), F.lit(0)).cast("long"))
+            j = j.join(table.withColumnRenamed("_cut", f"_cut{n}"), [*keys, *cols[:n + 1]], "left")
+            cuts.append(F.col(f"_cut{n}"))
+        return (j.withColumn("_chunk", F.coalesce(*cuts, F.lit(0).cast("long")))
+                .select(*points.columns, "_chunk"))
     return points.withColumn("_chunk", F.coalesce(
         F.floor(F.col("timestamp") / F.lit(int(chunks))), F.lit(0).cast("long")))
 
@@ -338,9 +361,9 @@ def mad_detect(points: DataFrame, cfg: MadConfig | None = None, *, keys=SERIES_K
 
     ``points`` needs the series key columns, ``timestamp`` (unix seconds),
     ``seq`` (unique tie-breaker) and ``value``. ``chunk_seconds``: ``"auto"``
-    cuts only the series with more than ``target_chunk_rows`` points, each
-    with its own width (no chunking when every series is small); ``None``
-    disables chunking; an int cuts every series with that width.
+    cuts only the series with more than ``target_chunk_rows`` points, by
+    counts (see ``plan_chunks``); ``None`` disables chunking; an int cuts every
+    series with that width.
 
     ``engine="sql"`` (default) keeps everything in built-in expressions;
     ``engine="numpy"`` runs the same arithmetic with the numpy kernel over
