@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vigil.functions.arrays import materialize
+from vigil.operators.ingest import wrongly_typed
 from vigil.config import DEFAULT_PRODUCER, DETECTOR_NAME, EVENT_TYPE, EVENT_VERSION
 from vigil.schemas import DATA_FIELD_NAMES, ENVELOPE_SCHEMA
 
@@ -98,6 +99,19 @@ _JSON_OPTS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt",
               "allowNonNumericNumbers": "false"}
 
 
+def _text_paths(schema: T.StructType, prefix: str = "$") -> list[str]:
+    out = []
+    for f in schema.fields:
+        if isinstance(f.dataType, T.StructType):
+            out += _text_paths(f.dataType, f"{prefix}.{f.name}")
+        elif isinstance(f.dataType, T.StringType):
+            out.append(f"{prefix}.{f.name}")
+    return out
+
+
+_TEXT_PATHS = _text_paths(ENVELOPE_SCHEMA)
+
+
 def int32_wrap(c: Column) -> Column:
     """Narrow a 64-bit integer to 32 bits with two's-complement wrap-around."""
     return (F.pmod(c + F.lit(2 ** 31), F.lit(2 ** 32)) - F.lit(2 ** 31)).cast("int")
@@ -111,7 +125,7 @@ def decode_envelope(df: DataFrame, payload: str = "payload") -> tuple[DataFrame,
     keep the input columns plus ``reason``."""
     e = F.col("_env")
     parsed = materialize(df, "_env", F.from_json(F.col(payload), _DECODE_SCHEMA, _JSON_OPTS))
-    malformed = e.isNull() | e["_corrupt"].isNotNull()
+    malformed = e.isNull() | e["_corrupt"].isNotNull() | wrongly_typed(F.col(payload), _TEXT_PATHS)
     v2 = e["meta"].isNotNull() & e["data"].isNotNull()
 
     def pick(f: str) -> Column:

@@ -2,8 +2,7 @@
 (no reference code exists). Each is labelled with its survey id (D-n).
 
 All are plain DataFrame aggregates / filters: map-side partial aggregation
-handles hot groups, and the only join (bounds rules) broadcasts the rule
-table only after checking its size.
+handles hot groups, and the only join (bounds rules) is salted.
 """
 
 from __future__ import annotations
@@ -24,31 +23,33 @@ ERROR_RATE_TARGET = 0.001
 DLQ_PER_HOUR_TARGET = 5
 CARDINALITY_LIMIT = 100
 # ---------------------------------------------------------------------------
-BROADCAST_RULES_MAX = 100_000
+RULE_SALTS = 16
 
 
 def bounds_check(points: DataFrame, rules: DataFrame) -> DataFrame:
     """D-1: reject values outside [lo, hi] of their metric's rule. ``rules``
     has (metric_name, lo, hi); metrics without a rule pass. Adds
-    ``bounds_reason`` (NULL when within bounds). The rule table is broadcast
-    only when it has at most ``BROADCAST_RULES_MAX`` rows."""
-    r = rules.select("metric_name", F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
-    if rules.count() <= BROADCAST_RULES_MAX:
-        r = F.broadcast(r)
-    j = points.join(r, "metric_name", "left")
+    ``bounds_reason`` (NULL when within bounds). Spark broadcasts the rules
+    when they are under its size threshold; otherwise points and rules meet on
+    the metric and a salt, so that one common metric is spread over
+    ``RULE_SALTS`` tasks."""
+    salt = F.pmod(F.xxhash64(*[F.col(c) for c in points.columns]), F.lit(RULE_SALTS)).cast("int")
+    r = (rules.select(F.col("metric_name").alias("_metric"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
+         .withColumn("_rule_salt", F.explode(F.sequence(F.lit(0), F.lit(RULE_SALTS - 1)))))
+    j = points.withColumn("_salt", salt).join(
+        r, (F.col("metric_name") == F.col("_metric")) & (F.col("_salt") == F.col("_rule_salt")), "left")
     out = (F.col("_lo").isNotNull() & ((F.col("value") < F.col("_lo")) | (F.col("value") > F.col("_hi"))))
     return (j.withColumn("bounds_reason", F.when(out, F.lit("value out of bounds")))
-            .drop("_lo", "_hi").select(*points.columns, "bounds_reason"))
+            .select(*points.columns, "bounds_reason"))
 
 
 def dead_letters(*quarantines: DataFrame, payload: str = "payload", seq: str = "seq",
                  keep: tuple[str, ...] = ()) -> DataFrame:
     """D-2: one dead-letter frame from several quarantine outputs (terminal
     errors only; duplicates are never dead letters because dedup drops them
-    silently). Columns: seq, reason, payload (first 1 KiB), payload_bytes and
-    any ``keep`` columns."""
-    parts = [q.select(F.col(seq).alias("seq"), "reason", *keep,
-                      F.substring(F.col(payload), 1, OVERSIZE_KEEP_BYTES).alias("payload"),
+    silently). Columns: seq, reason, payload (whole), payload_bytes and any
+    ``keep`` columns. Only ``oversize_guard`` cuts payloads."""
+    parts = [q.select(F.col(seq).alias("seq"), "reason", *keep, F.col(payload).alias("payload"),
                       F.octet_length(F.col(payload)).alias("payload_bytes")) for q in quarantines]
     out = parts[0]
     for p in parts[1:]:
@@ -56,14 +57,24 @@ def dead_letters(*quarantines: DataFrame, payload: str = "payload", seq: str = "
     return out
 
 
+def first_bytes(text: Column, n: int) -> Column:
+    """The longest prefix of at most ``n`` UTF-8 bytes that ends with a whole
+    code point."""
+    data = text.cast("binary")
+    # a cut is whole if the byte after it doesn't continue a code point
+    starts = lambda k: ~F.hex(F.substring(data, k + 1, 1)).between("80", "BF")
+    cut = F.coalesce(*[F.when(starts(k), F.lit(k)) for k in range(n, n - 4, -1)], F.lit(n))
+    return F.when(F.octet_length(text) <= n, text).otherwise(F.substring(data, F.lit(1), cut).cast("string"))
+
+
 def oversize_guard(df: DataFrame, payload: str, limit_bytes: int = OVERSIZE_BYTES) -> tuple[DataFrame, DataFrame]:
     """D-3: split (accepted, dead letters) on payload byte size; dead letters
-    keep only the first 1 KiB of characters of the payload."""
+    keep only the first 1 KiB of the payload, cut between code points."""
     size = F.octet_length(F.col(payload))
     ok = df.filter(size <= F.lit(limit_bytes))
     dlq = (df.filter(size > F.lit(limit_bytes))
            .withColumn("payload_bytes", size)
-           .withColumn(payload, F.substring(F.col(payload), 1, OVERSIZE_KEEP_BYTES))
+           .withColumn(payload, first_bytes(F.col(payload), OVERSIZE_KEEP_BYTES))
            .withColumn("reason", F.lit("payload too large")))
     return ok, dlq
 
@@ -259,10 +270,27 @@ def canonical_dedup_key(*cols: str) -> Column:
 
 def ttl_dedup_stream(df: DataFrame, key_col: str, event_time_col: str,
                      ttl_seconds: int = TTL_DEDUP_SECONDS) -> DataFrame:
-    """D-5 (streaming): drop messages whose key was seen within the TTL.
-    Spark's ``dropDuplicatesWithinWatermark`` keeps the first occurrence and
-    remembers the key until the watermark passes its event time plus the TTL
-    (state is O(1) per key, so a storm of copies of one key costs no
-    memory). ``event_time_col`` must be a timestamp column."""
-    return (df.withWatermark(event_time_col, f"{int(ttl_seconds)} seconds")
-            .dropDuplicatesWithinWatermark([key_col]))
+    """D-5 (streaming): drop messages whose key was seen within the TTL, which
+    runs from the key's last accepted message by the clock of the stream job.
+    A message of a new key always passes, however late its event time is: no
+    watermark drops it. Of copies within one micro-batch the one of least event
+    time passes. State is one flag per key; copies are read as they come, so a
+    storm of copies of one key costs no memory."""
+    schema = df.schema
+
+    def first_only(key, batches, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        best = None
+        for pdf in batches:
+            row = pdf.sort_values(event_time_col, kind="stable").head(1)
+            if best is None or row[event_time_col].iloc[0] < best[event_time_col].iloc[0]:
+                best = row
+        if best is not None and not state.exists:
+            state.update((True,))
+            state.setTimeoutDuration(int(ttl_seconds) * 1000)
+            yield best
+
+    return df.groupBy(key_col).applyInPandasWithState(
+        first_only, schema, "seen boolean", "append", "ProcessingTimeTimeout")

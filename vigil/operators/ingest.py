@@ -15,6 +15,9 @@ Semantics
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -67,6 +70,15 @@ def encode_metric_json(df: DataFrame) -> Column:
     return F.to_json(F.struct(*[F.col(c) for c in METRIC_FIELDS]))
 
 
+def wrongly_typed(payload: Column, paths: list[str]) -> Column:
+    """True where a text field of the JSON holds a number, boolean, object or
+    array (``from_json`` would turn any of them into text). Null and absent
+    fields are fine."""
+    parsed = F.try_parse_json(payload)
+    kinds = [F.schema_of_variant(F.variant_get(parsed, p, "variant")) for p in paths]
+    return F.coalesce(reduce(or_, (F.coalesce(~k.isin("STRING", "VOID"), F.lit(False)) for k in kinds)), F.lit(False))
+
+
 _DECODE_SCHEMA = T.StructType(METRIC_SCHEMA.fields + [T.StructField("_corrupt", T.StringType())])
 _JSON_OPTS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt",
               "allowNonNumericNumbers": "false"}
@@ -79,7 +91,8 @@ def decode_metric_json(df: DataFrame, payload: str = "payload") -> tuple[DataFra
     stream sequence) are carried through. Quarantine rows keep the input
     columns plus ``reason``."""
     parsed = materialize(df, "_m", F.from_json(F.col(payload), _DECODE_SCHEMA, _JSON_OPTS))
-    bad = F.col("_m").isNull() | F.col("_m._corrupt").isNotNull()
+    bad = (F.col("_m").isNull() | F.col("_m._corrupt").isNotNull()
+           | wrongly_typed(F.col(payload), [f"$.{f}" for f in _STR_FIELDS]))
     carry = [c for c in df.columns if c != payload]
     zero = {T.StringType(): F.lit(""), T.DoubleType(): F.lit(0.0), T.LongType(): F.lit(0).cast("long")}
     fields = [F.coalesce(F.col(f"_m.{f.name}"), zero[f.dataType]).alias(f.name)
@@ -89,25 +102,26 @@ def decode_metric_json(df: DataFrame, payload: str = "payload") -> tuple[DataFra
     return points, quarantine
 
 
-_ML_SCHEMA = T.StructType([T.StructField("metric_name", T.StringType()),
-                           T.StructField("value", T.DoubleType()),
-                           T.StructField("timestamp", T.LongType()),
-                           T.StructField("_corrupt", T.StringType())])
+_NUMBER = r"^(TINYINT|SMALLINT|INT|BIGINT|DECIMAL.*|FLOAT|DOUBLE)$"
 
 
 def ml_payload_filter(df: DataFrame, payload: str = "payload") -> tuple[DataFrame, DataFrame]:
     """Model-scoring intake: keep payloads whose ``value`` is present and
-    numeric; bad JSON and missing / non-numeric values are acknowledged and
-    dropped (returned as the second frame with a reason). JSON booleans are
-    not numbers here."""
+    numeric, whatever the other fields hold; bad JSON and missing /
+    non-numeric values are acknowledged and dropped (returned as the second
+    frame with a reason). JSON booleans are not numbers here. ``metric_name``
+    is returned as text and ``timestamp`` as an integer, null where it is none."""
     carry = [c for c in df.columns if c != payload]
-    parsed = materialize(df, "_m", F.from_json(F.col(payload), _ML_SCHEMA, _JSON_OPTS))
-    malformed = F.col("_m").isNull() | F.col("_m._corrupt").isNotNull()
-    ok = ~malformed & F.col("_m.value").isNotNull()
-    keep = parsed.filter(ok).select(*carry, F.col("_m.metric_name").alias("metric_name"),
-                                    F.col("_m.value").alias("value"),
-                                    F.col("_m.timestamp").alias("timestamp"))
-    drop = parsed.filter(~ok).select(
+    parsed = materialize(df, "_m", F.try_parse_json(F.col(payload)))
+    m = F.col("_m")
+    malformed = m.isNull()
+    number = F.coalesce(F.schema_of_variant(F.variant_get(m, "$.value", "variant")).rlike(_NUMBER), F.lit(False))
+    parsed = materialize(parsed, "_ok", ~malformed & number)
+    keep = parsed.filter("_ok").select(
+        *carry, F.try_variant_get(m, "$.metric_name", "string").alias("metric_name"),
+        F.try_variant_get(m, "$.value", "double").alias("value"),
+        F.try_variant_get(m, "$.timestamp", "bigint").alias("timestamp"))
+    drop = parsed.filter("not _ok").select(
         *df.columns,
         F.when(malformed, F.lit(REASON_MALFORMED)).otherwise(F.lit(REASON_BAD_VALUE)).alias("reason"))
     return keep, drop

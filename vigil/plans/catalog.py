@@ -74,6 +74,30 @@ def q_mad_chunked(spark, sf):
                                     chunk_seconds=86400))
 
 
+# Uneven series, cut by the planned chunks (tens of points per chunk, so that
+# every level of the plan is used): name -> (SQL, Spark) form of the timestamp.
+_UNEVEN = {
+    "mad_hot_stray": ("CASE WHEN seq % 500 = 0 THEN 0 ELSE timestamp END", 60),
+    "mad_hot_second": ("timestamp - timestamp % 1000000", 40),
+    "mad_hot_burst": ("CASE WHEN seq % 2 = 0 THEN timestamp ELSE 1704067200 + timestamp % 3600 END", 50),
+}
+
+
+def _register_uneven(name: str, expr: str, target: int) -> None:
+    points = f"SELECT * REPLACE (CAST({expr} AS BIGINT) AS timestamp) FROM ({S.EVENTS_POINTS})"
+
+    @register(name, S.mad_sql(points, SERVICE) + "\n" + _STATS_SQL_SELECT)
+    def query(spark, sf):
+        pts = metric_points_from_events(spark, sf).withColumn("timestamp", F.expr(expr).cast("long"))
+        return _stats_select(mad_detect(pts, SERVICE, target_chunk_rows=target))
+
+    query.__doc__ = f"Window statistics of series whose time is uneven ({expr}), cut into chunks of ~{target} points."
+
+
+for _name, (_expr, _target) in _UNEVEN.items():
+    _register_uneven(_name, _expr, _target)
+
+
 _ANOM_OUT_SQL = ("SELECT seq, source, metric_name, env, region, instance_id, timestamp, "
                  "round(value, 6) AS value, n, round(baseline, 6) AS baseline, round(mad, 6) AS mad, "
                  "round(CASE WHEN value < lower THEN lower ELSE upper END, 6) AS threshold "
@@ -219,12 +243,16 @@ def q_ingest_rejected(spark, sf):
     return rej.select("seq", "reason")
 
 
-_DECODE_OK = "seq % 97 <> 0 AND seq % 89 <> 0"
+# the stand-in payloads with a wrongly typed field (see sources.fixtures): the
+# first rule that fits a row decides
+_TYPED_BAD = "(CASE WHEN seq % 83 = 0 THEN false WHEN seq % 79 = 0 OR seq % 73 = 0 OR seq % 71 = 0 THEN true " \
+    "WHEN seq % 67 = 0 THEN false ELSE seq % 61 = 0 OR seq % 59 = 0 OR seq % 53 = 0 END)"
+_DECODE_OK = f"(seq % 97 <> 0 AND seq % 89 <> 0 AND NOT {_TYPED_BAD})"
 
 
 @register("decode_metrics", f"""SELECT seq, source, metric_name,
   CASE WHEN seq % 83 = 0 THEN '' ELSE env END AS env,
-  CASE WHEN seq % 83 = 0 THEN '' ELSE region END AS region,
+  CASE WHEN seq % 83 = 0 OR seq % 67 = 0 THEN '' ELSE region END AS region,
   CASE WHEN seq % 83 = 0 THEN '' ELSE instance_id END AS instance_id,
   CASE WHEN seq % 83 = 0 THEN 0 ELSE timestamp END AS timestamp,
   CASE WHEN seq % 83 = 0 THEN 0.0 ELSE round(value, 6) END AS value
@@ -243,10 +271,16 @@ def q_decode_quarantine(spark, sf):
     return bad.select("seq", "reason")
 
 
-@register("ml_payload_filter", "SELECT seq, metric_name, round(value, 6) AS value, timestamp "
-          f"FROM ({S.EVENTS_POINTS}) WHERE {_DECODE_OK} AND seq % 83 <> 0")
+_FIRST_RULE = "CASE WHEN seq % 79 = 0 OR seq % 73 = 0 OR seq % 71 = 0 OR seq % 67 = 0 THEN 0 " \
+    "WHEN seq % 61 = 0 THEN 61 WHEN seq % 59 = 0 THEN 59 ELSE 0 END"
+
+
+@register("ml_payload_filter", f"""SELECT seq, CASE WHEN {_FIRST_RULE} = 61 THEN '7' ELSE metric_name END AS metric_name,
+  round(value, 6) AS value, CASE WHEN {_FIRST_RULE} = 59 THEN NULL ELSE timestamp END AS timestamp
+FROM ({S.EVENTS_POINTS}) WHERE seq % 97 <> 0 AND seq % 89 <> 0 AND seq % 83 <> 0""")
 def q_ml_payload_filter(spark, sf):
-    """Model-scoring intake: payloads with a present, numeric value."""
+    """Model-scoring intake: payloads with a present, numeric value, whatever
+    their other fields hold."""
     keep, _ = ml_payload_filter(FX.metric_payloads(spark, sf))
     return keep.select("seq", "metric_name", r6("value"), "timestamp")
 
@@ -466,10 +500,17 @@ from vigil.streaming.jobs import anomaly_stream as read_anomaly_stream  # noqa:
 from vigil.streaming.jobs import project_stream, stream_to_parquet  # noqa: E402
 
 
+def _file_or_folder(spark, sf, name):
+    """A path glob that lists the files of a table, be it one file or a folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf.rstrip('/')}/{name}.parquet")
+    folder = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
+    return f"{sf.rstrip('/')}/{name}.parquet" if folder else f"{sf.rstrip('/')}/{name}.parquet*"
+
+
 def _event_stream(spark, sf):
     schema = read_table(spark, sf, "events").schema
-    raw = (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
-           .option("maxFilesPerTrigger", 1).parquet(sf))
+    # the table may be one file or a folder of part files
+    raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(_file_or_folder(spark, sf, "events"))
     return events_to_points(raw)
 
 
@@ -491,19 +532,20 @@ def q_stream_mad_stale(spark, sf):
 
 
 def _stream_projection(spark, sf):
-    """Write the stand-in anomaly stream as four files in arrival order
+    """Write the stand-in anomaly stream in four steps in arrival order
     (originals with even / odd sequence, redeliveries, late re-sends) and run
-    the foreachBatch projector over them, one file per micro-batch."""
+    the foreachBatch projector after each, resuming from its checkpoint."""
     ev = FX.stored_anomaly_events(spark, sf, SERVICE)
     stream = FX.anomaly_stream(spark, sf, SERVICE, ev).unionByName(FX.late_resends(spark, sf, SERVICE, ev))
     src = fresh_subdir(spark, "anomaly-stream")
     s = F.col("stream_seq")
     parts = [(s < FX.REDELIVERY_OFFSET) & (s % 2 == 0), (s < FX.REDELIVERY_OFFSET) & (s % 2 == 1),
              (s >= FX.REDELIVERY_OFFSET) & (s < 2 * FX.REDELIVERY_OFFSET), s >= 2 * FX.REDELIVERY_OFFSET]
+    base = fresh_subdir(spark, "projector")
     for cond in parts:
-        stream.filter(cond).coalesce(1).write.mode("append").parquet(src)
-    envelopes = read_anomaly_stream(spark, src, options={"maxFilesPerTrigger": 1})
-    return project_stream(envelopes)
+        stream.filter(cond).write.mode("append").parquet(src)
+        proj = project_stream(read_anomaly_stream(spark, src), base=base)
+    return proj
 
 
 @register("stream_project", S.decoded_sql(SERVICE, late=True) + f"\nSELECT {_LIST_SQL} FROM events_t")
@@ -625,14 +667,18 @@ def q_ext_dlq_purge(spark, sf):
     return X.dlq_purge(mq, "received_ts", _NOW_TS).select("seq", "received_ts")
 
 
-@register("ext_oversize", """SELECT doc_id, CAST(strlen(text) AS INTEGER) AS payload_bytes,
-  strlen(text) > 1048576 AS oversize FROM documents""")
+@register("ext_oversize", """SELECT doc_id, CAST(strlen(text) AS INTEGER) AS payload_bytes, strlen(text) > 2048 AS oversize,
+  CAST(CASE WHEN strlen(text) <= 2048 THEN NULL ELSE (SELECT max(n) FROM (SELECT unnest(generate_series(0, 1024)) AS n)
+       WHERE strlen(left(text, CAST(n AS BIGINT))) <= 1024) END AS INTEGER) AS kept_chars FROM documents""")
 def q_ext_oversize(spark, sf):
-    """D-3 (extension): payload size guard over whole document texts."""
+    """D-3 (extension): payload size guard over whole document texts, at a
+    limit that many of them exceed; how much is kept is counted in characters."""
     docs = read_table(spark, sf, "documents").select("doc_id", "text")
-    ok, dlq = X.oversize_guard(docs, "text")
-    return (ok.select("doc_id", F.octet_length("text").alias("payload_bytes"), F.lit(False).alias("oversize"))
-            .unionByName(dlq.select("doc_id", "payload_bytes", F.lit(True).alias("oversize"))))
+    ok, dlq = X.oversize_guard(docs, "text", limit_bytes=2048)
+    return (ok.select("doc_id", F.octet_length("text").alias("payload_bytes"), F.lit(False).alias("oversize"),
+                      F.lit(None).cast("int").alias("kept_chars"))
+            .unionByName(dlq.select("doc_id", "payload_bytes", F.lit(True).alias("oversize"),
+                                    F.char_length("text").alias("kept_chars"))))
 
 
 @register("ext_red_rollup", f"""SELECT source, (timestamp // 3600) * 3600 AS bucket, COUNT(*) AS messages,
@@ -796,20 +842,25 @@ FROM decoded GROUP BY 1""")
 def q_ext_ttl_dedup(spark, sf):
     """D-5 (extension): streaming TTL de-duplication (5 min) of decoded
     anomaly envelopes on the SHA-256 of their canonical identity; the
-    redelivered copies (same identity and event time) are dropped and the
-    first delivery kept."""
+    redelivered copies (same identity and event time) are dropped, the first
+    delivery kept, and the older half of the stream, which arrives after the
+    newer one, is not lost."""
     from vigil.operators.envelope import decode_envelope as dec_env
     from vigil.streaming.jobs import stream_to_parquet
     ev = FX.stored_anomaly_events(spark, sf, SERVICE)
     stream = FX.anomaly_stream(spark, sf, SERVICE, ev)
     src = fresh_subdir(spark, "ttl-src")
     s = F.col("stream_seq")
-    for cond in (s < FX.REDELIVERY_OFFSET, s >= FX.REDELIVERY_OFFSET):
-        stream.filter(cond).coalesce(1).write.mode("append").parquet(src)
-    envelopes = read_anomaly_stream(spark, src, options={"maxFilesPerTrigger": 1})
-    decoded, _ = dec_env(envelopes)
-    keyed = (decoded.withColumn("dedup_hash", X.canonical_dedup_key(
-        "source", "metric_name", "env", "region", "instance_id", "timestamp"))
-        .withColumn("event_time", F.timestamp_seconds(F.col("timestamp"))))
-    out = stream_to_parquet(X.ttl_dedup_stream(keyed, "dedup_hash", "event_time"), "ttl-dedup")
+    base = fresh_subdir(spark, "ttl-dedup")
+    # the newer half, the older half (late), then the redelivered copies
+    half = stream.filter(s < FX.REDELIVERY_OFFSET).agg(F.percentile_approx("stream_seq", 0.5)).first()[0] or 0
+    for cond in ((s < FX.REDELIVERY_OFFSET) & (s > half), s <= half, s >= FX.REDELIVERY_OFFSET):
+        stream.filter(cond).write.mode("append").parquet(src)
+        decoded, _ = dec_env(read_anomaly_stream(spark, src))
+        keyed = (decoded.withColumn("dedup_hash", X.canonical_dedup_key(
+            "source", "metric_name", "env", "region", "instance_id", "timestamp"))
+            .withColumn("event_time", F.timestamp_seconds(F.col("timestamp")))
+            .select("dedup_hash", "stream_seq", "event_time"))
+        out = stream_to_parquet(X.ttl_dedup_stream(keyed, "dedup_hash", "event_time"), "ttl-dedup",
+                                base=base, drain=True)
     return out.select("dedup_hash", "stream_seq")

@@ -9,6 +9,8 @@ setting is absent, as in local tests.
 from __future__ import annotations
 
 import os
+import re
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -52,17 +54,35 @@ def apply_conf(spark: SparkSession) -> None:
     """Set the runtime-modifiable settings vigil needs on an existing session."""
     for k in ("spark.sql.session.timeZone", "spark.sql.adaptive.enabled",
               "spark.sql.adaptive.skewJoin.enabled",
-              "spark.sql.adaptive.coalescePartitions.minPartitionSize",
               "spark.sql.execution.arrow.pyspark.enabled",
               "spark.sql.streaming.stateStore.providerClass"):
         spark.conf.set(k, _BASE_CONF[k])
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send the package to the workers, once per application, so that functions
+    that run there can import it wherever the driver was started. Local masters
+    share the driver's path."""
+    context = spark.sparkContext
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    paths = os.environ.get("PYTHONPATH", "").split(os.pathsep)
+    if root in map(os.path.abspath, filter(None, paths)) or getattr(context, "_vigil_shipped", False):
+        return
+    folder = tempfile.mkdtemp(prefix="vigil-package-")
+    archive = shutil.make_archive(os.path.join(folder, "vigil"), "zip", root, "vigil")
+    context.addPyFile(archive)
+    shutil.rmtree(folder, ignore_errors=True) if not context.master.startswith("local") else None
+    context._vigil_shipped = True
+
+
 def checkpoint_dir(spark: SparkSession, sub: str = "") -> str:
     """Shared checkpoint folder: ``spark.checkpoint.dir`` if the cluster set it,
     else a fresh scratch folder (local runs and tests only)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not re.match(r"local($|\[)", master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="vigil-ckpt-")
         spark.conf.set("spark.checkpoint.dir", base)
     spark.sparkContext.setCheckpointDir(base)

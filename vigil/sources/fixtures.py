@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from vigil.config import EVENT_TYPE, MadConfig
 from vigil.operators.envelope import encode_envelope, encode_flat_envelope, stamp_anomaly_events
-from vigil.operators.ingest import encode_metric_json
+from vigil.operators.ingest import METRIC_FIELDS, encode_metric_json
 from vigil.operators.mad import detect_anomalies
 from vigil.session import store_table
 from vigil.sources.tables import metric_points_from_events
@@ -54,8 +54,20 @@ def metric_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = encode_metric_json(p)
     str_value = F.to_json(F.struct("source", "metric_name", F.col("value").cast("string").alias("value")))
     partial = F.to_json(F.struct("source", "metric_name"))
+    def typed(**other) -> F.Column:  # the same record with fields of other JSON types
+        return F.to_json(F.struct(*[other.get(c, F.col(c)).alias(c) for c in METRIC_FIELDS]),
+                         {"ignoreNullFields": "false"})
+
     payload = (F.when(s % 97 == 0, F.lit("{bad")).when(s % 89 == 0, str_value)
-               .when(s % 83 == 0, partial).otherwise(good))
+               .when(s % 83 == 0, partial)
+               .when(s % 79 == 0, typed(source=F.lit(5)))
+               .when(s % 73 == 0, typed(env=F.create_map(F.lit("a"), F.lit(1))))
+               .when(s % 71 == 0, typed(instance_id=F.lit(True)))
+               .when(s % 67 == 0, typed(region=F.lit(None).cast("string")))
+               .when(s % 61 == 0, typed(metric_name=F.lit(7)))
+               .when(s % 59 == 0, typed(timestamp=F.lit("x")))
+               .when(s % 53 == 0, typed(region=F.array(F.lit("eu"))))
+               .otherwise(good))
     return p.select("seq", F.col("timestamp").alias("received_ts"), payload.alias("payload"))
 
 

@@ -3,8 +3,8 @@
 Sources
   * ``metric_stream``: metric points from a file source (parquet/JSON) or a
     Kafka topic (``format="kafka"``; the connector jar must be on the
-    classpath). Kafka rows decode their ``value`` JSON and use the partition
-    offset as ``seq``.
+    classpath). Kafka rows decode their ``value`` JSON; ``seq`` is made of
+    partition and offset.
   * ``anomaly_stream``: anomaly envelopes (subject, stream_seq, payload).
 
 Sinks
@@ -37,17 +37,27 @@ from vigil.operators.projection import first_wins, fold_series_state, to_anomaly
 from vigil.session import fresh_subdir
 
 
+def kafka_sequence() -> F.Column:
+    """A number that is unique over the partitions of a topic and grows with
+    the offset within each: the partition above 48 bits of offset."""
+    return F.shiftleft(F.col("partition").cast("long"), 48).bitwiseOR(F.col("offset"))
+
+
 def metric_stream(spark: SparkSession, path_or_topic: str, *, fmt: str = "parquet", schema=None,
-                  options: dict | None = None) -> DataFrame:
-    """Streaming metric records. File formats need ``schema``."""
+                  options: dict | None = None, quarantine: bool = False):
+    """Streaming metric records. File formats need ``schema``. A Kafka topic
+    carries JSON; with ``quarantine`` its malformed payloads are returned too:
+    (points, quarantine) instead of points."""
     reader = spark.readStream.format(fmt)
     for k, v in (options or {}).items():
         reader = reader.option(k, v)
     if fmt == "kafka":
         raw = reader.option("subscribe", path_or_topic).load()
-        pts, _ = decode_metric_json(raw.select(F.col("offset").alias("seq"),
-                                               F.col("value").cast("string").alias("payload")))
-        return pts
+        pts, bad = decode_metric_json(raw.select(kafka_sequence().alias("seq"),
+                                                 F.col("value").cast("string").alias("payload")))
+        return (pts, bad) if quarantine else pts
+    if quarantine:
+        raise ValueError("only JSON payloads can be malformed")
     return reader.schema(schema).load(path_or_topic)
 
 
@@ -59,7 +69,7 @@ def anomaly_stream(spark: SparkSession, path_or_topic: str, *, fmt: str = "parqu
         reader = reader.option(k, v)
     if fmt == "kafka":
         raw = reader.option("subscribe", path_or_topic).load()
-        return raw.select(F.col("topic").alias("subject"), F.col("offset").alias("stream_seq"),
+        return raw.select(F.col("topic").alias("subject"), kafka_sequence().alias("stream_seq"),
                           F.col("value").cast("string").alias("payload"))
     schema = schema or "subject string, stream_seq long, payload string"
     return reader.schema(schema).load(path_or_topic)
@@ -104,11 +114,26 @@ class Projector:
         self.quarantine_path = f"{self.root}/quarantine"
 
     def _read(self, spark: SparkSession, path: str) -> DataFrame | None:
+        """The table at the path, or ``None`` if there is none; any other
+        failure to read it is raised."""
         try:
             return spark.read.parquet(path)
-        except AnalysisException:
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
             return None
 
+    def _previous_state(self, spark: SparkSession, batch_id: int) -> DataFrame | None:
+        """The state that the batch builds on. Only the first batch has none; a
+        missing version later would lose every earlier series, so it raises."""
+        if batch_id == 0:
+            return None
+        state = self._read(spark, f"{self.state_path}/v={batch_id - 1}")
+        if state is None:
+            raise RuntimeError(f"series state of batch {batch_id - 1} is missing below {self.state_path}; "
+                               "restore it, or replay the stream from its start into an empty folder")
+        return state
+
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         decoded, quarantine = decode_envelope(batch)
@@ -119,8 +144,7 @@ class Projector:
         events.write.mode("overwrite").parquet(f"{self.events_path}/batch_id={batch_id}")
         quarantine.write.mode("overwrite").parquet(f"{self.quarantine_path}/batch_id={batch_id}")
         stored = spark.read.parquet(f"{self.events_path}/batch_id={batch_id}")
-        previous = self._read(spark, f"{self.state_path}/v={batch_id - 1}") if batch_id > 0 else None
-        state = fold_series_state(stored, previous)
+        state = fold_series_state(stored, self._previous_state(spark, batch_id))
         state.write.mode("overwrite").parquet(f"{self.state_path}/v={batch_id}")
 
     def events(self, spark: SparkSession) -> DataFrame:
@@ -133,11 +157,13 @@ class Projector:
         return st.filter(F.col("v") == newest).drop("v")
 
 
-def run_available_now(writer, timeout_s: int = 600) -> None:
+def run_available_now(writer, timeout_s: int | None = None) -> None:
     """Start a DataStreamWriter with the availableNow trigger and wait."""
     q = writer.trigger(availableNow=True).start()
     try:
-        if not q.awaitTermination(timeout_s):
+        if timeout_s is None:
+            q.awaitTermination()
+        elif not q.awaitTermination(timeout_s):
             raise TimeoutError(f"streaming query did not finish in {timeout_s}s")
         if q.exception() is not None:
             raise q.exception()
@@ -146,13 +172,14 @@ def run_available_now(writer, timeout_s: int = 600) -> None:
             q.stop()
 
 
-def run_until_drained(writer, interval: str = "1 second", timeout_s: int = 600) -> None:
+def run_until_drained(writer, interval: str = "1 second", timeout_s: int | None = None,
+                      empty_ok: bool = False) -> None:
     """Run a DataStreamWriter on a processing-time trigger until everything
     available is processed, then stop it. Queries with processing-time state
     TTL keep firing no-data batches, so neither ``availableNow`` nor
     ``processAllAvailable`` ends them. Instead the query's progress is
     polled: it is drained once input was seen, the latest batch read nothing
-    and no data is pending."""
+    and no data is pending. Only with ``empty_ok`` may no input come at all."""
     import time
     q = writer.trigger(processingTime=interval).start()
     try:
@@ -164,30 +191,35 @@ def run_until_drained(writer, interval: str = "1 second", timeout_s: int = 600)
             seen = seen or any(p["numInputRows"] > 0 for p in prog)
             st = q.status
             idle = prog and prog[-1]["numInputRows"] == 0 and not st["isDataAvailable"]
-            if idle and (seen or len(prog) >= 3):
+            if idle and (seen or (empty_ok and len(prog) >= 3)):
                 return
-            if time.time() - t0 > timeout_s:
+            if timeout_s is not None and time.time() - t0 > timeout_s:
                 raise TimeoutError(f"streaming query not drained in {timeout_s}s")
             time.sleep(0.5)
     finally:
         q.stop()
 
 
-def stream_to_parquet(df: DataFrame, name: str, timeout_s: int = 600) -> DataFrame:
+def stream_to_parquet(df: DataFrame, name: str, timeout_s: int | None = None, base: str | None = None,
+                      drain: bool = False) -> DataFrame:
     """Run a streaming frame to completion into a parquet folder below the
-    checkpoint dir and return the stored result as a batch frame."""
+    checkpoint dir and return the stored result as a batch frame. With the
+    ``base`` of an earlier run it resumes from that run's checkpoint. ``drain``:
+    the query has processing-time state (see ``run_until_drained``)."""
     spark = df.sparkSession
-    base = fresh_subdir(spark, name)
+    base = base or fresh_subdir(spark, name)
     writer = (df.writeStream.format("parquet").outputMode("append")
               .option("path", f"{base}/out").option("checkpointLocation", f"{base}/ckpt"))
-    run_available_now(writer, timeout_s)
-    return spark.read.parquet(f"{base}/out")
+    (run_until_drained if drain else run_available_now)(writer, timeout_s=timeout_s)
+    return spark.read.schema(df.schema).parquet(f"{base}/out")
 
 
-def project_stream(envelopes: DataFrame, name: str = "projector", timeout_s: int = 600) -> Projector:
-    """Run the projector over a streaming envelope frame to completion."""
+def project_stream(envelopes: DataFrame, name: str = "projector", timeout_s: int | None = None,
+                   base: str | None = None) -> Projector:
+    """Run the projector over a streaming envelope frame to completion, from
+    the checkpoint of an earlier run where ``base`` names one."""
     spark = envelopes.sparkSession
-    base = fresh_subdir(spark, name)
+    base = base or fresh_subdir(spark, name)
     proj = Projector(f"{base}/tables")
     writer = (envelopes.writeStream.foreachBatch(proj)
               .option("checkpointLocation", f"{base}/ckpt"))
