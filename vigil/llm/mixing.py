@@ -41,6 +41,8 @@ BUCKETS = 1 << 12
 #: Target share of tokens of each domain.
 TARGETS = {"en": 0.4, "de": 0.2, "es": 0.2, "fr": 0.2}
 STEPS = 50
+#: Labelled ids that the classifier is fitted on at most.
+MAX_ROWS = 20_000
 TOLERANCE = 1e-7
 _FRACTION = 1 << 30
 
@@ -52,11 +54,13 @@ def _buckets(text: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, domains: list[str],
-          domain: str = "lang") -> tuple[np.ndarray, np.ndarray]:
-    """Log prior of each domain, and the log-likelihood of each domain per bucket."""
-    lab = only(labels, doc_id="doc_id").dropna().distinct()
+          domain: str = "lang", max_rows: int = MAX_ROWS) -> tuple[np.ndarray, np.ndarray]:
+    """Log prior of each domain, and the log-likelihood of each domain per
+    bucket, from at most ``max_rows`` labelled ids (in hash order)."""
+    lab = (only(labels, doc_id="doc_id").dropna().distinct()
+           .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows))
     known = (only(docs, doc_id="doc_id", text="text", domain=domain).filter(F.col("domain").isin(domains))
-             .join(lab, "doc_id", "left_semi"))
+             .join(F.broadcast(lab), "doc_id", "left_semi"))  # at most max_rows ids
     per = [F.sum((F.col("domain") == d).cast("long")).alias(f"n{k}") for k, d in enumerate(domains)]
     n = known.agg(*per).first()
     rows = (known.select("domain", F.explode(_buckets(F.col("text"))).alias("bucket"))
