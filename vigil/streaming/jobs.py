@@ -210,7 +210,10 @@ def stream_to_parquet(df: DataFrame, name: str, timeout_s: int | None = None, ba
     base = base or fresh_subdir(spark, name)
     writer = (df.writeStream.format("parquet").outputMode("append")
               .option("path", f"{base}/out").option("checkpointLocation", f"{base}/ckpt"))
-    (run_until_drained if drain else run_available_now)(writer, timeout_s=timeout_s)
+    if drain:
+        run_until_drained(writer, timeout_s=timeout_s, empty_ok=True)  # files without rows count as seen
+    else:
+        run_available_now(writer, timeout_s)
     return spark.read.schema(df.schema).parquet(f"{base}/out")
 
 
