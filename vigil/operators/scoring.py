@@ -24,6 +24,7 @@ trained as Spark jobs on the data they score:
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -33,6 +34,7 @@ from pyspark.sql import types as T
 
 from vigil.config import MadConfig
 from vigil.schemas import SERIES_KEY
+from vigil.session import store_table
 
 # --- fixed values ---------------------------------------------------------
 RECONSTRUCTION_THRESHOLD = 0.05
@@ -103,40 +105,54 @@ def _grow_tree(x: np.ndarray, rng: np.random.Generator, max_depth: int):
     return nodes
 
 
+_DRAWS = 1 << 40
+
+
 def fit_isolation_forest(points: DataFrame, features: list[str], *, n_trees: int = 100,
                          psi: int = 256, seed: int = 42) -> pd.DataFrame:
     """Grow the forest as a Spark job; returns the node table (bounded by
-    n_trees * (2 psi - 1) rows)."""
+    n_trees * (2 psi - 1) rows).
+
+    Each tree has its own subsample of ``psi`` points (all of them, if there are
+    fewer): those of the smallest hash of (seq, tree). A hash threshold first
+    leaves some 1.5 psi candidates per tree, so what is gathered is bounded by the
+    forest. The draw depends on ``seq`` alone, not on how rows are partitioned."""
     total = points.count()
-    psi = max(2, min(psi, total))
-    frac = min(1.0, n_trees * psi / max(total, 1) * 1.2)
-    max_depth = int(math.ceil(math.log2(psi)))
-    sample = (points.select(*features).sample(False, frac, seed)
-              .withColumn("tree_id", F.floor(F.rand(seed + 1) * n_trees).cast("int")))
+    psi = max(1, min(psi, total))
+    share = min(1.0, (1.5 * psi + 60) / max(total, 1))
+    max_depth = max(1, int(math.ceil(math.log2(max(psi, 2)))))
+    draw = lambda t: F.pmod(F.xxhash64(F.col("seq"), t, F.lit(seed)), F.lit(_DRAWS))
+    drawn = F.filter(F.transform(F.sequence(F.lit(0), F.lit(n_trees - 1)), lambda t: F.struct(
+        t.alias("tree_id"), draw(t).alias("draw"))), lambda s: s.draw < F.lit(int(share * _DRAWS)))
+    sample = points.select(*features, "seq", F.explode(drawn).alias("d")).select(*features, "seq", "d.*")
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         tid = int(pdf["tree_id"].iloc[0])
         rng = np.random.default_rng(seed * 1_000_003 + tid)
-        x = pdf[features].to_numpy(dtype=float)
-        if len(x) > psi:
-            x = x[rng.choice(len(x), psi, replace=False)]
+        x = pdf.sort_values(["draw", "seq"])[features].to_numpy(dtype=float)[:psi]
         nodes = _grow_tree(x, rng, max_depth)
         return pd.DataFrame({"tree_id": tid, "node": np.arange(len(nodes), dtype=np.int32),
                              "feature": [n[0] for n in nodes], "split": [n[1] for n in nodes],
                              "left": [n[2] for n in nodes], "right": [n[3] for n in nodes],
                              "size": [n[4] for n in nodes]})
 
-    forest = sample.groupBy("tree_id").applyInPandas(fit, _TREE_SCHEMA).toPandas()
-    forest.attrs["psi"] = psi
-    return forest
+    return sample.groupBy("tree_id").applyInPandas(fit, _TREE_SCHEMA).toPandas()
+
+
+def _compiled(forest: pd.DataFrame) -> list[tuple]:
+    """Per tree: arrays of its nodes, the length that a leaf's own points add,
+    and the path length that normalises the tree's sample size."""
+    out = []
+    for _, t in forest.sort_values(["tree_id", "node"]).groupby("tree_id"):
+        sizes = t["size"].to_numpy()
+        out.append((*(t[c].to_numpy() for c in ("feature", "split", "left", "right")),
+                    np.array([c_factor(n) for n in sizes]), c_factor(float(sizes[0])) or 1.0))
+    return out
 
 
-def _path_lengths(x: np.ndarray, tree: pd.DataFrame) -> np.ndarray:
-    feat = tree["feature"].to_numpy()
-    split = tree["split"].to_numpy()
-    left = tree["left"].to_numpy()
-    right = tree["right"].to_numpy()
-    size = tree["size"].to_numpy()
+def _path_lengths(x: np.ndarray, tree: tuple) -> np.ndarray:
+    """Path length of each point over that of the tree's sample size."""
+    feat, split, left, right, leaf, norm = tree
     cur = np.zeros(len(x), dtype=np.int64)
     depth = np.zeros(len(x))
     active = feat[cur] >= 0
@@ -147,23 +163,18 @@ def _path_lengths(x: np.ndarray, tree: pd.DataFrame) -> np.ndarray:
         cur[idx] = np.where(go_left, left[cur[idx]], right[cur[idx]])
         depth[idx] += 1
         active = feat[cur] >= 0
-    leaf_c = np.array([c_factor(s) for s in size])
-    return depth + leaf_c[cur]
+    return (depth + leaf[cur]) / norm
 
 
 def isolation_scores(points: DataFrame, features: list[str], forest: pd.DataFrame) -> DataFrame:
-    """Adds ``if_score`` and ``if_anomaly`` (score > 0.5)."""
-    spark = points.sparkSession
-    trees = [t for _, t in forest.sort_values(["tree_id", "node"]).groupby("tree_id")]
-    norm = c_factor(forest.attrs.get("psi", 256))
-    bc = spark.sparkContext.broadcast((trees, norm))
+    """Adds ``if_score`` and ``if_anomaly`` (score > 0.5). ``forest``: a node
+    table (tree_id, node, feature or -1, split, left, right, size)."""
+    bc = points.sparkSession.sparkContext.broadcast(_compiled(forest))
 
     @F.pandas_udf(T.DoubleType())
     def score(*cols: pd.Series) -> pd.Series:
-        trs, c = bc.value
         x = np.column_stack([col.to_numpy(dtype=float) for col in cols])
-        mean_h = np.mean([_path_lengths(x, t) for t in trs], axis=0)
-        return pd.Series(np.power(2.0, -mean_h / c))
+        return pd.Series(np.power(2.0, -np.mean([_path_lengths(x, t) for t in bc.value], axis=0)))
 
     scored = points.withColumn("if_score", score(*[F.col(f) for f in features]))
     return scored.withColumn("if_anomaly", F.col("if_score") > F.lit(0.5))
@@ -203,18 +214,42 @@ def pca_reconstruction(col: str, mu: list[float], pc: np.ndarray) -> Column:
     return F.array(*out)
 
 
+@dataclass(frozen=True)
+class Autoencoder:
+    """A fitted linear autoencoder of vectors of standardised values."""
+
+    mean: float
+    std: float
+    centre: list[float]     # d
+    directions: np.ndarray  # d x k
+
+
+def fit_autoencoder(points: DataFrame, *, d: int = 8, k: int = 2) -> tuple[Autoencoder, DataFrame]:
+    """The autoencoder and the points with their ``recent`` values, framed and
+    stored once for the means, the fit and the scores."""
+    stats = points.agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("s")).first()
+    m, s = float(stats["m"] or 0.0), float(stats["s"] or 1.0) or 1.0
+    framed = store_table(recent_values(points, d), "recent")
+    full = framed.filter(F.size("recent") == d).select(
+        F.transform("recent", lambda v: (v - F.lit(m)) / F.lit(s)).alias("_x"))
+    return Autoencoder(m, s, *fit_pca_autoencoder(full, "_x", d, k)), framed
+
+
 def reconstruction_flags(points: DataFrame, *, d: int = 8, k: int = 2,
-                         threshold: float = RECONSTRUCTION_THRESHOLD) -> DataFrame:
+                         threshold: float = RECONSTRUCTION_THRESHOLD,
+                         model: Autoencoder | None = None) -> DataFrame:
     """Adds ``custom_loss`` and ``is_degradation`` for points with a full
     vector of the last ``d`` values (standardised with the global mean and
-    standard deviation); earlier points get NULL loss and False."""
-    stats = points.agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("s")).first()
-    m, s = float(stats["m"] or 0.0), float(stats["s"] or 1.0) or 1.0
-    framed = recent_values(points, d)
-    std = framed.withColumn("_x", F.transform("recent", lambda v: (v - F.lit(m)) / F.lit(s)))
-    full = std.filter(F.size("_x") == d)
-    mu, pc = fit_pca_autoencoder(full, "_x", d, k)
-    loss = F.when(F.size("_x") == d, reconstruction_mse(F.col("_x"), pca_reconstruction("_x", mu, pc)))
+    standard deviation); earlier points get NULL loss and False. A given
+    ``model`` is used as it is, else one is fitted on the points."""
+    if model is None:
+        model, framed = fit_autoencoder(points, d=d, k=k)
+    else:
+        d = len(model.centre)
+        framed = recent_values(points, d)
+    std = framed.withColumn("_x", F.transform("recent", lambda v: (v - F.lit(model.mean)) / F.lit(model.std)))
+    loss = F.when(F.size("_x") == d, reconstruction_mse(
+        F.col("_x"), pca_reconstruction("_x", model.centre, model.directions)))
     out = std.withColumn("custom_loss", loss)
     return (out.withColumn("is_degradation", F.coalesce(F.col("custom_loss") > F.lit(threshold),
                                                         F.lit(False)))
@@ -222,13 +257,17 @@ def reconstruction_flags(points: DataFrame, *, d: int = 8, k: int = 2,
 
 
 def dual_model_predictions(points: DataFrame, *, n_trees: int = 100, psi: int = 256,
-                           seed: int = 42, d: int = 8, k: int = 2,
+                           seed: int = 42, d: int = 8, k: int = 2, forest: pd.DataFrame | None = None,
+                           model: Autoencoder | None = None, threshold: float = RECONSTRUCTION_THRESHOLD,
                            producer: str = DEFAULT_PRODUCER) -> DataFrame:
     """Prediction events for points where either model fires: the series key
     and instance, ``timestamp``, ``seq`` and ``results`` {if_anomaly,
-    custom_loss, is_degradation}."""
-    forest = fit_isolation_forest(points, ["value"], n_trees=n_trees, psi=psi, seed=seed)
-    scored = reconstruction_flags(isolation_scores(points, ["value"], forest), d=d, k=k)
+    custom_loss, is_degradation}. Models that are not given are fitted on the
+    points."""
+    if forest is None:
+        forest = fit_isolation_forest(points, ["value"], n_trees=n_trees, psi=psi, seed=seed)
+    scored = reconstruction_flags(isolation_scores(points, ["value"], forest), d=d, k=k, threshold=threshold,
+                                  model=model)
     return (scored.filter(F.col("if_anomaly") | F.col("is_degradation"))
             .select(*SERIES_KEY, "instance_id", "timestamp", "seq", F.lit(producer).alias("producer"),
                     F.struct("if_anomaly", "custom_loss", "is_degradation").alias("results")))

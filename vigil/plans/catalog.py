@@ -613,6 +613,58 @@ def q_dual_model(spark, sf):
     return SC.dual_model_predictions(metric_points_from_events(spark, sf), seed=7)
 
 
+# Fixed models, so that scores and the dual rule can be checked: three small
+# trees over the value, and a linear autoencoder of two successive values.
+_FIXED_TREES = (  # (feature or -1, split, left, right, size) of each node
+    ((0, 40.0, 1, 2, 256), (-1, 0.0, -1, -1, 200), (0, 90.0, 3, 4, 56), (-1, 0.0, -1, -1, 50), (-1, 0.0, -1, -1, 6)),
+    ((0, 60.0, 1, 2, 256), (-1, 0.0, -1, -1, 240), (-1, 0.0, -1, -1, 16)),
+    ((0, 20.0, 1, 2, 256), (-1, 0.0, -1, -1, 100), (-1, 0.0, -1, -1, 156)),
+)
+
+
+def _fixed_forest():
+    import pandas as pd
+    rows = [(t, n, *node) for t, nodes in enumerate(_FIXED_TREES) for n, node in enumerate(nodes)]
+    return pd.DataFrame(rows, columns=["tree_id", "node", "feature", "split", "left", "right", "size"])
+
+
+def _c_sql(n: int) -> str:
+    """Mean path length of an unsuccessful search among n points."""
+    return "0.0" if n <= 1 else "1.0" if n == 2 else f"(2 * (ln({n - 1}) + 0.5772156649015329) - 2 * {n - 1} / {n}.0)"
+
+
+_FOREST_SQL = f"""SELECT *, pow(2, -(
+    (CASE WHEN value < 40 THEN 1 + {_c_sql(200)} WHEN value < 90 THEN 2 + {_c_sql(50)} ELSE 2 + {_c_sql(6)} END)
+  + (CASE WHEN value < 60 THEN 1 + {_c_sql(240)} ELSE 1 + {_c_sql(16)} END)
+  + (CASE WHEN value < 20 THEN 1 + {_c_sql(100)} ELSE 1 + {_c_sql(156)} END)) / 3 / {_c_sql(256)}) AS if_score
+FROM ({S.EVENTS_POINTS})"""
+
+
+@register("isolation_forest_fixed", f"SELECT seq, round(if_score, 6) AS if_score, if_score > 0.5 AS if_anomaly FROM ({_FOREST_SQL})")
+def q_isolation_fixed(spark, sf):
+    """Scores and flags of a given forest (node table)."""
+    return SC.isolation_scores(metric_points_from_events(spark, sf), ["value"], _fixed_forest()).select(
+        "seq", r6("if_score"), "if_anomaly")
+
+
+@register("dual_model_fixed", f"""WITH scored AS ({_FOREST_SQL}),
+x AS (SELECT *, (value - 30) / 40 AS b,
+        (lag(value) OVER (PARTITION BY {S.KEY_SQL} ORDER BY timestamp, seq) - 30) / 40 AS a FROM scored),
+loss AS (SELECT *, (pow(0.64 * a - 0.48 * b, 2) + pow(0.36 * b - 0.48 * a, 2)) / 2 AS custom_loss FROM x)
+SELECT seq, if_score > 0.5 AS if_anomaly, round(custom_loss + 1e-9, 6) AS custom_loss,
+       coalesce(custom_loss > 0.5, false) AS is_degradation
+FROM loss WHERE if_score > 0.5 OR coalesce(custom_loss > 0.5, false)""")
+def q_dual_fixed(spark, sf):
+    """The dual rule with given models and threshold: it keeps the points
+    where either fires and drops the others."""
+    import numpy as np
+    model = SC.Autoencoder(30.0, 40.0, [0.0, 0.0], np.array([[0.6], [0.8]]))
+    preds = SC.dual_model_predictions(metric_points_from_events(spark, sf), forest=_fixed_forest(), model=model,
+                                      threshold=0.5)
+    return preds.select("seq", "results.*").withColumn(
+        "custom_loss", F.round(F.col("custom_loss") + F.lit(1e-9), 6))  # decimal ties
+
+
 # -------------------------------------------------------------- extensions --
 from vigil.operators import extensions as X  # noqa: E402
 from vigil.operators.envelope import decode_envelope as _decode_env  # noqa: E402
