@@ -10,8 +10,9 @@ is one digest, which is then taken out of its other cells.
 
 When peeling gets stuck the sketch was too small: the digests are divided by
 their next four bits into sixteen sketches of the same size, each subtracted
-and peeled alone, down to five times (a sketch of 16^5 * 24 cells). The work
-stays proportional to the number of paragraphs at each step. Likeness is the
+and peeled alone, up to three times over (16^3 * 24 cells); digests that even these
+cannot separate are compared as sets. The work stays proportional to the number
+of paragraphs at each step. Likeness is the
 share of common digests in all digests of the two texts.
 
 Everything is a DataFrame expression; texts move once by document and each
@@ -35,7 +36,7 @@ from vigil.llm.registry import register
 
 ROWS, COLUMNS = 3, 8
 CELLS = ROWS * COLUMNS
-LEVELS = 5
+LEVELS = 4
 _NO_ID = -(1 << 63)
 _BODY = (1 << 48) - 1
 _PARAGRAPH = r"\n+|(?<=[.!?])[ \t\r]+"
@@ -110,8 +111,8 @@ def difference(a: Column, b: Column, cells: Column | None = None, level: int = 0
     """(left, right): the numbers of digests that only a, only b has. ``cells``:
     the subtracted sketches, if they are there already."""
     first = cells if cells is not None else subtract(sketch(a), sketch(b))
-    if level == LEVELS:  # digests that agree in all these bits: count them as different
-        return F.struct(F.size(a).alias("left"), F.size(b).alias("right"))
+    if level == LEVELS:  # too many digests agree in all the bits used so far
+        return F.struct(F.size(F.array_except(a, b)).alias("left"), F.size(F.array_except(b, a)).alias("right"))
     shift = 44 - 4 * level
 
     def part(k: Column) -> Column:

@@ -145,6 +145,10 @@ def _phone(text: str, key: bytes, tweak: str) -> str:
     return text[:at] + _format_kept(text[at:], key, f"{tweak}|{text[:at]}")
 
 
+def _iban(text: str, key: bytes, tweak: str) -> str:
+    return text[:2] + _format_kept(text[2:], key, f"{tweak}|{text[:2]}")
+
+
 def _email(text: str, key: bytes, tweak: str) -> str:
     local, _, domain = text.rpartition("@")
     name, dot, rest = domain.partition(".")
@@ -173,7 +177,7 @@ def _secret(text: str, key: bytes, tweak: str) -> str:
     return head + _format_kept(body, key, f"{tweak}|{bool(hexed)}", letters)
 
 
-_MAKERS = {"email": _email, "secret": _secret, "card": _card, "ip": _ip, "phone": _phone, "name": _name}
+_MAKERS = {"email": _email, "secret": _secret, "card": _card, "ip": _ip, "phone": _phone, "name": _name, "iban": _iban}
 
 
 @lru_cache(maxsize=100_000)
