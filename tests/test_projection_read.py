@@ -95,3 +95,20 @@ def test_series_key_column_parse(spark):
     df = spark.createDataFrame([("a|b|c|d",), ("a|b||",), ("a|b|c",)], "series_key string")
     got = [tuple(r) for r in df.select(*split_series_key_col()).collect()]
     assert got == [("a", "b", "c", "d", True), ("a", "b", "", "", True), (None, None, None, None, False)]
+
+
+def test_read_queries_scan_the_stored_model(spark, capsys):
+    """Filters of the registered read queries reach the stored tables."""
+    from vigil.plans.catalog import REGISTRY
+    sf = "/root/testdata/sf0.001"
+    REGISTRY["list_anomalies_time_range"].build(spark, sf).explain("formatted")
+    plan = capsys.readouterr().out
+    assert "PartitionFilters: [isnotnull(event_date" in plan and "GreaterThanOrEqual(ts," in plan
+    assert "Window" not in plan and "HashAggregate" not in plan
+    REGISTRY["get_series_state"].build(spark, sf).explain("formatted")
+    assert "EqualTo(source,svc-1)" in capsys.readouterr().out
+
+
+def test_text_bounds():
+    from vigil.operators.read_api import parse_bound
+    assert [parse_bound(x) for x in ("5", 7, "", None, "soon", "1.5", str(1 << 70))] == [5, 7, None, None, None, None, None]

@@ -45,7 +45,19 @@ def parse_int_param(raw: str | None, default: int) -> int:
     return v
 
 
-def clamp_anomaly_page(limit: int | None, offset: int | None) -> tuple[int, int]:
+def parse_bound(raw: int | str | None) -> int | None:
+    """A time bound of a request: a 64-bit integer or its text; anything else
+    means that no bound is given."""
+    try:
+        v = int(raw)
+    except (TypeError, ValueError):
+        return None
+    return v if -(1 << 63) <= v < 1 << 63 else None
+
+
+def clamp_anomaly_page(limit: int | str | None, offset: int | str | None) -> tuple[int, int]:
+    limit = parse_int_param(limit, 0) if isinstance(limit, str) else limit
+    offset = parse_int_param(offset, 0) if isinstance(offset, str) else offset
     lim = ANOMALY_LIMIT_DEFAULT if limit is None or limit <= 0 else min(limit, ANOMALY_LIMIT_MAX)
     off = 0 if offset is None or offset < 0 else offset
     return lim, off
@@ -59,11 +71,12 @@ def _filters(df: DataFrame, **eq) -> DataFrame:
     return df
 
 
-def list_anomalies(events: DataFrame, *, from_ts: int | None = None, to_ts: int | None = None,
+def list_anomalies(events: DataFrame, *, from_ts: int | str | None = None, to_ts: int | str | None = None,
                    source: str | None = None, metric_name: str | None = None,
                    env: str | None = None, region: str | None = None,
-                   instance_id: str | None = None, limit: int | None = None,
-                   offset: int | None = None) -> DataFrame:
+                   instance_id: str | None = None, limit: int | str | None = None,
+                   offset: int | str | None = None) -> DataFrame:
+    from_ts, to_ts = parse_bound(from_ts), parse_bound(to_ts)
     lim, off = clamp_anomaly_page(limit, offset)
     df = _filters(events, source=source, metric_name=metric_name, env=env, region=region,
                   instance_id=instance_id)

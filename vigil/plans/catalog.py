@@ -370,6 +370,34 @@ def _state(spark, sf, late=False):
     return fold_series_state(_events(spark, sf, late), updated_at=FX.FIXED_CLOCK)
 
 
+_models: dict[tuple[str, str], str] = {}
+
+
+def _read_model(spark, sf):
+    """Folder of the stored read model of the stand-in anomaly stream, written
+    once per application and input: ``anomaly_events``, partitioned by
+    ``event_date`` and sorted by time within it, and ``series_state``. The read
+    queries scan these tables, as a service would."""
+    from vigil.session import fresh_subdir
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _models:
+        base = fresh_subdir(spark, "read-model")
+        events = FX.store(_events(spark, sf), "read-events")
+        (events.repartition("event_date").sortWithinPartitions("event_date", "ts", "id")
+         .write.partitionBy("event_date").parquet(f"{base}/anomaly_events"))
+        fold_series_state(events, updated_at=FX.FIXED_CLOCK).write.parquet(f"{base}/series_state")
+        _models[key] = base
+    return _models[key]
+
+
+def _stored_events(spark, sf):
+    return spark.read.parquet(f"{_read_model(spark, sf)}/anomaly_events")
+
+
+def _stored_state(spark, sf):
+    return spark.read.parquet(f"{_read_model(spark, sf)}/series_state")
+
+
 _STATE_SQL = (f"{S.KEY_SQL}, last_ts, round(last_value, 6) AS last_value, round(baseline, 6) AS baseline, "
               "round(mad, 6) AS mad, round(threshold, 6) AS threshold, window_size, "
               "round(threshold_k, 6) AS threshold_k, detector, producer, trace_id, event_id, "
@@ -419,14 +447,14 @@ def _list_sql(where: str = "", limit: int = 100, offset: int = 0) -> str:
 @register("list_anomalies", _list_sql())
 def q_list_anomalies(spark, sf):
     """Newest-first anomaly page with default parameters (limit 100)."""
-    return _list_select(list_anomalies(_events(spark, sf)))
+    return _list_select(list_anomalies(_stored_events(spark, sf)))
 
 
 @register("list_anomalies_filtered", _list_sql("source = 'svc-1' AND metric_name = 'click'"))
 def q_list_anomalies_filtered(spark, sf):
     """Page filtered on source and metric; empty-string parameters are
     ignored (env='' means no env filter)."""
-    return _list_select(list_anomalies(_events(spark, sf), source="svc-1", metric_name="click", env=""))
+    return _list_select(list_anomalies(_stored_events(spark, sf), source="svc-1", metric_name="click", env=""))
 
 
 _FROM_TS, _TO_TS = 1704844800, 1705708800  # 2024-01-10 .. 2024-01-20 (UTC), inclusive
@@ -435,19 +463,27 @@ _FROM_TS, _TO_TS = 1704844800, 1705708800  # 2024-01-10 .. 2024-01-20 (UTC), inc
 @register("list_anomalies_time_range", _list_sql(f"ts >= {_FROM_TS} AND ts <= {_TO_TS}", limit=1000))
 def q_list_anomalies_time_range(spark, sf):
     """Inclusive time range with the maximum page size."""
-    return _list_select(list_anomalies(_events(spark, sf), from_ts=_FROM_TS, to_ts=_TO_TS, limit=1000))
+    return _list_select(list_anomalies(_stored_events(spark, sf), from_ts=_FROM_TS, to_ts=_TO_TS, limit=1000))
+
+
+@register("list_anomalies_text_bounds", _list_sql(f"ts >= {_FROM_TS}", limit=1000))
+def q_list_anomalies_text_bounds(spark, sf):
+    """Time bounds as request text: a bound that is no number is not given,
+    nor is an empty or out-of-range page parameter."""
+    return _list_select(list_anomalies(_stored_events(spark, sf), from_ts=f"{_FROM_TS}", to_ts="tomorrow",
+                                       limit="1000", offset="x"))
 
 
 @register("list_anomalies_page2", _list_sql(limit=50, offset=50))
 def q_list_anomalies_page2(spark, sf):
     """Second page of 50."""
-    return _list_select(list_anomalies(_events(spark, sf), limit=50, offset=50))
+    return _list_select(list_anomalies(_stored_events(spark, sf), limit=50, offset=50))
 
 
 @register("list_anomalies_clamped", _list_sql(limit=1000, offset=0))
 def q_list_anomalies_clamped(spark, sf):
     """limit 5000 is clamped to 1000 and offset -5 to 0."""
-    return _list_select(list_anomalies(_events(spark, sf), limit=5000, offset=-5))
+    return _list_select(list_anomalies(_stored_events(spark, sf), limit=5000, offset=-5))
 
 
 _SERIES_OUT_SQL = (f"{S.KEY_SQL}, last_ts, round(last_value, 6) AS last_value, "
@@ -466,14 +502,14 @@ def _series_select(df):
           f"\nSELECT {_SERIES_OUT_SQL} FROM state_t ORDER BY last_seq DESC LIMIT 200")
 def q_list_series(spark, sf):
     """Series state page, most recently updated first (default limit 200)."""
-    return _series_select(list_series(_state(spark, sf)))
+    return _series_select(list_series(_stored_state(spark, sf)))
 
 
 @register("list_series_filtered", S.decoded_sql(SERVICE) +
           f"\nSELECT {_SERIES_OUT_SQL} FROM state_t WHERE env = 'prod' ORDER BY last_seq DESC LIMIT 5")
 def q_list_series_filtered(spark, sf):
     """Series page filtered on env with limit 5."""
-    return _series_select(list_series(_state(spark, sf), env="prod", limit=5))
+    return _series_select(list_series(_stored_state(spark, sf), env="prod", limit=5))
 
 
 @register("get_series_state", S.decoded_sql(SERVICE) +
@@ -481,7 +517,7 @@ def q_list_series_filtered(spark, sf):
           "AND env = 'prod' AND region = 'us-east-1'")
 def q_get_series_state(spark, sf):
     """Point lookup by the composite key ``svc-1|click|prod|us-east-1``."""
-    return _series_select(get_series_state(_state(spark, sf), "svc-1|click|prod|us-east-1"))
+    return _series_select(get_series_state(_stored_state(spark, sf), "svc-1|click|prod|us-east-1"))
 
 
 @register("get_series_state_missing", S.decoded_sql(SERVICE) +
@@ -489,7 +525,7 @@ def q_get_series_state(spark, sf):
           "AND env = 'prod' AND region = 'us-east-1'")
 def q_get_series_state_missing(spark, sf):
     """Lookup of a series that has no state: zero rows."""
-    return _series_select(get_series_state(_state(spark, sf), "svc-9|click|prod|us-east-1"))
+    return _series_select(get_series_state(_stored_state(spark, sf), "svc-9|click|prod|us-east-1"))
 
 
 # --------------------------------------------------------------- streaming --
@@ -842,7 +878,7 @@ def q_ext_recent_errors(spark, sf):
 def q_ext_outbox_relay(spark, sf):
     """D-12 (extension): next relay batch of stored anomaly events after the
     published cursor id 5000, in id order."""
-    return _list_select(X.outbox_batch(_events(spark, sf), 5000, 100))
+    return _list_select(X.outbox_batch(_stored_events(spark, sf), 5000, 100))
 
 
 @register("stream_predictions", None)
