@@ -183,15 +183,20 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
             .select("text", "y").toPandas())
     texts = [t or "" for t in rows["text"]]
     y = rows["y"].to_numpy(float)
+    del rows
     if not len(y) or y.min() == y.max():
         share = float(y.mean()) if len(y) else 0.0
         return Model({}, (0., 0., 0.), math.log((share + 1e-9) / (1 - share + 1e-9)))
-    often: Counter[str] = Counter()  # only what some toxic texts share can enter the lexicon
-    for t, toxic in zip(texts, y, strict=True):
-        if toxic:
-            often.update(features(t))
-    names = {w: i for i, w in enumerate(w for w, k in often.items() if k >= 3)}
-    del often
+    # only what three toxic texts share can enter the lexicon; counts by hash
+    # first, so that names are kept of few features
+    often = np.zeros(1 << 20, np.int32)
+    for t in (t for t, toxic in zip(texts, y, strict=True) if toxic):
+        often[[hash(w) & 0xFFFFF for w in features(t)]] += 1
+    known: Counter[str] = Counter()
+    for t in (t for t, toxic in zip(texts, y, strict=True) if toxic):
+        known.update(w for w in features(t) if often[hash(w) & 0xFFFFF] >= 3)
+    names = {w: i for i, w in enumerate(w for w, k in known.items() if k >= 3)}
+    del often, known
     found = [np.array([names[w] for w in features(t) if w in names], np.int64) for t in texts]
     lexicon, odds = induce(found, list(names), y, copy_weights(texts))
     if not lexicon:
