@@ -55,8 +55,8 @@ def test_bounds_and_oversize(spark):
 def test_daily_sequence_chunked_equals_plain(spark):
     rows = [(i, 86400 * 3 + i * 137, 1.0) for i in range(1500)]
     pts = points_df(spark, rows)
-    a = {r.seq: r.daily_id for r in X.daily_sequence(pts, "source", chunk_seconds=600).collect()}
-    b = {r.seq: r.daily_id for r in X.daily_sequence(pts, "source", chunk_seconds=86400).collect()}
+    a = {r.seq: r.daily_id for r in X.daily_sequence(pts, "source", target_chunk_rows=20).collect()}
+    b = {r.seq: r.daily_id for r in X.daily_sequence(pts, "source").collect()}
     assert a == b
     day_ids = [a[i] for i in range(1500)]
     days = {d.split(":")[0] for d in day_ids}

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from vigil.operators.mad import DEFAULT_TARGET_CHUNK_ROWS, _with_chunk, plan_chunks
 from vigil.schemas import SERIES_KEY
 
 # --- fixed values (from the reference's guideline text) --------------------
@@ -203,23 +204,22 @@ DAILY_SEQ_MIN, DAILY_SEQ_SPAN = 1000, 10000   # start drawn from 1000..10999
 # ---------------------------------------------------------------------------
 
 
-def daily_sequence(df: DataFrame, tenant: str, *, chunk_seconds: int = 3600) -> DataFrame:
+def daily_sequence(df: DataFrame, tenant: str, *, target_chunk_rows: int = DEFAULT_TARGET_CHUNK_ROWS) -> DataFrame:
     """D-6: number each tenant's messages per UTC day in (timestamp, seq)
     order as ``YYYYMMDD:N``; N restarts every day at a per-(tenant, day)
     start in [1000, 10999] (derived from SHA-256 of ``tenant|YYYYMMDD``, so
     it is stable across reruns).
 
-    Skew: the rank inside a day is a prefix sum over sub-day chunks, so no
-    task has to hold a whole tenant-day. The row number runs per
-    (tenant, day, chunk), and the offset of each chunk comes from a small
-    count table (partial aggregation, then a window over at most
-    86400 / chunk_seconds rows per tenant-day)."""
+    Skew: a tenant-day of more than ``target_chunk_rows`` messages is cut by
+    counts (``plan_chunks``: hours, seconds, ranges of ``seq``), so no task
+    holds more than twice as many. The row number runs per chunk, and each
+    chunk's offset comes from a small count table (a window over the chunks of
+    one tenant-day)."""
     day = F.date_format(F.timestamp_seconds(F.col("timestamp")), "yyyyMMdd")
-    day_start = F.floor(F.col("timestamp") / F.lit(86400)) * F.lit(86400)
-    chunk = F.coalesce(F.floor((F.col("timestamp") - day_start) / F.lit(chunk_seconds)),
-                       F.lit(0).cast("long"))
-    base = (df.withColumn("_day", F.coalesce(day, F.lit("")))
-            .withColumn("_dchunk", chunk))
+    base = df.withColumn("_day", F.coalesce(day, F.lit(""))).withColumn(tenant, F.coalesce(tenant, F.lit("")))
+    plan = plan_chunks(base, [tenant, "_day"], target_chunk_rows)
+    base = base.withColumn("_chunk", F.lit(0).cast("long")) if plan is None else _with_chunk(base, plan)
+    base = base.withColumnRenamed("_chunk", "_dchunk")
     key = [tenant, "_day", "_dchunk"]
     w = Window.partitionBy(*key).orderBy("timestamp", "seq")
     ranked = base.withColumn("_lrn", F.row_number().over(w))

@@ -66,8 +66,9 @@ BUCKET_SECONDS = 3600
 @dataclass(frozen=True)
 class ChunkPlan:
     """Where the hot series are cut. ``levels`` holds one to three tables of
-    (keys, level columns, _cut): the chunk of each bucket of a hot series, null
-    where the next level divides the bucket further."""
+    (keys, level columns, _cut): the chunk of each bucket of a hot series; buckets
+    that the next level divides are in its table."""
+    keys: tuple[str, ...]
     levels: tuple[DataFrame, ...]
     seq_width: int
 
@@ -128,7 +129,7 @@ def plan_chunks(points: DataFrame, keys=SERIES_KEY,
     for n in range(len(counts)):
         table = leaves.filter(F.col("_level") == n).select(*keys, *cols[:n + 1], "_cut")
         tables.append(table)
-    return ChunkPlan(tuple(tables), seq_width)
+    return ChunkPlan(tuple(keys), tuple(tables), seq_width)
 
 
 def _normalize_keys(points: DataFrame, keys) -> DataFrame:
@@ -163,11 +164,10 @@ def _with_chunk(points: DataFrame, chunks: int | ChunkPlan) -> DataFrame:
     differ from the main one."""
     if isinstance(chunks, ChunkPlan):
         cols = ["_hour", "_second", "_range"][:len(chunks.levels)]
-        keys = [c for c in chunks.levels[0].columns if not c.startswith("_")]
         j, cuts = points, []
         for n, table in enumerate(chunks.levels):
             j = j.withColumn(cols[n], F.coalesce(_level_column(n, chunks.seq_width), F.lit(0)).cast("long"))
-            j = j.join(table.withColumnRenamed("_cut", f"_cut{n}"), [*keys, *cols[:n + 1]], "left")
+            j = j.join(table.withColumnRenamed("_cut", f"_cut{n}"), [*chunks.keys, *cols[:n + 1]], "left")
             cuts.append(F.col(f"_cut{n}"))
         return (j.withColumn("_chunk", F.coalesce(*cuts, F.lit(0).cast("long")))
                 .select(*points.columns, "_chunk"))

@@ -850,17 +850,26 @@ def q_ext_ttf(spark, sf):
                       F.round("ttf_seconds", 1).alias("ttf_seconds"))
 
 
-@register("ext_daily_sequence", f"""WITH d AS (
+_DAILY_SQL = f"""WITH d AS (
   SELECT seq, source, timestamp, strftime(make_timestamp(timestamp * 1000000), '%Y%m%d') AS day
   FROM ({S.EVENTS_POINTS}))
 SELECT seq, day || ':' || CAST(1000 + (('0x' || substr(sha256(source || '|' || day), 1, 8))::BIGINT % 10000)
         + row_number() OVER (PARTITION BY source, day ORDER BY timestamp, seq) - 1 AS VARCHAR) AS daily_id
-FROM d""")
+FROM d"""
+
+
+@register("ext_daily_sequence", _DAILY_SQL)
 def q_ext_daily_sequence(spark, sf):
     """D-6 (extension): per-source daily message ids ``YYYYMMDD:N``."""
     return X.daily_sequence(metric_points_from_events(spark, sf), "source").select("seq", "daily_id")
 
 
+@register("ext_daily_sequence_hot", _DAILY_SQL)
+def q_ext_daily_sequence_hot(spark, sf):
+    """D-6 with source-days cut into chunks of ~15 messages: the same ids."""
+    return X.daily_sequence(metric_points_from_events(spark, sf), "source", target_chunk_rows=15).select("seq", "daily_id")
+
+
 _ERR_NOW = 1705320000  # 2024-01-15T12:00:00Z
 
 
