@@ -107,15 +107,17 @@ _NUMBER = r"^(TINYINT|SMALLINT|INT|BIGINT|DECIMAL.*|FLOAT|DOUBLE)$"
 
 def ml_payload_filter(df: DataFrame, payload: str = "payload") -> tuple[DataFrame, DataFrame]:
     """Model-scoring intake: keep payloads whose ``value`` is present and
-    numeric, whatever the other fields hold; bad JSON and missing /
-    non-numeric values are acknowledged and dropped (returned as the second
-    frame with a reason). JSON booleans are not numbers here. ``metric_name``
+    numeric, whatever the other fields hold; bad JSON (repeated keys
+    included), a ``value`` of another type, and missing values are acknowledged
+    and dropped (returned as the second frame with a reason). JSON booleans are
+    not numbers here. ``metric_name``
     is returned as text and ``timestamp`` as an integer, null where it is none."""
     carry = [c for c in df.columns if c != payload]
     parsed = materialize(df, "_m", F.try_parse_json(F.col(payload)))
     m = F.col("_m")
-    malformed = m.isNull()
-    number = F.coalesce(F.schema_of_variant(F.variant_get(m, "$.value", "variant")).rlike(_NUMBER), F.lit(False))
+    kind = F.coalesce(F.schema_of_variant(F.variant_get(m, "$.value", "variant")), F.lit("VOID"))
+    number = kind.rlike(_NUMBER)
+    malformed = m.isNull() | (~number & (kind != "VOID"))
     parsed = materialize(parsed, "_ok", ~malformed & number)
     keep = parsed.filter("_ok").select(
         *carry, F.try_variant_get(m, "$.metric_name", "string").alias("metric_name"),
