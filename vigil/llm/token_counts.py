@@ -93,13 +93,16 @@ class PrefixCounter:
     def merge(self, data: bytes) -> list[bytes]:
         """Plain BPE: always the lowest-ranked, leftmost pair."""
         parts = [data[i:i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            best, at = min(((self.rank.get(p, 1 << 60), i)
-                            for i, p in enumerate(zip(parts, parts[1:], strict=False))))
-            if best == 1 << 60:
-                break
+        rank = self.rank.get
+        while True:
+            best, at = 1 << 60, -1
+            for i in range(len(parts) - 1):
+                r = rank((parts[i], parts[i + 1]))
+                if r is not None and r < best:
+                    best, at = r, i
+            if at < 0:
+                return parts
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
-        return parts
 
     def fits(self, key: int) -> bool:
         """Whether token b may follow token a (or start, for a = _NONE)."""
