@@ -158,10 +158,10 @@ def _neighbours(rows: DataFrame) -> DataFrame:
     order = stored(order, "order")  # pins the numbers
     part = F.shiftright("m", 33)
     ends = order.groupBy(part.alias("p")).agg(F.min("m").alias("head"), F.max("m").alias("tail"))
-    after = F.lead("head").over(Window.orderBy("p"))  # one row per file of the order
-    jumps = (ends.select("tail", after.alias("after"))
-             .crossJoin(F.broadcast(ends.agg(F.min("head").alias("top"))))
-             .select(F.col("tail").alias("m"), F.coalesce("after", "top").alias("to")))
+    files = Window.orderBy("p")  # one row per file of the order
+    whole = files.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    jumps = ends.select(F.col("tail").alias("m"), F.coalesce(
+        F.lead("head").over(files), F.min("head").over(whole)).alias("to"))
     a = (order.join(jumps, "m", "left")
          .select("k", "h", "n", "copies", F.coalesce("to", F.col("m") + 1).alias("to")))
     b = order.select(F.col("k").alias("next_k"), F.col("h").alias("next_h"), F.col("m").alias("to"))
