@@ -125,7 +125,9 @@ def decode_envelope(df: DataFrame, payload: str = "payload") -> tuple[DataFrame,
     keep the input columns plus ``reason``."""
     e = F.col("_env")
     parsed = materialize(df, "_env", F.from_json(F.col(payload), _DECODE_SCHEMA, _JSON_OPTS))
-    malformed = e.isNull() | e["_corrupt"].isNotNull() | wrongly_typed(F.col(payload), _TEXT_PATHS)
+    parsed = materialize(parsed, "_v", F.try_parse_json(F.col(payload)))
+    parsed = materialize(parsed, "_typed", ~wrongly_typed(F.col("_v"), _TEXT_PATHS))
+    malformed = e.isNull() | e["_corrupt"].isNotNull() | ~F.col("_typed")
     v2 = e["meta"].isNotNull() & e["data"].isNotNull()
 
     def pick(f: str) -> Column:

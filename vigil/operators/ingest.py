@@ -70,11 +70,10 @@ def encode_metric_json(df: DataFrame) -> Column:
     return F.to_json(F.struct(*[F.col(c) for c in METRIC_FIELDS]))
 
 
-def wrongly_typed(payload: Column, paths: list[str]) -> Column:
-    """True where a text field of the JSON holds a number, boolean, object or
-    array (``from_json`` would turn any of them into text). Null and absent
-    fields are fine."""
-    parsed = F.try_parse_json(payload)
+def wrongly_typed(parsed: Column, paths: list[str]) -> Column:
+    """True where a text field of the parsed JSON (a variant) holds a number,
+    boolean, object or array (``from_json`` would turn any of them into text).
+    Null and absent fields are fine."""
     kinds = [F.schema_of_variant(F.variant_get(parsed, p, "variant")) for p in paths]
     return F.coalesce(reduce(or_, (F.coalesce(~k.isin("STRING", "VOID"), F.lit(False)) for k in kinds)), F.lit(False))
 
@@ -91,8 +90,9 @@ def decode_metric_json(df: DataFrame, payload: str = "payload") -> tuple[DataFra
     stream sequence) are carried through. Quarantine rows keep the input
     columns plus ``reason``."""
     parsed = materialize(df, "_m", F.from_json(F.col(payload), _DECODE_SCHEMA, _JSON_OPTS))
+    parsed = materialize(parsed, "_v", F.try_parse_json(F.col(payload)))
     bad = (F.col("_m").isNull() | F.col("_m._corrupt").isNotNull()
-           | wrongly_typed(F.col(payload), [f"$.{f}" for f in _STR_FIELDS]))
+           | wrongly_typed(F.col("_v"), [f"$.{f}" for f in _STR_FIELDS]))
     carry = [c for c in df.columns if c != payload]
     zero = {T.StringType(): F.lit(""), T.DoubleType(): F.lit(0.0), T.LongType(): F.lit(0).cast("long")}
     fields = [F.coalesce(F.col(f"_m.{f.name}"), zero[f.dataType]).alias(f.name)
