@@ -8,6 +8,7 @@ setting is absent, as in local tests.
 
 from __future__ import annotations
 
+import atexit
 import os
 import re
 import shutil
@@ -69,9 +70,9 @@ def ship_package(spark: SparkSession) -> None:
     if root in map(os.path.abspath, filter(None, paths)) or getattr(context, "_vigil_shipped", False):
         return
     folder = tempfile.mkdtemp(prefix="vigil-package-")
-    archive = shutil.make_archive(os.path.join(folder, "vigil"), "zip", root, "vigil")
-    context.addPyFile(archive)
-    shutil.rmtree(folder, ignore_errors=True) if not context.master.startswith("local") else None
+    # the driver serves the archive to the workers for as long as it runs
+    context.addPyFile(shutil.make_archive(os.path.join(folder, "vigil"), "zip", root, "vigil"))
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     context._vigil_shipped = True
 
 
