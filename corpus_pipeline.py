@@ -23,6 +23,10 @@ from vigil.llm import jaccard_join, mixing, pii
 from vigil.llm import toxicity as toxic
 from vigil.llm.common import read, stored
 
+#: Words of a shingle and least similarity in per cent of near duplicates.
+NEAR_WORDS = 5
+NEAR_PERCENT = 80
+
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't reject. It is fitted on the
@@ -33,8 +37,10 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked documents: the one of smallest id
-    (and of repeats of that id the first by text)."""
-    return jaccard_join.one_of_each(docs)
+    (and of repeats of that id the first by text). Documents are linked at a
+    Jaccard similarity of their 5-word shingles of 0.8 or more; the query op4
+    has thresholds of its own."""
+    return jaccard_join.one_of_each(docs, n=NEAR_WORDS, percent=NEAR_PERCENT)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

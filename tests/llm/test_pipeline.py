@@ -1,10 +1,11 @@
 """The pipeline and the registered queries on the smallest tables."""
 
+import random
 import re
 
 import corpus_pipeline
 import pytest
-from corpus_fixtures import make  # noqa: F401  (fixtures)
+from corpus_fixtures import make, prose  # noqa: F401  (fixtures)
 
 import __spark_entry__ as entry
 
@@ -31,6 +32,23 @@ def test_stages_take_effect(spark):
     assert docs.filter("copies < 1").count() == 0 and docs.count() > 0
 
 
+def test_near_duplicates_against_brute_force(spark, make):
+    """Five words and 0.8: also near copies that 4-shingles at 0.85 don't link."""
+    rng = random.Random(3)
+    texts = []
+    for edits in (0, 1, 3, 4, 5, 6, 9):
+        base = prose(rng, 200).split()
+        copy = list(base)
+        for k in range(edits):
+            copy[20 * k + 10] = f"edit{k}"
+        texts += [" ".join(base), " ".join(copy)]
+    sets = [{tuple(w[i:i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    kept = [i for i, s in enumerate(sets) if not any(5 * len(s & o) >= 4 * len(s | o) for o in sets[:i])]
+    assert 7 not in kept and 9 in kept  # 4 scattered edits: 0.815; 5: 0.773
+    got = corpus_pipeline.near_duplicates(spark, make(texts), SF)
+    assert sorted(r.doc_id for r in got.collect()) == kept
+
+
 def test_empty_and_odd_tables(spark, make):
     odd = make([(1, None), (None, "abc"), (2, ""), (2, ""), (3, "some words to keep here")])
     for rows in (odd, odd.limit(0)):
