@@ -99,6 +99,40 @@ def test_jaccard_components_are_exact(make, corpus, limits):
     assert got == brute_components(list(enumerate(corpus)))
 
 
+def test_no_task_takes_a_large_group(make, monkeypatch):
+    """A group that no pivot divides, and one that they do, in bounded tasks."""
+    rng = random.Random(8)
+    base = prose(rng, 60).split()
+    texts = []
+    for k in range(36):  # near copies, the later ones far from each other
+        w = list(base)
+        for _ in range(k // 6):
+            w[rng.randrange(len(w))] = f"edit{k}x{rng.randrange(99)}"
+        texts.append(" ".join(w))
+    mark = "four words in common"
+    texts += [" ".join([mark, prose(rng, 20)]) for _ in range(24)]
+    whole, limit = jaccard_join._resolve, 600
+
+    def bounded(n, percent):
+        solve = whole(n, percent)
+
+        def run(batches):
+            size = {}
+            kept = list(batches)
+            for b in kept:
+                for g, t in zip(b.column("group").to_pylist(), b.column("text").to_pylist(), strict=True):
+                    size[g] = size.get(g, 0) + len(t.split()) - 3
+            if max(size.values(), default=0) > limit:
+                raise ValueError("a task got more than max_group")
+            yield from solve(iter(kept))
+        return run
+
+    monkeypatch.setattr(jaccard_join, "_resolve", bounded)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in
+           jaccard_join.jaccard_components(make(texts), max_group=limit, max_region=3).collect()}
+    assert got == brute_components(list(enumerate(texts)))
+
+
 def test_jaccard_odd_rows(make):
     rows = [(3, "a b c d e"), (3, "a b c d e"), (None, "a b c d e"), (5, "A b c d e"), (7, ""), (8, None)]
     got = sorted(((r.doc_id or -1), r.n_shingles, r.component_id) for r in

@@ -22,7 +22,9 @@ inequality bound where a document's partners (distance at most ``tau``) can be.
    longer shrinking; a leaf grows exact components by comparing each reached
    member with the members not yet reached, through an inverted index. Groups
    beyond ``max_group`` shingles are split by pivots in Spark first, in salted
-   parts, before any task takes a region.
+   parts and as often as a split makes them smaller; what no split divides is
+   solved by comparing hubs with salted parts. No task takes more than
+   ``max_group`` shingles, single documents beyond it excepted.
 
 No pairs are listed, and copies never leave their class. The result is one row
 per document with its component.
@@ -361,35 +363,133 @@ def _resolve(n: int, percent: int):
     return run
 
 
-def _split_large(large: DataFrame, n: int, percent: int, max_group: int) -> DataFrame:
-    """Members of large groups, spread over their pivots' regions: the group
-    becomes ``group:pivot``. Distances are computed in salted parts that each
-    get the group's (at most 16) pivots. A member that shares nothing with any
-    pivot, or hardly anything, goes to the region of the far."""
+def _beside(rows: DataFrame, hubs: DataFrame, judge, schema: str, max_group: int) -> DataFrame:
+    """``judge`` of salted parts of each group (of about a quarter of
+    ``max_group``), each beside all of the group's ``hubs`` (hub, hub_text)."""
     parts = F.ceil(F.col("members") * 4 / max_group).cast("int")
-    slot = F.pmod(F.xxhash64("class"), F.lit(16))
+    sent = hubs.select(F.col("group").alias("home"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("share"),
+                       "hub", "hub_text")
+    return (rows.withColumn("part", F.pmod(F.xxhash64("class", F.lit(1)), parts).cast("int"))
+            .groupBy("group", "part").cogroup(sent.groupBy("home", "share")).applyInPandas(judge, schema))
+
+
+def _measured(left: pd.DataFrame, right: pd.DataFrame, n: int, percent: int) -> Group:
+    """Hubs, then members."""
+    texts = [*right["hub_text"], *left["text"]]
+    return Group(shingle_sets(pa.array(texts, pa.large_string()), n), percent)
+
+
+def _regions(large: DataFrame, n: int, percent: int, max_group: int, level: int) -> DataFrame:
+    """Add ``homes``: the regions of the group's (at most 16) pivots that a
+    member belongs to, as ``group:pivot``. A member that shares nothing with
+    any pivot, or hardly anything, goes to the region of the far."""
+    slot = F.pmod(F.xxhash64("class", F.lit(level)), F.lit(16))
     pivots = (large.groupBy("group", slot.alias("slot"))
-              .agg(F.min(F.struct("class", "text")).alias("p"), F.first("members").alias("members")))
-    sent = pivots.select(F.col("group").alias("home"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("share"),
-                         F.col("p.class").alias("pivot"), F.col("p.text").alias("pivot_text"))
-    rows = large.withColumn("part", F.pmod(F.xxhash64("class", F.lit(1)), parts).cast("int"))
+              .agg(F.min(F.struct("class", "text")).alias("p"), F.first("members").alias("members"))
+              .select("group", "members", F.col("p.class").alias("hub"), F.col("p.text").alias("hub_text")))
 
     def assign(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        texts = [*right["pivot_text"], *left["text"]]
-        group = Group(shingle_sets(pa.array(texts, pa.large_string()), n), percent)
+        group = _measured(left, right, n, percent)
         dist = np.array([group.distance(k)[len(right):] for k in range(len(right))])
         least = dist.min(0)
-        near, row = np.nonzero((dist <= least + 2 * group.tau + 1e-9) & (dist < 1))
-        far = np.flatnonzero(least >= 1 - group.tau - 1e-9)
-        row = np.concatenate([row, far])
-        name = [*right["pivot"].to_numpy()[near], *["far"] * len(far)]
-        home, text = left["group"].tolist(), left["text"].tolist()
-        return pd.DataFrame({"group": pd.Series([f"{home[i]}:{p}" for i, p in zip(row, name, strict=True)], dtype=object),
-                             "class": left["class"].to_numpy()[row],
-                             "text": pd.Series([text[i] for i in row], dtype=object)})
-
-    return (rows.groupBy("group", "part").cogroup(sent.groupBy("home", "share"))
-            .applyInPandas(assign, "group string, class long, text string"))
+        inside = (dist <= least + 2 * group.tau + 1e-9) & (dist < 1)
+        far = least >= 1 - group.tau - 1e-9
+        homes = [[*(f"{g}:{p}" for p in right["hub"].to_numpy()[near]), *([f"{g}:far"] if away else [])]
+                 for g, near, away in zip(left["group"], inside.T, far, strict=True)]
+        return left.drop(columns="part").assign(homes=pd.Series(homes, index=left.index, dtype=object))
+
+    return _beside(large.select("group", "class", "n_shingles", "text", "members"), pivots, assign,
+                   "group string, class long, n_shingles long, text string, members long, homes array<string>", max_group)
+
+
+def _hub_edges(large: DataFrame, n: int, percent: int, max_group: int) -> DataFrame | None:
+    """Exact edges (class, root) of groups that pivots don't divide. In rounds,
+    hubs are compared with all members in salted parts; hubs are taken from
+    the components so far, one of each, but not from a group's largest. A hub
+    is done once compared; a group is when the rest lie in one component."""
+    brief = large.select("group", "class", "n_shingles", "members")
+    bound = brief.groupBy("group").agg(F.max("n_shingles").alias("longest"))
+    edges, used, many = None, None, 16
+
+    def link(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
+        group = _measured(left, right, n, percent)
+        name = np.concatenate([right["hub"].to_numpy(np.int64), left["class"].to_numpy(np.int64)])
+        first = np.full(len(name), -1)
+        a, b = [], []
+        for k in range(len(right)):  # each with its first hub, and hubs that meet in one
+            got = np.flatnonzero(group.linked(k))
+            new = got[first[got] < 0]
+            met = np.unique(first[got])
+            first[new] = k
+            a += [name[new], name[met[met >= 0]]]
+            b.append(np.full(len(new) + int((met >= 0).sum()), name[k]))
+        a, b = np.concatenate(a), np.concatenate(b)
+        return pd.DataFrame({"a": a[a != b], "b": b[a != b]})
+
+    while True:
+        rest = brief if used is None else brief.join(used, ["group", "class"], "left_anti")
+        if edges is None:
+            named = rest.withColumn("component", F.col("class"))
+        else:
+            named = (rest.join(components(edges).withColumnRenamed("node", "class"), "class", "left")
+                     .withColumn("component", F.coalesce("component", "class")))
+        named = stored(named, "hub-components")
+        weight = named.groupBy("group", "component").agg(
+            F.sum("n_shingles").alias("w"), F.min(F.struct(F.xxhash64("class"), "class")).alias("one"))
+        main = weight.groupBy("group").agg(F.max(F.struct("w", "component")).alias("m"))
+        # as many hubs as a part has room for
+        slots = F.greatest(F.lit(1), F.least(F.lit(many), F.floor(F.lit(max_group // 4) / F.col("longest")).cast("int")))
+        taken = (weight.join(main, "group").filter("component <> m.component").join(bound, "group")
+                 .select("group", F.col("one.class").alias("class"), slots.alias("slots"))
+                 .groupBy("group", F.pmod(F.xxhash64("class", F.lit(many)), "slots").alias("slot"))
+                 .agg(F.min("class").alias("class")).select("group", "class"))
+        taken = stored(taken, "hubs")
+        if not taken.limit(1).count():
+            return edges
+        hubs = large.join(taken, ["group", "class"]).select(
+            "group", "members", F.col("class").alias("hub"), F.col("text").alias("hub_text"))
+        rows = large if used is None else large.join(used, ["group", "class"], "left_anti")
+        rows = rows.join(taken.select("group").distinct(), "group", "left_semi")  # groups that are not done
+        found = _beside(rows.select("group", "class", "text", "members"), hubs, link, "a long, b long", max_group)
+        found = stored(found.distinct(), "hub-links")
+        edges = found if edges is None else edges.unionByName(found)
+        used = taken if used is None else used.unionByName(taken)
+        many = min(2 * many, 1 << 12)
+
+
+def _solve_large(large: DataFrame, n: int, percent: int, max_group: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Groups beyond ``max_group`` as (tasks, edges): regions that one task may
+    take, and exact edges of what could not be divided. Each round stores one
+    row per member with its regions; a group is divided if its regions are at
+    most half of it each and twice of it together, and copies stay within four
+    times the texts, else it is solved by hubs in salted parts."""
+    tasks, edges, level, room = [], [], 0, None
+    while True:
+        level += 1
+        dealt = stored(_regions(large, n, percent, max_group, level), "regions")
+        size = (dealt.select("group", "class", "members", "n_shingles", F.explode("homes").alias("home"))
+                .groupBy("group", "members", "home")
+                .agg(F.sum("n_shingles").alias("size"), F.sum(F.xxhash64("class").cast("decimal(38,0)")).alias("mark")))
+        size = stored(size.groupBy("group", "members", "size", "mark").agg(F.min("home").alias("home")), "region-sizes")
+        part = (size.groupBy("group", "members").agg(F.max("size").alias("top"), F.sum("size").alias("total"))
+                .filter("top * 2 <= members and total <= members * 2"))
+        have = size.select("group", "members").distinct().agg(F.sum("members")).first()[0] or 0
+        room = 4 * have if room is None else room
+        if (part.agg(F.sum("total")).first()[0] or 0) > room:
+            part = part.limit(0)
+        stuck = dealt.join(part, "group", "left_anti").drop("homes")
+        if stuck.limit(1).count():
+            found = _hub_edges(stored(stuck, "unsplit"), n, percent, max_group)
+            edges += [found] if found is not None else []
+        homes = size.join(part.select("group"), "group", "left_semi").select("home", F.col("size").alias("members"))
+        split = stored(dealt.select(F.explode("homes").alias("home"), "class", "n_shingles", "text").join(homes, "home")
+                       .withColumnRenamed("home", "group"), "split")
+        tasks.append(split.filter(F.col("members") <= max_group).select("group", "class", "text"))
+        large = split.filter(F.col("members") > max_group)
+        if not large.limit(1).count():
+            return tasks, edges
 
 
 def jaccard_components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, key: str = "doc_id",
@@ -412,19 +512,22 @@ def jaccard_components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT
     groups = components(stored(edges, "stars"))
     least = table.filter("class is not null").groupBy("class").agg(F.min("id").alias("id"),
                                                                   F.first("n_shingles").alias("n_shingles"))
-    chosen = groups.select(F.col("node").alias("class"), F.col("component").alias("group"))
+    chosen = groups.select(F.col("node").alias("class"), F.col("component").cast("string").alias("group"))
     taken = stored(chosen.join(least, "class"), "chosen")
     sizes = taken.groupBy("group").agg(F.sum("n_shingles").alias("members"))
     # texts move by id at every size, whether or not the few ids would fit a broadcast
-    members = src.hint("merge").join(taken.join(sizes, "group"), "id").select("group", "class", "text", "members")
+    members = src.hint("merge").join(taken.join(sizes, "group"), "id").select("group", "class", "n_shingles", "text", "members")
     members = stored(members.dropDuplicates(["class"]), "members")
-    small = (members.filter(F.col("members") <= max_group)
-             .select(F.col("group").cast("string").alias("group"), "class", "text"))
-    tasks = small
+    tasks = members.filter(F.col("members") <= max_group).select("group", "class", "text")
+    solved: list[DataFrame] = []
     if sizes.filter(F.col("members") > max_group).limit(1).count():
-        tasks = small.unionByName(_split_large(members.filter(F.col("members") > max_group), n, percent, max_group))
+        split, solved = _solve_large(members.filter(F.col("members") > max_group), n, percent, max_group)
+        for t in split:
+            tasks = tasks.unionByName(t)
     links = (tasks.repartition(shuffle_width(docs.sparkSession), "group").sortWithinPartitions("group")
              .mapInArrow(_resolve(n, percent), "a long, b long"))
+    for e in solved:
+        links = links.unionByName(e)
     linked = components(stored(links, "links"))
     name = (least.join(linked.withColumnRenamed("node", "class"), "class", "left")
             .select("class", F.coalesce("component", "class").alias("root"), "id"))
