@@ -186,6 +186,29 @@ def test_permutation_moves_every_point(size):
     assert sorted(got) == list(range(size)) and all(i != g for i, g in enumerate(got))
 
 
+def test_surrogates_never_meet(make):
+    """Short names, unchecked cards and secrets by the thousand, and other scripts."""
+    rng = random.Random(12)
+    names = {f"Mr {rng.choice('BCDÉГ')}{''.join(rng.choices('aeilnéг', k=rng.randint(1, 5)))} "
+             f"{rng.choice('KLMŁ')}{''.join(rng.choices('aou', k=2))}" for _ in range(4000)}
+    names |= {f"Mr {g} {s}" for g in (*pii._GIVEN["m"], *pii._OTHER["m"]) for s in ("Kao", "Lua")}
+    cards = {f"4111 1111 1111 {k:04d}" for k in range(2000)}
+    secrets = {f'token="{k:08x}"'[:-1] for k in range(500)} | {f'token="{k:08X}'for k in range(500)} | \
+        {f'token="zz{k:06d}' for k in range(500)}
+    for kind, texts in (("name", names), ("card", cards), ("secret", secrets)):
+        new = {t: pii.surrogate(kind, t) for t in texts}
+        assert len(set(new.values())) == len(texts) and all(t != n for t, n in new.items())
+        for n in random.Random(1).sample(sorted(new.values()), 50):
+            shown = n + '"' if kind == "secret" else n
+            assert [(k, shown[a:b]) for k, a, b in pii.entities(shown)] == [(kind, n)]
+    mails = ["王伟@公司.com", "محمد@شركة.com", "דוד@חברה.co.il", "łóś@żaba.pl"]
+    rows = {r.doc_id: r for r in pii.replace_pii(make([*mails, 'password = "********"', "1.2.3.4 01.2.3.4"])).collect()}
+    for i, t in enumerate(mails):
+        assert rows[i].n_entities == 1 and not set(t.partition("@")[0]) & set(rows[i].text.partition("@")[0])
+        assert [k for k, *_ in pii.entities(rows[i].text)] == ["email"]
+    assert rows[4].text == 'password = "********"'
+
+
 def test_pii_rows(make):
     texts = [f"x {t} y" for _, t in SAMPLES] + [f"again {SAMPLES[0][1]}, {SAMPLES[0][1]}", None, "", "plain 12 text", 'token = "0123abcd0123abcd"']
     rows = {r.doc_id: r for r in pii.replace_pii(make(texts)).collect()}

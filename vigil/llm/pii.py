@@ -10,13 +10,19 @@ check, a titled name gets one of the same gender. So equal entities get equal su
 in every document (coreference) and different entities of one format different
 ones (distinctness), without a lookup table.
 
-Formats can still meet - a name list is finite - so ``surrogates`` checks
-distinctness over the whole corpus: distinct entities are gathered with a
-map-side combined group-by and kinds in which two share a surrogate, or one keeps
-its own, are re-keyed as a whole until none is left. Nothing but the few kinds'
-counters reaches the driver.
-
-Defined cases: null text stays null, with no entities; empty text stays empty;
+Every kind's replacement can be undone with the key, so no two entities meet:
+classes of a kind (hex or other secrets, cards with and without a check) keep to
+themselves, and a given name outside the list lends its letters to the surname,
+which gets longer. ``check_distinct`` holds this over the whole corpus: distinct
+entities are gathered with a map-side combined group-by, and two that share a
+surrogate, or one that keeps its own, raise an error. Nothing but such cases'
+counts reaches the driver.
+
+Letters outside the fixed alphabets are replaced by others of their Unicode
+script and category.
+
+Defined cases: what has no letter or digit to replace stays as it is; spellings
+of an IP address with leading zeros are one entity; null text stays null, with no entities; empty text stays empty;
 repeated rows and null ids are treated alike; matches never overlap, the
 leftmost, then the earlier kind, wins; other input columns stay out of
 ``replace_pii`` and untouched in ``without_pii``.
@@ -25,6 +31,8 @@ leftmost, then the earlier kind, wins; other input columns stay out of
 from __future__ import annotations
 
 import hashlib
+import sys
+import unicodedata
 from functools import lru_cache
 
 import pyarrow as pa
@@ -32,7 +40,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm.common import arrow_map, only, read, stored
+from vigil.llm.common import arrow_map, only, read
 from vigil.llm.registry import register
 
 KEY = b"vigil-surrogates"
@@ -60,7 +68,14 @@ _GIVEN = {
     "m": ("Adam", "Bruno", "Carlos", "David", "Emil", "Felix", "Georg", "Hugo", "Ivan", "Jonas",
           "Karl", "Luis", "Martin", "Nils", "Oscar", "Pablo", "Robert", "Simon", "Tomas", "Victor"),
 }
-_GENDER = {name: g for g, names in _GIVEN.items() for name in names}
+# Fixed given names that stand for all others.
+_OTHER = {
+    "f": ("Agnes", "Birgit", "Celia", "Daria", "Edith", "Flora", "Gloria", "Helga", "Irene", "Judith",
+          "Katja", "Lydia", "Miriam", "Nadia", "Odette", "Petra", "Renata", "Silvia", "Teresa", "Ursula"),
+    "m": ("Albert", "Bernard", "Conrad", "Dieter", "Edgar", "Franz", "Gregor", "Henrik", "Igor", "Jakob",
+          "Klaus", "Lorenz", "Marco", "Norbert", "Otto", "Philip", "Ralf", "Stefan", "Theo", "Walter"),
+}
+_GENDER = {name: g for lists in (_GIVEN, _OTHER) for g, names in lists.items() for name in names}
 # Fixed alphabets by script.
 _ALPHABETS = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789",
               "абвгдежзийклмнопрстуфхцчшщъыьэюя", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ",
@@ -70,6 +85,24 @@ _HEX = ("0123456789abcdef", "0123456789ABCDEF")
 _LETTER = {c: (a, i) for a in _ALPHABETS for i, c in enumerate(a)}
 
 
+@lru_cache(maxsize=1)
+def _scripts() -> dict[str, tuple[str, int]]:
+    """Alphabet and place of the letters and digits outside the fixed ones, by
+    script (the first word of a character's name) and category."""
+    groups: dict[tuple[str, str], list[str]] = {}
+    for c in map(chr, range(128, sys.maxunicode + 1)):
+        kind = unicodedata.category(c)
+        if kind[0] in "LN" and c not in _LETTER:
+            groups.setdefault((unicodedata.name(c, "").split(" ")[0], kind), []).append(c)
+    for name in [k for k, v in groups.items() if len(v) < 2]:  # alone in its script
+        groups.setdefault(("", name[1]), []).extend(groups.pop(name))
+    return {c: (a, i) for a in map("".join, groups.values()) for i, c in enumerate(a)}
+
+
+def _place(c: str, letters: dict = _LETTER) -> tuple[str, int] | None:
+    return letters.get(c) or (_scripts().get(c) if letters is _LETTER and ord(c) > 127 else None)
+
+
 def permute(x: int, size: int, key: bytes, tweak: str) -> int:
     """A keyed permutation of 0..size-1 that moves every point (size > 1): a
     step of one on the circle that a Feistel network shuffles."""
@@ -96,7 +129,7 @@ def permute(x: int, size: int, key: bytes, tweak: str) -> int:
 
 def _format_kept(text: str, key: bytes, tweak: str, letters: dict = _LETTER) -> str:
     """Permute the string among those of its own format."""
-    places = [letters.get(c) for c in text]
+    places = [_place(c, letters) for c in text]
     size, x = 1, 0
     for p in places:
         if p:
@@ -121,12 +154,17 @@ def _luhn(digits: str) -> int:
     return -total % 10
 
 
+def _checked(digits: str) -> bool:
+    return _luhn(digits[:-1]) == int(digits[-1])
+
+
 def _card(text: str, key: bytes, tweak: str) -> str:
-    digits = [c for c in text if c.isdigit()]
-    body = "".join(digits)
-    checked = _luhn(body[:-1]) == int(body[-1])
-    new = body[0] + _format_kept(body[1:-1] if checked else body[1:], key, f"{tweak}|{checked}")
-    new += str(_luhn(new)) if checked else ""
+    body = "".join(c for c in text if c.isdigit())
+    new, checked = body, _checked(body)
+    while new == body or _checked(new) != checked:  # walk on among those without a check
+        rest = _format_kept(new[1:-1] if checked else new[1:], key, f"{tweak}|{checked}")
+        new = new[0] + rest
+        new += str(_luhn(new)) if checked else ""
     it = iter(new)
     return "".join(next(it) if c.isdigit() else c for c in text)
 
@@ -159,31 +197,66 @@ def _email(text: str, key: bytes, tweak: str) -> str:
 def _name(text: str, key: bytes, tweak: str) -> str:
     title, *words = text.split(" ")
     gender = "f" if title.rstrip(".") in _FEMALE_TITLES else "m"
+    if len(words) == 2:
+        gender = _GENDER.get(words[0], gender)
+        if words[0] not in _GIVEN[gender]:
+            return f"{title} {_other_name(*words, gender, key, f'{tweak}|{title}')}"
     out = [title]
     if len(words) == 2:
-        names = _GIVEN[_GENDER.get(words[0], gender)]
-        at = names.index(words[0]) if words[0] in names else \
-            int.from_bytes(hashlib.blake2b(words[0].encode(), key=key, digest_size=8).digest(), "big") % len(names)
-        out.append(names[permute(at, len(names), key, f"{tweak}|given")])
+        names = _GIVEN[gender]
+        out.append(names[permute(names.index(words[0]), len(names), key, f"{tweak}|given")])
     out.append(_format_kept(words[-1], key, f"{tweak}|{' '.join(words[:-1])}"))
     return " ".join(out)
 
 
+def _other_name(given: str, surname: str, gender: str, key: bytes, tweak: str) -> str:
+    """Both words as one number: which of the other given names, and the
+    letters of both words in the surname. The surname's initial is written
+    small, or as four letters; where it was is part of the number."""
+    first, plain = ord(surname[0]), "A" <= surname[0] <= "Z"
+    code = surname[0].lower() if plain else "".join(chr(97 + first // 26 ** k % 26) for k in (3, 2, 1, 0))
+    letters = given + code + surname[1:]
+    names, more = _OTHER[gender], 0
+    while len(names) * 26 ** more < 2 * len(letters):
+        more += 1
+    x = 2 * len(given) + plain
+    places = [_place(c) for c in letters]
+    for p in places:
+        x = x * len(p[0]) + p[1]
+    places += [_place("a")] * more
+    size = len(names)
+    for p in places:
+        size *= len(p[0])
+    y = permute(x, size, key, f"{tweak}|{gender}|{''.join(p[0][0] for p in places)}")
+    out = []
+    for p in reversed(places):
+        y, i = divmod(y, len(p[0]))
+        out.append(p[0][i])
+    return f"{names[y]} {''.join(reversed(out))}"
+
+
+def _hex(body: str) -> str | None:
+    return next((h for h in _HEX if set(body) <= set(h)), None)
+
+
 def _secret(text: str, key: bytes, tweak: str) -> str:
     head = _SECRET_HEAD.match(text).group()
-    body = text[len(head):]
-    hexed = next((h for h in _HEX if set(body) <= set(h)), None)
+    body = new = text[len(head):]
+    hexed = _hex(body)
     letters = {c: (hexed, i) for i, c in enumerate(hexed)} if hexed else _LETTER
-    return head + _format_kept(body, key, f"{tweak}|{bool(hexed)}", letters)
+    while True:  # walk on among those of the same class
+        new = _format_kept(new, key, f"{tweak}|{hexed}", letters)
+        if _hex(new) == hexed:
+            return head + new
 
 
 _MAKERS = {"email": _email, "secret": _secret, "card": _card, "ip": _ip, "phone": _phone, "name": _name, "iban": _iban}
 
 
 @lru_cache(maxsize=100_000)
-def surrogate(kind: str, text: str, key: bytes = KEY, version: int = 0) -> str:
+def surrogate(kind: str, text: str, key: bytes = KEY) -> str:
     """The replacement of an entity."""
-    return _MAKERS.get(kind, _format_kept)(text, key, f"{kind}|{version}")
+    return _MAKERS.get(kind, _format_kept)(text, key, kind)
 
 
 def entities(text: str | None) -> list[tuple[str, int, int]]:
@@ -193,50 +266,54 @@ def entities(text: str | None) -> list[tuple[str, int, int]]:
     return [(m.lastgroup, m.start(), m.end()) for m in _ANY.finditer(text)]
 
 
-def surrogates(docs: DataFrame, key: bytes = KEY, rounds: int = 8) -> dict[str, int]:
-    """The version of each kind's key under which all entities of the corpus
-    have surrogates of their own, different from themselves."""
+def _same_entity(kind: str, text: str) -> str:
+    return ".".join(str(int(p)) for p in text.split(".")) if kind == "ip" else text
+
+
+def _replaceable(kind: str, text: str) -> bool:
+    """Has a letter or digit that its surrogate may change."""
+    if kind == "email":
+        local, _, domain = text.rpartition("@")
+        text = local + domain.partition(".")[0]
+    elif kind == "secret":
+        text = text[_SECRET_HEAD.match(text).end():]
+    return regex.search(r"[\p{L}\p{N}]", text) is not None
+
+
+def check_distinct(docs: DataFrame, key: bytes = KEY) -> None:
+    """Raise if two entities of the corpus share a surrogate, or one that has
+    something to replace keeps its own."""
     def gather(part):
-        found = {(k, t[a:b]) for t in part.column("text").to_pylist() for k, a, b in entities(t)}
+        found = {(k, _same_entity(k, t[a:b])) for t in part.column("text").to_pylist() for k, a, b in entities(t)}
         if not found:
             return None
         kind, text = zip(*sorted(found), strict=True)
         return pa.RecordBatch.from_arrays([pa.array(kind), pa.array(text)], ["kind", "text"])
 
-    each = stored(only(docs, text="text").mapInArrow(arrow_map(gather), "kind string, text string").distinct(),
-                  "entities")
-    versions = dict.fromkeys(_KINDS, 0)
-    todo = list(_KINDS)
-    for _ in range(rounds):
-        now = dict(versions)
-
-        def replace(batches, now=now):
-            for b in batches:
-                new = [surrogate(k, t, key, now[k]) for k, t in
-                       zip(b.column("kind").to_pylist(), b.column("text").to_pylist(), strict=True)]
-                yield b.append_column("new", pa.array(new, pa.string()))
-
-        made = (each.filter(F.col("kind").isin(todo))
-                .mapInArrow(replace, "kind string, text string, new string"))
-        clash = (made.groupBy("kind", "new").agg(F.count("*").alias("n"), F.max((F.col("text") == F.col("new"))
-                                                                              .cast("int")).alias("same"))
-                 .filter("n > 1 or same = 1").groupBy("kind").count().collect())
-        todo = [r.kind for r in clash]
-        if not todo:
-            break
-        for k in todo:
-            versions[k] += 1
-    return versions
-
-
-def _replaced(versions: dict[str, int], key: bytes):
+    def replace(batches):
+        for b in batches:
+            rows = list(zip(b.column("kind").to_pylist(), b.column("text").to_pylist(), strict=True))
+            new = [surrogate(k, t, key) for k, t in rows]
+            kept = [n == t and _replaceable(k, t) for n, (k, t) in zip(new, rows, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("kind"), pa.array(new, pa.string()),
+                                              pa.array(kept, pa.bool_())], ["kind", "new", "kept"])
+
+    each = only(docs, text="text").mapInArrow(arrow_map(gather), "kind string, text string").distinct()
+    made = each.mapInArrow(replace, "kind string, new string, kept boolean")
+    clash = (made.groupBy("kind", "new").agg(F.count("*").alias("n"), F.max("kept").alias("kept"))
+             .filter("n > 1 or kept").groupBy("kind").count().collect())  # a row per kind
+    if clash:
+        raise ValueError(f"surrogates that are shared or kept: {sorted((r[0], r[1]) for r in clash)}")
+
+
+def _replaced(key: bytes):
     def one(text: str | None) -> tuple[str | None, list[str]]:
         found = entities(text)
         if not found:
             return text, []
         out, at = [], 0
         for kind, a, b in found:
-            out += [text[at:a], surrogate(kind, text[a:b], key, versions[kind])]
+            out += [text[at:a], surrogate(kind, text[a:b], key)]
             at = b
         return "".join([*out, text[at:]]), [k for k, *_ in found]
     return one
@@ -245,7 +322,8 @@ def _replaced(versions: dict[str, int], key: bytes):
 def replace_pii(docs: DataFrame, key: bytes = KEY, id_column: str = "doc_id") -> DataFrame:
     """(id, n_entities, kinds, text) of every document, its entities replaced."""
     src = only(docs, id=id_column, text="text")
-    one = _replaced(surrogates(src, key), key)
+    check_distinct(src, key)
+    one = _replaced(key)
     kind = src.schema["id"].dataType.simpleString()
 
     def run(part):
@@ -261,7 +339,8 @@ def replace_pii(docs: DataFrame, key: bytes = KEY, id_column: str = "doc_id") ->
 
 def without_pii(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     """The same columns with entities of ``text`` replaced."""
-    one = _replaced(surrogates(docs, key), key)
+    check_distinct(docs, key)
+    one = _replaced(key)
     at = docs.columns.index("text")
 
     def run(part):
