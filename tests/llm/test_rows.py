@@ -158,6 +158,16 @@ def test_licenses(spark):
     assert licenses.scan(df.limit(0)).count() == 0
 
 
+def test_license_of_common_words_at_any_size(spark):
+    """Words that many notices have weigh little, template words or not."""
+    rows = [(k, f"/p/{k}.py", "Everything within our project is released under the MIT License.") for k in range(600)]
+    rows += [(1000 + k, f"/q/{k}.py", f"Everything within our project part{k} x{k}y z{k} has copyright by owner{k}")
+             for k in range(2400)]
+    df = spark.createDataFrame(rows, "doc_id long, path string, text string")
+    got = {r.doc_id: r.own_license for r in licenses.scan(df).collect()}
+    assert all(got[k] == "MIT" for k in range(600)) and not any(got[1000 + k] for k in range(2400))
+
+
 # ---------------------------------------------------------------- personal data
 SAMPLES = [("email", "anna.b+x@mail8.example.com"), ("phone", "+1 (988) 555-2485"), ("ip", "42.144.35.254"),
            ("card", "4111 1111 1111 1111"), ("card", "4012888888881881"), ("ssn", "123-45-6789"),

@@ -1,9 +1,9 @@
 """License scans: TF-IDF cosine to templates, then inheritance along paths.
 
 Every whole text is searched for notices: lines or sentences with a word that
-licence texts use. A notice becomes a sparse TF-IDF vector; the inverse
-document frequencies of the templates' terms are counted over all notices of
-the corpus, and a term that no template has weighs like one seen once. The
+licence texts use. A notice becomes a sparse TF-IDF vector; the document
+frequencies of all terms are counted over all notices of the corpus and joined
+back to the notices' terms, each distinct notice being weighed once. The
 notice's licence is the template of the largest cosine, if that reaches
 ``threshold``; a file's own licence is that of its best notice.
 
@@ -22,11 +22,11 @@ rows are answered once each; other input columns stay out.
 
 from __future__ import annotations
 
-import json
 import math
 import re
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,10 +71,6 @@ def _template_terms() -> list[tuple[str, Counter]]:
     return [(name, Counter(re.findall(_TERM, text.lower()))) for name, text in TEMPLATES]
 
 
-def _literal(value, kind: str) -> Column:
-    return F.from_json(F.lit(json.dumps(value)), kind)
-
-
 def notices(files: DataFrame) -> DataFrame:
     """Add ``notices``: the lines and sentences of the text that may state a licence."""
     found = F.filter(F.split("text", _UNITS), lambda u: u.rlike(_NOTICE))
@@ -82,58 +78,52 @@ def notices(files: DataFrame) -> DataFrame:
     return materialize(files, "notices", some)
 
 
-def inverse_frequencies(found: DataFrame) -> tuple[dict[str, float], float]:
-    """IDF of the templates' terms over all notices, and that of other terms."""
-    vocabulary = sorted({t for _, terms in _template_terms() for t in terms})
-    unit = found.select(F.explode("notices").alias("u"))
-    n = unit.count()
-    seen = (unit.select(F.explode(F.array_distinct(_terms(F.col("u")))).alias("term"))
-            .filter(F.col("term").isin(vocabulary)).groupBy("term").count().collect())  # the templates' terms
-    df = {r.term: r["count"] for r in seen}
-    idf = {t: math.log((1 + n) / (1 + df.get(t, 0))) + 1 for t in vocabulary}
-    return idf, math.log((1 + n) / 2) + 1
-
-
-def best_template(unit: Column, idf: dict[str, float], other: float) -> Column:
-    """(score, license) of the template nearest to a notice."""
-    vectors = []
-    for name, terms in _template_terms():
-        weight = {t: n * idf[t] for t, n in terms.items()}
-        norm = math.sqrt(sum(w * w for w in weight.values()))
-        vectors.append({"license": name, "w": {t: w / norm for t, w in weight.items()}})
-    templates = _literal(vectors, "array<struct<license:string,w:map<string,double>>>")
-    weights = _literal(idf, "map<string,double>")
-
-    def vector(terms: Column) -> Column:
-        return F.transform(F.array_distinct(terms), lambda t: F.struct(
-            t.alias("t"), (F.size(F.filter(terms, lambda x: x == t)) * F.coalesce(weights[t], F.lit(other))).alias("w")))
-
-    def nearest(v: Column) -> Column:
-        norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.w * x.w))
-        scored = F.transform(templates, lambda m: F.struct(
-            F.aggregate(v, F.lit(0.0), lambda a, x: a + x.w * F.coalesce(m.w[x.t], F.lit(0.0))).alias("dot"),
-            m.license.alias("license")))
-        return F.aggregate(scored, F.struct(F.lit(-1.0).alias("score"), F.lit("").alias("license")),
-                           lambda a, s: F.when(s.dot / norm > a.score + 1e-12, F.struct(
-                               (s.dot / norm).alias("score"), s.license.alias("license"))).otherwise(a))
-
-    bound = lambda value, use: F.element_at(F.transform(F.array(value), use), 1)
-    return bound(_terms(unit), lambda terms: bound(vector(terms), nearest))
+def _dealt(score: Column, norm: Column) -> Column:
+    """(score, license) of the largest cosine, the first on ties."""
+    names = F.array(*(F.lit(name) for name, _ in TEMPLATES))
+    scored = F.transform(F.arrays_zip(score.alias("dot"), names.alias("license")),
+                         lambda s: F.struct((s["dot"] / norm).alias("score"), s["license"].alias("license")))
+    return F.aggregate(scored, F.struct(F.lit(-1.0).alias("score"), F.lit("").alias("license")),
+                       lambda a, s: F.when(s.score > a.score + 1e-12, s).otherwise(a))
+
+
+def recognised(found: DataFrame, threshold: float) -> DataFrame:
+    """(unit, score, license) of the distinct notices, by digest, that reach
+    ``threshold`` with their nearest template."""
+    spark = found.sparkSession
+    units = (found.select(F.explode("notices").alias("u")).groupBy(F.md5("u").alias("unit"))
+             .agg(F.first("u").alias("u"), F.count("*").alias("n")))
+    terms = stored(units.select("unit", "n", F.explode(_terms(F.col("u"))).alias("term"))
+                   .groupBy("unit", "n", "term").agg(F.count("*").alias("tf")), "notice-terms")
+    total = found.agg(F.sum(F.size("notices"))).first()[0] or 0
+    df = terms.groupBy("term").agg(F.sum("n").alias("df"))
+    idf = stored(df.select("term", (F.log((F.lit(1.0) + total) / (F.lit(1.0) + F.col("df"))) + 1).alias("idf")), "idf")
+    templates = _template_terms()
+    vocabulary = sorted({t for _, v in templates for t in v})
+    known = {r.term: r.idf for r in idf.filter(F.col("term").isin(vocabulary)).collect()}  # the templates' terms
+    weight = np.array([[v.get(t, 0) * known.get(t, math.log(1 + total) + 1) for _, v in templates]
+                       for t in vocabulary])
+    weight /= np.sqrt((weight ** 2).sum(0))
+    table = spark.createDataFrame([(t, w.tolist()) for t, w in zip(vocabulary, weight, strict=True)],
+                                  "term string, w array<double>")
+    own = F.col("tf") * F.col("idf")
+    dots = [F.sum(own * F.coalesce(F.col("w")[k], F.lit(0.0))).alias(f"d{k}") for k in range(len(templates))]
+    return (terms.join(idf, "term").join(F.broadcast(table), "term", "left")  # the templates' terms
+            .groupBy("unit").agg(F.sqrt(F.sum(own * own)).alias("norm"), *dots)
+            .select("unit", _dealt(F.array(*(f"d{k}" for k in range(len(templates)))), F.col("norm")).alias("b"))
+            .select("unit", "b.*").filter(F.col("score") >= threshold))
 
 
 def scan(files: DataFrame, key: str = "doc_id", path: str = "path", text: str = "text",
          threshold: float = THRESHOLD) -> DataFrame:
     """(key, path, own_license, own_score, license, inherited_from) of every file."""
     src = only(files, key=key, path=path, text=text)
-    found = stored(notices(src).select("key", "path", "notices"), "notices")
-    idf, other = inverse_frequencies(found)
-    judged = F.filter(F.transform("notices", lambda u: best_template(u, idf, other)),
-                      lambda s: s.score >= threshold)
-    best = F.aggregate(judged, F.struct(F.lit(-1.0).alias("score"), F.lit("").alias("license")),
-                       lambda a, s: F.when(s.score > a.score, s).otherwise(a))
-    own = materialize(found, "best", best).select(
-        "key", "path", F.when(F.col("best.score") >= 0, F.col("best.license")).alias("own_license"),
-        F.when(F.col("best.score") >= 0, F.round("best.score", 6)).alias("own_score"),
+    found = stored(notices(src).select("key", "path", "notices", F.monotonically_increasing_id().alias("row")), "notices")
+    best = (found.select("row", F.posexplode("notices").alias("pos", "u"))
+            .select("row", "pos", F.md5("u").alias("unit")).join(recognised(found, threshold), "unit")
+            .groupBy("row").agg(F.max(F.struct("score", -F.col("pos"), "license")).alias("best")))
+    own = found.select("row", "key", "path").join(best, "row", "left").select(
+        "key", "path", F.col("best.license").alias("own_license"), F.round("best.score", 6).alias("own_score"),
         F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("dir"),
         F.regexp_extract("path", r"([^/]*)$", 1).alias("name"))
     own = stored(own, "own-licenses")
