@@ -1,5 +1,7 @@
 import json
 
+import pytest
+
 from vigil.operators.envelope import decode_envelope, encode_envelope, int32_wrap
 from vigil.operators.ingest import (decode_metric_json, encode_metric_json, ingest_metrics,
                                     ml_payload_filter)
@@ -95,3 +97,23 @@ def test_int32_wrap(spark):
     df = spark.createDataFrame([(2 ** 31,), (-(2 ** 31) - 1,), (7,)], "x long")
     assert [r.y for r in df.select(int32_wrap(F.col("x")).alias("y")).collect()] == \
         [-(2 ** 31), 2 ** 31 - 1, 7]
+
+
+@pytest.mark.parametrize("tail", [" x", "{}", "}", "]", ",", ',{"a":1}', '],[{"b":1}', " // c", "null", " 1"])
+def test_text_after_the_object_is_malformed(spark, tail):
+    from vigil.operators.envelope import decode_envelope
+    from vigil.operators.ingest import decode_metric_json, ml_payload_filter
+    text = '{"source":"a","metric_name":"m","value":1}' + tail
+    df = spark.createDataFrame([(1, text)], "seq long, payload string")
+    for decode in (decode_metric_json, decode_envelope, ml_payload_filter):
+        good, bad = decode(df)
+        assert good.count() == 0 and bad.first().payload == text
+
+
+def test_odd_but_whole_payloads(spark):
+    from vigil.operators.ingest import decode_metric_json
+    rows = ["null", " \n null\t", "", None, "5", '"x"', "[]", "{}", '{"value":1,}', "{'value':1}", '{"value":NaN}', '{"more":NaN}',
+            '{"source":null,"more":{"a":1,"a":2},"value":2}', '{"source":5,"more":{"a":1,"a":2}}', "nul"]
+    good, bad = decode_metric_json(spark.createDataFrame(list(enumerate(rows)), "seq long, payload string"))
+    assert sorted((r.seq, r.source, r.value) for r in good.collect()) == [(0, "", 0.0), (1, "", 0.0), (7, "", 0.0), (12, "", 2.0)]
+    assert bad.count() == len(rows) - 4

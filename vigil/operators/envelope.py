@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vigil.functions.arrays import materialize
-from vigil.operators.ingest import wrongly_typed
+from vigil.operators.ingest import bare_null, one_json_object, wrongly_typed
 from vigil.config import DEFAULT_PRODUCER, DETECTOR_NAME, EVENT_TYPE, EVENT_VERSION
 from vigil.schemas import DATA_FIELD_NAMES, ENVELOPE_SCHEMA
 
@@ -96,20 +96,21 @@ def encode_flat_envelope(events: DataFrame) -> Column:
 
 _DECODE_SCHEMA = T.StructType(ENVELOPE_SCHEMA.fields + [T.StructField("_corrupt", T.StringType())])
 _JSON_OPTS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt",
-              "allowNonNumericNumbers": "false"}
+              "allowNonNumericNumbers": "false", "allowSingleQuotes": "false"}
 
 
-def _text_paths(schema: T.StructType, prefix: str = "$") -> list[str]:
-    out = []
-    for f in schema.fields:
-        if isinstance(f.dataType, T.StructType):
-            out += _text_paths(f.dataType, f"{prefix}.{f.name}")
-        elif isinstance(f.dataType, T.StringType):
-            out.append(f"{prefix}.{f.name}")
-    return out
+def _texts(schema: T.StructType) -> list[str]:
+    return [f.name for f in schema.fields if isinstance(f.dataType, T.StringType)]
 
 
-_TEXT_PATHS = _text_paths(ENVELOPE_SCHEMA)
+def _envelope_typed(payload: Column) -> Column:
+    """False where a text field of the envelope, of its ``meta`` or ``data``
+    holds another JSON type."""
+    parts = F.from_json(payload, "meta string, data string", _JSON_OPTS)  # their own text
+    wrong = wrongly_typed(payload, _texts(ENVELOPE_SCHEMA))
+    for name in ("meta", "data"):
+        wrong = wrong | wrongly_typed(parts[name], _texts(ENVELOPE_SCHEMA[name].dataType))
+    return ~wrong
 
 
 def int32_wrap(c: Column) -> Column:
@@ -122,12 +123,25 @@ def decode_envelope(df: DataFrame, payload: str = "payload") -> tuple[DataFrame,
 
     Decoded rows hold the flat DTO columns (see ``schemas.DTO_COLUMNS``) plus
     every non-payload input column (e.g. subject, stream_seq). Quarantine rows
-    keep the input columns plus ``reason``."""
+    keep the input columns plus ``reason``. A payload must be one JSON object
+    and nothing else; the bare word ``null`` is an envelope without a source,
+    and so invalid."""
+    return split_envelopes(parse_envelope(df, payload), df.columns, payload)
+
+
+def parse_envelope(df: DataFrame, payload: str = "payload") -> DataFrame:
+    """Add ``_env`` (the parsed envelope) and ``_typed`` (well-formed)."""
+    text = F.col(payload)
+    parsed = materialize(df, "_env", F.from_json(text, _DECODE_SCHEMA, _JSON_OPTS))
+    return materialize(parsed, "_typed", F.coalesce(
+        bare_null(text) | (one_json_object(text) & _envelope_typed(text) & F.col("_env").isNotNull()
+                           & F.col("_env._corrupt").isNull()), F.lit(False)))
+
+
+def split_envelopes(parsed: DataFrame, columns: list[str], payload: str = "payload") -> tuple[DataFrame, DataFrame]:
+    """Parsed envelopes -> (decoded rows, quarantine) over the input ``columns``."""
     e = F.col("_env")
-    parsed = materialize(df, "_env", F.from_json(F.col(payload), _DECODE_SCHEMA, _JSON_OPTS))
-    parsed = materialize(parsed, "_v", F.try_parse_json(F.col(payload)))
-    parsed = materialize(parsed, "_typed", ~wrongly_typed(F.col("_v"), _TEXT_PATHS))
-    malformed = e.isNull() | e["_corrupt"].isNotNull() | ~F.col("_typed")
+    malformed = ~F.col("_typed")
     v2 = e["meta"].isNotNull() & e["data"].isNotNull()
 
     def pick(f: str) -> Column:
@@ -140,8 +154,8 @@ def decode_envelope(df: DataFrame, payload: str = "payload") -> tuple[DataFrame,
     dtypes = {f.name: f.dataType.simpleString() for f in ENVELOPE_SCHEMA["data"].dataType.fields}
     cols = {f: F.coalesce(pick(f), zero_of[dtypes[f]]) for f in DATA_FIELD_NAMES}
     cols["window_size"] = int32_wrap(cols["window_size"])
-    invalid = (cols["source"] == "") | (cols["metric_name"] == "")
-    carry = [c for c in df.columns if c != payload]
+    invalid = F.coalesce((cols["source"] == "") | (cols["metric_name"] == ""), F.lit(True))
+    carry = [c for c in columns if c != payload]
     decoded = (parsed.filter(~malformed & ~invalid)
                .select(*carry, *[cols[f].alias(f) for f in DATA_FIELD_NAMES],
                        meta("event_id", "").alias("event_id"),
@@ -153,6 +167,6 @@ def decode_envelope(df: DataFrame, payload: str = "payload") -> tuple[DataFrame,
                        int32_wrap(F.coalesce(F.when(v2, e["meta"]["event_version"]),
                                              F.lit(0).cast("long"))).alias("event_version")))
     quarantine = (parsed.filter(malformed | invalid)
-                  .select(*df.columns, F.when(malformed, F.lit(REASON_MALFORMED))
+                  .select(*columns, F.when(malformed, F.lit(REASON_MALFORMED))
                           .otherwise(F.lit(REASON_INVALID)).alias("reason")))
     return decoded, quarantine

@@ -6,8 +6,9 @@ Semantics
   is empty (NULL counts as empty); there is no trimming.
 * NaN / +-Inf values never reach the stream (JSON cannot carry them), so they
   are rejected as ``non-finite value``.
-* Decoding the stream payload: malformed JSON or a wrongly typed field drops
-  the record to quarantine (no retry); a missing field takes its zero value
+* Decoding the stream payload: text that is not one JSON object (trailing text
+  and second values included) or a wrongly typed field drops the record to
+  quarantine (no retry); a missing field takes its zero value
   (``""`` / ``0``); unknown keys are ignored. Decoding does *not* re-run the
   required-field check. Keys are matched case-sensitively (the contract is
   snake_case).
@@ -70,17 +71,46 @@ def encode_metric_json(df: DataFrame) -> Column:
     return F.to_json(F.struct(*[F.col(c) for c in METRIC_FIELDS]))
 
 
-def wrongly_typed(parsed: Column, paths: list[str]) -> Column:
-    """True where a text field of the parsed JSON (a variant) holds a number,
-    boolean, object or array (``from_json`` would turn any of them into text).
-    Null and absent fields are fine."""
-    kinds = [F.schema_of_variant(F.variant_get(parsed, p, "variant")) for p in paths]
-    return F.coalesce(reduce(or_, (F.coalesce(~k.isin("STRING", "VOID"), F.lit(False)) for k in kinds)), F.lit(False))
+_STRICT = {"allowNonNumericNumbers": "false", "allowSingleQuotes": "false"}
+_WHITE = " \t\r\n"
+
+
+def one_json_value(payload: Column) -> Column:
+    """True where the text is one JSON value other than null, and nothing else.
+    ``from_json`` alone reads the first value and ignores what follows; as the
+    one element of an array and as the one field of an object, text that
+    follows (a second value, a bracket, a comma) breaks the one or the other."""
+    alone = F.size(F.from_json(F.concat(F.lit("["), payload, F.lit("]")), "array<string>", _STRICT)) == 1
+    inside = F.from_json(F.concat(F.lit('{"x":'), payload, F.lit("}")), "x string", _STRICT)["x"].isNotNull()
+    return F.coalesce(alone & inside, F.lit(False))
+
+
+def one_json_object(payload: Column) -> Column:
+    return one_json_value(payload) & F.ltrim(F.translate(payload, _WHITE, "    ")).startswith("{")
+
+
+def bare_null(payload: Column) -> Column:
+    return F.trim(F.translate(payload, _WHITE, "    ")) == "null"
+
+
+def _no_text(value: Column) -> Column:
+    return F.coalesce(~F.schema_of_variant(value).isin("STRING", "VOID"), F.lit(False))
+
+
+def wrongly_typed(payload: Column, fields: list[str]) -> Column:
+    """True where a text field of the JSON object holds a number, boolean,
+    object or array (``from_json`` would turn any of them into text). Null and
+    absent fields are fine. Of a repeated key every value counts; if some other
+    value of the object can't be held as a variant (an object that repeats
+    keys), the last one does."""
+    every = F.exists(F.map_entries(F.from_json(payload, "map<string,variant>", _STRICT)),
+                     lambda e: e["key"].isin(fields) & _no_text(e["value"]))
+    last = F.from_json(payload, ", ".join(f"`{f}` variant" for f in fields), _STRICT)
+    return F.coalesce(every, reduce(or_, (_no_text(last[f]) for f in fields)), F.lit(False))
 
 
 _DECODE_SCHEMA = T.StructType(METRIC_SCHEMA.fields + [T.StructField("_corrupt", T.StringType())])
-_JSON_OPTS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt",
-              "allowNonNumericNumbers": "false"}
+_JSON_OPTS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", **_STRICT}
 
 
 def decode_metric_json(df: DataFrame, payload: str = "payload") -> tuple[DataFrame, DataFrame]:
@@ -88,11 +118,16 @@ def decode_metric_json(df: DataFrame, payload: str = "payload") -> tuple[DataFra
 
     Points get zero values for missing fields; other input columns (e.g. the
     stream sequence) are carried through. Quarantine rows keep the input
-    columns plus ``reason``."""
-    parsed = materialize(df, "_m", F.from_json(F.col(payload), _DECODE_SCHEMA, _JSON_OPTS))
-    parsed = materialize(parsed, "_v", F.try_parse_json(F.col(payload)))
-    bad = (F.col("_m").isNull() | F.col("_m._corrupt").isNotNull()
-           | wrongly_typed(F.col("_v"), [f"$.{f}" for f in _STR_FIELDS]))
+    columns plus ``reason``. The payload must be one JSON object and nothing
+    else; of a repeated key the last value stands, but all must have the right
+    type. The bare word ``null`` is a point of zero values, as an empty object
+    is."""
+    text = F.col(payload)
+    parsed = materialize(df, "_m", F.from_json(text, _DECODE_SCHEMA, _JSON_OPTS))
+    wrong = (~one_json_object(text) | F.col("_m").isNull() | F.col("_m._corrupt").isNotNull()
+             | wrongly_typed(text, list(_STR_FIELDS)))
+    parsed = materialize(parsed, "_bad", text.isNull() | (wrong & ~bare_null(text)))
+    bad = F.col("_bad")
     carry = [c for c in df.columns if c != payload]
     zero = {T.StringType(): F.lit(""), T.DoubleType(): F.lit(0.0), T.LongType(): F.lit(0).cast("long")}
     fields = [F.coalesce(F.col(f"_m.{f.name}"), zero[f.dataType]).alias(f.name)
@@ -107,22 +142,25 @@ _NUMBER = r"^(TINYINT|SMALLINT|INT|BIGINT|DECIMAL.*|FLOAT|DOUBLE)$"
 
 def ml_payload_filter(df: DataFrame, payload: str = "payload") -> tuple[DataFrame, DataFrame]:
     """Model-scoring intake: keep payloads whose ``value`` is present and
-    numeric, whatever the other fields hold; bad JSON (repeated keys
-    included), a ``value`` of another type, and missing values are acknowledged
-    and dropped (returned as the second frame with a reason). JSON booleans are
-    not numbers here. ``metric_name``
-    is returned as text and ``timestamp`` as an integer, null where it is none."""
+    numeric, whatever the other fields hold; payloads that are not one JSON
+    object, a ``value`` of another type, and missing values are acknowledged
+    and dropped (returned as the second frame with a reason). Of a repeated key
+    the last value stands. JSON booleans are not numbers here, and NaN is not
+    JSON. ``metric_name`` is returned as text and ``timestamp`` as an integer,
+    null where it is none."""
     carry = [c for c in df.columns if c != payload]
-    parsed = materialize(df, "_m", F.try_parse_json(F.col(payload)))
+    text = F.col(payload)
+    parsed = materialize(df, "_m", F.when(one_json_object(text), F.from_json(
+        text, "metric_name variant, value variant, timestamp variant", _STRICT)))
     m = F.col("_m")
-    kind = F.coalesce(F.schema_of_variant(F.variant_get(m, "$.value", "variant")), F.lit("VOID"))
+    kind = F.coalesce(F.schema_of_variant(m["value"]), F.lit("VOID"))
     number = kind.rlike(_NUMBER)
     malformed = m.isNull() | (~number & (kind != "VOID"))
     parsed = materialize(parsed, "_ok", ~malformed & number)
     keep = parsed.filter("_ok").select(
-        *carry, F.try_variant_get(m, "$.metric_name", "string").alias("metric_name"),
-        F.try_variant_get(m, "$.value", "double").alias("value"),
-        F.try_variant_get(m, "$.timestamp", "bigint").alias("timestamp"))
+        *carry, F.try_variant_get(m["metric_name"], "$", "string").alias("metric_name"),
+        F.try_variant_get(m["value"], "$", "double").alias("value"),
+        F.try_variant_get(m["timestamp"], "$", "bigint").alias("timestamp"))
     drop = parsed.filter("not _ok").select(
         *df.columns,
         F.when(malformed, F.lit(REASON_MALFORMED)).otherwise(F.lit(REASON_BAD_VALUE)).alias("reason"))

@@ -98,6 +98,56 @@ for _name, (_expr, _target) in _UNEVEN.items():
     _register_uneven(_name, _expr, _target)
 
 
+# Windows of thousands of points: the MAD over the window is DuckDB's own.
+_LARGE = SERVICE.with_(window_size=5000, warmup=500)
+_LARGE_SQL = f"""WITH pts AS ({S.EVENTS_POINTS}),
+w AS (SELECT *, CAST(least(row_number() OVER k, 5000) AS INTEGER) AS n, median(value) OVER f AS base, mad(value) OVER f AS mad0
+      FROM pts WINDOW k AS (PARTITION BY source ORDER BY timestamp, seq),
+                      f AS (PARTITION BY source ORDER BY timestamp, seq ROWS BETWEEN 4999 PRECEDING AND CURRENT ROW)),
+d AS (SELECT *, greatest(mad0, 1.0::DOUBLE) AS m, 3.0::DOUBLE * (1.4826::DOUBLE * greatest(mad0, 1.0::DOUBLE)) AS delta FROM w)
+SELECT seq, n, CASE WHEN n < 500 THEN 0.0 ELSE round(base, 6) END AS baseline, CASE WHEN n < 500 THEN 0.0 ELSE round(m, 6) END AS mad,
+       CASE WHEN n < 500 THEN 0.0 ELSE round(base - delta, 6) END AS lower, CASE WHEN n < 500 THEN 0.0 ELSE round(base + delta, 6) END AS upper,
+       n >= 500 AND (value > base + delta OR value < base - delta) AND NOT abs(value - base) < 10 AS is_anomaly FROM d"""
+
+
+@register("mad_window_5000", _LARGE_SQL)
+def q_mad_window_5000(spark, sf):
+    """Window statistics of each service's points over 5,000 points, by the
+    incremental engine."""
+    return _stats_select(mad_detect(metric_points_from_events(spark, sf), _LARGE, keys=["source"], engine="rolling"))
+
+
+@register("mad_window_5000_chunked", _LARGE_SQL)
+def q_mad_window_5000_chunked(spark, sf):
+    """The same with series cut into chunks by rank (of twice the window)."""
+    return _stats_select(mad_detect(metric_points_from_events(spark, sf), _LARGE, keys=["source"], engine="rolling",
+                                    target_chunk_rows=100))
+
+
+# Sequence numbers far apart, most of them within one second.
+_SPARSE_SQL = f"""SELECT * REPLACE (CASE WHEN seq % 10 < 8 THEN 1704067200 ELSE timestamp END AS timestamp,
+                  seq * 1000003 AS seq) FROM ({S.EVENTS_POINTS})"""
+
+
+def _sparse_points(spark, sf):
+    pts = metric_points_from_events(spark, sf)
+    second = F.when(F.col("seq") % 10 < 8, F.lit(1704067200).cast("long")).otherwise(F.col("timestamp"))
+    return pts.withColumn("timestamp", second).withColumn("seq", F.col("seq") * F.lit(1000003).cast("long"))
+
+
+@register("mad_sparse_seq", S.mad_sql(_SPARSE_SQL, SERVICE) + "\n" + _STATS_SQL_SELECT)
+def q_mad_sparse_seq(spark, sf):
+    """Window statistics where most points share a second and their sequence
+    numbers are far apart, cut by quantiles of the sequence."""
+    return _stats_select(mad_detect(_sparse_points(spark, sf), SERVICE, target_chunk_rows=50))
+
+
+@register("mad_sparse_seq_rolling", S.mad_sql(_SPARSE_SQL, SERVICE) + "\n" + _STATS_SQL_SELECT)
+def q_mad_sparse_seq_rolling(spark, sf):
+    """The same by the incremental engine, cut by rank."""
+    return _stats_select(mad_detect(_sparse_points(spark, sf), SERVICE, engine="rolling", target_chunk_rows=100))
+
+
 _ANOM_OUT_SQL = ("SELECT seq, source, metric_name, env, region, instance_id, timestamp, "
                  "round(value, 6) AS value, n, round(baseline, 6) AS baseline, round(mad, 6) AS mad, "
                  "round(CASE WHEN value < lower THEN lower ELSE upper END, 6) AS threshold "
@@ -271,6 +321,75 @@ def q_decode_quarantine(spark, sf):
     return bad.select("seq", "reason")
 
 
+def _texts_sql() -> str:
+    """CTEs ``t`` (seq, payload) of the payload texts, and ``fields``: every
+    key of every text that is one JSON object, read from the text."""
+    text = "CASE seq % 16 " + " ".join(f"WHEN {k} THEN '" + t.replace("'", "''") + "'" for k, t in enumerate(FX.PAYLOAD_TEXTS)) + " END"
+    for mark, value in (("{s}", "source"), ("{m}", "metric_name"), ("{v}", "CAST(CAST(floor(value) AS BIGINT) AS VARCHAR)"),
+                        ("{t}", "CAST(timestamp AS VARCHAR)")):
+        text = f"replace({text}, '{mark}', {value})"
+    return f"""WITH t AS (SELECT seq, {text} AS payload FROM ({S.EVENTS_POINTS})),
+ok AS (SELECT seq, payload FROM t WHERE json_valid(payload) AND json_type(payload) = 'OBJECT'),
+fields AS (SELECT ok.seq, j.key AS k, j.type AS kind, j.value AS v, j.id AS pos FROM ok, json_each(ok.payload) j),
+typed AS (SELECT seq FROM ok WHERE seq NOT IN (SELECT seq FROM fields WHERE
+            (k IN ('source', 'metric_name', 'env', 'region', 'instance_id') AND kind NOT IN ('VARCHAR', 'NULL'))
+            OR (k IN ('value', 'timestamp') AND kind NOT IN ('BIGINT', 'UBIGINT', 'DOUBLE', 'NULL')))),
+last AS (SELECT seq, k, arg_max(CAST(v AS VARCHAR), pos) AS v, arg_max(kind, pos) AS kind FROM fields GROUP BY seq, k)"""
+
+
+def _field_sql(k: str) -> str:
+    return f"max(CASE WHEN k = '{k}' THEN v END)"
+
+
+@register("decode_payload_text", _texts_sql() + f""",
+points AS (SELECT seq, coalesce(json_extract_string({_field_sql('source')}, '$'), '') AS source,
+       coalesce(json_extract_string({_field_sql('metric_name')}, '$'), '') AS metric_name,
+       coalesce(CAST({_field_sql('timestamp')} AS BIGINT), 0) AS timestamp, coalesce(CAST({_field_sql('value')} AS DOUBLE), 0.0) AS value
+  FROM last SEMI JOIN typed USING (seq) GROUP BY seq)
+SELECT * FROM points UNION ALL SELECT seq, '', '', 0, 0.0 FROM t WHERE trim(payload) = 'null'""")
+def q_decode_payload_text(spark, sf):
+    """Payloads that are, or nearly are, one JSON object: the accepted ones.
+    The oracle parses the texts."""
+    pts, _ = decode_metric_json(FX.payload_texts(spark, sf))
+    return pts.select("seq", "source", "metric_name", "timestamp", "value")
+
+
+@register("decode_payload_rejected", _texts_sql() + """
+SELECT seq, payload, 'malformed payload' AS reason FROM t ANTI JOIN typed USING (seq) WHERE trim(payload) <> 'null'""")
+def q_decode_payload_rejected(spark, sf):
+    """The rejected ones, with their payloads."""
+    _, bad = decode_metric_json(FX.payload_texts(spark, sf))
+    return bad.select("seq", "payload", "reason")
+
+
+@register("ml_payload_text", _texts_sql() + f"""
+SELECT seq, json_extract_string({_field_sql('metric_name')}, '$') AS metric_name, CAST({_field_sql('value')} AS DOUBLE) AS value
+FROM last GROUP BY seq HAVING max(CASE WHEN k = 'value' THEN kind END) IN ('BIGINT', 'UBIGINT', 'DOUBLE')""")
+def q_ml_payload_text(spark, sf):
+    """The same texts at the model-scoring intake, where the last of repeated
+    keys stands."""
+    keep, _ = ml_payload_filter(FX.payload_texts(spark, sf))
+    return keep.select("seq", "metric_name", "value")
+
+
+@register("envelope_payload_text", _texts_sql() + f""",
+found AS (SELECT seq, coalesce(json_extract_string({_field_sql('source')}, '$'), '') AS source,
+       coalesce(json_extract_string({_field_sql('metric_name')}, '$'), '') AS metric_name,
+       coalesce(CAST({_field_sql('value')} AS DOUBLE), 0.0) AS value
+  FROM last SEMI JOIN typed USING (seq) GROUP BY seq)
+SELECT t.seq AS stream_seq, CASE WHEN f.metric_name <> '' THEN f.source ELSE '' END AS source, CASE WHEN f.source <> '' AND f.metric_name <> '' THEN f.value END AS value,
+       CASE WHEN f.source <> '' AND f.metric_name <> '' AND t.seq // 16 % 2 = 1 THEN 'e' || t.seq ELSE '' END AS event_id,
+       CASE WHEN f.source <> '' AND f.metric_name <> '' THEN 'ok'
+            WHEN trim(payload) = 'null' OR f.seq IS NOT NULL THEN 'invalid envelope' ELSE 'malformed payload' END AS result
+FROM t LEFT JOIN found f USING (seq)""")
+def q_envelope_payload_text(spark, sf):
+    """The same texts as flat envelopes and inside version-2 envelopes."""
+    good, bad = decode_envelope(FX.envelope_texts(spark, sf))
+    return good.select("stream_seq", "source", "value", "event_id", F.lit("ok").alias("result")).unionByName(
+        bad.select("stream_seq", F.lit("").alias("source"), F.lit(None).cast("double").alias("value"),
+                   F.lit("").alias("event_id"), F.col("reason").alias("result")))
+
+
 _FIRST_RULE = "CASE WHEN seq % 79 = 0 OR seq % 73 = 0 OR seq % 71 = 0 OR seq % 67 = 0 THEN 0 " \
     "WHEN seq % 61 = 0 THEN 61 WHEN seq % 59 = 0 THEN 59 ELSE 0 END"
 
@@ -567,6 +686,56 @@ def q_stream_mad_stale(spark, sf):
     return out.select("seq", "reset", "n", r6("baseline"), "is_anomaly")
 
 
+_HOT_SOURCE = "CASE WHEN seq % 10 < 9 THEN 'svc-hot' ELSE source END"
+_HOT_POINTS = (f"SELECT * REPLACE ({_HOT_SOURCE} AS source, CASE WHEN seq % 10 < 9 THEN 'load' ELSE metric_name END AS metric_name, "
+               "CASE WHEN seq % 10 < 9 THEN 'prod' ELSE env END AS env, "
+               f"CASE WHEN seq % 10 < 9 THEN 'us-east-1' ELSE region END AS region) FROM ({S.EVENTS_POINTS})")
+
+
+def _hot_points(spark, sf):
+    """Events as points, nine tenths of them of one series."""
+    hot = F.col("seq") % 10 < 9
+    pts = metric_points_from_events(spark, sf)
+    for column, value in (("source", "svc-hot"), ("metric_name", "load"), ("env", "prod"), ("region", "us-east-1")):
+        pts = pts.withColumn(column, F.when(hot, F.lit(value)).otherwise(F.col(column)))
+    return pts
+
+
+def _detect_in_batches(spark, sf, gap=None):
+    """Deliver the hot points in four micro-batches of rising time, in two runs
+    of the stream; the second resumes from the first one's checkpoint."""
+    from vigil.streaming.hot import detect_stream
+    pts = _hot_points(spark, sf)
+    total = pts.count()
+    cuts = pts.approxQuantile("timestamp", [0.2, 0.5, 0.6], 0.01)
+    src, base = fresh_subdir(spark, "hot-points"), fresh_subdir(spark, "windowed-detector")
+    edges = [None, *cuts, None]
+    for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+        part = pts if a is None else pts.filter(F.col("timestamp") >= F.lit(int(a)))
+        part = part if b is None else part.filter(F.col("timestamp") < F.lit(int(b)))
+        part.coalesce(1).write.mode("append").parquet(src)
+        if k % 2:
+            stream = spark.readStream.schema(pts.schema).option("maxFilesPerTrigger", 1).parquet(src)
+            found = detect_stream(stream, SERVICE, base, stale_gap_seconds=gap, target_chunk_rows=max(100, total // 16),
+                                  compact_every=2, buckets=8)
+    return found.scored(spark)
+
+
+@register("stream_mad_hot", S.mad_sql(_HOT_POINTS, SERVICE) + "\n" + _STATS_SQL_SELECT)
+def q_stream_mad_hot(spark, sf):
+    """Streaming detector for a series of nine tenths of all rows, cut into
+    chunks over tasks: several micro-batches and a restart; equals the batch
+    statistics."""
+    return _stats_select(_detect_in_batches(spark, sf))
+
+
+@register("stream_mad_hot_stale", S.mad_sql(_HOT_POINTS, SERVICE, STALE_GAP_TEST // 12) +
+          "\nSELECT seq, reset, n, round(baseline, 6) AS baseline, is_anomaly FROM scored")
+def q_stream_mad_hot_stale(spark, sf):
+    """The same with an idle reset after half an hour."""
+    return _detect_in_batches(spark, sf, STALE_GAP_TEST // 12).select("seq", "reset", "n", r6("baseline"), "is_anomaly")
+
+
 def _stream_projection(spark, sf):
     """Write the stand-in anomaly stream in four steps in arrival order
     (originals with even / odd sequence, redeliveries, late re-sends) and run
@@ -580,7 +749,7 @@ def _stream_projection(spark, sf):
     base = fresh_subdir(spark, "projector")
     for cond in parts:
         stream.filter(cond).write.mode("append").parquet(src)
-        proj = project_stream(read_anomaly_stream(spark, src), base=base)
+        proj = project_stream(read_anomaly_stream(spark, src), base=base, compact_every=2, buckets=8)
     return proj
 
 
@@ -595,7 +764,7 @@ def q_stream_project(spark, sf):
 
 @register("stream_project_state", S.decoded_sql(SERVICE, late=True) + f"\nSELECT {_STATE_SQL} FROM state_t")
 def q_stream_project_state(spark, sf):
-    """Series state after the streaming projector (versioned per batch);
+    """Series state after the streaming projector (changes merged when read);
     equals the batch ``series_state_late_arrival``."""
     proj = _stream_projection(spark, sf)
     return _state_select(proj.latest_state(spark))

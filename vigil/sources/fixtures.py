@@ -71,6 +71,50 @@ def metric_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("seq", F.col("timestamp").alias("received_ts"), payload.alias("payload"))
 
 
+#: Payload texts by seq % 16, with ``{s}`` the source, ``{m}`` the metric, ``{v}``
+#: a whole number and ``{t}`` the timestamp.
+PAYLOAD_TEXTS = (
+    '{"source":"{s}","metric_name":"{m}","value":{v},"timestamp":{t}}',
+    '{"source":"{s}","metric_name":"{m}","value":{v},"timestamp":{t}} trailing',
+    '{"source":"{s}","metric_name":"{m}","value":{v}}{"source":"b"}',
+    '{"source":"{s}","metric_name":"{m}","value":{v}}}',
+    '{"source":"{s}"},{"metric_name":"{m}","value":{v}}',
+    '{"source":"{s}","value":{v}}],[{"source":"b"}',
+    '{"source":"x","source":"{s}","metric_name":"{m}","value":1,"value":{v}}',
+    '{"source":5,"source":"{s}","metric_name":"{m}","value":{v}}',
+    '{"source":5,"source":6,"metric_name":"{m}","value":{v}}',
+    '  null ',
+    ' {"source":"{s}" , "metric_name":"{m}","value":{v},"more":{"a":1,"a":[2]},"env":null}  ',
+    '[{"source":"{s}","metric_name":"{m}","value":{v}}]',
+    '{"source":"{s}","metric_name":"{m}","value":"{v}","value":{v}}',
+    '{"source":"{s}","metric_name":"{m}","value":0{v}}',
+    "{'source':'{s}','metric_name':'{m}','value':{v}}",
+    '',
+)
+
+
+def payload_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(seq, payload): the points' values in texts that are, or nearly are, a
+    JSON object."""
+    p = metric_points_from_events(spark, sf_dir)
+    text = F.element_at(F.array(*(F.lit(t) for t in PAYLOAD_TEXTS)), (F.col("seq") % len(PAYLOAD_TEXTS) + 1).cast("int"))
+    whole = F.floor("value").cast("long").cast("string")
+    for mark, value in (("{s}", F.col("source")), ("{m}", F.col("metric_name")), ("{v}", whole),
+                        ("{t}", F.col("timestamp").cast("string"))):
+        text = F.replace(text, F.lit(mark), value)
+    return p.select("seq", text.alias("payload"))
+
+
+def envelope_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(subject, stream_seq, payload): the payload texts as flat envelopes, and
+    (rows of odd half) as version-2 envelopes around them."""
+    p = payload_texts(spark, sf_dir)
+    inner = F.concat(F.lit('{"meta":{"event_id":"e'), F.col("seq").cast("string"), F.lit('"},"data":'), F.col("payload"), F.lit("}"))
+    half = F.floor(F.col("seq") / len(PAYLOAD_TEXTS)) % 2 == 1
+    return p.select(F.lit(SUBJECT).alias("subject"), F.col("seq").alias("stream_seq"),
+                    F.when(half, inner).otherwise(F.col("payload")).alias("payload"))
+
+
 def anomaly_events_stamped(spark: SparkSession, sf_dir: str, cfg: MadConfig) -> DataFrame:
     anomalies = detect_anomalies(metric_points_from_events(spark, sf_dir), cfg)
     return stamp_anomaly_events(anomalies, cfg.threshold_k, clock=FIXED_CLOCK)

@@ -16,25 +16,30 @@ Projector
   ``Projector`` is a ``foreachBatch`` function that turns each micro-batch of
   envelopes into the read model. It is idempotent per batch id, so a batch
   that is re-run after a failure gives the same tables:
-  * the events table is partitioned by ``batch_id``; batch N overwrites only
-    its own partition, and its dedup check reads partitions ``< N`` (the
-    events table doubles as the processed-events ledger, so no separate
-    ledger write has to commit together with it);
-  * the series state is versioned: batch N writes version N from version N-1
-    plus its own events.
+  * each table (events by ``event_date``, processed keys and series state by
+    hash bucket) holds a batch's rows in a folder of its own, which batch N
+    overwrites; its dedup check looks at batches ``< N`` only;
+  * the dedup check asks the Bloom filters of the processed keys first, and
+    then reads the buckets in which one of the batch's keys may be;
+  * the state of a batch is its own changed series; readers take the newest
+    row of each (see ``vigil.streaming.store``);
+  * every ``compact_every`` batches the files so far are merged.
   Malformed and invalid envelopes go to a quarantine table, also per batch.
+  Envelopes are parsed once per batch.
 """
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
-from vigil.operators.envelope import decode_envelope, encode_envelope
+from vigil.operators.envelope import encode_envelope, parse_envelope, split_envelopes
 from vigil.operators.ingest import decode_metric_json, encode_metric_json
 from vigil.operators.projection import first_wins, fold_series_state, to_anomaly_events, with_dedup_key
+from vigil.schemas import SERIES_KEY
 from vigil.session import fresh_subdir
+from vigil.streaming.store import BUCKETS, BatchTable, KeyedStore, KeyLedger, path_exists
 
 
 def kafka_sequence() -> F.Column:
@@ -104,57 +109,70 @@ def write_prediction_stream(predictions: DataFrame, target: str, checkpoint: str
     return _sink(predictions, value, target, checkpoint, fmt, options)
 
 
+#: Columns of the stored events (``anomaly_events`` rows).
+EVENT_SCHEMA = (
+    "id long, source string, metric_name string, env string, region string, instance_id string, ts long, value double, "
+    "baseline double, mad double, threshold double, window_size int, threshold_k double, detector string, producer string, "
+    "trace_id string, event_id string, event_type string, event_version int, occurred_at string, produced_at string, "
+    "created_at timestamp, dedup_key string, subject string, stream_seq long, event_date date")
+_STATE_VALUES = (
+    "last_ts long, last_value double, baseline double, mad double, threshold double, window_size int, threshold_k double, "
+    "detector string, producer string, trace_id string, event_id string, event_version int, occurred_at string, "
+    "produced_at string, last_seq long, updated_at timestamp")
+
+
 class Projector:
     """``foreachBatch`` handler: envelopes -> anomaly_events + series_state."""
 
-    def __init__(self, root: str):
-        self.root = root.rstrip("/")
-        self.events_path = f"{self.root}/anomaly_events"
-        self.state_path = f"{self.root}/series_state"
+    def __init__(self, root: str, *, compact_every: int = 20, buckets: int = BUCKETS):
+        self.root, self.compact_every = root.rstrip("/"), compact_every
+        self.stored = BatchTable(f"{self.root}/anomaly_events", EVENT_SCHEMA, "event_date")
+        self.ledger = KeyLedger(f"{self.root}/processed", more="subject string, stream_seq long", buckets=buckets)
+        self.state = KeyedStore(f"{self.root}/series_state", SERIES_KEY, _STATE_VALUES, version="last_seq", buckets=buckets)
         self.quarantine_path = f"{self.root}/quarantine"
 
-    def _read(self, spark: SparkSession, path: str) -> DataFrame | None:
-        """The table at the path, or ``None`` if there is none; any other
-        failure to read it is raised."""
-        try:
-            return spark.read.parquet(path)
-        except AnalysisException as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            return None
-
-    def _previous_state(self, spark: SparkSession, batch_id: int) -> DataFrame | None:
-        """The state that the batch builds on. Only the first batch has none; a
-        missing version later would lose every earlier series, so it raises."""
-        if batch_id == 0:
-            return None
-        state = self._read(spark, f"{self.state_path}/v={batch_id - 1}")
-        if state is None:
-            raise RuntimeError(f"series state of batch {batch_id - 1} is missing below {self.state_path}; "
+    def _require(self, spark: SparkSession, batch_id: int) -> None:
+        """Every batch leaves a mark; without the one before, earlier state
+        and keys are lost, and going on would repeat or forget events."""
+        if batch_id and not (spark.read.schema("batch_id long").option("basePath", f"{self.root}/done")
+                             .parquet(f"{self.root}/done").filter(F.col("batch_id") == batch_id - 1).limit(1).count()
+                             if path_exists(spark, f"{self.root}/done") else 0):
+            raise RuntimeError(f"batch {batch_id - 1} is missing below {self.root}; "
                                "restore it, or replay the stream from its start into an empty folder")
-        return state
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        decoded, quarantine = decode_envelope(batch)
-        decoded = with_dedup_key(decoded)
-        prior = self._read(spark, self.events_path)
-        ledger = prior.filter(F.col("batch_id") < batch_id).select("dedup_key") if prior is not None else None
-        events = to_anomaly_events(first_wins(decoded, ledger))
-        events.write.mode("overwrite").parquet(f"{self.events_path}/batch_id={batch_id}")
-        quarantine.write.mode("overwrite").parquet(f"{self.quarantine_path}/batch_id={batch_id}")
-        stored = spark.read.parquet(f"{self.events_path}/batch_id={batch_id}")
-        state = fold_series_state(stored, self._previous_state(spark, batch_id))
-        state.write.mode("overwrite").parquet(f"{self.state_path}/v={batch_id}")
+        self._require(spark, batch_id)
+        if self.compact_every and batch_id and batch_id % self.compact_every == 0:
+            self.compact(spark, batch_id - 1)  # earlier batches can't run again
+        parsed = parse_envelope(batch).persist(StorageLevel.MEMORY_AND_DISK)  # parsed once
+        try:
+            decoded, quarantine = split_envelopes(parsed, batch.columns)
+            quarantine.write.mode("overwrite").parquet(f"{self.quarantine_path}/batch_id={batch_id}")
+            decoded = with_dedup_key(decoded)
+            old = self.ledger.known(decoded.select("dedup_key").distinct(), before=batch_id)
+            events = to_anomaly_events(first_wins(decoded, old))
+            self.stored.write(events, batch_id)
+        finally:
+            parsed.unpersist()
+        written = spark.read.schema(EVENT_SCHEMA).parquet(self.stored.changes(batch_id))
+        self.ledger.write(written.select("dedup_key", "subject", "stream_seq"), batch_id)
+        self.state.write(fold_series_state(written), batch_id)  # the changed series only
+        (spark.range(1).select(F.lit(batch_id).cast("long").alias("batch")).coalesce(1)
+         .write.mode("overwrite").parquet(f"{self.root}/done/batch_id={batch_id}"))
+
+    def compact(self, spark: SparkSession, upto: int) -> None:
+        """Merge the files of the batches up to ``upto`` in all tables."""
+        for table in (self.stored, self.ledger, self.state):
+            table.compact(spark, upto)
 
     def events(self, spark: SparkSession) -> DataFrame:
-        return spark.read.parquet(self.events_path)
+        """All events, with ``event_date`` as the partition column."""
+        return self.stored.read(spark)
 
     def latest_state(self, spark: SparkSession) -> DataFrame:
-        """The newest state version (partition value ``v`` is the batch id)."""
-        st = spark.read.parquet(self.state_path)
-        newest = st.agg(F.max("v")).first()[0]
-        return st.filter(F.col("v") == newest).drop("v")
+        """The newest state of every series."""
+        return self.state.latest(spark)
 
 
 def run_available_now(writer, timeout_s: int | None = None) -> None:
@@ -218,12 +236,12 @@ def stream_to_parquet(df: DataFrame, name: str, timeout_s: int | None = None, ba
 
 
 def project_stream(envelopes: DataFrame, name: str = "projector", timeout_s: int | None = None,
-                   base: str | None = None) -> Projector:
+                   base: str | None = None, **options) -> Projector:
     """Run the projector over a streaming envelope frame to completion, from
     the checkpoint of an earlier run where ``base`` names one."""
     spark = envelopes.sparkSession
     base = base or fresh_subdir(spark, name)
-    proj = Projector(f"{base}/tables")
+    proj = Projector(f"{base}/tables", **options)
     writer = (envelopes.writeStream.foreachBatch(proj)
               .option("checkpointLocation", f"{base}/ckpt"))
     run_available_now(writer, timeout_s)
