@@ -6,12 +6,13 @@ window is shorter; ``ROLLUP (lang, w1, w2, w3, w4)`` then sums them to the
 counts of every shorter phrase and, over a language, of all words. There is no
 explosion into n-grams of each length.
 
-Before that, windows are cut where they can't matter: a phrase as frequent as
-``least`` consists of bigrams as frequent, so a window ends before the first
-bigram that is rarer. Bigrams are counted by 42-bit hashes in partial sums, and
-the frequent ones are marked in a bitmap of fixed size (32 MB, broadcast).
-Bigrams that share a bit are cut less, never more, so all counts that reach
-``least`` are exact, and the counts of words always are.
+Before that, windows are cut where they can't matter: what a phrase as frequent
+as ``least`` begins with is as frequent, so a window ends before its prefix gets
+rarer, and a rare word leaves an empty window, which counts as a word only.
+Words and bigrams are counted by 42-bit hashes in partial sums, then phrases of
+three and four words whose bigrams are frequent; the frequent ones are marked in
+two bitmaps of fixed size (32 MB each, broadcast). Phrases that share a bit are
+cut less, never more, so all counts that reach ``least`` are exact.
 
 Candidates, their parts and the phrases that hold them all reach ``least``, so
 what follows works on that table: each cut is joined with its parts' counts,
@@ -79,14 +80,28 @@ class Pieces:
             self.follows[:-1] = (self.doc[1:] == self.doc[:-1]) & (breaks[w.start[1:]] == breaks[w.end[:-1]])
         self.words, self.hash = w, w.hash
 
-    def bigrams(self, langs: np.ndarray) -> np.ndarray:
-        """Hash of each word and the next; of use where ``follows``."""
-        h = self.hash.copy()
-        h[:-1] = mix(h[:-1] * np.uint64(0xD6E8FEB86659FD93) + self.hash[1:] ^ langs[self.doc[:-1]])
-        return h
+    def grams(self, langs: np.ndarray, most: int) -> list[np.ndarray]:
+        """Hashes of the 1 to ``most`` words from each word on; what runs over
+        a piece's end is of no use."""
+        out = [mix(self.hash ^ langs[self.doc])]
+        for k in range(1, most):
+            h = out[-1].copy()
+            if len(h) > k:
+                h[:-k] = mix(h[:-k] * np.uint64(0xD6E8FEB86659FD93) + self.hash[k:])
+            out.append(h)
+        return out
+
+    def runs(self, joined: np.ndarray, words: int) -> np.ndarray:
+        """Where ``words`` words follow each other, each pair of them ``joined``."""
+        out = joined.copy()
+        for k in range(1, words - 1):
+            out[:-k] &= joined[k:]
+            out[len(out) - k:] = False
+        return out
 
     def windows(self, length: np.ndarray) -> pa.Array:
-        """The ``length`` words from each word on, joined by a blank."""
+        """The ``length`` words from each word on, joined by a blank; none is
+        the empty text."""
         w = self.words
         solid = np.zeros(len(w.data) + 1, np.int8)
         np.add.at(solid, w.start, 1)
@@ -96,7 +111,7 @@ class Pieces:
         data = np.where(w.data == 10, 0x20, w.data).astype(np.uint8)[keep]
         place = np.cumsum(keep) - 1
         start, end = place[w.start], place[w.end - 1] + 1
-        n = end[np.arange(len(start)) + length - 1] - start
+        n = np.where(length > 0, end[np.arange(len(start)) + np.maximum(length, 1) - 1] - start, 0)
         off = np.concatenate([[0], np.cumsum(n)])
         chars = data[np.repeat(start - off[:-1], n) + np.arange(off[-1])]
         return pa.Array.from_buffers(pa.large_string(), len(start), [None, pa.py_buffer(off), pa.py_buffer(chars)])
@@ -118,17 +133,38 @@ def _blocks(hashes: list[np.ndarray]) -> pa.RecordBatch:
          pa.array([n[a:b].tobytes() for a, b in zip(first, last, strict=True)], pa.binary())], ["part", "rest", "n"])
 
 
-def frequent_bigrams(docs: DataFrame, least: int) -> np.ndarray:
-    """Bitmap over 28 bits of the bigram hash, set where a 42-bit hash occurs
-    ``least`` times (at most 255)."""
+def _set(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Whether the bits of hashes are set."""
+    at = h >> np.uint64(64 - _PART_BITS - _BIT_BITS)
+    return ((bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (7 - (at & np.uint64(7))).astype(np.uint8)) & 1).astype(bool)
+
+
+def _words_and_pairs(p: Pieces, langs: np.ndarray) -> list[np.ndarray]:
+    one, two = p.grams(langs, 2)
+    return [one, two[p.follows]]
+
+
+def _longer(pairs):
+    """Phrases of three words and more, all of whose bigrams are frequent."""
+    def hashes(p: Pieces, langs: np.ndarray) -> list[np.ndarray]:
+        h = p.grams(langs, MAX_WORDS)
+        joined = p.follows & _set(pairs.value, h[1])
+        return [h[k - 1][p.runs(joined, k)] for k in range(3, MAX_WORDS + 1)]
+    return hashes
+
+
+def frequent(docs: DataFrame, least: int, hashes) -> np.ndarray:
+    """Bitmap over 28 bits of the hashes that ``hashes`` gives for a slice, set
+    where 42 bits of one occur ``least`` times (at most 255)."""
     def count(batches):
         held, many = [], 0
         for batch in batches:
             for part in text_slices(batch):
                 p = Pieces(part)
-                if p.follows.any():
-                    held.append(p.bigrams(_lang_hash(part.column("lang").to_pylist()))[p.follows])
-                    many += len(held[-1])
+                if len(p.doc):
+                    found = hashes(p, _lang_hash(part.column("lang").to_pylist()))
+                    held += [h for h in found if len(h)]
+                    many += sum(map(len, found))
                 if many > _BLOCK_WORDS:
                     yield _blocks(held)
                     held, many = [], 0
@@ -165,7 +201,7 @@ def frequent_bigrams(docs: DataFrame, least: int) -> np.ndarray:
              .repartition(shuffle_width(docs.sparkSession), "part").sortWithinPartitions("part")
              .mapInArrow(add, "part int, bits binary"))
     bitmap = np.zeros((1 << _PART_BITS, 1 << (_BIT_BITS - 3)), np.uint8)
-    for r in found.toLocalIterator():  # 32 MB, whatever the input
+    for r in found.collect():  # at most 32 MB, whatever the input
         bitmap[r.part] = np.frombuffer(zlib.decompress(r.bits), np.uint8)
     return bitmap.ravel()
 
@@ -173,22 +209,23 @@ def frequent_bigrams(docs: DataFrame, least: int) -> np.ndarray:
 def counted_windows(docs: DataFrame, least: int) -> DataFrame:
     """(lang, w1 to w4, n): the longest windows that can matter, counted."""
     spark = docs.sparkSession
-    # hashes are counted up to 255: below that every rarer bigram is cut
-    sent = spark.sparkContext.broadcast(frequent_bigrams(docs, min(least, 255)))
+    # hashes are counted up to 255: below that every rarer phrase is cut
+    some = min(least, 255)
+    pairs = spark.sparkContext.broadcast(frequent(docs, some, _words_and_pairs))
+    longer = spark.sparkContext.broadcast(frequent(docs, some, _longer(pairs)))
 
     def cut(part):
         p = Pieces(part)
         if not len(p.doc):
             return None
         langs = part.column("lang")
-        h = p.bigrams(_lang_hash(langs.to_pylist())) >> np.uint64(64 - _PART_BITS - _BIT_BITS)
-        often = (sent.value[(h >> np.uint64(3)).astype(np.int64)] >> (7 - (h & np.uint64(7))).astype(np.uint8)) & 1
-        go_on = p.follows & often.astype(bool)
-        length, open_ = np.ones(len(go_on), np.int64), go_on.copy()
-        for k in range(1, MAX_WORDS):
-            length += open_
-            open_[:len(open_) - k] &= go_on[k:]
-            open_[len(open_) - k:] = False
+        h = p.grams(_lang_hash(langs.to_pylist()), MAX_WORDS)
+        joined = p.follows & _set(pairs.value, h[1])
+        length, go_on = _set(pairs.value, h[0]).astype(np.int64), joined
+        for k in range(2, MAX_WORDS + 1):
+            if k > 2:
+                go_on = go_on & p.runs(joined, k) & _set(longer.value, h[k - 1])
+            length += go_on & (length == k - 1)
         return pa.RecordBatch.from_arrays([langs.take(pa.array(p.doc)), p.windows(length)], ["lang", "window"])
 
     cuts = docs.mapInArrow(arrow_map(cut), "lang string, window string")
