@@ -269,14 +269,15 @@ def canonical_dedup_key(*cols: str) -> Column:
 
 
 def ttl_dedup_stream(df: DataFrame, key_col: str, event_time_col: str,
-                     ttl_seconds: int = TTL_DEDUP_SECONDS) -> DataFrame:
+                     ttl_seconds: int = TTL_DEDUP_SECONDS, seq_col: str | None = None) -> DataFrame:
     """D-5 (streaming): drop messages whose key was seen within the TTL, which
     runs from the key's last accepted message by the clock of the stream job.
     A message of a new key always passes, however late its event time is: no
     watermark drops it. Of copies within one micro-batch the one of least event
-    time passes. State is one flag per key; copies are read as they come, so a
+    time passes, and of those the one of least ``seq_col``, if it is given. State is one flag per key; copies are read as they come, so a
     storm of copies of one key costs no memory."""
     schema = df.schema
+    order = [event_time_col, *([seq_col] if seq_col else [])]
 
     def first_only(key, batches, state):
         if state.hasTimedOut:
@@ -284,8 +285,8 @@ def ttl_dedup_stream(df: DataFrame, key_col: str, event_time_col: str,
             return
         best = None
         for pdf in batches:
-            row = pdf.sort_values(event_time_col, kind="stable").head(1)
-            if best is None or row[event_time_col].iloc[0] < best[event_time_col].iloc[0]:
+            row = pdf.sort_values(order, kind="stable").head(1)
+            if best is None or tuple(row[order].iloc[0]) < tuple(best[order].iloc[0]):
                 best = row
         if best is not None and not state.exists:
             state.update((True,))

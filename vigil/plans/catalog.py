@@ -1127,6 +1127,98 @@ def q_ext_ttl_dedup(spark, sf):
             "source", "metric_name", "env", "region", "instance_id", "timestamp"))
             .withColumn("event_time", F.timestamp_seconds(F.col("timestamp")))
             .select("dedup_hash", "stream_seq", "event_time"))
-        out = stream_to_parquet(X.ttl_dedup_stream(keyed, "dedup_hash", "event_time"), "ttl-dedup",
+        out = stream_to_parquet(X.ttl_dedup_stream(keyed, "dedup_hash", "event_time", seq_col="stream_seq"), "ttl-dedup",
                                 base=base, drain=True)
     return out.select("dedup_hash", "stream_seq")
+
+
+# ------------------------------------------------- exact TTL dedup, histograms --
+from vigil.operators import histogram as H  # noqa: E402
+from vigil.operators.ttl import ttl_dedup  # noqa: E402
+from vigil.session import store_table  # noqa: E402
+
+_TTL = 900
+_TTL_KEY = "CASE WHEN seq % 10 < 7 THEN 'hot' ELSE instance_id END"
+
+
+@register("ext_ttl_dedup_batch", f"""WITH RECURSIVE e AS (SELECT {_TTL_KEY} AS k, timestamp AS t, min(seq) AS seq
+  FROM ({S.EVENTS_POINTS}) GROUP BY 1, 2),
+c AS (SELECT k, min(t) AS t FROM e GROUP BY k
+      UNION ALL
+      SELECT c.k, min(e.t) FROM c JOIN e ON e.k = c.k AND e.t >= c.t + {_TTL} GROUP BY c.k, c.t)
+SELECT e.k AS dedup_key, e.t AS timestamp, e.seq FROM c JOIN e USING (k, t)""")
+def q_ext_ttl_dedup_batch(spark, sf):
+    """D-5 (extension): exact TTL dedup of stored events, seven tenths of them
+    of one key; keys that return after the TTL are accepted again."""
+    ev = metric_points_from_events(spark, sf).withColumn("dedup_key", F.expr(_TTL_KEY))
+    return ttl_dedup(ev, "dedup_key", "timestamp", "seq", _TTL).select("dedup_key", "timestamp", "seq")
+
+
+_LOG_GROWTH = "ln(1.01::DOUBLE / 0.99::DOUBLE)"
+
+
+@register("ext_red_histogram", f"""WITH b AS (SELECT source, (timestamp // 3600) * 3600 AS start,
+    CASE WHEN value <= 0 THEN NULL ELSE CAST(ceil(ln(value) / {_LOG_GROWTH}) AS INTEGER) END AS i FROM ({S.EVENTS_POINTS})),
+r AS (SELECT *, row_number() OVER (PARTITION BY source, start ORDER BY i NULLS FIRST) AS rk,
+             count(*) OVER (PARTITION BY source, start) AS n FROM b)
+SELECT source, start, n AS messages, """ + ", ".join(
+    f"round(max(CASE WHEN rk = greatest(1, ceil(n * {q}::DOUBLE)) THEN coalesce(2 * exp(i * {_LOG_GROWTH}) / (1.01::DOUBLE / 0.99::DOUBLE + 1), 0.0) END), 6) AS {c}"
+    for c, q in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))) + " FROM r GROUP BY source, start, n")
+def q_ext_red_histogram(spark, sf):
+    """D-7 (extension): percentiles per service and hour from stored minute
+    histograms that are added up (1 % relative error)."""
+    minutes = store_table(H.histograms(metric_points_from_events(spark, sf), ["source"]), "minute-histograms")
+    hours = H.merge_histograms(minutes, ["source"], 3600)
+    return hours.select("source", "start", F.col("count").alias("messages"), *(
+        F.round(H.percentile("histogram", "count", q), 6).alias(c) for c, q in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))))
+
+
+_STAGES_SQL = "CASE seq % 3 WHEN 0 THEN 'normalise' WHEN 1 THEN 'classify' ELSE 'publish' END"
+
+
+@register("ext_slo_stages", f"""WITH p AS (SELECT *, {_STAGES_SQL} AS stage, value * 2 AS ms FROM ({S.EVENTS_POINTS})),
+l AS (SELECT (timestamp // 3600) * 3600 AS hour,
+  coalesce(avg(CASE WHEN stage = 'normalise' THEN CAST(ms <= 200 AS INTEGER) END) >= 0.99, true) AS normalise_ok,
+  coalesce(avg(CASE WHEN stage = 'classify' THEN CAST(ms <= 500 AS INTEGER) END) >= 0.99, true) AS classify_ok,
+  coalesce(avg(CASE WHEN stage = 'publish' THEN CAST(ms <= 50 AS INTEGER) END) >= 0.99, true) AS publish_ok
+  FROM p GROUP BY 1),
+d AS (SELECT (timestamp // 3600) * 3600 AS hour, count(*) AS n FROM ({S.EVENTS_POINTS}) WHERE NOT ({_DECODE_OK}) GROUP BY 1)
+SELECT l.*, coalesce(d.n, 0) AS dead_letters, coalesce(d.n, 0) < 5 AS dead_letters_ok,
+       normalise_ok AND classify_ok AND publish_ok AND coalesce(d.n, 0) < 5 AS slo_ok FROM l LEFT JOIN d USING (hour)""")
+def q_ext_slo_stages(spark, sf):
+    """D-8 (extension): p99 targets of the three stages and dead letters per
+    hour. The stages' latencies are stood in for by the events' values."""
+    pts = metric_points_from_events(spark, sf).withColumn("stage", F.expr(_STAGES_SQL)).withColumn("ms", F.col("value") * 2)
+    _, bad = decode_metric_json(FX.metric_payloads(spark, sf))
+    return H.slo_stages(pts, bad.withColumnRenamed("received_ts", "timestamp"), X.P99_TARGET_MS, X.DLQ_PER_HOUR_TARGET, value="ms")
+
+
+@register("ext_cardinality_daily", f"""SELECT (timestamp // 86400) * 86400 AS start, label, count(DISTINCT v) > 100 AS violation
+FROM (SELECT timestamp, unnest(['source', 'metric_name', 'instance_id']) AS label, unnest([source, metric_name, instance_id]) AS v
+      FROM ({S.EVENTS_POINTS})) GROUP BY ALL""")
+def q_ext_cardinality_daily(spark, sf):
+    """D-10 (extension): the day's cardinality audit from stored hourly
+    sketches; it reads no points."""
+    hourly = store_table(H.distinct_sketches(metric_points_from_events(spark, sf), ["source", "metric_name", "instance_id"]),
+                         "label-sketches")
+    return H.cardinality_from_sketches(hourly, 100).select("start", "label", "violation")
+
+
+@register("ext_dlq_payloads", _texts_sql() + """
+SELECT seq, 'malformed payload' AS reason, payload, CAST(strlen(payload) AS INTEGER) AS payload_bytes FROM t ANTI JOIN typed USING (seq)
+WHERE trim(payload) <> 'null'""")
+def q_ext_dlq_payloads(spark, sf):
+    """D-2 (extension): dead letters with their whole payloads and sizes."""
+    _, bad = decode_metric_json(FX.payload_texts(spark, sf))
+    return X.dead_letters(bad)
+
+
+@register("ext_trace_lookup", S.decoded_sql(SERVICE) + """,
+traced AS (SELECT *, 'trace-' || CAST(stream_seq % 97 AS VARCHAR) AS trace FROM events_t)
+SELECT id, source, metric_name, ts, trace AS trace_id FROM traced WHERE trace = 'trace-13'""")
+def q_ext_trace_lookup(spark, sf):
+    """D-11 (extension): the stored events of one trace; the predicate reaches
+    the scan."""
+    traced = store_table(_stored_events(spark, sf).withColumn("trace_id", F.concat(
+        F.lit("trace-"), (F.col("stream_seq") % 97).cast("string"))), "traced-events")
+    return X.trace_lookup(traced, "trace-13").select("id", "source", "metric_name", "ts", "trace_id")
