@@ -1,12 +1,19 @@
 """Benchmark decontamination: rare seeds, then Smith-Waterman.
 
-An item of m words counts as copied when at least ``share`` of its words align,
-in order, with a passage of a document. At most e = floor((1 - share) m) words
-are then edited, so of any e + 1 disjoint n-grams of the item one is intact.
-Which n-grams is free to choose: their document frequencies are counted over
-the whole corpus and the e + 1 disjoint ones of the smallest total are the
-item's seeds. Each seed hit opens a window of the document, a batch of windows
-is aligned at once, and the best alignment per document and item is kept.
+Seeds are word pairs of the items (a word, if an item has but one). Their
+document frequencies are counted over the whole corpus; an item's seeds are the
+rarer half of its pairs and all pairs of at most ``RARE`` of the documents (or
+``RARE_LEAST`` documents). A
+copy with a word put in after every second one, or with a fifth of its words
+edited, keeps many pairs, so a document and an item are aligned where several
+seeds (1 to 3, by the item's length) meet on neighbouring diagonals. Each such
+place opens a window of the document, a batch of windows is aligned at once,
+and the best alignment per document and item is kept.
+
+An alignment is a finding if it matches at least ``share`` of the item's words,
+or a run of ``run`` words and more - a verbatim or lightly edited part of a
+longer item - in which gaps and mismatches are at most two thirds of the
+matches.
 
 Items are handled in blocks of ``block`` rows against all documents; a block's
 seeds are the only thing broadcast, so the broadcast is bounded whatever the
@@ -14,8 +21,8 @@ benchmark's size. No pairs are formed but by seeds.
 
 Words are compared without ASCII case and punctuation. Defined cases: null or
 empty documents and items match nothing; null ids are kept as they are;
-repeated rows give repeated findings; an item of under 3 words is its own seed;
-other input columns stay out.
+repeated rows give repeated findings; very long items are aligned whole; other
+input columns stay out.
 """
 
 from __future__ import annotations
@@ -29,10 +36,14 @@ from vigil.llm.common import arrow_map, only, read
 from vigil.llm.registry import register
 from vigil.llm.words import words_of
 
-SEED_WORDS = 3
+SEED_WORDS = 2
 SHARE = 0.8
+#: Words of a part of an item that count as copied.
+RUN = 25
+#: Share of the documents, or their number, up to which every pair is a seed.
+RARE, RARE_LEAST = 0.002, 20
 BLOCK = 10_000
-_MATCH, _MISS, _GAP = 4, -1, -1
+_MATCH, _MISS, _GAP = 4, -3, -3
 _UNIT = 1 << 20  # score and matched words share one integer
 
 
@@ -51,25 +62,15 @@ def edits(m: int, share: float) -> int:
     return int(m * (1 - share) + 1e-9)
 
 
-def seed_length(m: int, share: float) -> int:
-    return max(1, min(SEED_WORDS, m // (edits(m, share) + 1)))
-
-
-def choose_seeds(df: list[int], n: int, want: int) -> list[int]:
-    """Start positions of ``want`` disjoint n-grams with the least total df."""
-    big = 1 << 60
-    m = len(df)
-    best = [[0] * (m + n + 1)] + [[big] * (m + n + 1) for _ in range(want)]
-    for k in range(1, want + 1):
-        for i in range(m - 1, -1, -1):
-            best[k][i] = min(best[k][i + 1], df[i] + best[k - 1][min(i + n, m + n)])
-    out, i = [], 0
-    for k in range(want, 0, -1):
-        while best[k][i] == best[k][i + 1]:
-            i += 1
-        out.append(i)
-        i += n
-    return out
+def choose_seeds(df: np.ndarray, limit: float) -> np.ndarray:
+    """Positions of the seeds among an item's word pairs, by their frequency."""
+    rank = np.argsort(np.argsort(df, kind="stable"), kind="stable")
+    return np.flatnonzero((df <= limit) | (rank < (len(df) + 1) // 2))
+
+
+def seeds_needed(m: int) -> int:
+    """Seeds that must meet before a window of an item of m words is aligned."""
+    return 1 if m < 12 else 2 if m < RUN + 5 else 3
 
 
 class _Lookup:
@@ -141,11 +142,15 @@ def align(item: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return best // _UNIT, best % _UNIT, end
 
 
-def _search(items: list[np.ndarray], seeds: dict[int, tuple], share: float):
+def _search(items: list[np.ndarray], seeds: dict[int, tuple], share: float, run_words: int):
     """Findings of a slice of documents against a block of items."""
+    length = np.array([len(h) for h in items])
+    edits_of = np.array([edits(len(h), share) for h in items])
+    needed = np.array([seeds_needed(len(h)) for h in items])
+
     def run(part):
         w = words_of(part.column("text"), loose=True)
-        doc, item, start = [], [], []
+        doc, item, start, seed = [], [], [], []
         for n, (keys, owner, offset, lookup) in seeds.items():
             h = w.grams(n)
             at, which = lookup.hits(h)
@@ -158,20 +163,27 @@ def _search(items: list[np.ndarray], seeds: dict[int, tuple], share: float):
             doc.append(w.doc[at])
             item.append(owner[place])
             start.append(at - offset[place])
-        doc, item, start = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (doc, item, start))
+            seed.append(offset[place])
+        doc, item, start, seed = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (doc, item, start, seed))
         if not len(doc):
             return None
-        m = np.array([len(items[i]) for i in item])
-        slack = np.array([edits(n, share) for n in m]) + 1
+        m = length[item]
+        slack = edits_of[item] + 1
         order = np.lexsort((start, item, doc))
-        doc, item, start, m, slack = (x[order] for x in (doc, item, start, m, slack))
+        doc, item, start, m, slack, seed = (x[order] for x in (doc, item, start, m, slack, seed))
         new = np.ones(len(doc), bool)
         new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (start[1:] - start[:-1] > slack[1:])
         first = np.flatnonzero(new)
-        last = np.append(first[1:], len(doc)) - 1
-        doc, item, m, slack = doc[first], item[first], m[first], slack[first]
-        lo = np.maximum(start[first] - slack, w.bounds[doc])
-        hi = np.minimum(start[last] + m + slack, w.bounds[doc + 1])
+        place = np.cumsum(new) - 1
+        # room for as many words put in as the item has before and after a seed
+        lo, hi = np.minimum.reduceat(start - seed, first), np.maximum.reduceat(start + 2 * m - seed, first)
+        distinct = np.unique(np.stack([place, seed]), axis=1)[0]  # different seeds that meet
+        enough = np.bincount(distinct, minlength=len(first)) >= needed[item[first]]
+        first, lo, hi = first[enough], lo[enough], hi[enough]
+        if not len(first):
+            return None
+        doc, item, m = doc[first], item[first], m[first]
+        lo, hi = np.maximum(lo, w.bounds[doc]), np.minimum(hi, w.bounds[doc + 1])
         score, matched, end = (np.zeros(len(doc), np.int64) for _ in range(3))
         order = np.argsort(hi - lo, kind="stable")
         begin = 0
@@ -186,7 +198,8 @@ def _search(items: list[np.ndarray], seeds: dict[int, tuple], share: float):
                 words[r, :len(items[i])] = items[i]
             score[take], matched[take], end[take] = align(words, window)
             begin += len(take)
-        good = np.flatnonzero(matched >= share * m - 1e-9)
+        part_of = (matched >= run_words) & (score >= 2 * matched)
+        good = np.flatnonzero((matched >= share * m - 1e-9) | part_of)
         if not len(good):
             return None
         order = good[np.lexsort((lo[good], -matched[good], -score[good], item[good], doc[good]))]
@@ -202,14 +215,16 @@ def _search(items: list[np.ndarray], seeds: dict[int, tuple], share: float):
 
 
 def find_copies(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, block: int = BLOCK,
-                key: str = "doc_id", item_key: str = "item_id") -> DataFrame:
+                key: str = "doc_id", item_key: str = "item_id", run: int = RUN) -> DataFrame:
     """(key, item_key, score, share, end_word): the best alignment of each
-    benchmark item with each document that has at least ``share`` of it."""
+    benchmark item with each document that has at least ``share`` of it, or
+    ``run`` words of it in one passage."""
     spark = docs.sparkSession
     src = only(docs, id=key, text="text")
     items = only(benchmark, item=item_key, text="text")
     kind, item_kind = (d.schema[c].dataType.simpleString() for d, c in ((src, "id"), (items, "item")))
     blocks = max(1, -(-items.count() // block))
+    limit = max(RARE_LEAST, RARE * src.count())
     out = None
     for b in range(blocks):
         rows = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b).collect()
@@ -217,21 +232,21 @@ def find_copies(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, blo
         if not rows:
             continue
         hashes = [h for _, h in rows]
-        size = [seed_length(len(h), share) for h in hashes]
+        size = [min(SEED_WORDS, len(h)) for h in hashes]
         each = [_gram(h, n) for h, n in zip(hashes, size, strict=True)]
         grams = {n: np.unique(np.concatenate([g for g, k in zip(each, size, strict=True) if k == n]))
                  for n in set(size)}
         df = _frequencies(src, grams)
         found: dict[int, list] = {n: [] for n in grams}
-        for i, (g, n, h) in enumerate(zip(each, size, hashes, strict=True)):
-            often = [df[n].get(int(x), 0) for x in np.searchsorted(grams[n], g)]
-            found[n] += [(int(g[p]), i, p) for p in choose_seeds(often, n, edits(len(h), share) + 1)]
+        for i, (g, n) in enumerate(zip(each, size, strict=True)):
+            often = np.array([df[n].get(int(x), 0) for x in np.searchsorted(grams[n], g)])
+            found[n] += [(int(g[p]), i, int(p)) for p in choose_seeds(often, limit)]
         seeds = {}
         for n, f in found.items():
             f.sort()
             keys = np.array([x for x, *_ in f], np.uint64)
             seeds[n] = (keys, np.array([x[1] for x in f]), np.array([x[2] for x in f]), _Lookup(keys))
-        hits = src.mapInArrow(arrow_map(_search(hashes, seeds, share)),
+        hits = src.mapInArrow(arrow_map(_search(hashes, seeds, share, run)),
                               f"id {kind}, item long, score double, share double, end long")
         names = spark.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], f"item long, name {item_kind}")
         hits = hits.join(F.broadcast(names), "item").select(
