@@ -230,13 +230,111 @@ def test_alignment_equals_plain_smith_waterman():
         h = np.zeros((len(a) + 1, len(b) + 1))
         for i in range(len(a)):
             for j in range(len(b)):
-                same = 4 if a[i] == b[j] else -1
-                h[i + 1, j + 1] = max(0, h[i, j] + same, h[i, j + 1] - 1, h[i + 1, j] - 1)
+                same = 4 if a[i] == b[j] else -3
+                h[i + 1, j + 1] = max(0, h[i, j] + same, h[i, j + 1] - 3, h[i + 1, j] - 3)
         score, *_ = decontaminate.align(a[None], b[None])
         assert score[0] == h.max()
 
 
-def test_seed_choice_is_disjoint_and_least():
-    df = [5, 1, 9, 2, 2, 7, 1, 3]
-    got = decontaminate.choose_seeds(df, 3, 2)
-    assert got == [1, 6]  # 1 + 1, three apart or more
+def test_seeds_are_the_rarer_half_and_all_rare_pairs():
+    df = np.array([5, 1, 9, 2, 2, 7, 1, 3])
+    assert decontaminate.choose_seeds(df, 0).tolist() == [1, 3, 4, 6]
+    assert decontaminate.choose_seeds(df, 5).tolist() == [0, 1, 3, 4, 6, 7]
+
+
+def plain_alignment(a, b):
+    """(score, matched words) of the best local alignment."""
+    h = [[(0, 0)] * (len(b) + 1) for _ in range(len(a) + 1)]
+    best = (0, 0)
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            s, k = h[i][j]
+            h[i + 1][j + 1] = max((0, 0), (s + 4, k + 1) if x == y else (s - 3, k), (h[i][j + 1][0] - 3, h[i][j + 1][1]),
+                                  (h[i + 1][j][0] - 3, h[i + 1][j][1]))
+            best = max(best, h[i + 1][j + 1])
+    return best
+
+
+def test_partial_and_inserted_copies_against_plain_alignment(make, spark):
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("bcdfgklmnprst") + rng.choice("aeiou") for _ in range(3))
+    common = [word() for _ in range(6)]
+    words = lambda n: [rng.choice(common) if rng.random() < .4 else word() for _ in range(n)]
+    items = [words(60), words(60), words(300), words(14), words(27), words(1)]
+    a, b, c = items[:3]
+    texts = [words(30) + a[:45] + words(20),                                        # three quarters, word for word
+             [w for k in range(0, 60, 3) for w in [*a[k:k + 3], word()]],           # a word after each three
+             words(9) + [w for k in range(0, 60, 2) for w in [*b[k:k + 2], word()]],  # and after each two
+             words(80) + c[120:170] + words(50),                                    # a passage of a long item
+             [w if k % 6 else word() for k, w in enumerate(c[20:110])],             # edited
+             c[:12] + words(40) + c[100:112],                                       # short parts only
+             a[:10] + words(5) + b[:11] + words(3), items[3] + words(4), words(5) + items[4][:21], words(200), items[5], [],
+             [w for k, w in enumerate(c) if k % 5]]
+    docs = make([" ".join(t) for t in texts] + [None])
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    want = set()
+    for d, t in enumerate(texts):
+        for i, item in enumerate(items):
+            score, matched = plain_alignment(item, t)
+            if t and (matched >= .8 * len(item) or (matched >= decontaminate.RUN and score >= 2 * matched)):
+                want.add((d, i, round(score / (4 * len(item)), 9)))
+    got = {(r.doc_id, r.item_id, round(r.score, 9)) for r in decontaminate.find_copies(docs, bench).collect()}
+    assert got == want
+    assert {(0, 0), (1, 0), (2, 1), (3, 2), (4, 2)} <= {w[:2] for w in want} and not any(w[0] in (5, 6, 9) for w in want)
+
+
+def test_decontaminate_long_items_and_shared_seeds(make, spark):
+    rng = random.Random(22)
+    long = [f"w{rng.randrange(4000)}" for _ in range(6000)]
+    docs = make(["x " * 50 + " ".join(long[3000:3400]), " ".join(long), "same words here " * 400, "other " * 30])
+    bench = spark.createDataFrame([(1, " ".join(long)), (2, "same words here " * 12), (2, "same words here " * 12), (None, "other " * 30)],
+                                  "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id or -1) for r in decontaminate.find_copies(docs, bench).collect())
+    assert got == [(0, 1), (1, 1), (2, 2), (2, 2), (3, -1)]
+
+
+def test_rows_that_share_an_id_are_linked_by_their_own_text(make):
+    rng = random.Random(31)
+    a, b = prose(rng, 80), prose(rng, 80)
+    near = " ".join(["other", *b.split()[1:]])
+    c = prose(rng, 70)
+    near_c = " ".join([*c.split()[:-1], "end"])
+    rows = [(1, a), (1, b), (3, near), (None, c), (None, near_c), (5, a + " " + b), (None, near), (1, b), (8, ""), (8, None)]
+    got = jaccard_join.jaccard_components(make(rows)).collect()
+    sets = [plain_set(t) for _, t in rows]
+    want = []
+    for x, (i, _) in enumerate(rows):
+        same, todo = {x}, [x]
+        while todo:
+            y = todo.pop()
+            for z in range(len(rows)):
+                if z not in same and sets[y] and sets[z] and 100 * len(sets[y] & sets[z]) >= 85 * len(sets[y] | sets[z]):
+                    same.add(z)
+                    todo.append(z)
+        ids = [rows[z][0] for z in same if rows[z][0] is not None]
+        want.append((i, len(sets[x]), min(ids) if ids else None))
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+    kept = sorted(((r.doc_id, r.text) for r in jaccard_join.one_of_each(make(rows), 4, 85).collect()), key=repr)
+    first_c = min((c, near_c), key=lambda t: [k for k, x in kept if x == t] == [])
+    assert kept == sorted([(1, a), (1, b), (5, a + " " + b), (None, first_c), (None, near), (8, ""), (8, None)], key=repr)
+
+
+def plain_set(text, n=4):
+    w = [x for x in (text or "").lower().split() if x]
+    return {tuple(w[i:i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set()
+
+
+def test_word_hashes_have_no_structure(make):
+    """Thue-Morse words and their complements collide under polynomial hashes."""
+    import pyarrow as pa
+    from vigil.llm.words import words_of
+    bits = [bin(i).count("1") & 1 for i in range(1 << 12)]
+    for size in (1 << 10, 1 << 11, 1 << 12):
+        pair = ["".join("ab"[x] for x in bits[:size]), "".join("ba"[x] for x in bits[:size])]
+        h = words_of(pa.array(pair, pa.large_string())).hash
+        assert h[0] != h[1]
+    assert len(set(words_of(pa.array(["ab ba abab baba aabb abba b a"], pa.large_string())).hash.tolist())) == 8
+    x, y = pair
+    tail = " " + " ".join(f"w{i}" for i in range(60))
+    rows = [(1, x + tail), (2, y + tail)]
+    assert [r.n_removed for r in substring_dedup.remove_repeats(make(rows)).orderBy("doc_id").collect()] == [60, 60]

@@ -31,9 +31,10 @@ per document with its component.
 
 Defined cases: null or empty text, or text without words, has no shingles and
 links with nothing; a text of fewer than ``n`` words is one shingle; repeated
-rows and copies share a class; a null id cannot name a component, so such rows
-get the component of their class among rows with ids, else null; other input
-columns stay out.
+rows and copies share a class; rows are known by id and text hash, so rows that
+share an id but not a text are linked each by its own text; a null id cannot
+name a component, so such rows get the smallest id of their component, else
+null; other input columns stay out.
 """
 
 from __future__ import annotations
@@ -126,9 +127,9 @@ def rarity_sketch(docs: DataFrame, n: int) -> np.ndarray:
     schema = "block int, counts binary"
     each = docs.select("text").mapInArrow(count, schema)
     summed = each.repartition(min(blocks, shuffle_width(docs.sparkSession)), "block").mapInArrow(add, schema)
-    total = np.zeros((blocks, 1 << _BLOCK_BITS), np.int64)
-    for r in summed.collect():  # 2^22 counters, whatever the input
-        total[r.block] += _counters(r.counts)
+    total = np.zeros((blocks, 1 << _BLOCK_BITS), np.uint32)
+    for r in summed.collect():  # 2^22 counters, whatever the input; a block is one row
+        total[r.block] = _counters(r.counts)
     return total.ravel()
 
 
@@ -141,9 +142,9 @@ def parity(s: np.ndarray) -> bytes:
 
 
 def classes(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """(id, n_shingles, class, window, parity): the set's hash, first pivots and parities."""
-    sent = docs.sparkSession.sparkContext.broadcast(
-        np.minimum(rarity_sketch(docs, n), np.iinfo(np.uint32).max).astype(np.uint32))
+    """(id, h, n_shingles, class, window, parity): the row's text hash, the
+    set's hash, first pivots and parities."""
+    sent = docs.sparkSession.sparkContext.broadcast(rarity_sketch(docs, n))
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(part):
@@ -162,12 +163,12 @@ def classes(docs: DataFrame, n: int, percent: int) -> DataFrame:
             window.append(s[np.lexsort((mix(s), rare))[:keep]].view(np.int64))
             odd.append(parity(s))
         return pa.RecordBatch.from_arrays(
-            [part.column("id"), pa.array(size, pa.int64()), pa.array(name, pa.int64()),
+            [part.column("id"), part.column("h"), pa.array(size, pa.int64()), pa.array(name, pa.int64()),
              pa.array(window, pa.list_(pa.int64())), pa.array(odd, pa.binary())],
-            ["id", "n_shingles", "class", "window", "parity"])
+            ["id", "h", "n_shingles", "class", "window", "parity"])
 
-    return docs.select("id", "text").mapInArrow(
-        arrow_map(run), f"id {kind}, n_shingles long, class long, window array<long>, parity binary")
+    return docs.select("id", "h", "text").mapInArrow(
+        arrow_map(run), f"id {kind}, h long, n_shingles long, class long, window array<long>, parity binary")
 
 
 def _near(percent: int, max_region: int):
@@ -492,11 +493,16 @@ def _solve_large(large: DataFrame, n: int, percent: int, max_group: int) -> tupl
             return tasks, edges
 
 
-def jaccard_components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, key: str = "doc_id",
-                       max_group: int = MAX_GROUP, max_region: int = MAX_REGION) -> DataFrame:
-    """(key, n_shingles, component_id) of every document: 100 * intersection
-    >= percent * union links two documents."""
-    src = only(docs, id=key, text="text")
+def _first() -> F.Column:
+    """Rows in order of their id (null last), then text hash."""
+    return F.struct(F.col("id").isNull().alias("none"), "id", "h")
+
+
+def linked_rows(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, key: str = "doc_id",
+                max_group: int = MAX_GROUP, max_region: int = MAX_REGION) -> DataFrame:
+    """(id, h, n_shingles, root) of every row, which is known by its id and its
+    text's hash ``h``: rows of one root are linked; without shingles it is null."""
+    src = only(docs, id=key, text="text").withColumn("h", F.xxhash64("text"))
     table = stored(classes(src, n, percent), "classes")
     named = table.select("class", F.explode("window").alias("pivot"))
     shared = (named.groupBy("pivot").agg(F.min("class").alias("low"), F.max("class").alias("high"))
@@ -510,13 +516,15 @@ def jaccard_components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT
     edges = (region.withColumn("run", F.sum(gap.cast("int")).over(by_size))
              .mapInArrow(_near(percent, max_region), "a long, b long").distinct())
     groups = components(stored(edges, "stars"))
-    least = table.filter("class is not null").groupBy("class").agg(F.min("id").alias("id"),
-                                                                  F.first("n_shingles").alias("n_shingles"))
+    least = (table.filter("class is not null").groupBy("class")
+             .agg(F.min(_first()).alias("one"), F.first("n_shingles").alias("n_shingles"))
+             .select("class", "n_shingles", F.col("one.id").alias("one_id"), F.col("one.h").alias("one_h")))
     chosen = groups.select(F.col("node").alias("class"), F.col("component").cast("string").alias("group"))
     taken = stored(chosen.join(least, "class"), "chosen")
     sizes = taken.groupBy("group").agg(F.sum("n_shingles").alias("members"))
-    # texts move by id at every size, whether or not the few ids would fit a broadcast
-    members = src.hint("merge").join(taken.join(sizes, "group"), "id").select("group", "class", "n_shingles", "text", "members")
+    # texts move by their rows' keys at every size, whether or not the few keys would fit a broadcast
+    own = F.col("id").eqNullSafe(F.col("one_id")) & (F.col("h") == F.col("one_h"))
+    members = src.hint("merge").join(taken.join(sizes, "group"), own).select("group", "class", "n_shingles", "text", "members")
     members = stored(members.dropDuplicates(["class"]), "members")
     tasks = members.filter(F.col("members") <= max_group).select("group", "class", "text")
     solved: list[DataFrame] = []
@@ -529,28 +537,40 @@ def jaccard_components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT
     for e in solved:
         links = links.unionByName(e)
     linked = components(stored(links, "links"))
-    name = (least.join(linked.withColumnRenamed("node", "class"), "class", "left")
-            .select("class", F.coalesce("component", "class").alias("root"), "id"))
-    smallest = name.groupBy("root").agg(F.min("id").alias("component_id"))
-    final = name.join(smallest, "root").select("class", "component_id")
-    return (table.select("id", "n_shingles", "class").join(final, "class", "left")
-            .select(F.col("id").alias(key), "n_shingles",
-                    F.coalesce("component_id", "id").alias("component_id")))
+    return (table.join(linked.withColumnRenamed("node", "class"), "class", "left")
+            .select("id", "h", "n_shingles", F.coalesce("component", "class").alias("root")))
+
+
+def jaccard_components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, key: str = "doc_id",
+                       max_group: int = MAX_GROUP, max_region: int = MAX_REGION) -> DataFrame:
+    """(key, n_shingles, component_id) of every document: 100 * intersection
+    >= percent * union links two documents."""
+    rows = linked_rows(docs, n, percent, key, max_group, max_region)
+    smallest = rows.filter("root is not null").groupBy("root").agg(F.min("id").alias("component_id"))
+    return (rows.join(smallest, "root", "left")
+            .select(F.col("id").alias(key), "n_shingles", F.coalesce("component_id", "id").alias("component_id")))
 
 
 def one_of_each(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The rows, all columns as they are, of which each group of linked
-    documents keeps the one of smallest id, and exact repeats of a row keep
-    one. Documents without shingles and those without an id stay."""
-    found = jaccard_components(docs, n, percent)
-    gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    documents keeps the one of smallest id, then text hash, and beside it one
+    of those without an id; exact repeats of a row keep one. Rows are known by
+    id and text, so a clean document that shares an id with a copy stays;
+    documents without shingles stay."""
+    rows = stored(linked_rows(docs, n, percent), "linked")
+    judged = rows.filter("root is not null")
+    judged = judged.withColumn("none", F.col("id").isNull())
+    best = judged.groupBy("root", "none").agg(F.min(F.struct("id", "h")).alias("best"))
+    gone = (judged.join(best, ["root", "none"]).filter(~(F.col("id").eqNullSafe(F.col("best.id")) & (F.col("h") == F.col("best.h"))))
+            .select(F.col("id").alias("_id"), F.col("h").alias("_h")).distinct())
     text = F.xxhash64("text")
-    again = kept.filter("doc_id is not null").groupBy("doc_id", text.alias("h")).count().filter("count > 1")
-    if not again.limit(1).count():
+    kept = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (text == F.col("_h")), "left_anti")
+    words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    once = F.col("doc_id").isNotNull() | words
+    if not kept.filter(once).groupBy("doc_id", text.alias("h")).count().filter("count > 1").limit(1).count():
         return kept
-    one = kept.filter("doc_id is not null").withColumn("_hash", text).dropDuplicates(["doc_id", "_hash"])
-    return one.drop("_hash").unionByName(kept.filter("doc_id is null"))
+    one = kept.filter(once).withColumn("_hash", text).dropDuplicates(["doc_id", "_hash"])
+    return one.drop("_hash").unionByName(kept.filter(~once))
 
 
 @register("op4_jaccard_join")

@@ -122,10 +122,13 @@ def words_of(texts: pa.Array, lower: bool = False, loose: bool = False) -> Words
     last[cut - 1] = solid[cut - 1]
     start = np.flatnonzero(first)
     end = np.flatnonzero(last) + 1
-    power, inverse = _powers(size + 1)
+    # a word's hash sums a scrambled number for each byte and its place in the word
+    place = np.arange(size) - start[np.maximum(np.cumsum(first) - 1, 0)] if len(start) else np.zeros(size, np.int64)
+    place <<= 8
+    place |= data
     summed = np.zeros(size + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:size], out=summed[1:])
-    h = (summed[end] - summed[start]) * inverse[start]
+    np.cumsum(mix(place.view(np.uint64) * np.uint64(_BASE)), out=summed[1:])
+    h = summed[end] - summed[start]
     h += (end - start).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
     return Words(data, start, end, np.searchsorted(start, off), mix(h))
 
