@@ -31,6 +31,7 @@ leftmost, then the earlier kind, wins; other input columns stay out of
 from __future__ import annotations
 
 import hashlib
+import secrets
 import sys
 import unicodedata
 from functools import lru_cache
@@ -43,6 +44,10 @@ from pyspark.sql import functions as F
 from vigil.llm.common import arrow_map, only, read
 from vigil.llm.registry import register
 
+#: Session setting with the secret that a corpus' surrogates are made with. A
+#: session without one gets a random one, so that nobody can undo them.
+KEY_SETTING = "spark.vigil.pii.key"
+#: For calls of ``surrogate`` outside a session.
 KEY = b"vigil-surrogates"
 
 # Fixed patterns, tried in this order.
@@ -280,7 +285,13 @@ def _replaceable(kind: str, text: str) -> bool:
     return regex.search(r"[\p{L}\p{N}]", text) is not None
 
 
-def check_distinct(docs: DataFrame, key: bytes = KEY) -> None:
+def session_key(spark: SparkSession) -> bytes:
+    if not spark.conf.get(KEY_SETTING, None):
+        spark.conf.set(KEY_SETTING, secrets.token_hex(32))
+    return spark.conf.get(KEY_SETTING).encode()
+
+
+def check_distinct(docs: DataFrame, key: bytes) -> None:
     """Raise if two entities of the corpus share a surrogate, or one that has
     something to replace keeps its own."""
     def gather(part):
@@ -319,8 +330,10 @@ def _replaced(key: bytes):
     return one
 
 
-def replace_pii(docs: DataFrame, key: bytes = KEY, id_column: str = "doc_id") -> DataFrame:
-    """(id, n_entities, kinds, text) of every document, its entities replaced."""
+def replace_pii(docs: DataFrame, key: bytes | None = None, id_column: str = "doc_id") -> DataFrame:
+    """(id, n_entities, kinds, text) of every document, its entities replaced
+    with the given key, or else the session's."""
+    key = key or session_key(docs.sparkSession)
     src = only(docs, id=id_column, text="text")
     check_distinct(src, key)
     one = _replaced(key)
@@ -337,8 +350,9 @@ def replace_pii(docs: DataFrame, key: bytes = KEY, id_column: str = "doc_id") ->
             .withColumnRenamed("id", id_column))
 
 
-def without_pii(docs: DataFrame, key: bytes = KEY) -> DataFrame:
+def without_pii(docs: DataFrame, key: bytes | None = None) -> DataFrame:
     """The same columns with entities of ``text`` replaced."""
+    key = key or session_key(docs.sparkSession)
     check_distinct(docs, key)
     one = _replaced(key)
     at = docs.columns.index("text")
