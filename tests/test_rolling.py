@@ -104,3 +104,54 @@ def test_micro_batches_retries_late_points_and_compaction(spark, tmp_path):
 
 def test_empty_input(spark):
     assert rolling_detect(points_df(spark, [(1, 1, 1.0)]).limit(0), CFG).count() == 0
+
+
+def test_event_time_order_late_points_and_retries(spark, tmp_path):
+    """Released points equal one sorted pass; late ones are exactly those at or
+    below an earlier watermark."""
+    rng = random.Random(12)
+    rows = [(("s", "m", "", ""), i, i * 10 + rng.randint(-40, 40), rng.gauss(0, 1)) for i in range(200)]
+    rows += [(("s", "m", "", ""), 900, 5, 1.0), (("t", "m", "", ""), 901, 700, 1.0)]  # far too late, and a new series
+    steps = [rows[:60], rows[60:61], rows[61:150], rows[150:]]
+    det = WindowedDetector(str(tmp_path / "d"), CFG, delay_seconds=100, target_chunk_rows=15, compact_every=2, buckets=2)
+    newest, late = None, []
+    for k, step in enumerate(steps):
+        late += [r[1] for r in step if newest is not None and r[2] <= newest - 100]
+        newest = max([r[2] for r in step] + ([newest] if newest is not None else []))
+        rng.shuffle(step)
+        det(points_df(spark, step), k)
+        det(points_df(spark, step), k)
+    det.flush(spark, points_df(spark, rows).schema, 3)
+    det.flush(spark, points_df(spark, rows).schema, 3)
+    assert sorted(r.seq for r in det.late(spark).collect()) == sorted(late) and 900 in late
+    plain: dict[tuple, Detector] = {}
+    want = []
+    for key, seq, ts, v in sorted((r for r in rows if r[1] not in late), key=lambda r: (r[2], r[1])):
+        d = plain.setdefault(key, Detector(CFG, None))
+        d.enter(ts, v)
+        want.append((key[0], seq, *d.stats(v)))
+    assert sorted(map(tuple, det.scored(spark).select("source", *COLS).collect())) == sorted(want)
+
+
+def test_idle_series_expire_and_warm_up_again(spark, tmp_path):
+    det = WindowedDetector(str(tmp_path / "d"), CFG, expire_seconds=100, compact_every=2, buckets=2)
+    a, b = ("a", "m", "", ""), ("b", "m", "", "")
+    steps = [[(a, 1, 0, 1.0), (a, 2, 10, 2.0), (b, 3, 10, 5.0)], [(b, 4, 60, 5.0)], [(b, 5, 150, 5.0)],
+             [(a, 6, 160, 3.0), (b, 7, 161, 5.0)], [(b, 8, 500, 5.0)]]
+    for k, step in enumerate(steps):
+        det(points_df(spark, step), k)
+        if k in (2, 4):
+            det(points_df(spark, step), k)
+    assert sorted((r.source, r.last_ts, r.batch_id) for r in det.expired(spark).collect()) == [("a", 10, 2), ("a", 160, 4)]
+    assert {r.seq: r.n for r in det.scored(spark).collect()} == {1: 1, 2: 2, 3: 1, 4: 2, 5: 3, 6: 1, 7: 4, 8: 5}
+    assert [r.source for r in det.windows.latest(spark).filter("size(_tail) > 0").collect()] == ["b"]
+
+
+def test_batches_without_points(spark, tmp_path):
+    det = WindowedDetector(str(tmp_path / "d"), CFG, delay_seconds=5, expire_seconds=5, buckets=2)
+    none = points_df(spark, [(1, 1, 1.0)]).limit(0)
+    det(none, 0)
+    det(points_df(spark, [(1, 1, 1.0)]), 1)
+    det(none, 2)
+    det.flush(spark, none.schema, 2)
+    assert det.scored(spark).count() == 1 and det.late(spark).count() == 0

@@ -76,3 +76,13 @@ def test_alert_hold_runs(spark):
             rows.append((("svc", metric, "e", "r"), seq, h * 3600 + j, 1.0))
     out = X.alerts_with_hold(points_df(spark, rows), 3600, 0.3, 3).collect()
     assert [(r.start_ts, r.end_ts, r.buckets) for r in out] == [(3600, 10800, 3)]
+
+
+def test_calibrated_cut_flags_the_wanted_share(spark):
+    from vigil.operators.scoring import calibrated_cut
+    scored = spark.range(40_000).select(F.rand(3).alias("if_score")).repartition(7)
+    for share in (0.01, 0.05, 0.3):
+        cut = calibrated_cut(scored, share, error=1e-3)
+        got = scored.filter(F.col("if_score") > cut).count() / 40_000
+        assert abs(got - share) <= 1.5e-3
+    assert calibrated_cut(scored.limit(0), 0.1) == float("inf")

@@ -166,9 +166,19 @@ def _path_lengths(x: np.ndarray, tree: tuple) -> np.ndarray:
     return (depth + leaf[cur]) / norm
 
 
-def isolation_scores(points: DataFrame, features: list[str], forest: pd.DataFrame) -> DataFrame:
-    """Adds ``if_score`` and ``if_anomaly`` (score > 0.5). ``forest``: a node
-    table (tree_id, node, feature or -1, split, left, right, size)."""
+def calibrated_cut(scored: DataFrame, contamination: float, error: float = 1e-4, score: str = "if_score") -> float:
+    """The score above which the wanted share of the training points lies: its
+    quantile by a sketch that tasks build and Spark merges, so that the share
+    of points above is at most ``contamination`` and within ``error`` of it
+    (but for ties at the cut, which are not flagged)."""
+    cut = scored.agg(F.percentile_approx(score, 1.0 - contamination, F.lit(int(1 / error)))).first()[0]
+    return float("inf") if cut is None else float(cut)
+
+
+def isolation_scores(points: DataFrame, features: list[str], forest: pd.DataFrame, cut: float = 0.5) -> DataFrame:
+    """Adds ``if_score`` and ``if_anomaly`` (score above ``cut``, see
+    ``calibrated_cut``). ``forest``: a node table (tree_id, node, feature or
+    -1, split, left, right, size)."""
     bc = points.sparkSession.sparkContext.broadcast(_compiled(forest))
 
     @F.pandas_udf(T.DoubleType())
@@ -177,7 +187,7 @@ def isolation_scores(points: DataFrame, features: list[str], forest: pd.DataFram
         return pd.Series(np.power(2.0, -np.mean([_path_lengths(x, t) for t in bc.value], axis=0)))
 
     scored = points.withColumn("if_score", score(*[F.col(f) for f in features]))
-    return scored.withColumn("if_anomaly", F.col("if_score") > F.lit(0.5))
+    return scored.withColumn("if_anomaly", F.col("if_score") > F.lit(float(cut)))
 
 
 # -------------------------------------------------------- reconstruction model
@@ -259,14 +269,14 @@ def reconstruction_flags(points: DataFrame, *, d: int = 8, k: int = 2,
 def dual_model_predictions(points: DataFrame, *, n_trees: int = 100, psi: int = 256,
                            seed: int = 42, d: int = 8, k: int = 2, forest: pd.DataFrame | None = None,
                            model: Autoencoder | None = None, threshold: float = RECONSTRUCTION_THRESHOLD,
-                           producer: str = DEFAULT_PRODUCER) -> DataFrame:
+                           producer: str = DEFAULT_PRODUCER, cut: float = 0.5) -> DataFrame:
     """Prediction events for points where either model fires: the series key
     and instance, ``timestamp``, ``seq`` and ``results`` {if_anomaly,
     custom_loss, is_degradation}. Models that are not given are fitted on the
-    points."""
+    points; ``cut`` is the forest's (see ``calibrated_cut``)."""
     if forest is None:
         forest = fit_isolation_forest(points, ["value"], n_trees=n_trees, psi=psi, seed=seed)
-    scored = reconstruction_flags(isolation_scores(points, ["value"], forest), d=d, k=k, threshold=threshold,
+    scored = reconstruction_flags(isolation_scores(points, ["value"], forest, cut), d=d, k=k, threshold=threshold,
                                   model=model)
     return (scored.filter(F.col("if_anomaly") | F.col("is_degradation"))
             .select(*SERIES_KEY, "instance_id", "timestamp", "seq", F.lit(producer).alias("producer"),

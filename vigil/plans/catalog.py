@@ -648,7 +648,8 @@ def q_get_series_state_missing(spark, sf):
 
 
 # --------------------------------------------------------------- streaming --
-from vigil.session import fresh_subdir  # noqa: E402
+from vigil.schemas import SERIES_KEY as SERIES_KEY_COLUMNS  # noqa: E402
+from vigil.session import fresh_subdir, store_table  # noqa: E402
 from vigil.sources.tables import events_to_points, read_table  # noqa: E402
 from vigil.streaming.detector import stream_mad_detect  # noqa: E402
 from vigil.streaming.jobs import anomaly_stream as read_anomaly_stream  # noqa: E402
@@ -736,6 +737,62 @@ def q_stream_mad_hot_stale(spark, sf):
     return _detect_in_batches(spark, sf, STALE_GAP_TEST // 12).select("seq", "reset", "n", r6("baseline"), "is_anomaly")
 
 
+# Points arrive in four batches by time, one in five of them a batch later.
+_ARRIVAL = "least(3, CAST(floor((timestamp - 1704067200) / 648000.0) AS INT) + CASE WHEN seq % 5 = 0 THEN 1 ELSE 0 END)"
+_DELAY, _EXPIRE = 3600, 3600
+
+
+def _arriving(spark, sf, delay, expire=None):
+    """The detector in event-time order over the four batches, of which one is
+    delivered twice, and flushed at the end."""
+    from vigil.streaming.hot import WindowedDetector
+    pts = metric_points_from_events(spark, sf)
+    found = WindowedDetector(fresh_subdir(spark, "event-time"), SERVICE, delay_seconds=delay, expire_seconds=expire,
+                             target_chunk_rows=200, compact_every=2, buckets=8)
+    dealt = store_table(pts.withColumn("_batch", F.expr(_ARRIVAL)), "arrivals")
+    for k in range(4):
+        part = dealt.filter(F.col("_batch") == k).drop("_batch")
+        found(part, k)
+        if k == 2:
+            found(part, k)  # a retry
+    found.flush(spark, pts.schema, 3)
+    return found
+
+
+_MARKS_SQL = f"""arrivals AS (SELECT *, {_ARRIVAL} AS batch FROM ({S.EVENTS_POINTS})),
+marks AS (SELECT k.batch, max(a.timestamp) - {_DELAY} AS mark, max(CASE WHEN a.batch < k.batch THEN a.timestamp END) - {_DELAY} AS past
+          FROM (SELECT unnest([0, 1, 2, 3]) AS batch) k JOIN arrivals a ON a.batch <= k.batch GROUP BY k.batch)"""
+
+
+@register("stream_mad_event_time", S.mad_sql(S.EVENTS_POINTS, SERVICE) + "\n" + _STATS_SQL_SELECT)
+def q_stream_mad_event_time(spark, sf):
+    """Points that arrive out of order, released by a watermark with a delay
+    beyond their lateness; equals the batch statistics."""
+    return _stats_select(_arriving(spark, sf, 40 * 86400).scored(spark))
+
+
+@register("stream_mad_late_points", f"""WITH {_MARKS_SQL}
+SELECT a.seq, m.past IS NOT NULL AND a.timestamp <= m.past AS late FROM arrivals a JOIN marks m USING (batch)""")
+def q_stream_mad_late_points(spark, sf):
+    """The same points with a delay of an hour: which are late, and which are scored."""
+    found = _arriving(spark, sf, _DELAY)
+    return found.scored(spark).select("seq", F.lit(False).alias("late")).unionByName(
+        found.late(spark).select("seq", F.lit(True).alias("late")))
+
+
+@register("stream_series_expiry", f"""WITH {_MARKS_SQL},
+live AS (SELECT a.* FROM arrivals a JOIN marks m USING (batch) WHERE m.past IS NULL OR a.timestamp > m.past),
+last AS (SELECT k.batch, k.mark, l.source, l.metric_name, l.env, l.region, max(l.timestamp) AS last_ts
+         FROM marks k JOIN live l ON l.batch <= k.batch AND l.timestamp <= k.mark GROUP BY ALL)
+SELECT source, metric_name, env, region, last_ts, CAST(min(batch) AS INTEGER) AS batch_id FROM last WHERE last_ts < mark - {_EXPIRE}
+GROUP BY source, metric_name, env, region, last_ts""")
+def q_stream_series_expiry(spark, sf):
+    """Windows dropped because their series was idle for an hour of event
+    time; such series begin anew."""
+    found = _arriving(spark, sf, _DELAY, _EXPIRE)
+    return found.expired(spark).select(*SERIES_KEY_COLUMNS, "last_ts", "batch_id")
+
+
 def _stream_projection(spark, sf):
     """Write the stand-in anomaly stream in four steps in arrival order
     (originals with even / odd sequence, redeliveries, late re-sends) and run
@@ -852,6 +909,17 @@ def q_isolation_fixed(spark, sf):
         "seq", r6("if_score"), "if_anomaly")
 
 
+@register("isolation_forest_calibrated", f"""WITH s AS ({_FOREST_SQL}),
+cut AS (SELECT quantile_disc(if_score, 0.9) AS c FROM s)
+SELECT seq, round(if_score, 6) AS if_score, if_score > c + 1e-12 AS if_anomaly FROM s, cut""")
+def q_isolation_calibrated(spark, sf):
+    """Flags of a given forest at the cut that a contamination of a tenth
+    gives on the scored points."""
+    pts = metric_points_from_events(spark, sf)
+    cut = SC.calibrated_cut(SC.isolation_scores(pts, ["value"], _fixed_forest()), 0.1)
+    return SC.isolation_scores(pts, ["value"], _fixed_forest(), cut + 1e-12).select("seq", r6("if_score"), "if_anomaly")
+
+
 @register("dual_model_fixed", f"""WITH scored AS ({_FOREST_SQL}),
 x AS (SELECT *, (value - 30) / 40 AS b,
         (lag(value) OVER (PARTITION BY {S.KEY_SQL} ORDER BY timestamp, seq) - 30) / 40 AS a FROM scored),
@@ -1135,7 +1203,6 @@ def q_ext_ttl_dedup(spark, sf):
 # ------------------------------------------------- exact TTL dedup, histograms --
 from vigil.operators import histogram as H  # noqa: E402
 from vigil.operators.ttl import ttl_dedup  # noqa: E402
-from vigil.session import store_table  # noqa: E402
 
 _TTL = 900
 _TTL_KEY = "CASE WHEN seq % 10 < 7 THEN 'hot' ELSE instance_id END"

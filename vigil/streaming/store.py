@@ -36,7 +36,7 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def _drop(spark: SparkSession, path: str) -> None:
+def drop_path(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
@@ -94,20 +94,23 @@ class BatchTable:
     def merged(self, rows: DataFrame) -> DataFrame:
         return rows.drop("batch_id")
 
+    def compacted(self, rows: DataFrame) -> DataFrame:
+        return rows
+
     def compact(self, spark: SparkSession, upto: int) -> None:
         """Write the batches up to ``upto`` into one base. Only batches that
         can't run again may be compacted."""
         bases = self.committed(spark)
         if bases and bases[0] >= upto:
             return
-        rows = self.merged(self.read(spark, upto + 1))
+        rows = self.compacted(self.merged(self.read(spark, upto + 1)))
         (rows.repartition(self.partition).write.mode("overwrite").partitionBy(self.partition).parquet(self.base(upto)))
         self.commit(spark, upto)
         for old in bases[:1]:  # what the base before this one stands for
             for batch_id in self._batches(spark, old):
-                _drop(spark, self.changes(batch_id))
+                drop_path(spark, self.changes(batch_id))
         for old in bases[1:]:
-            _drop(spark, self.base(old))
+            drop_path(spark, self.base(old))
 
     def commit(self, spark: SparkSession, upto: int) -> None:
         spark.createDataFrame([(upto,)], "upto long").coalesce(1).write.mode("append").json(f"{self.root}/commits")
@@ -122,10 +125,12 @@ class BatchTable:
 
 class KeyedStore(BatchTable):
     def __init__(self, root: str, keys, values: str, *, version: str = "batch_id", buckets: int = BUCKETS,
-                 key_type: str = "string"):
+                 key_type: str = "string", live: str | None = None):
         """``values``: DDL of the other columns; the newest row of a key is the
-        one of the highest ``version``, the batch if no column is named."""
-        self.keys, self.buckets, self.version = list(keys), buckets, version
+        one of the highest ``version``, the batch if no column is named. Rows
+        that fail the predicate ``live`` mark dropped keys; compaction removes
+        them."""
+        self.keys, self.buckets, self.version, self.live = list(keys), buckets, version, live
         own = ", ".join(f"`{k}` {key_type}" for k in self.keys)
         extra = ", _version long" if version == "batch_id" else ""
         super().__init__(root, f"{own}, {values}{extra}, bucket int", "bucket")
@@ -144,6 +149,9 @@ class KeyedStore(BatchTable):
         return (rows.groupBy(*self.keys, "bucket").agg(F.max_by(F.struct(*values), version).alias("_r"))
                 .select(*self.keys, "_r.*", "bucket"))
 
+    def compacted(self, rows: DataFrame) -> DataFrame:
+        return rows.filter(self.live) if self.live else rows
+
     def latest(self, spark: SparkSession, before: int | None = None) -> DataFrame:
         """The newest row of every key."""
         return self.merged(self.read(spark, before)).drop("bucket", "_version")
@@ -266,7 +274,7 @@ class KeyLedger(BatchTable):
         kept = self.committed(spark)
         for old in kept[1:2]:
             for batch_id in self.blooms._batches(spark, old):
-                _drop(spark, self.blooms.changes(batch_id))
+                drop_path(spark, self.blooms.changes(batch_id))
 
     def suspects(self, wanted: DataFrame, before: int | None = None) -> DataFrame:
         """(key, bucket) of the wanted keys that the filters don't rule out."""
