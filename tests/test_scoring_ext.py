@@ -86,3 +86,37 @@ def test_calibrated_cut_flags_the_wanted_share(spark):
         got = scored.filter(F.col("if_score") > cut).count() / 40_000
         assert abs(got - share) <= 1.5e-3
     assert calibrated_cut(scored.limit(0), 0.1) == float("inf")
+
+
+def test_network_gradients_match_differences():
+    import numpy as np
+    from vigil.operators.autoencoder import Network, _gradient
+    rng = np.random.default_rng(1)
+    net, x = Network.start(4, 2, 3, 3), rng.normal(size=(9, 4))
+    flat, (grad, _) = net.flat(), _gradient(net, x)
+    assert np.array_equal(net.like(flat).flat(), flat)
+    for i in range(len(flat)):
+        up, down = flat.copy(), flat.copy()
+        up[i] += 1e-6
+        down[i] -= 1e-6
+        slope = (_gradient(net.like(up), x)[1] - _gradient(net.like(down), x)[1]) / 2e-6
+        assert abs(slope - grad[i]) < 1e-5 * max(1, abs(slope))
+
+
+def test_network_beats_the_linear_model_on_curved_data(spark):
+    """Points on a parabola: one number through bent layers follows it, one
+    principal direction can't."""
+    import numpy as np
+    from vigil.operators.autoencoder import Network, fit_network, with_reconstruction
+    from vigil.operators.scoring import fit_pca_autoencoder, pca_reconstruction, reconstruction_mse
+    t = np.random.default_rng(5).uniform(-1.5, 1.5, 400)
+    rows = [([float(a), float(a * a - 0.75), float(-0.5 * a)],) for a in t]
+    df = spark.createDataFrame(rows, "x array<double>").repartition(2).cache()
+    linear = df.select(F.avg(reconstruction_mse(F.col("x"), pca_reconstruction("x", *fit_pca_autoencoder(df, "x", 3, 1))))).first()[0]
+    net, loss = fit_network(df, "x", 3, 1, steps=120)
+    assert loss < 0.7 * linear
+    same = Network.from_table(net.table(spark))
+    assert np.array_equal(same.flat(), net.flat())
+    scored = with_reconstruction(df, "x", same).select(F.avg(reconstruction_mse(F.col("x"), F.col("reconstruction")))).first()[0]
+    assert abs(scored - loss) < 1e-9
+    assert fit_network(df.limit(0), "x", 3, 1)[1] == 0.0

@@ -938,6 +938,28 @@ def q_dual_fixed(spark, sf):
         "custom_loss", F.round(F.col("custom_loss") + F.lit(1e-9), 6))  # decimal ties
 
 
+@register("autoencoder_fixed", f"""WITH x AS (SELECT seq, (value - 30) / 40 AS b,
+    (lag(value) OVER (PARTITION BY {S.KEY_SQL} ORDER BY timestamp, seq) - 30) / 40 AS a FROM ({S.EVENTS_POINTS})),
+h AS (SELECT *, tanh(0.9 * a + 0.4 * b - 0.1) AS h1, tanh(0.3 * a - 0.8 * b + 0.2) AS h2 FROM x WHERE a IS NOT NULL),
+z AS (SELECT *, 0.8 * h1 - 0.5 * h2 + 0.1 AS z FROM h),
+g AS (SELECT *, tanh(1.2 * z) AS g1, tanh(0.5 * z - 0.3) AS g2 FROM z),
+l AS (SELECT seq, (pow(0.7 * g1 + 0.2 * g2 + 0.05 - a, 2) + pow(0.5 * g1 - 0.6 * g2 - 0.05 - b, 2)) / 2 AS loss FROM g)
+SELECT seq, round(loss, 6) AS custom_loss, loss > 0.05 AS is_degradation FROM l""")
+def q_autoencoder_fixed(spark, sf):
+    """Losses and flags of a given nonlinear autoencoder, its weights read from
+    a stored table."""
+    import numpy as np
+    from vigil.operators.autoencoder import Network, with_reconstruction
+    net = Network(tuple((np.array(w), np.array(b)) for w, b in (
+        ([[0.9, 0.4], [0.3, -0.8]], [-0.1, 0.2]), ([[0.8, -0.5]], [0.1]), ([[1.2], [0.5]], [0.0, -0.3]),
+        ([[0.7, 0.2], [0.5, -0.6]], [0.05, -0.05]))))
+    net = Network.from_table(store_table(net.table(spark), "weights"))
+    recent = SC.recent_values(metric_points_from_events(spark, sf), 2).filter(F.size("recent") == 2)
+    std = recent.select("seq", F.transform("recent", lambda v: (v - F.lit(30.0)) / F.lit(40.0)).alias("_x"))
+    loss = with_reconstruction(std, "_x", net).withColumn("loss", SC.reconstruction_mse(F.col("_x"), F.col("reconstruction")))
+    return loss.select("seq", F.round("loss", 6).alias("custom_loss"), (F.col("loss") > 0.05).alias("is_degradation"))
+
+
 # -------------------------------------------------------------- extensions --
 from vigil.operators import extensions as X  # noqa: E402
 from vigil.operators.envelope import decode_envelope as _decode_env  # noqa: E402
