@@ -194,7 +194,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
     found = rows.repartition(1).sortWithinPartitions("h", "y").select("text", "y").mapInArrow(run, "model binary").collect()
-    return pickle.loads(found[0].model)
+    return pickle.loads(found[0].model) if found else fit_texts([], np.zeros(0))
 
 
 def fit_texts(texts: list[str], y: np.ndarray) -> Model:
