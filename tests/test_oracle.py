@@ -12,7 +12,10 @@ from vigil.sources.tables import TABLES, table_path
 
 QUERIES = ["mad_stats", "mad_chunked", "mad_both", "mad_stale_reset_chunked", "ingest_rejected",
            "envelope_roundtrip", "dedup_first", "series_state_late_arrival", "list_anomalies_page2",
-           "get_series_state", "ext_daily_sequence", "mad_stats_numpy"]
+           "get_series_state", "ext_daily_sequence", "mad_stats_numpy", "mad_window_5000_chunked", "mad_sparse_seq",
+           "decode_payload_text", "decode_payload_rejected", "ml_payload_text", "envelope_payload_text",
+           "ext_ttl_dedup_batch", "ext_red_histogram", "ext_slo_stages", "ext_cardinality_daily", "ext_dlq_payloads",
+           "autoencoder_fixed", "isolation_forest_calibrated", "stream_mad_hot"]
 
 
 @pytest.fixture(scope="module")
