@@ -65,36 +65,58 @@ BUCKET_SECONDS = 3600
 
 @dataclass(frozen=True)
 class ChunkPlan:
-    """Where the hot series are cut. ``levels`` holds one to three tables of
-    (keys, level columns, _cut): the chunk of each bucket of a hot series; buckets
-    that the next level divides are in its table."""
+    """Where the hot series are cut. ``levels`` holds one or two tables of
+    (keys, level columns, _cut): the chunk of each hour of a hot series, and of
+    each second of its dense hours. ``placed`` are the rows of dense seconds, with
+    the chunk their rank gives them (``_dense`` marks these seconds)."""
     keys: tuple[str, ...]
     levels: tuple[DataFrame, ...]
-    cuts: DataFrame | None = None   # (keys, _hour, _second, _cuts) of dense seconds
+    placed: DataFrame | None = None
 
 
-_LEVELS = ("_hour", "_second", "_range")
+_LEVELS = ("_hour", "_second")
 
 
-def _with_level(df: DataFrame, level: int, keys, cuts: DataFrame | None) -> DataFrame:
-    """Add a level's buckets: hours, seconds of dense hours, and ranges of
-    ``seq`` between the cuts of dense seconds."""
-    if level < 2:
-        bucket = (F.floor(F.col("timestamp") / F.lit(BUCKET_SECONDS)), F.col("timestamp"))[level]
-    else:
-        df = df.join(cuts, [*keys, *_LEVELS[:2]], "left")
-        bucket = F.size(F.filter("_cuts", lambda c: c <= F.col("seq")))
-    return df.withColumn(_LEVELS[level], F.coalesce(bucket, F.lit(0)).cast("long")).drop("_cuts")
+def _with_level(df: DataFrame, level: int) -> DataFrame:
+    """Add a level's buckets: hours, and seconds of dense hours."""
+    bucket = (F.floor(F.col("timestamp") / F.lit(BUCKET_SECONDS)), F.col("timestamp"))[level]
+    return df.withColumn(_LEVELS[level], F.coalesce(bucket, F.lit(0)).cast("long"))
+
 
+def _placed_rows(rows: DataFrame, dense: DataFrame, keys, target_rows: int) -> DataFrame:
+    """The rows of dense seconds with their ``_chunk``: each second is divided at
+    quantiles of ``seq``, at most half a target apart. ``dense`` has the seconds
+    with their size ``_c`` and the number ``_start`` of the series' rows before.
 
-def _seq_cuts(rows: DataFrame, counts: DataFrame, keys, target_rows: int) -> DataFrame:
-    """Quantiles of ``seq`` in each dense second, at most half a target apart
-    (within the sketch's error); a sketch per second, merged map-side."""
-    most = counts.agg(F.max("_c")).first()[0]
+    The rows are dealt by range of (series, order), so that a row's rank in its
+    second is its place within its partition plus the counts of the partitions
+    before. The quantile below a rank is then arithmetic; no row is compared with
+    a list of cuts, and no task takes a whole second."""
+    second = [*keys, *_LEVELS]
+    most = dense.agg(F.max("_c")).first()[0]
     parts = max(2, -(-2 * most // target_rows))
-    fractions = [k / parts for k in range(1, parts)]
-    sketch = F.percentile_approx("seq", fractions, F.lit(max(10_000, 4 * parts)))
-    return store_table(rows.groupBy(*keys, *_LEVELS[:2]).agg(F.array_distinct(sketch).alias("_cuts")), "seq-cuts")
+    width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = (rows.join(dense.select(*second), second, "left_semi")
+             .repartitionByRange(width, *second, *ORDER_COLS).sortWithinPartitions(*second, *ORDER_COLS))
+    # within a sorted partition these ids count its rows; above them is its number
+    ranked = store_table(dealt.withColumn("_at", F.monotonically_increasing_id()), "ranked")
+    ranked = ranked.withColumn("_part", F.shiftright("_at", 33))
+    counts = ranked.groupBy(*second, "_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    by_part = Window.partitionBy(*second).orderBy("_part")
+    counts = (counts.withColumn("_before", F.sum("_n").over(by_part) - F.col("_n"))
+              .join(dense.select(*second, "_c", "_start"), second).drop("_n"))
+
+    def edge(k):  # rank (from 1) of the k-th quantile
+        return F.ceil(k / F.lit(float(parts)) * F.col("_c"))
+
+    near = F.floor(F.col("_rank") * F.lit(parts) / F.col("_c"))
+    k = F.when(edge(near + 1) <= F.col("_rank"), near + 1).when(edge(near) <= F.col("_rank"), near).otherwise(near - 1)
+    return (ranked.join(counts, [*second, "_part"])
+            .withColumn("_rank", F.col("_at") - F.col("_first") + F.col("_before") + 1)
+            .withColumn("_k", F.least(k, F.lit(parts - 1)))
+            .withColumn("_from", F.when(F.col("_k") < 1, F.lit(1)).otherwise(edge(F.col("_k"))))
+            .withColumn("_chunk", F.floor((F.col("_start") + F.col("_from") - 1) / F.lit(target_rows)).cast("long"))
+            .drop("_at", "_part", "_first", "_before", "_c", "_start", "_rank", "_k", "_from", *_LEVELS))
 
 
 def plan_chunks(points: DataFrame, keys=SERIES_KEY,
@@ -104,35 +126,29 @@ def plan_chunks(points: DataFrame, keys=SERIES_KEY,
 
     Returns ``None`` when no series has more than ``target_rows`` points.
     Otherwise the *hot* series are counted by hour; hours above the target are
-    counted again by second, and seconds above it by ranges between quantiles of
+    counted again by second, and seconds above it are divided at quantiles of
     ``seq`` (of about half the target, however its numbers are spread). The
     buckets' running count in (timestamp, seq) order, divided by the target,
     numbers the chunks. Bursts, one stray old timestamp, or millions of
     points in one second are cut alike. All other series stay whole (chunk 0).
 
     Cost: a metadata-only count on parquet input, and when that exceeds
-    ``target_rows`` one map-side combined aggregation, plus one for each level
-    that is needed. The tables have one row per bucket of a hot series."""
+    ``target_rows`` one map-side combined aggregation, one more for dense hours,
+    and one sort of the rows of dense seconds. The tables have one row per bucket
+    of a hot series."""
     keys = list(keys)
     if points.count() <= target_rows:
         return None
-    cols, cuts = list(_LEVELS), None
-    hours = store_table(_with_level(points, 0, keys, None).groupBy(*keys, "_hour").agg(F.count(F.lit(1)).alias("_c")), "hours")
+    cols = list(_LEVELS)
+    hours = store_table(_with_level(points, 0).groupBy(*keys, "_hour").agg(F.count(F.lit(1)).alias("_c")), "hours")
     hot = hours.groupBy(*keys).agg(F.sum("_c").alias("_s")).filter(F.col("_s") > target_rows).select(*keys)
     counts = [store_table(hours.join(hot, keys, "left_semi"), "hot-hours")]
     if not counts[0].limit(1).count():
         return None
-    rows = _with_level(points, 0, keys, None)
-    while len(counts) < 3:
-        n = len(counts)
-        dense = counts[-1].filter(F.col("_c") > target_rows).select(*keys, *cols[:n])
-        if not dense.limit(1).count():
-            break
-        rows = rows.join(dense, [*keys, *cols[:n]], "left_semi")
-        if n == 2:
-            cuts = _seq_cuts(rows, counts[-1], keys, target_rows)
-        rows = _with_level(rows, n, keys, cuts)
-        counts.append(store_table(rows.groupBy(*keys, *cols[:n + 1]).agg(F.count(F.lit(1)).alias("_c")), "dense"))
+    over = counts[0].filter(F.col("_c") > target_rows).select(*keys, "_hour")
+    if over.limit(1).count():
+        rows = _with_level(_with_level(points, 0).join(over, [*keys, "_hour"], "left_semi"), 1)
+        counts.append(store_table(rows.groupBy(*keys, *cols).agg(F.count(F.lit(1)).alias("_c")), "dense"))
     leaves = None
     for n, table in enumerate(counts):
         leaf = table if n == len(counts) - 1 else table.filter(F.col("_c") <= target_rows)
@@ -140,13 +156,17 @@ def plan_chunks(points: DataFrame, keys=SERIES_KEY,
                            F.lit(n).alias("_level"))
         leaves = leaf if leaves is None else leaves.unionByName(leaf)
     before = Window.partitionBy(*keys).orderBy(*cols).rowsBetween(Window.unboundedPreceding, -1)
-    leaves = store_table(leaves.withColumn("_cut", F.floor(
-        F.coalesce(F.sum("_c").over(before), F.lit(0)) / F.lit(target_rows)).cast("long")), "cuts")
-    tables = []
+    leaves = leaves.withColumn("_start", F.coalesce(F.sum("_c").over(before), F.lit(0)))
+    leaves = store_table(leaves.withColumn("_cut", F.floor(F.col("_start") / F.lit(target_rows)).cast("long"))
+                         .withColumn("_dense", F.col("_c") > target_rows), "cuts")
+    tables, placed = [], None
     for n in range(len(counts)):
-        table = leaves.filter(F.col("_level") == n).select(*keys, *cols[:n + 1], "_cut")
-        tables.append(table)
-    return ChunkPlan(tuple(keys), tuple(tables), cuts)
+        table = leaves.filter(F.col("_level") == n)
+        tables.append(table.select(*keys, *cols[:n + 1], "_cut", *(["_dense"] if n else [])))
+    dense = leaves.filter(F.col("_dense"))
+    if len(counts) > 1 and dense.limit(1).count():
+        placed = _placed_rows(rows, dense, keys, target_rows)
+    return ChunkPlan(tuple(keys), tuple(tables), placed)
 
 
 def _normalize_keys(points: DataFrame, keys) -> DataFrame:
@@ -176,18 +196,25 @@ def _with_chunk(points: DataFrame, chunks: int | ChunkPlan) -> DataFrame:
     """Add ``_chunk``: ``floor(timestamp / width)`` with one global width
     (int), or the planned chunk of the hot series and 0 for every other one.
     The plan's tables are joined on series and bucket; Spark chooses the join
-    by their size and splits skewed sides. The column is non-nullable, so joins
+    by their size and splits skewed sides. Rows of dense seconds come placed. The column is non-nullable, so joins
     on it infer no extra filter that would make the candidate branch's exchange
     differ from the main one."""
     if isinstance(chunks, ChunkPlan):
         cols = list(_LEVELS[:len(chunks.levels)])
         j, cuts = points, []
         for n, table in enumerate(chunks.levels):
-            j = _with_level(j, n, chunks.keys, chunks.cuts)
+            j = _with_level(j, n)
             j = j.join(table.withColumnRenamed("_cut", f"_cut{n}"), [*chunks.keys, *cols[:n + 1]], "left")
             cuts.append(F.col(f"_cut{n}"))
-        return (j.withColumn("_chunk", F.coalesce(*cuts, F.lit(0).cast("long")))
-                .select(*points.columns, "_chunk"))
+        if chunks.placed is not None:
+            j = j.filter(~F.coalesce(F.col("_dense"), F.lit(False)))
+        number = F.coalesce(*cuts, F.lit(0).cast("long"))
+        j = j.select(*points.columns, number.alias("_chunk"))
+        if chunks.placed is not None:
+            j = j.unionByName(chunks.placed.select(*points.columns, "_chunk"))
+        if len(cols) > 1:  # large joins run once; the readers below scan the result
+            j = _normalize_keys(store_table(j, "chunked"), chunks.keys)
+        return j.withColumn("_chunk", F.coalesce(F.col("_chunk"), F.lit(0).cast("long")))
     return points.withColumn("_chunk", F.coalesce(
         F.floor(F.col("timestamp") / F.lit(int(chunks))), F.lit(0).cast("long")))
 
@@ -384,7 +411,7 @@ def mad_detect(points: DataFrame, cfg: MadConfig | None = None, *, keys=SERIES_K
 
     ``engine="sql"`` (default) keeps everything in built-in expressions;
     ``engine="numpy"`` runs the same arithmetic with the numpy kernel over
-    Arrow batches per (series, chunk) group — identical results, similar
+    Arrow batches of the (series, chunk) groups — identical results, similar
     speed at sf0.1 in local tests. ``engine="rolling"`` follows each series
     with a sorted window (``vigil.operators.rolling``): for windows of
     thousands of points; it cuts long series by rank, not by ``chunk_seconds``.
