@@ -39,6 +39,12 @@ def test_dense_second_is_cut_by_rank_at_its_quantiles(spark, n, target):
     assert [chunk for _, chunk in got] == [f // target for f in first]
 
 
+def test_sparse_sequence_numbers_are_cut_alike(spark):
+    _, plan, near = _planned(spark, _second_rows(600), 50)
+    _, _, far = _planned(spark, _second_rows(600, 1_000_003), 50)
+    assert plan.placed is not None and [c for _, c in near] == [c for _, c in far]
+
+
 def test_dense_seconds_beside_others_and_repeated_rows(spark):
     rows = _second_rows(300) + [(1000 + i, 1_704_067_200 + i % 90, float(i % 13)) for i in range(400)]
     rows += rows[:150]
