@@ -52,3 +52,13 @@ def test_dense_seconds_beside_others_and_repeated_rows(spark):
     a = mad.mad_detect(points_df(spark, rows), cfg, chunk_seconds=None)
     b = mad.mad_detect(points_df(spark, rows), cfg, target_chunk_rows=20)
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+
+
+def test_halo_rows_are_copied_only_for_windows_that_hold_them(spark):
+    pts = mad._with_chunk(mad._normalize_keys(points_df(spark, [(i, i, 1.0) for i in range(400)]), list(SERIES_KEY)), 20)
+    fed = mad._chunk_table(pts, list(SERIES_KEY), 50).orderBy("_chunk").collect()
+    # 49 positions reach over three chunks of 20; each row names its few, not the next 49 chunks
+    assert [len(r["_fed"] or []) for r in fed] == [3] * 17 + [2, 1, 0]
+    local = pts.selectExpr("*", "CAST(timestamp % 20 + 1 AS INT) AS _rn", "20L AS _cn")
+    halo = mad._halo_rows(local, pts, list(SERIES_KEY), 50, pts["value"])
+    assert halo.count() == 20 + 40 + 49 * 17 and dict(halo.dtypes)["_all"] == "bigint"

@@ -180,16 +180,18 @@ def _normalize_keys(points: DataFrame, keys) -> DataFrame:
     return out
 
 
-def _chunk_table(pts: DataFrame, keys) -> DataFrame:
-    """Small table: one row per (series, chunk) with its ordinal and the
-    number of points of the series before it."""
+def _chunk_table(pts: DataFrame, keys, w: int) -> DataFrame:
+    """Small table: one row per (series, chunk) with the number of points of the
+    series before it, and the later chunks that its last W-1 points may feed:
+    those that begin less than W-1 positions after its last one."""
     wk = Window.partitionBy(*keys).orderBy("_chunk")
+    near = Window.partitionBy(*keys).orderBy("_cum_prev").rangeBetween(0, w - 2)
     return (pts.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_cnt"))
-            .withColumn("_ord", F.row_number().over(wk))
             .withColumn("_cum_prev", F.coalesce(
                 F.sum("_cnt").over(wk.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-            .withColumn("_nchunks", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
-            .drop("_cnt"))
+            .withColumn("_near", F.collect_list(F.struct("_chunk", "_cum_prev")).over(near))
+            .withColumn("_fed", F.lead("_near").over(wk))
+            .drop("_cnt", "_near"))
 
 
 def _with_chunk(points: DataFrame, chunks: int | ChunkPlan) -> DataFrame:
@@ -219,32 +221,29 @@ def _with_chunk(points: DataFrame, chunks: int | ChunkPlan) -> DataFrame:
         F.floor(F.col("timestamp") / F.lit(int(chunks))), F.lit(0).cast("long")))
 
 
-def _halo_rows(local: DataFrame, pts: DataFrame, keys, w: int, elem) -> DataFrame:
+def _halo_rows(local: DataFrame, pts: DataFrame, keys, w: int, elem, whole: bool = False) -> DataFrame:
     """Halo rows routed to the chunk that needs them: (keys, _chunk = target
-    chunk, _p = position in the series, _e = element, _all = whole row).
+    chunk, _p = position in the series, _e = element, _all = whole row, or a
+    hash of it).
 
     ``local`` must carry ``_rn`` / ``_cn`` (row number and size within its
     chunk). Candidates are the last W-1 rows of each chunk; one feeds a later
     chunk t when its position lies within the W-1 positions before t's first
-    row (at most W-1 later chunks qualify). The candidates carry a struct of
-    *all* input columns (``_all``), where column pruning cannot reach; that
-    keeps this branch's exchange identical to the main branch's, so Spark
-    reuses the one shuffle of the points (ReusedExchange)."""
+    row. The chunk table names the later chunks that begin near enough, so a row
+    is copied only for chunks whose windows hold it: at most W-1 rows arrive at
+    each. ``_all`` depends on *all* input columns, which column pruning cannot
+    drop; that keeps this branch's exchange identical to the main branch's, so
+    Spark reuses the one shuffle of the points (ReusedExchange)."""
     pkey = [*keys, "_chunk"]
-    chunks = _chunk_table(pts, keys)
-    payload = F.struct(*[F.col(c) for c in pts.columns if c != "_chunk"]).alias("_all")
-    cand = (local.filter(F.col("_rn") > F.col("_cn") - (w - 1))
+    cols = [F.col(c) for c in pts.columns if c != "_chunk"]
+    payload = (F.struct(*cols) if whole else F.xxhash64(*cols)).alias("_all")
+    fed = F.filter("_fed", lambda t: t["_cum_prev"] < F.col("_p") + (w - 1))
+    return (local.filter(F.col("_rn") > F.col("_cn") - (w - 1))
             .select(*pkey, "_rn", elem.alias("_e"), payload)
-            .join(chunks, pkey)
-            .filter(F.col("_ord") < F.col("_nchunks"))     # the last chunk feeds nobody
-            .select(*keys, (F.col("_cum_prev") + F.col("_rn")).alias("_p"), "_e", "_all",
-                    F.explode(F.sequence(F.col("_ord") + 1, F.least(
-                        F.col("_ord") + (w - 1), F.col("_nchunks")))).alias("_t")))
-    targets = chunks.select(*keys, F.col("_ord").alias("_t"), F.col("_chunk").alias("_tchunk"),
-                            F.col("_cum_prev").alias("_tcum"))
-    return (cand.join(targets, [*keys, "_t"])
-            .filter(F.col("_p") > F.col("_tcum") - (w - 1))
-            .select(*keys, F.col("_tchunk").alias("_chunk"), "_p", "_e", "_all"))
+            .join(_chunk_table(pts, keys, w).filter(F.col("_fed").isNotNull()), pkey)   # the last chunk feeds nobody
+            .withColumn("_p", F.col("_cum_prev") + F.col("_rn"))
+            .select(*keys, "_p", "_e", "_all", F.explode(fed).alias("_t"))
+            .select(*keys, F.col("_t._chunk").alias("_chunk"), "_p", "_e", "_all"))
 
 
 def _window_frames(points: DataFrame, cfg: MadConfig, keys, with_ts: bool,
