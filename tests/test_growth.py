@@ -62,3 +62,29 @@ def test_halo_rows_are_copied_only_for_windows_that_hold_them(spark):
     local = pts.selectExpr("*", "CAST(timestamp % 20 + 1 AS INT) AS _rn", "20L AS _cn")
     halo = mad._halo_rows(local, pts, list(SERIES_KEY), 50, pts["value"])
     assert halo.count() == 20 + 40 + 49 * 17 and dict(halo.dtypes)["_all"] == "bigint"
+
+
+def test_numpy_engine_holds_a_batch_and_not_a_series(spark, monkeypatch):
+    pts = points_df(spark, [(i, i * 7, float(i % 31)) for i in range(500)])
+    for target in (2_000_000, 60):
+        df = mad.mad_detect(pts, CFG, engine="numpy", target_chunk_rows=target)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" in plan and "GroupsInPandas" not in plan
+        assert df.count() == 500
+    seen, whole = [], kernels._median_and_mad
+    monkeypatch.setattr(kernels, "_median_and_mad", lambda v, s, n, w: seen.append(len(s)) or whole(v, s, n, w))
+    kernels.window_stats_batch(np.zeros(0), np.zeros(0), np.arange(50_000.0), np.arange(50_000), CFG, None, None)
+    assert sum(seen) == 50_000 and max(seen) * CFG.window_size <= kernels.BLOCK_CELLS
+
+
+def test_numpy_kernel_carries_windows_over_batches():
+    import pyarrow as pa
+    kinds = {"n": pa.int32(), "baseline": pa.float64(), "mad": pa.float64(), "lower": pa.float64(),
+             "upper": pa.float64(), "is_anomaly": pa.bool_(), "reset": pa.bool_()}
+    rng = np.random.default_rng(1)
+    ts = np.cumsum(rng.choice([1, 5, 5000], size=400, p=[.5, .48, .02]))
+    t = pa.table({"k": ["a"] * 250 + ["b"] * 150, "timestamp": ts, "seq": range(400), "value": rng.normal(100, 30, 400)})
+    kernel = mad._numpy_kernel(CFG, 3000, ["k"], t.column_names, kinds)
+    whole = pa.Table.from_batches(kernel(t.combine_chunks().to_batches()))
+    cut = pa.Table.from_batches(kernel(t.to_batches(max_chunksize=7)))
+    assert whole.to_pylist() == cut.to_pylist() and whole["n"][250].as_py() == 1

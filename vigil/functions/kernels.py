@@ -54,12 +54,29 @@ def _sorted_median(s: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.where(n % 2 == 1, lo, (lo + hi) / 2)
 
 
+#: Cells of a block of windows that the batch form sorts at a time.
+BLOCK_CELLS = 500_000
+
+
+def _median_and_mad(allv: np.ndarray, start: np.ndarray, n: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray]:
+    """Median and raw MAD of the windows ``allv[start:start + n]``, by a padded
+    W-column matrix."""
+    cols = np.arange(w)
+    pos = start[:, None] + cols[None, :]
+    valid = cols[None, :] < n[:, None]
+    mat = np.where(valid, allv[np.minimum(pos, len(allv) - 1)], np.inf)
+    base = _sorted_median(np.sort(mat, axis=1), n)
+    dev = np.where(valid, np.abs(mat - base[:, None]), np.inf)
+    return base, _sorted_median(np.sort(dev, axis=1), n)
+
+
 def window_stats_batch(history: np.ndarray, hist_ts: np.ndarray, values: np.ndarray,
                        ts: np.ndarray, cfg: MadConfig, gap: int | None, last_ts):
     """Statistics for ``values`` (in order) continuing a window whose previous
     contents are ``history``. Returns (n, base, mad, lower, upper, hit, reset,
-    new_history, new_last_ts). Vectorised over rows with a padded W-column
-    matrix; idle gaps cut the window exactly like the row-by-row form."""
+    new_history, new_last_ts). Vectorised over blocks of rows, so that the
+    windows in memory don't grow with the rows; idle gaps cut the window exactly
+    like the row-by-row form."""
     w = cfg.window_size
     allv = np.concatenate([history, values])
     h, m = len(history), len(values)
@@ -75,14 +92,9 @@ def window_stats_batch(history: np.ndarray, hist_ts: np.ndarray, values: np.ndar
     seg_start = np.maximum.accumulate(seg_start) if m else seg_start
     start = np.maximum(seg_start, idx - w + 1)
     n = (idx - start + 1).astype(np.int64)
-    cols = np.arange(w)
-    pos = start[:, None] + cols[None, :]
-    valid = cols[None, :] < n[:, None]
-    mat = np.where(valid, allv[np.minimum(pos, len(allv) - 1)], np.inf)
-    s = np.sort(mat, axis=1)
-    base = _sorted_median(s, n)
-    dev = np.where(valid, np.abs(mat - base[:, None]), np.inf)
-    mad = _sorted_median(np.sort(dev, axis=1), n)
+    step = max(1, BLOCK_CELLS // w)
+    blocks = [_median_and_mad(allv, start[i:i + step], n[i:i + step], w) for i in range(0, m, step)]
+    base, mad = (np.concatenate(c) for c in zip(*blocks)) if blocks else (np.zeros(0), np.zeros(0))
     mad = np.where(mad < cfg.min_mad, cfg.min_mad, mad)
     delta = cfg.threshold_k * (MAD_CONSISTENCY * mad)
     upper, lower = base + delta, base - delta

@@ -324,74 +324,71 @@ def _window_frames(points: DataFrame, cfg: MadConfig, keys, with_ts: bool,
     return out.drop("_chunk", "_rn", "_cn", "_own", "_hvals")
 
 
-def _numpy_detect(pts: DataFrame, cfg: MadConfig, keys, gap: int | None,
-                  chunk_seconds: int | None) -> DataFrame:
-    """``engine="numpy"``: the same detector with the numpy kernel over Arrow
-    batches, one pandas call per (series, chunk) group. Groups are bounded by
-    chunking; each chunk's halo arrives through ``cogroup`` (the halo rows
-    reuse the points' exchange, so the points are shuffled once)."""
+def _numpy_kernel(cfg: MadConfig, gap: int | None, group: list[str], columns: list[str], kinds):
+    """Scores sorted Arrow batches; the window of a group that goes on in the next
+    batch is carried over, so that memory is a batch and a window. Rows that are
+    not ``_own`` fill windows and are not returned."""
     import numpy as np
-    import pandas as pd
+    import pyarrow as pa
+    import pyarrow.compute as pc
 
     from vigil.functions.kernels import window_stats_batch
 
-    cols = pts.columns
-    stats_fields = [T.StructField("n", T.IntegerType()), T.StructField("baseline", T.DoubleType()),
-                    T.StructField("mad", T.DoubleType()), T.StructField("lower", T.DoubleType()),
-                    T.StructField("upper", T.DoubleType()), T.StructField("is_anomaly", T.BooleanType()),
-                    T.StructField("reset", T.BooleanType())]
-    schema = T.StructType([pts.schema[c] for c in cols] + stats_fields)
-    names = [f.name for f in stats_fields]
-
-    def score(main: pd.DataFrame, halo: pd.DataFrame | None) -> pd.DataFrame:
-        main = main.sort_values(["timestamp", "seq"], kind="stable").reset_index(drop=True)
-        history, last_ts = np.zeros(0), None
-        if halo is not None and len(halo):
-            halo = halo.sort_values("_p", kind="stable")
-            hv = halo["v"].to_numpy(dtype=float)
-            hts = halo["ts"].to_numpy(dtype=np.int64)
-            start = 0
-            if gap is not None and len(hts) > 1:
-                cut = np.nonzero(np.diff(hts) > gap)[0]
-                if len(cut):
-                    start = int(cut[-1]) + 1
-            history, last_ts = hv[start:], int(hts[-1])
-        r = window_stats_batch(history, np.zeros(0), main["value"].to_numpy(dtype=float),
-                               main["timestamp"].to_numpy(dtype=np.int64), cfg, gap, last_ts)
-        out = main[cols].copy()
-        for name, col in zip(names, r[:7]):
-            out[name] = col
-        return out
+    def run(batches):
+        last, history, last_ts = None, np.zeros(0), None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            heads = list(zip(*(b.column(c).to_pylist() for c in group), strict=True))
+            starts = [0, *(i for i in range(1, len(heads)) if heads[i] != heads[i - 1])]
+            values = pc.cast(b.column("value"), pa.float64()).to_numpy(zero_copy_only=False)
+            ts = pc.fill_null(pc.cast(b.column("timestamp"), pa.int64()), -2 ** 63).to_numpy(zero_copy_only=False)
+            found = []
+            for i, j in zip(starts, [*starts[1:], len(heads)], strict=True):
+                if heads[i] != last:
+                    last, history, last_ts = heads[i], np.zeros(0), None
+                r = window_stats_batch(history, np.zeros(0), values[i:j], ts[i:j], cfg, gap, last_ts)
+                found.append(r[:7])
+                history, last_ts = r[7:]
+            stats = [pa.array(np.concatenate(c), k) for c, k in zip(zip(*found, strict=True), kinds.values(), strict=True)]
+            out = pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), *stats], [*columns, *kinds])
+            if "_own" in b.schema.names:
+                out = out.filter(b.column("_own"))
+            yield out
+
+    return run
+
 
+def _numpy_detect(pts: DataFrame, cfg: MadConfig, keys, gap: int | None,
+                  chunk_seconds) -> DataFrame:
+    """``engine="numpy"``: the same detector with the numpy kernel over Arrow
+    batches of the sorted (series, chunk) groups, whatever their length. The
+    rows of a chunk's halo precede its own, and fill its first windows."""
+    import pyarrow as pa
+
+    cols = pts.columns
+    kinds = {"n": pa.int32(), "baseline": pa.float64(), "mad": pa.float64(), "lower": pa.float64(),
+             "upper": pa.float64(), "is_anomaly": pa.bool_(), "reset": pa.bool_()}
+    types = (T.IntegerType(), *[T.DoubleType()] * 4, *[T.BooleanType()] * 2)
+    schema = T.StructType([pts.schema[c] for c in cols] + [T.StructField(n, t) for n, t in zip(kinds, types, strict=True)])
+    order = [F.col(c).asc_nulls_last() for c in ORDER_COLS]
     if chunk_seconds is None:
-        return pts.groupBy(*keys).applyInPandas(lambda pdf: score(pdf, None), schema)
+        rows = pts.repartition(*keys).sortWithinPartitions(*keys, *order)
+        return rows.mapInArrow(_numpy_kernel(cfg, gap, keys, cols, kinds), schema)
 
     w = cfg.window_size
     cp = _with_chunk(pts, chunk_seconds)
     pkey = [*keys, "_chunk"]
-    ws = Window.partitionBy(*pkey).orderBy(*[F.col(c) for c in ORDER_COLS])
-    local = (cp.withColumn("_rn", F.row_number().over(ws))
-             .withColumn("_cn", F.count(F.lit(1)).over(Window.partitionBy(*pkey))))
-    elem = F.struct(F.col("timestamp").alias("ts"), F.col("value").alias("v"))
-    halo = (_halo_rows(local, cp, keys, w, elem) if w > 1 else
-            local.limit(0).select(*keys, "_chunk", F.lit(0).cast("long").alias("_p"),
-                                  elem.alias("_e"), F.struct(*[F.col(c) for c in cols]).alias("_all")))
-    # renamed keys: cogroup pairs groups by key values, and fresh names keep
-    # the two sides (same lineage) from resolving to ambiguous columns
-    hkey = [f"_h{i}" for i in range(len(pkey))]
-    halo = halo.select(*[F.col(k).alias(h) for k, h in zip(pkey, hkey)], "_p",
-                       F.col("_e.ts").alias("ts"), F.col("_e.v").alias("v"), F.col("_all"))
-    main_schema = cols + ["_chunk"]
-
-    def score_cogroup(main: pd.DataFrame, h: pd.DataFrame) -> pd.DataFrame:
-        if len(main) == 0:
-            return pd.DataFrame({c: pd.Series(dtype=object) for c in schema.fieldNames()})
-        return score(main[main_schema], h)
-
-    # the main side is the window output: already hash-partitioned on the
-    # chunk key, so the cogroup adds no exchange for it
-    main = local.drop("_cn")      # keeping _rn keeps the window (and its exchange)
-    return main.groupBy(*pkey).cogroup(halo.groupBy(*hkey)).applyInPandas(score_cogroup, schema)
+    rows = cp.withColumn("_own", F.lit(True)).withColumn("_p", F.lit(None).cast("long"))
+    if w > 1:
+        ws = Window.partitionBy(*pkey).orderBy(*[F.col(c) for c in ORDER_COLS])
+        local = (cp.withColumn("_rn", F.row_number().over(ws))
+                 .withColumn("_cn", F.count(F.lit(1)).over(Window.partitionBy(*pkey))))
+        halo = _halo_rows(local, cp, keys, w, F.col("value"), whole=True)
+        rows = rows.unionByName(halo.select(*[F.col(f"_all.{c}").alias(c) for c in cols], "_chunk",
+                                            F.lit(False).alias("_own"), F.col("_p").cast("long").alias("_p")))
+    rows = rows.repartition(*pkey).sortWithinPartitions(*pkey, "_own", "_p", *order)
+    return rows.mapInArrow(_numpy_kernel(cfg, gap, pkey, cols, kinds), schema)
 
 
 def mad_detect(points: DataFrame, cfg: MadConfig | None = None, *, keys=SERIES_KEY,
