@@ -88,3 +88,32 @@ def test_numpy_kernel_carries_windows_over_batches():
     whole = pa.Table.from_batches(kernel(t.combine_chunks().to_batches()))
     cut = pa.Table.from_batches(kernel(t.to_batches(max_chunksize=7)))
     assert whole.to_pylist() == cut.to_pylist() and whole["n"][250].as_py() == 1
+
+
+def _processed(rows, gap):
+    from vigil.streaming.detector import MadStateProcessorPandas
+    state = {}
+    proc = MadStateProcessorPandas(CFG, COLUMNS, gap)
+    proc.window = SimpleNamespace(exists=lambda: "v" in state, get=lambda: state["v"], update=lambda v: state.update(v=v))
+    tracemalloc.start()
+    try:
+        count, longest = 0, 0
+        for out in proc.handleInputRows(("svc", "cpu", "prod", "eu"), rows, None):
+            count, longest = count + len(out), max(longest, len(out))
+        return count, longest, tracemalloc.get_traced_memory()[1], state["v"]
+    finally:
+        tracemalloc.stop()
+
+
+@pytest.mark.parametrize("gap", [None, 6 * 3600])
+def test_stream_state_scores_a_long_series_in_slices(gap):
+    def batches(n, size=10_000):
+        for a in range(0, n, size):
+            i = np.arange(a, a + size) * 7 % n  # out of order
+            yield pd.DataFrame({"source": "svc", "metric_name": "cpu", "env": "prod", "region": "eu",
+                                "instance_id": [f"user-{k}" for k in i], "timestamp": i * 11, "value": i % 97 * 1.0, "seq": i})
+
+    count, longest, most, (window, last_ts) = _processed(batches(100_000), gap)
+    assert count == 100_000 and longest <= 10_000 and last_ts == 99_999 * 11
+    assert window == [float(i % 97) for i in range(99_950, 100_000)]
+    assert most < 60e6  # windows of all rows at once take 40 MB for each copy of the matrix

@@ -102,8 +102,37 @@ def stream_mad_detect(points: DataFrame, cfg: MadConfig | None = None, *,
     return grouped.transformWithState(proc, out, "Append", time_mode)
 
 
+#: Rows of a key that are scored and handed on at a time.
+SLICE_ROWS = 10_000
+
+
+def _packed(column):
+    """A column of a pandas batch without an object per row, if it is text."""
+    import pyarrow as pa
+    if column.dtype == object and all(v is None or isinstance(v, str) for v in column):
+        return pa.array(column.tolist(), pa.large_string())
+    return column.to_numpy()
+
+
+def _joined(parts: list):
+    import pyarrow as pa
+    if not any(isinstance(p, pa.Array) for p in parts):
+        return np.concatenate(parts)
+    if all(isinstance(p, pa.Array) for p in parts):
+        return pa.concat_arrays(parts)
+    return np.concatenate([p.to_numpy(zero_copy_only=False) if isinstance(p, pa.Array) else p for p in parts])
+
+
+def _taken(column, rows: np.ndarray):
+    """Rows of a joined column, as pandas takes them."""
+    import pyarrow as pa
+    return column.take(pa.array(rows)).to_numpy(zero_copy_only=False) if isinstance(column, pa.Array) else column[rows]
+
+
 class MadStateProcessorPandas(StatefulProcessor):
-    """The same detector over pandas batches (numpy-vectorised per key)."""
+    """The same detector over pandas batches (numpy-vectorised per key). A key's
+    rows of a micro-batch are kept as packed columns, since they must be sorted;
+    windows and output are made by slices of them."""
 
     def __init__(self, cfg: MadConfig, columns: list[str], stale_gap_seconds: int | None = None,
                  state_ttl_ms: int | None = None):
@@ -117,20 +146,26 @@ class MadStateProcessorPandas(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):
         import pandas as pd
-        pdf = pd.concat(list(rows), ignore_index=True).sort_values(["timestamp", "seq"], kind="stable")
+        same = dict(zip(SERIES_KEY, key))
+        parts: dict[str, list] = {c: [] for c in self.columns if c not in same}
+        for pdf in rows:
+            for c, kept in parts.items():
+                kept.append(_packed(pdf[c]))
+        packed = {c: _joined(parts.pop(c)) for c in list(parts)}
+        order = np.lexsort((packed["seq"], packed["timestamp"]))
         if self.window.exists():
             vals, last_ts = self.window.get()
             history = np.asarray(list(vals), dtype=float)
         else:
             history, last_ts = np.zeros(0), None
-        values = pdf["value"].to_numpy(dtype=float)
-        ts = pdf["timestamp"].to_numpy(dtype=np.int64)
-        res = window_stats_batch(history, np.zeros(0), values, ts, self.cfg, self.gap, last_ts)
-        out = pdf[self.columns].reset_index(drop=True)
-        for name, col in zip(_STATS_NAMES, res[:7]):
-            out[name] = col
-        self.window.update((res[7].tolist(), res[8]))
-        yield out
+        for i in range(0, len(order), SLICE_ROWS):
+            at = order[i:i + SLICE_ROWS]
+            res = window_stats_batch(history, np.zeros(0), packed["value"][at].astype(float),
+                                     packed["timestamp"][at].astype(np.int64), self.cfg, self.gap, last_ts)
+            history, last_ts = res[7:]
+            out = {c: [same[c]] * len(at) if c in same else _taken(packed[c], at) for c in self.columns}
+            yield pd.DataFrame({**out, **dict(zip(_STATS_NAMES, res[:7]))})
+        self.window.update((history.tolist(), last_ts))
 
     def close(self) -> None:
         pass
