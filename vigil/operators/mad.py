@@ -65,10 +65,11 @@ BUCKET_SECONDS = 3600
 
 @dataclass(frozen=True)
 class ChunkPlan:
-    """Where the hot series are cut. ``levels`` holds one or two tables of
-    (keys, level columns, _cut): the chunk of each hour of a hot series, and of
-    each second of its dense hours. ``placed`` are the rows of dense seconds, with
-    the chunk their rank gives them (``_dense`` marks these seconds)."""
+    """Where the hot series are cut. ``levels`` holds one to three tables of
+    (keys, level columns, _cut): the chunk of each hour of a hot series, of each
+    second of its dense hours (``_dense`` marks dense ones), and of each range of a
+    dense second. ``placed`` are the rows of dense seconds, with the range and the
+    chunk that their rank gives them; the third table is made from them."""
     keys: tuple[str, ...]
     levels: tuple[DataFrame, ...]
     placed: DataFrame | None = None
@@ -84,7 +85,7 @@ def _with_level(df: DataFrame, level: int) -> DataFrame:
 
 
 def _placed_rows(rows: DataFrame, dense: DataFrame, keys, target_rows: int) -> DataFrame:
-    """The rows of dense seconds with their ``_chunk``: each second is divided at
+    """The rows of dense seconds with their ``_range`` and ``_chunk``: each second is divided at
     quantiles of ``seq``, at most half a target apart. ``dense`` has the seconds
     with their size ``_c`` and the number ``_start`` of the series' rows before.
 
@@ -113,10 +114,10 @@ def _placed_rows(rows: DataFrame, dense: DataFrame, keys, target_rows: int) -> D
     k = F.when(edge(near + 1) <= F.col("_rank"), near + 1).when(edge(near) <= F.col("_rank"), near).otherwise(near - 1)
     return (ranked.join(counts, [*second, "_part"])
             .withColumn("_rank", F.col("_at") - F.col("_first") + F.col("_before") + 1)
-            .withColumn("_k", F.least(k, F.lit(parts - 1)))
-            .withColumn("_from", F.when(F.col("_k") < 1, F.lit(1)).otherwise(edge(F.col("_k"))))
+            .withColumn("_range", F.greatest(F.least(k, F.lit(parts - 1)), F.lit(0)))
+            .withColumn("_from", F.when(F.col("_range") < 1, F.lit(1)).otherwise(edge(F.col("_range"))))
             .withColumn("_chunk", F.floor((F.col("_start") + F.col("_from") - 1) / F.lit(target_rows)).cast("long"))
-            .drop("_at", "_part", "_first", "_before", "_c", "_start", "_rank", "_k", "_from", *_LEVELS))
+            .drop("_at", "_part", "_first", "_before", "_c", "_start", "_rank", "_from"))
 
 
 def plan_chunks(points: DataFrame, keys=SERIES_KEY,
@@ -166,6 +167,7 @@ def plan_chunks(points: DataFrame, keys=SERIES_KEY,
     dense = leaves.filter(F.col("_dense"))
     if len(counts) > 1 and dense.limit(1).count():
         placed = _placed_rows(rows, dense, keys, target_rows)
+        tables.append(placed.select(*keys, *cols, "_range", F.col("_chunk").alias("_cut")).distinct())
     return ChunkPlan(tuple(keys), tuple(tables), placed)
 
 
@@ -204,7 +206,7 @@ def _with_chunk(points: DataFrame, chunks: int | ChunkPlan) -> DataFrame:
     if isinstance(chunks, ChunkPlan):
         cols = list(_LEVELS[:len(chunks.levels)])
         j, cuts = points, []
-        for n, table in enumerate(chunks.levels):
+        for n, table in enumerate(chunks.levels[:len(cols)]):
             j = _with_level(j, n)
             j = j.join(table.withColumnRenamed("_cut", f"_cut{n}"), [*chunks.keys, *cols[:n + 1]], "left")
             cuts.append(F.col(f"_cut{n}"))
