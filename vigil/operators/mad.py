@@ -26,8 +26,8 @@ a series is cut into time chunks (``floor(timestamp / chunk_seconds)``) and
 the window runs per (series, chunk). Each chunk is given an exact *halo*:
 the W-1 points that precede it in its series. Those points come only from
 the last W-1 rows of earlier chunks. They are found through the per-chunk
-row counts (a small table) and are routed with an equi-join on
-(series, chunk ordinal), so no step groups a whole series. The first W-1
+row counts (a small table), which name the later chunks that a chunk's
+last rows may feed; no step groups a whole series' rows. The first W-1
 rows of a chunk prepend the halo to their own frame. The result is
 identical to the unchunked plan, and the points are still shuffled once
 (the halo-candidate branch reuses the window's exchange).
